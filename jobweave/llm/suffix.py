@@ -304,37 +304,36 @@ def strings_of(groups: int):
         anchor, hot = joined(right["anchors"].to_pylist(), U64), joined(right["hot"].to_pylist(), np.uint8)
         order = np.argsort(anchor)
         anchor, hot = anchor[order], hot[order].astype(bool)
-        to, by, doc, pos, data = [], [], [], [], []
+        to, by, doc, pos, end, data = columns = [], [], [], [], [], []
         seen: set[bytes] = set()
+
+        def emit(*values: object) -> None:
+            for c, v in zip(columns, values, strict=True):
+                c.append(v)
+
         for i, raw in one_each(left):
             if i not in keep or len(raw) < LENGTH or not len(anchor):
                 continue
-            start, end, own = runs(raw)
+            start, stop, own = runs(raw)
             at = np.minimum(np.searchsorted(anchor, own), len(anchor) - 1)
             for k in np.flatnonzero(anchor[at] == own).tolist():
-                a, b = int(start[k]), int(end[k])
+                a, b = int(start[k]), int(stop[k])
                 if not hot[at[k]]:
-                    to.append(int(own[k] % U64(groups)))
-                    by.append(int(own[k].astype(np.int64)))
-                    doc.append(i)
-                    pos.append(a)
-                    data.append(raw[a : b + LENGTH - 1])
+                    emit(int(own[k] % U64(groups)), int(own[k].astype(np.int64)), i, a, b + LENGTH - 1, raw[a : b + LENGTH - 1])
                     continue
-                for p in range(a, b):
+                again = a  # windows from here on were seen earlier in this block
+                for p in range(a, b + 1):
                     window = raw[p : p + LENGTH]
-                    if window in seen:  # earlier in this block
-                        to.append((i + p) % groups)
-                        by.append(0)
-                        data.append(None)
-                    else:
+                    if p < b and window in seen:
+                        continue
+                    if again < p:
+                        emit((i + again) % groups, 0, i, again, p + LENGTH - 1, None)
+                    again = p + 1
+                    if p < b:
                         seen.add(window)
                         h = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
-                        to.append(h % groups)
-                        by.append(h)
-                        data.append(window)
-                    doc.append(i)
-                    pos.append(p)
-        return pa.table({"to": pa.array(to, pa.int64()), "by": pa.array(by, pa.int64()), "doc_id": pa.array(doc, pa.int64()), "pos": pa.array(pos, pa.int64()), "data": pa.array(data, pa.binary())})
+                        emit(h % groups, h, i, p, p + LENGTH, window)
+        return pa.table({"to": pa.array(to, pa.int64()), "by": pa.array(by, pa.int64()), "doc_id": pa.array(doc, pa.int64()), "pos": pa.array(pos, pa.int64()), "end": pa.array(end, pa.int64()), "data": pa.array(data, pa.binary())})
 
     return list_strings
 
@@ -365,7 +364,7 @@ def find_repeats(group: pa.Table) -> pa.Table:
                     remove(d, p + a, p + b + LENGTH - 1)
 
     group = group.sort_by([("by", "ascending"), ("doc_id", "ascending"), ("pos", "ascending")])
-    by, doc, pos, data = (group[c].to_pylist() for c in ("by", "doc_id", "pos", "data"))
+    by, doc, pos, end, data = (group[c].to_pylist() for c in ("by", "doc_id", "pos", "end", "data"))
     waiting: list[tuple[int, int, bytes]] = []
     held, k = 0, 0
     while k < len(by):
@@ -374,7 +373,7 @@ def find_repeats(group: pa.Table) -> pa.Table:
         while k < len(by) and by[k] == now:
             s, d, p = data[k], doc[k], pos[k]
             if s is None:
-                remove(d, p, p + LENGTH)
+                remove(d, p, end[k])
             elif s in own:
                 if own[s] != (d, p):
                     remove(d, p, p + len(s))
@@ -430,7 +429,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     listed = by_block.cogroup(first.groupBy("block")).applyInArrow(anchors_of(groups), "to long, block long, anchors binary, counts binary")
     judged = listed.groupBy("to").applyInArrow(judge_anchors, "block long, kind int, doc_id long, anchors binary, hot binary")
     told = judged.unionByName(first.select("*", no_blob.alias("anchors"), no_blob.alias("hot")))
-    strings = by_block.cogroup(told.groupBy("block")).applyInArrow(strings_of(groups * 4), "to long, by long, doc_id long, pos long, data binary")
+    strings = by_block.cogroup(told.groupBy("block")).applyInArrow(strings_of(groups * 4), "to long, by long, doc_id long, pos long, end long, data binary")
     cuts = strings.groupBy("to").applyInArrow(find_repeats, "doc_id long, a long, b long")
     none = F.lit(None).cast("long")
     marks = cuts.select(block, F.lit(2).alias("kind"), "doc_id", "a", "b").unionByName(first.select("*", none.alias("a"), none.alias("b")))
