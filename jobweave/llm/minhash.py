@@ -31,6 +31,7 @@ THRESHOLD = 80
 U32 = np.uint32
 #: Blocks hold up to about BLOCK shingles, a document counting for LEAST_WEIGHT at least; SLICE is a matrix's width.
 BLOCK, LEAST_WEIGHT, SLICE = 1 << 17, 256, 1 << 14
+WIDE = 512  # shingles that are shifted together
 
 
 def pi(x: np.ndarray) -> np.ndarray:
@@ -43,7 +44,9 @@ def pi(x: np.ndarray) -> np.ndarray:
 def signature(shingles: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
     """k coordinates: one set of places, shifted around the ring once for each coordinate."""
     places = (mix64(shingles ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(U32)
-    return np.array([pi(places - U32(i)).min() for i in range(k)], U32)
+    shift = np.arange(k, dtype=U32)[:, None]
+    parts = [pi(places[i : i + WIDE] - shift).min(axis=1) for i in range(0, len(places), WIDE)]
+    return np.minimum.reduce(parts)
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
