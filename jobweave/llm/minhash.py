@@ -139,15 +139,15 @@ def block_comparer(width: int, threshold: int):
 def across(members: DataFrame, labels: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame | None:
     """Links between components that still meet in a bucket, from comparing blocks instead of emitting pairs.
 
-    Every member of such a bucket goes into one block of bounded size, with others that share its least bucket.
+    Every member of such a bucket goes into one block of bounded size, with others whose buckets have the same centre.
     Two blocks are compared, whole against whole, if any bucket holds rows of both.
     """
-    at = members.join(labels.withColumnRenamed("node", "x"), "x", "left").select("key", "x", "n", F.coalesce("component", "x").alias("c"))
+    at = members.join(labels.withColumnRenamed("node", "x"), "x", "left").select("key", "x", "n", "y", F.coalesce("component", "x").alias("c"))
     mixed = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     at = cut(at.join(mixed, "key"))
     if at.isEmpty():
         return None
-    homes = at.groupBy("x").agg(F.min("key").alias("home"), F.max("n").alias("n"), F.max("c").alias("c"))
+    homes = at.groupBy("x").agg(F.min("y").alias("home"), F.max("n").alias("n"), F.max("c").alias("c"))
     parts = homes.groupBy("home").agg(F.ceil(F.sum(F.greatest("n", F.lit(LEAST_WEIGHT))) / BLOCK).alias("parts"))
     blocks = cut(homes.join(parts, "home").select("x", "c", F.xxhash64("home", F.pmod(F.xxhash64("x"), "parts")).alias("block")))
     span = blocks.groupBy("block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
