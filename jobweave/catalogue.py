@@ -1,11 +1,248 @@
-"""All queries of the library by name, with equivalent SQL."""
+"""All job queries of the library by name, over the fixture tables; equivalent SQL is in plans.oracle."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from jobweave.functions import expr
+from jobweave.operators import history, listing, quality, schedules
+from jobweave.operators.listing import ListRequest
+from jobweave.plans import oracle
+from jobweave.sources.fixtures import NOW, fixture
+from jobweave.streaming import fold
+
+TENANT, ALL_TENANTS = "BUILDING", ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+SHOWN = ["tenant_id", "job_id", "status", "created_at"]
+CRON, DAYS = "*/15 9-17 * * 1-5", 8
+
+
+class Tables:
+    """Fixtures and test tables, read when named."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return fixture(self.spark, self.sf_dir, name)
+
+
+def listed(**request):
+    request.setdefault("tenants", [TENANT])
+    return lambda t: listing.list_jobs(t.fx_jobs, t.fx_wait, NOW, ListRequest(**request)).select(*SHOWN)
+
+
+def second_page(t: Tables) -> DataFrame:
+    """The page after the one that ends at a known job: a token is made from that job's row."""
+    request = {"tenants": ALL_TENANTS, "page_size": 50}
+    cursor = {"created_at": oracle.CURSOR_TIME, "tenant_id": "FURNITURE", "job_id": oracle.CURSOR_JOB}
+    return listing.list_jobs(t.fx_jobs, t.fx_wait, NOW, ListRequest(**request, token=listing.page_token(cursor))).select(*SHOWN)
+
+
+def by_keys(t: Tables) -> DataFrame:
+    keys = t.fx_jobs.where("parent_job_id is not null").select("tenant_id", F.col("parent_job_id").alias("job_id"))
+    return listing.list_jobs(t.fx_jobs, t.fx_wait, NOW, ListRequest(tenants=ALL_TENANTS, keys=keys, page_size=200)).select(*SHOWN)
+
+
+def summaries(t: Tables) -> DataFrame:
+    jobs = listing.with_status(t.fx_jobs, t.fx_wait, NOW)
+    return jobs.select(
+        "tenant_id", "job_id", "status", expr.job_key().alias("job_key"), expr.effective_need(NOW).alias("need"), expr.job_type_of("next_need").alias("need_job_type"),
+        expr.task_type_of("next_need").alias("need_task_type"), F.coalesce("parent_job_id", F.lit("")).alias("parent"), expr.app_value("metadata", "rank").alias("rank"),
+        expr.app_value("metadata", "team").alias("team"), expr.schema_hash_of("metadata").alias("schema_hash"),
+    )
+
+
+def lease_plan(t: Tables) -> DataFrame:
+    found = listing.poll_candidates(t.fx_jobs, t.fx_wait, NOW, TENANT, ["high", "low", "urgent", "medium:review"])
+    return listing.lease_plan(found, NOW, 20)
+
+
+def poll_meta(t: Tables) -> DataFrame:
+    return listing.poll_candidates(t.fx_jobs, t.fx_wait, NOW, TENANT, ["high", "low"], {("team",): ["t1", "t3"]}).select("tenant_id", "job_id", "need")
+
+
+def waiting_tasks(t: Tables) -> DataFrame:
+    return t.fx_jobs.where("archived_at is null and next_need like '%:%' and tenant_id = 'BUILDING'").select("tenant_id", "job_id", "job_type", expr.task_type_of("next_need").alias("task_type"))
+
+
+def get_job(t: Tables) -> DataFrame:
+    """Status, and the last outcome of archived jobs."""
+    jobs = listing.with_status(t.fx_jobs, t.fx_wait, NOW)
+    joined = jobs.join(history.outcomes(t.fx_chapters), ["tenant_id", "job_id"], "left")
+    return joined.select("tenant_id", "job_id", "status", F.when(F.col("archived_at").isNotNull(), F.col("payload_kind")).alias("outcome"))
+
+
+def children(t: Tables) -> DataFrame:
+    """An extension: direct children of each parent."""
+    return t.fx_jobs.where("parent_job_id is not null").groupBy("tenant_id", "parent_job_id").agg(F.count("*").alias("n_children"))
+
+
+def prerequisites(t: Tables) -> DataFrame:
+    """Whether each dependency is missing, open, or has succeeded."""
+    deps = t.fx_jobs.select("tenant_id", F.col("job_id").alias("dep_job_id"), "archived_at", "completion_status")
+    state = F.when(F.col("archived_at").isNull() & F.col("_here").isNull(), "missing").when(F.col("archived_at").isNull(), "open").when(F.col("completion_status") == "success", "success").otherwise("failed")
+    return t.fx_wait.join(deps.withColumn("_here", F.lit(True)), ["tenant_id", "dep_job_id"], "left").select("tenant_id", "job_id", "dep_job_id", state.alias("state"))
+
+
+def attempts_flat(t: Tables) -> DataFrame:
+    flat = history.nested_runs(t.fx_chapters).select("tenant_id", "job_id", F.explode("attempts").alias("a")).select("tenant_id", "job_id", "a.job_attempt", F.posexplode("a.tasks").alias("place", "t"))
+    return flat.select("tenant_id", "job_id", "job_attempt", "place", "t.run_id", "t.n_attempts")
+
+
+def restart_difference(t: Tables) -> DataFrame:
+    """Histories of order 2k compared with those of order 2k + 1."""
+    c = t.fx_chapters.join(t.fx_jobs.select("tenant_id", "job_id", "k"), ["tenant_id", "job_id"]).withColumn("pair", F.expr("k div 2"))
+    return history.prefix_difference(c.where("k % 2 = 0"), c.where("k % 2 = 1"))
+
+
+def chapter_page(t: Tables) -> DataFrame:
+    return t.fx_chapters.where("ordinal between 1 and 2 and tenant_id = 'BUILDING'").select("tenant_id", "job_id", "ordinal", "chapter_type")
+
+
+def chapter_created_before(t: Tables) -> DataFrame:
+    """Deadline of each task chapter: the chapter before, plus half an hour."""
+    from pyspark.sql import Window
+
+    prior = F.lag("created_at").over(Window.partitionBy("tenant_id", "job_id").orderBy("ordinal"))
+    return t.fx_chapters.withColumn("deadline", F.coalesce(prior, F.col("created_at")) + F.expr("interval 30 minutes")).where("ordinal > 0").select("tenant_id", "job_id", "ordinal", "deadline")
+
+
+def story_page(t: Tables) -> DataFrame:
+    return t.fx_stories.where("not deleted and story_id > 10").orderBy("story_id").limit(26).select("story_id", "own_latest")
+
+
+def input_hashes(t: Tables) -> DataFrame:
+    parts = quality.artifacts(t.documents).select(F.pmod("doc_id", F.lit(50)).alias("job"), F.concat_ws("|", "name", "sha256").alias("part"))
+    return parts.groupBy("job").agg(F.collect_list("part").alias("parts")).select("job", expr.input_hash(F.concat(F.lit("job-"), F.col("job").cast("string")), F.col("parts")).alias("input_hash"))
+
+
+def cron_matches(t: Tables) -> DataFrame:
+    local = F.from_utc_timestamp(F.col("scheduled_at").cast("timestamp"), "UTC")
+    return t.fx_runs.where(schedules.cron_matches("0-29/2 8-20 1,15,20-25 * *", local)).select("event_id", "schedule_id", "scheduled_at")
+
+
+def cron_next(t: Tables) -> DataFrame:
+    return schedules.cron_next(t.fx_runs.select("event_id", "scheduled_at"), CRON, "scheduled_at", DAYS).select("event_id", "next_fire")
+
+
+def interval_next(t: Tables) -> DataFrame:
+    fire = schedules.interval_next(F.col("scheduled_at"), 5400, expr.at("2024-01-05 00:00:00"), expr.at("2024-01-25 00:00:00"))
+    return t.fx_runs.select("event_id", fire.alias("next_fire"))
+
+
+def schedule_ids(t: Tables) -> DataFrame:
+    return t.fx_runs.select("event_id", expr.schedule_job_id(F.col("schedule_id"), F.lit(3), F.col("scheduled_at")).alias("job_id"))
+
+
+def bits(t: Tables) -> DataFrame:
+    return schedules.failure_windows(t.fx_runs, 8).select("event_id", "schedule_id", "bits")
+
+
+def violated(t: Tables) -> DataFrame:
+    return schedules.failure_windows(t.fx_runs, 8).select("event_id", schedules.violates("bits", 2, 70).alias("violated"))
+
+
+def preflight(t: Tables) -> DataFrame:
+    runs = schedules.failure_windows(t.fx_runs, 8).withColumn("violated", schedules.violates("bits", 2, 70)).withColumn("run_generation", F.lit(1) + F.col("event_id") % 2)
+    n = F.regexp_extract("schedule_id", r"(\d+)$", 1).cast("int")
+    rows = t.fx_runs.select("schedule_id").distinct().where(n % 13 != 0)
+    state = F.when(n % 5 == 0, "PAUSED").when(n % 7 == 0, "ARCHIVED").otherwise("ACTIVE")
+    table = rows.select("schedule_id", state.alias("state"), (F.lit(1) + n % 2).alias("generation"), F.when(n % 3 == 0, expr.at("2024-01-20 00:00:00")).alias("end_at"))
+    return schedules.preflight(runs, table).select("event_id", "reason")
+
+
+def schedule_runs(t: Tables) -> DataFrame:
+    between = F.col("scheduled_at").between(expr.at("2024-01-10 00:00:00"), expr.at("2024-01-12 00:00:00"))
+    return t.fx_runs.where(between & F.col("schedule_id").isin("sched-3", "sched-7", "sched-11")).orderBy(F.desc("scheduled_at"), F.desc("event_id")).limit(101)
+
+
+def backoff(t: Tables) -> DataFrame:
+    chapters = t.fx_chapters.where("chapter_type = 'TaskAttemptOutcome'")
+    delay = expr.backoff_ms(F.col("attempt"), F.lit(100.0), F.lit(2.0), F.lit(350.0))
+    return chapters.select("tenant_id", "job_id", "ordinal", delay.alias("backoff_ms"), expr.retryable(F.col("payload_kind"), F.lit(None).cast("boolean")).alias("retryable"))
+
+
+def fold_state(t: Tables) -> DataFrame:
+    return fold.fold(fold.commands(t.events))
+
+
+def stream_state(t: Tables) -> DataFrame:
+    """The fold as a stream over the events files, run to its end and read back from a table in the warehouse."""
+    import uuid
+
+    spark, name = t.spark, f"fold_{uuid.uuid4().hex}"
+    source = spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events*.parquet")
+    base = f"{spark.sparkContext.getCheckpointDir() or '/tmp/checkpoints'}/{name}"
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{base}/out/batch={n}")
+
+    fold.stream_fold(fold.commands(source)).writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{base}/out/batch=*")
+    columns = [c for c in rows.columns if c not in ("job", "batch")]
+    return rows.groupBy("job").agg(F.max_by(F.struct(*columns), "batch").alias("s")).select("job", "s.*")
+
+
+BUILT = {
+    "q_status": lambda t: listing.with_status(t.fx_jobs, t.fx_wait, NOW).select("tenant_id", "job_id", "status"),
+    "q_list_ready": listed(statuses=["READY"]),
+    "q_list_status_in": listed(statuses=["ACTIVE", "CANCELLED", "CRASH_CONCERN"], stores=["ARCHIVED"], page_size=200),
+    "q_list_store_active": listed(stores=["ACTIVE"], page_size=200),
+    "q_list_store_archived": listed(stores=["ARCHIVED"]),
+    "q_list_type": listed(job_types=["urgent", "high"], tenants=ALL_TENANTS, page_size=500),
+    "q_list_task": listed(job_tasks=[("low", "review"), ("high", "review"), ("", "x")], page_size=150),
+    "q_list_keys": by_keys,
+    "q_list_parent": listed(parents=["job-000000010", "job-000000100", "job-000000200"], tenants=ALL_TENANTS),
+    "q_list_root": listed(root_only=True, page_size=60),
+    "q_list_created_range": listed(created_from="1998-01-01 00:00:00", created_to="1998-03-01 00:00:00", tenants=ALL_TENANTS, page_size=200),
+    "q_list_meta_eq": listed(metadata={("rank",): [1]}),
+    "q_list_meta_or": listed(metadata={("rank",): [1, 2.0, 7]}),
+    "q_list_meta_and": listed(metadata={("rank",): [1, 3, 5], ("team",): ["t1", "t3"]}),
+    "q_page_1": listed(tenants=ALL_TENANTS, page_size=50),
+    "q_page_2": second_page,
+    "q_summary": summaries,
+    "q_poll_candidates": lambda t: listing.poll_candidates(t.fx_jobs, t.fx_wait, NOW, TENANT, ["high", "low", "urgent", "medium:review"]).select("tenant_id", "job_id", "need"),
+    "q_poll_lease_plan": lease_plan,
+    "q_poll_meta": poll_meta,
+    "q_waiting_tasks": waiting_tasks,
+    "q_children_count": children,
+    "q_prereq_check": prerequisites,
+    "q_get_job": get_job,
+    "q_last_chapter": lambda t: history.last_chapter(t.fx_chapters),
+    "q_attempts": lambda t: history.with_segments(t.fx_chapters).select("tenant_id", "job_id", "ordinal", "job_attempt", "segment"),
+    "q_task_runs": lambda t: history.task_runs(t.fx_chapters).drop("run"),
+    "q_run_nested": attempts_flat,
+    "q_latest_attempt": lambda t: history.outcomes(t.fx_chapters),
+    "q_next_attempt": lambda t: history.next_attempt(t.fx_chapters, 3),
+    "q_runtime_row": lambda t: history.runtime_rows(t.fx_jobs, t.fx_chapters, NOW),
+    "q_chapter_range": chapter_page,
+    "q_task_deadline": chapter_created_before,
+    "q_restart_diff": restart_difference,
+    "q_story_page": story_page,
+    "q_fork_resolve": lambda t: history.resolved_forks(t.fx_stories, t.fx_story_chapters),
+    "q_artifact_hash": lambda t: quality.artifacts(t.documents),
+    "q_input_hash": input_hashes,
+    "q_cron_match": cron_matches,
+    "q_cron_next": cron_next,
+    "q_interval_next": interval_next,
+    "q_sched_job_id": schedule_ids,
+    "q_sched_runs": schedule_runs,
+    "q_failure_bits": bits,
+    "q_failure_violated": violated,
+    "q_preflight": preflight,
+    "q_backoff": backoff,
+    "q_quality_ordinals": lambda t: quality.broken_histories(t.fx_chapters),
+    "q_quality_links": lambda t: quality.bad_links(t.fx_stories).select("story_id"),
+    "q_quality_leases": lambda t: quality.double_leases(t.fx_jobs).select("tenant_id", "job_id"),
+    "q_fold_final_state": fold_state,
+    "q_stream_fold": stream_state,
+}
+
 
 def queries() -> dict:
-    return {}
+    return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, f in BUILT.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.sql()
