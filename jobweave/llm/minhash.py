@@ -30,7 +30,7 @@ BANDS, ROWS = 32, 4
 THRESHOLD = 80
 U32 = np.uint32
 #: Blocks hold up to about BLOCK shingles, a document counting for LEAST_WEIGHT at least; SLICE is a matrix's width.
-BLOCK, LEAST_WEIGHT, SLICE = 1 << 17, 256, 1 << 14
+BLOCK, LEAST_WEIGHT, SLICE = 1 << 18, 256, 1 << 13
 WIDE = 512  # shingles that are shifted together
 
 
