@@ -150,15 +150,15 @@ def across(members: DataFrame, labels: DataFrame, texts: DataFrame, width: int,
     homes = at.groupBy("x").agg(F.min("y").alias("home"), F.max("n").alias("n"), F.max("c").alias("c"))
     parts = homes.groupBy("home").agg(F.ceil(F.sum(F.greatest("n", F.lit(LEAST_WEIGHT))) / BLOCK).alias("parts"))
     blocks = cut(homes.join(parts, "home").select("x", "c", F.xxhash64("home", F.pmod(F.xxhash64("x"), "parts")).alias("block")))
-    span = blocks.groupBy("block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    meet = at.select("key", "x").join(blocks.select("x", "block"), "x").select("key", "block").distinct().join(span, "block")
+    held = at.select("key", "x").join(blocks, "x")
+    meet = held.groupBy("key", "block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     other = meet.select("key", *(F.col(k).alias(f"{k}2") for k in ("block", "lo", "hi")))
     pairs = meet.join(other, "key").where("block <= block2 and least(lo, lo2) < greatest(hi, hi2)").select("block", "block2").distinct()
     pairs = pairs.withColumn("pair", F.xxhash64("block", "block2"))
     sides = pairs.select("pair", "block", F.when(F.col("block") == F.col("block2"), 0).otherwise(-1).alias("side"))
     sides = sides.unionByName(pairs.where("block < block2").select("pair", F.col("block2").alias("block"), F.lit(1).alias("side")))
-    held = blocks.join(texts.withColumnRenamed("doc_id", "x"), "x")
-    rows = held.join(sides, "block").select("pair", "side", "x", "c", "text")
+    read = blocks.join(texts.withColumnRenamed("doc_id", "x"), "x")
+    rows = read.join(sides, "block").select("pair", "side", "x", "c", "text")
     return cut(rows.groupBy("pair").applyInArrow(block_comparer(width, threshold), "a long, b long"))
 
 
