@@ -13,9 +13,11 @@ Extra columns are ignored; an empty table gives an empty one.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ LIMIT, END_ID = 4096, 1
 #: Tokens of a group; bins filled below this share are packed again with other groups' bins.
 GROUP, OPEN_BELOW = 1 << 20, 0.99
 #: Words whose ids a worker keeps, and how often one piece may be tried in the local search.
-CACHE, TRIES = 300_000, 4
+CACHE, TRIES = 800_000, 4
 
 
 def tokenizer_path() -> str:
@@ -37,6 +39,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A word that ends in ASCII marks after a letter or digit: the tokenizer cuts it there too.
+MARKED = re.compile(rb"(.*[a-z0-9])([!-&(-/:-@\[-`{-~]+)\Z", re.S)
+
+
 class WordIds:
     """Token ids as little-endian 32-bit numbers. The tokenizer never joins bytes across white space, so each word
     between blanks has ids of its own, and those of the words seen are kept."""
@@ -50,22 +56,38 @@ class WordIds:
     def learn(self, texts: list[list[bytes]]) -> None:
         if len(self.of) > CACHE:
             self.of.clear()
-        new = list(set().union(*texts).difference(self.of))
-        coded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.of.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, coded, strict=True))
+        of = self.of
+        new = set().union(*texts).difference(of)
+        split = {w: m.groups() for w in new if (m := MARKED.match(w)) and b"<|" not in w}
+        whole = list(new.difference(split).union(*split.values()).difference(of))
+        coded = self.tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False)
+        of.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(whole, coded, strict=True))
+        of.update((w, of[a] + of[b]) for w, (a, b) in split.items())
 
     def ids(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.of.__getitem__, words))
 
 
+@cache
+def coder_of(path: str) -> WordIds:
+    """One for each worker process, so that later tasks find the words of earlier ones."""
+    return WordIds(path)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Words between blanks, in the lower case that the tokenizer gives ASCII; texts that may hold special tokens as they are."""
+    raw = (text or "").encode()
+    return (raw if b"<|" in raw else raw.lower()).split()
+
+
 def cutter(path: str, limit: int, with_ids: bool):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordIds(path)
+        coder = coder_of(path)
         end = END_ID.to_bytes(4, "little")
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                texts = [(t or "").encode().split() for t in batch["text"].to_pylist()]
+                texts = [words_of(t) for t in batch["text"].to_pylist()]
                 coder.learn(texts)
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, words in enumerate(texts):
