@@ -266,7 +266,7 @@ def anchors_of(groups: int):
         to = (anchor % U64(groups)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         where = np.flatnonzero(np.diff(to[order], prepend=-1)) if len(to) else np.zeros(0, np.int64)
-        parts = list(zip(where, [*where[1:], len(order)], strict=True))
+        parts = list(zip(where, [*where[1:], len(order)][: len(where)], strict=True))
         return pa.table({
             "to": pa.array(to[order][where], pa.int64()),
             "block": pa.array([key[0].as_py()] * len(parts), pa.int64()),
@@ -287,7 +287,7 @@ def judge_anchors(group: pa.Table) -> pa.Table:
     keep = np.flatnonzero(total > 1)
     keep = keep[np.argsort(block[keep], kind="stable")]
     where = np.flatnonzero(np.diff(block[keep], prepend=-1)) if len(keep) else np.zeros(0, np.int64)
-    parts = list(zip(where, [*where[1:], len(keep)], strict=True))
+    parts = list(zip(where, [*where[1:], len(keep)][: len(where)], strict=True))
     return pa.table({
         "block": pa.array(block[keep][where], pa.int64()),
         "kind": pa.array([1] * len(parts), pa.int32()),
