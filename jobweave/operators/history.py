@@ -75,6 +75,14 @@ def prefix_difference(source: DataFrame, target: DataFrame) -> DataFrame:
     return both.select("pair", "ordinal", F.when(F.col("a").isNull(), "extra").when(F.col("b").isNull(), "missing").otherwise("differs").alias("kind"))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write to the shared checkpoint folder; a session without one (tests) gets /tmp/checkpoints."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    return df.checkpoint()
+
+
 def resolved_forks(stories: DataFrame, chapters: DataFrame, depth: int = 1024) -> DataFrame:
     """For each live story and ordinal, the story that owns the chapter: bases own what lies at or below a fork.
 
@@ -83,12 +91,12 @@ def resolved_forks(stories: DataFrame, chapters: DataFrame, depth: int = 1024) -
     reach = stories.where(~F.col("deleted")).select("story_id", F.col("story_id").alias("owner"), F.lit(None).cast("long").alias("upto"), F.lit(0).alias("depth"))
     base = stories.where("base_story_id is not null").select(F.col("story_id").alias("owner"), F.col("base_story_id").alias("base"), "fork_ordinal")
     done = None
-    for _ in range(depth):
+    for n in range(depth):
         step = reach.join(base, "owner", "left")
         own = step.select("story_id", "owner", F.col("fork_ordinal").alias("above"), "upto", "depth")
         done = own if done is None else done.unionByName(own)
         reach = step.where("base is not null").select("story_id", F.col("base").alias("owner"), F.least("upto", "fork_ordinal").alias("upto"), (F.col("depth") + 1).alias("depth"))
-        reach = reach.where("upto is null or upto >= 0").checkpoint() if _ % 8 == 7 else reach
+        reach = cut(reach) if n % 8 == 7 else reach
         if reach.isEmpty():
             break
     rows = chapters.withColumnRenamed("story_id", "owner").join(done, "owner")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from jobweave import catalogue
 from jobweave.functions import expr
-from jobweave.operators import listing, schedules
+from jobweave.operators import history, listing, schedules
 from jobweave.streaming import fold
 
 
@@ -75,3 +75,11 @@ def test_stream_equals_batch(spark):
     q, sf = catalogue.queries(), "/root/testdata/sf0.001"
     batch, stream = (sorted(map(tuple, q[n](spark, sf).collect())) for n in ("q_fold_final_state", "q_stream_fold"))
     assert batch == stream
+
+
+def test_fork_chain_longer_than_a_checkpoint(spark):
+    """Twenty stories, each forked from the one before at its first chapter."""
+    stories = spark.createDataFrame([(k, k - 1 if k else None, 0 if k else None, k == 3) for k in range(20)], "story_id long, base_story_id long, fork_ordinal long, deleted boolean")
+    chapters = spark.createDataFrame([(k, o, "t", "b") for k in range(20) for o in (0, 1)], "story_id long, ordinal long, task_type string, body string")
+    rows = [tuple(r)[:3] for r in history.resolved_forks(stories, chapters).collect()]
+    assert sorted(rows) == sorted(x for k in range(20) if k != 3 for x in ((k, 0, 0), (k, 1, k)))
