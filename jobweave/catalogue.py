@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweave.functions import expr
-from jobweave.operators import history, listing, quality, schedules
+from jobweave.operators import history, lifecycle, listing, payloads, quality, schedules, schemas
 from jobweave.operators.listing import ListRequest
 from jobweave.plans import oracle
 from jobweave.sources.fixtures import NOW, fixture
 from jobweave.streaming import fold
 
 TENANT, ALL_TENANTS = "BUILDING", ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+JOB = ["tenant_id", "job_id"]
 SHOWN = ["tenant_id", "job_id", "status", "created_at"]
 CRON, DAYS = "*/15 9-17 * * 1-5", 8
 
@@ -184,6 +185,123 @@ def stream_state(t: Tables) -> DataFrame:
     return rows.groupBy("job").agg(F.max_by(F.struct(*columns), "batch").alias("s")).select("job", "s.*")
 
 
+def chapter_outcomes(t: Tables) -> DataFrame:
+    o = t.fx_bodies.where("ordinal > 0").withColumn("o", payloads.outcome(F.col("payload_kind"), F.col("data")))
+    return o.select(*JOB, "ordinal", "o.status", F.col("o.error.kind").alias("error_kind"), "o.error.message", "o.error.code", "o.error.retryable", "o.output")
+
+
+def job_outputs(t: Tables) -> DataFrame:
+    jobs = listing.with_status(t.fx_jobs, t.fx_wait, NOW)
+    return payloads.outputs(jobs, t.fx_bodies)
+
+
+def completions(t: Tables) -> DataFrame:
+    ends = t.fx_bodies.where("chapter_type = 'JobAttemptOutcome'")
+    return ends.select(*JOB, "ordinal", payloads.completion(F.col("payload_kind"), F.col("data"), F.col("ordinal") % 5 == 0).alias("c")).select(*JOB, "ordinal", "c.*")
+
+
+def failed_round_trip(t: Tables) -> DataFrame:
+    failed = t.fx_bodies.withColumn("e", payloads.error(F.col("payload_kind"), F.col("data"))).where("e is not null")
+    failed = failed.withColumn("f", payloads.failed_error(F.col("e"))).withColumn("c", payloads.failed_cause(F.col("f")))
+    return failed.select(*JOB, "ordinal", F.col("f.level").alias("outer_level"), F.size("f.attrs").cast("long").alias("n_attrs"), "c.*")
+
+
+def submits(t: Tables) -> DataFrame:
+    """Jobs 3k are new; every second job is asked for twice, with this or that changed."""
+    jobs = t.fx_jobs.select("k", *JOB, "job_type", F.concat(F.lit("h"), (F.col("k") % 4).cast("string")).alias("input_hash"), "metadata", F.lit(None).cast("array<string>").alias("wait_for"))
+    asked = jobs.where("k % 2 = 0").withColumn("seq", F.explode(F.array(F.lit(0), F.lit(1))))
+    asked = asked.withColumn("job_type", F.expr("case when k % 5 = 1 or (seq = 1 and k % 17 = 5) then 'other' else job_type end")).withColumn("input_hash", F.expr("case when k % 7 = 2 then 'x' else input_hash end"))
+    spaced = F.replace(F.col("metadata"), F.lit(","), F.lit(" , "))
+    asked = asked.withColumn("metadata", F.when(F.col("k") % 11 == 3, spaced).when(F.col("k") % 13 == 4, "{}").otherwise(F.col("metadata")))
+    return lifecycle.submit(asked, jobs.where("k % 3 <> 0")).select(*JOB, "seq", "result")
+
+
+def restarts(t: Tables) -> DataFrame:
+    asked = t.fx_jobs.where("k % 4 = 0").select("tenant_id", F.col("job_id").alias("prior_job_id"), F.concat("job_id", F.lit("-again")).alias("job_id"), (F.col("k") % 6 - 1).alias("last_step"))
+    return lifecycle.restart(asked, t.fx_chapters)
+
+
+def child_submits(t: Tables) -> DataFrame:
+    lease = F.concat(F.lit("lease-"), F.when(F.col("k") % 3 == 0, "0").otherwise((F.col("k") - F.col("k") % 10).cast("string")))
+    asked = t.fx_jobs.where("parent_job_id is not null").select("tenant_id", "parent_job_id", lease.alias("asked_lease"), F.concat("job_id", F.lit("-child")).alias("child_id"))
+    return lifecycle.child_submits(asked, t.fx_jobs, NOW)
+
+
+def job_leases(t: Tables) -> DataFrame:
+    asked = t.fx_jobs.select("tenant_id", F.expr("case when k % 50 = 7 then 'none' else job_id end as job_id"), F.array(F.lit("high"), F.lit("low"), F.lit("urgent")).alias("capabilities"))
+    return lifecycle.job_leases(asked, listing.with_status(t.fx_jobs, t.fx_wait, NOW), NOW)
+
+
+def run_results(t: Tables) -> DataFrame:
+    jobs = listing.with_status(t.fx_jobs, t.fx_wait, NOW)
+    return lifecycle.classify(jobs, payloads.outputs(jobs, t.fx_bodies), ["high", "low", "urgent", "medium:review"])
+
+
+def completed_tasks(t: Tables) -> DataFrame:
+    """Jobs with a task to wait for; requests for them get this or that wrong."""
+    last = t.fx_chapters.groupBy(*JOB).agg(F.max("ordinal").alias("last"))
+    jobs = t.fx_jobs.join(last, JOB).withColumn("waits", F.expr("next_need like '%:%'"))
+    jobs = jobs.selectExpr(
+        "tenant_id", "job_id", "k", "next_need", "archived_at", "case when waits then k % 3 end wait_in", "case when waits then last + if(k % 9 = 0, 2, 1) end wait_out",
+        "case when waits then job_type end wait_next", "case when waits then 'h0' end wait_hash",
+    )
+    asked = jobs.selectExpr(
+        "tenant_id", "job_id", "case when k % 7 = 0 then 'x:y' when k % 3 = 0 then '' else next_need end capability", "case when k % 8 = 0 then 'other' else '' end resume",
+        "case when k % 10 = 0 then 5 else 0 end in_ordinal", "case when k % 22 = 0 then 'h9' else 'h0' end in_hash", "wait_out + if(k % 26 = 0, 1, 0) out_ordinal",
+    )
+    return lifecycle.complete_tasks(asked, jobs, t.fx_chapters)
+
+
+def awaited_jobs(t: Tables) -> DataFrame:
+    return lifecycle.awaited(t.fx_wait, listing.with_status(t.fx_jobs, t.fx_wait, NOW))
+
+
+def awaits(t: Tables) -> DataFrame:
+    wake = F.expr("scheduled_at + make_dt_interval(0, 0, event_id % 600)")
+    invocation, total = F.expr("case when event_id % 3 = 0 then scheduled_at + interval 1 hour end"), F.expr("case when event_id % 4 = 0 then scheduled_at + interval 2 hours end")
+    step = lifecycle.await_until(wake, invocation, total, expr.at("2024-01-15 12:00:00"))
+    return t.fx_runs.select("event_id", step.alias("s")).select("event_id", "s.*")
+
+
+def attempt_steps(t: Tables) -> DataFrame:
+    flag = payloads.field(F.col("data"), "retryable").cast("boolean")
+    step = lifecycle.attempt_step(
+        F.col("payload_kind"), expr.retryable(F.col("payload_kind"), flag), F.col("attempt"), F.lit(3), F.col("created_at"),
+        expr.backoff_ms(F.col("attempt"), F.lit(100.0), F.lit(2.0), F.lit(350.0)), F.col("created_at") + F.expr("interval 2000 days"), expr.at(NOW),
+    )
+    return t.fx_bodies.where("chapter_type = 'TaskAttemptOutcome'").select(*JOB, "ordinal", step.alias("s")).select(*JOB, "ordinal", "s.*")
+
+
+def replay_misses(t: Tables) -> DataFrame:
+    """A run that expects three tasks of type task_a and then the job's outcome."""
+    steps = t.fx_jobs.select(*JOB, "k", F.explode(F.expr("array(1L, 2L, 3L, 4L)")).alias("ordinal"))
+    steps = steps.selectExpr("tenant_id", "job_id", "ordinal", "if(ordinal = 4, 'job', 'task') kind", "if(ordinal = 4, '', 'task_a') task_type", "if(k % 10 = 0, 'other', 'h' || ordinal) input_hash")
+    return lifecycle.replay_misses(steps, t.fx_bodies)
+
+
+def registry(t: Tables) -> DataFrame:
+    """All schemas that were asked for; those of nations 5, 6 and 7 are archived."""
+    made = schemas.register(None, t.fx_schemas)
+    return schemas.archive(made, schemas.hashed(t.fx_schemas.where("n in (5, 6, 7)")), NOW)
+
+
+def schema_selectors(t: Tables) -> DataFrame:
+    rows = schemas.hashed(t.fx_schemas.where("n % 10 < 8"))
+    wanted = F.expr("case n % 4 when 0 then schema_hash when 1 then '' when 2 then 'sha256:' || repeat('0', 64) else 'md5:1' end")
+    chosen = rows.select("n", "created_at", "tenant_id", wanted.alias("wanted_hash"), F.expr("case when n % 3 = 0 then schema when n % 3 = 1 then '' end").alias("inline"))
+    return schemas.resolve(chosen, registry(t)).select("n", "created_at", "resolved", "error")
+
+
+def rejected_chapters(t: Tables) -> DataFrame:
+    """Chapters against their jobs' schemas: order k of tenant i has the schema of nation i + 5 (k % 5)."""
+    of = schemas.hashed(t.fx_schemas.where("n % 10 < 8")).select("tenant_id", F.expr("n div 5").alias("pick"), "schema_hash").distinct()
+    jobs = t.fx_jobs.select(*JOB, (F.col("k") % 5).alias("pick"), F.col("archived_at").isNotNull().alias("archived")).join(of, ["tenant_id", "pick"])
+    last = t.fx_chapters.groupBy(*JOB).agg(F.max("ordinal").alias("last"))
+    rows = payloads.chapter_document(t.fx_bodies).join(jobs, JOB).join(last, JOB)
+    completes = F.col("archived") & (F.col("ordinal") == F.col("last")) & (F.col("chapter_type") == "JobAttemptOutcome")
+    return schemas.rejected_chapters(rows.withColumn("role", schemas.role(F.col("ordinal"), completes)), registry(t))
+
+
 BUILT = {
     "q_status": lambda t: listing.with_status(t.fx_jobs, t.fx_wait, NOW).select("tenant_id", "job_id", "status"),
     "q_list_ready": listed(statuses=["READY"]),
@@ -235,6 +353,27 @@ BUILT = {
     "q_quality_ordinals": lambda t: quality.broken_histories(t.fx_chapters),
     "q_quality_links": lambda t: quality.bad_links(t.fx_stories).select("story_id"),
     "q_quality_leases": lambda t: quality.double_leases(t.fx_jobs).select("tenant_id", "job_id"),
+    "q_outcomes": chapter_outcomes,
+    "q_chapter_document": lambda t: payloads.chapter_document(t.fx_bodies).select(*JOB, "ordinal", "document"),
+    "q_get_output": lambda t: job_outputs(t).select(*JOB, "state", "output", F.col("error.kind").alias("error_kind"), "error.message"),
+    "q_completion_status": completions,
+    "q_failed_round_trip": failed_round_trip,
+    "q_submit": submits,
+    "q_restart": restarts,
+    "q_child_submit": child_submits,
+    "q_job_lease": job_leases,
+    "q_run_result": run_results,
+    "q_complete_task": completed_tasks,
+    "q_await_jobs": awaited_jobs,
+    "q_await_until": awaits,
+    "q_attempt_step": attempt_steps,
+    "q_replay_misses": replay_misses,
+    "q_schema_hash": lambda t: schemas.hashed(t.fx_schemas).select("n", "created_at", "canonical", "schema_hash"),
+    "q_schema_registry": registry,
+    "q_schema_refused": lambda t: schemas.refused(t.fx_schemas).select("n", "created_at", "error"),
+    "q_schema_list": lambda t: schemas.list_schemas(registry(t), TENANT).select("schema_hash", "created_at", "state"),
+    "q_schema_resolve": schema_selectors,
+    "q_schema_rejected": rejected_chapters,
     "q_fold_final_state": fold_state,
     "q_stream_fold": stream_state,
 }

@@ -32,6 +32,28 @@ WINDOWED = """bits AS (SELECT *, string_agg(CASE WHEN success THEN '1' ELSE '0'
 bad AS (SELECT *, (length(bits) - length(rtrim(bits, '0')) >= 2) OR (length(replace(bits, '0', '')) * 100 < 70 * length(bits)) AS violated FROM bits)"""
 
 
+J = "tenant_id, job_id"
+ERRORS = """e AS (SELECT *, CASE payload_kind WHEN 'AppError' THEN 'app' WHEN 'SystemError' THEN 'system' WHEN 'Timeout' THEN 'timeout' END AS kind,
+  CASE payload_kind WHEN 'AppError' THEN 'bad ' || ordinal WHEN 'SystemError' THEN 'down' WHEN 'Timeout' THEN 'late' END AS message,
+  CASE WHEN payload_kind = 'SystemError' THEN 'E' || attempt END AS code,
+  CASE payload_kind WHEN 'SystemError' THEN attempt < 3 WHEN 'Timeout' THEN false END AS retryable FROM fx_bodies)"""
+LAST = "last AS (SELECT tenant_id, job_id, max(ordinal) AS last FROM fx_chapters GROUP BY ALL)"
+OUTPUTS = """ends AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, job_id ORDER BY attempt DESC, ordinal DESC) AS rn FROM e WHERE chapter_type = 'JobAttemptOutcome') x WHERE rn = 1),
+outputs AS (SELECT st.*, CASE WHEN status = 'CANCELLED' THEN 'CANCELLED' WHEN status <> 'COMPLETED' OR payload_kind IS NULL THEN 'NOT_COMPLETE' WHEN payload_kind <> 'App' THEN 'FAILED' ELSE 'OK' END AS state,
+  data, kind, message FROM st LEFT JOIN ends USING (tenant_id, job_id))"""
+LAST_SHAPE = '{"properties":{"body":{"properties":{"outcome":{"properties":{"kind":{"enum":["success"]}}}}}}}'
+SCHEMAS = f"""s AS (SELECT n, tenant_id, created_at, schema, CASE WHEN schema LIKE '[%' THEN NULL WHEN schema LIKE '%"shape"%' THEN schema ELSE
+  '{{"chapterShape":{{"properties":{{"ordinal":{{"maximum":' || n || '.0,"type":"integer"}}}},"required":["ordinal","body"],"type":"object"}},"description":"' || n_name || '"'
+  || CASE WHEN n % 2 = 0 THEN ',"lastChapterShape":{LAST_SHAPE}' ELSE '' END || '}}' END AS canonical FROM fx_schemas JOIN nation ON n = n_nationkey),
+hashed AS (SELECT *, 'sha256:' || sha256(canonical) AS schema_hash FROM s),
+registry AS (SELECT tenant_id, schema_hash, canonical AS schema, min(created_at) AS created_at, CASE WHEN min(n) IN (5, 6, 7) THEN 'ARCHIVED' ELSE 'ACTIVE' END AS state,
+  CASE WHEN min(n) IN (5, 6, 7) THEN {T} END AS archived_at FROM hashed WHERE canonical LIKE '%chapterShape%' GROUP BY 1, 2, 3)"""
+BODY = """CASE payload_kind WHEN 'App' THEN '{"kind":"success","output":{"value":' || ordinal || '}}'
+  WHEN 'AppError' THEN '{"error":{"level":"warn","message":"bad ' || ordinal || '"},"kind":"appError"}'
+  WHEN 'SystemError' THEN '{"error":{"code":"E' || attempt || '","component":"db","message":"down"' || CASE WHEN attempt < 3 THEN ',"retryable":true' ELSE '' END || '},"kind":"systemError"}'
+  ELSE '{"kind":"timeout","timeout":{"after":"30m0s","message":"late","retryable":false,"scope":"total"}}' END"""
+
+
 def with_(names: tuple[str, ...], *more: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(x for x in (ctes(*names), *more) if x) + "\n"
 
@@ -119,6 +141,65 @@ AND scheduled_at BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12' ORDER
 WHEN n % 2 <> event_id % 2 THEN 'GENERATION' WHEN n % 3 = 0 AND scheduled_at > TIMESTAMP '2024-01-20' THEN 'ENDED' WHEN violated THEN 'FAILURE_POLICY' ELSE 'OK' END AS reason FROM numbers""",
         "q_backoff": chapters + """SELECT tenant_id, job_id, ordinal, least(100.0 * pow(2.0, attempt - 1), 350.0) AS backoff_ms, payload_kind IN ('AppError', 'SystemError') AS retryable
 FROM fx_chapters WHERE chapter_type = 'TaskAttemptOutcome'""",
+        "q_outcomes": with_(("fx_bodies",), ERRORS) + f"""SELECT {J}, ordinal, CASE WHEN kind IS NULL THEN 'SUCCEEDED' ELSE 'FAILED' END AS status, kind AS error_kind, message, code, retryable,
+CASE WHEN kind IS NULL THEN data END AS output FROM e WHERE ordinal > 0""",
+        "q_chapter_document": with_(("fx_bodies",)) + f"""SELECT {J}, ordinal, '{{"artifacts":[],"attempt":' || attempt || ',"body":' || CASE WHEN ordinal = 0 THEN '{{"input":{{"value":0}},"kind":"jobStart"}}'
+  ELSE '{{"kind":"' || lower(chapter_type[1]) || chapter_type[2:] || '","outcome":' || {BODY} || '}}' END || ',"createdAt":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') || '","inputHash":"' || input_hash
+  || '","ordinal":' || ordinal || ',"taskType":"' || task_type || '"}}' AS document FROM fx_bodies""",
+        "q_get_output": with_((*jobs, "fx_bodies"), STATUS, ERRORS, OUTPUTS) + f"""SELECT {J}, state, CASE WHEN state = 'OK' THEN data END AS output, CASE WHEN state = 'FAILED' THEN kind END AS error_kind,
+CASE WHEN state = 'FAILED' THEN message END AS message FROM outputs""",
+        "q_completion_status": with_(("fx_bodies",), ERRORS) + f"""SELECT {J}, ordinal, CASE WHEN ordinal % 5 = 0 THEN 'cancelled' WHEN kind IS NULL THEN 'success' ELSE 'failed_' || kind END AS status,
+coalesce(message, '') AS detail FROM e WHERE chapter_type = 'JobAttemptOutcome'""",
+        "q_failed_round_trip": with_(("fx_bodies",), ERRORS) + f"""SELECT {J}, ordinal, CASE WHEN kind = 'app' THEN 'warn' ELSE 'error' END AS outer_level, CASE kind WHEN 'app' THEN 2 WHEN 'system' THEN 5 ELSE 4 END AS n_attrs,
+kind, message, CASE WHEN kind = 'app' THEN 'warn' END AS level, CASE WHEN kind = 'system' THEN 'db' END AS component, code, CASE WHEN kind = 'timeout' THEN 'total' END AS scope, retryable FROM e WHERE kind IS NOT NULL""",
+        "q_submit": with_(("fx_jobs",)) + f"""SELECT {J}, seq, CASE WHEN k % 3 = 0 THEN CASE WHEN seq = 0 THEN 'NEW' WHEN k % 17 = 5 AND k % 5 <> 1 THEN 'JOB_TYPE' ELSE 'SAME' END
+WHEN k % 5 = 1 OR (seq = 1 AND k % 17 = 5) THEN 'JOB_TYPE' WHEN k % 7 = 2 THEN 'INPUT' WHEN k % 11 <> 3 AND k % 13 = 4 THEN 'METADATA' ELSE 'SAME' END AS result
+FROM fx_jobs, (SELECT unnest([0, 1]) AS seq) x WHERE k % 2 = 0""",
+        "q_restart": with_(("fx_chapters",), LAST) + """SELECT j.tenant_id, j.job_id AS prior_job_id, j.job_id || '-again' AS job_id, k % 6 - 1 AS last_step,
+CASE WHEN k % 6 = 0 THEN 'NEGATIVE_STEP' WHEN c.ordinal IS NULL THEN 'NO_NEXT_CHAPTER' WHEN c.attempt > 1 THEN 'CUTS_RETRIES' ELSE 'OK' END AS result,
+CASE WHEN k % 6 > 0 AND c.attempt = 1 THEN job_type END AS job_type, CASE WHEN k % 6 > 0 AND c.attempt = 1 THEN k % 6 - 1 END AS fork_ordinal, CASE WHEN k % 6 > 0 AND c.attempt = 1 THEN k % 6 END AS next_ordinal
+FROM fx_jobs j LEFT JOIN fx_chapters c ON j.tenant_id = c.tenant_id AND j.job_id = c.job_id AND c.ordinal = k % 6 WHERE k % 4 = 0""",
+        "q_child_submit": with_(("fx_jobs",)) + f"""SELECT c.tenant_id, c.parent_job_id, c.job_id || '-child' AS child_id, CASE WHEN p.job_id IS NULL THEN 'NOT_FOUND'
+WHEN p.archived_at IS NULL AND p.lease_id IS NOT NULL AND p.lease_expires_at > {T} AND (c.k % 3 <> 0 OR p.k = 0) THEN 'OK' ELSE 'LEASE_LOST' END AS result
+FROM fx_jobs c LEFT JOIN fx_jobs p ON p.tenant_id = c.tenant_id AND p.job_id = c.parent_job_id WHERE c.parent_job_id IS NOT NULL""",
+        "q_job_lease": with_(jobs, STATUS, f"""r AS (SELECT tenant_id, CASE WHEN k % 50 = 7 THEN 'none' ELSE job_id END AS job_id, need,
+CASE WHEN k % 50 = 7 THEN 'NOT_FOUND' WHEN status NOT IN ('READY', 'CRASH_CONCERN') THEN 'NOT_LEASEABLE' WHEN need NOT IN ('high', 'low', 'urgent') THEN 'NO_CAPABILITY' ELSE 'LEASED' END AS result FROM st)""")
+        + f"SELECT {J}, result, CASE WHEN result = 'LEASED' THEN need END AS need, CASE WHEN result = 'LEASED' THEN {T} + INTERVAL '30' SECOND END AS expires_at FROM r",
+        "q_run_result": with_((*jobs, "fx_bodies"), STATUS, ERRORS, OUTPUTS, """m AS (SELECT *, CASE WHEN status NOT IN ('COMPLETED', 'CANCELLED') AND next_need NOT IN ('high', 'low', 'urgent', 'medium:review') THEN next_need END AS missing FROM outputs)""")
+        + f"""SELECT {J}, missing, CASE WHEN state = 'OK' THEN 'COMPLETED' WHEN status IN ('COMPLETED', 'CANCELLED') THEN 'FAILED' WHEN status IN ('PENDING_JOBS', 'AWAITING_FUTURE') OR missing IS NOT NULL THEN 'SUSPENDED'
+ELSE 'NOT_LEASEABLE' END AS result FROM m""",
+        "q_complete_task": with_(("fx_chapters",), """r AS (SELECT *, CASE WHEN instr(next_need, ':') = 0 THEN 'NOT_WAITING' WHEN k % 7 = 0 THEN 'OTHER_CAPABILITY' WHEN k % 8 = 0 THEN 'OTHER_RESUME' WHEN k % 10 = 0 THEN 'OTHER_INPUT'
+WHEN k % 26 = 0 THEN 'OTHER_OUTPUT' WHEN k % 22 = 0 THEN 'OTHER_HASH' WHEN k % 9 = 0 THEN 'NOT_NEXT_CHAPTER' ELSE 'OK' END AS result FROM fx_jobs)""")
+        + f"SELECT {J}, result, CASE WHEN result = 'OK' THEN 'review' END AS task_type, CASE WHEN result = 'OK' THEN job_type END AS resume_need FROM r",
+        "q_await_jobs": with_(jobs) + """SELECT w.tenant_id, w.job_id, count(*) FILTER (d.archived_at IS NULL AND NOT d.cancel_requested) = 0 AS done, count(*) AS n_awaited,
+count(*) FILTER (d.archived_at IS NULL AND NOT d.cancel_requested) AS n_pending, min(d.job_id) FILTER (d.archived_at IS NULL AND NOT d.cancel_requested) AS first_pending
+FROM fx_wait w LEFT JOIN fx_jobs d ON d.tenant_id = w.tenant_id AND d.job_id = w.dep_job_id GROUP BY 1, 2""",
+        "q_await_until": with_(runs, """a AS (SELECT event_id, TIMESTAMP '2024-01-15 12:00:00' AS now, scheduled_at + to_minutes(event_id % 600) AS wake, CASE WHEN event_id % 3 = 0 THEN scheduled_at + INTERVAL '1' HOUR END AS inv,
+CASE WHEN event_id % 4 = 0 THEN scheduled_at + INTERVAL '2' HOUR END AS total FROM fx_runs),
+b AS (SELECT *, least(wake, inv, total) AS stop FROM a), c AS (SELECT *, CASE WHEN total < now THEN 'TIMEOUT_TOTAL' WHEN inv < now THEN 'TIMEOUT_INVOCATION' WHEN stop <= now THEN 'CONTINUE'
+WHEN stop > now + INTERVAL '5' MINUTE THEN 'RESCHEDULE' ELSE 'SLEEP' END AS action FROM b)""") + "SELECT event_id, action, CASE WHEN action IN ('RESCHEDULE', 'SLEEP') THEN stop END AS until FROM c",
+        "q_attempt_step": with_(("fx_bodies",), ERRORS, f"""a AS (SELECT *, CASE WHEN created_at + INTERVAL '2000' DAY < {T} THEN 'TIMEOUT' WHEN kind IS NULL THEN 'RETURN' WHEN attempt >= 3 OR kind = 'timeout' THEN 'FAIL'
+ELSE 'RETRY' END AS action FROM e WHERE chapter_type = 'TaskAttemptOutcome')""") + f"""SELECT {J}, ordinal, action, CASE WHEN action = 'RETRY' THEN attempt + 1 END AS next_attempt,
+CASE WHEN action = 'RETRY' THEN created_at + to_milliseconds(CASE attempt WHEN 1 THEN 100 ELSE 200 END) END AS wake_at FROM a""",
+        "q_replay_misses": with_(("fx_bodies",), """x AS (SELECT tenant_id, job_id, k, unnest([1, 2, 3, 4]) AS ordinal FROM fx_jobs),
+r AS (SELECT x.*, CASE WHEN x.ordinal = 4 THEN 'job' ELSE 'task' END AS kind, CASE WHEN x.ordinal = 4 THEN '' ELSE 'task_a' END AS task_type, CASE WHEN k % 10 = 0 THEN 'other' ELSE 'h' || x.ordinal END AS input_hash,
+c.chapter_type, c.task_type AS stored FROM x LEFT JOIN fx_bodies c ON x.tenant_id = c.tenant_id AND x.job_id = c.job_id AND x.ordinal = c.ordinal)""") + f"""SELECT {J}, CAST(ordinal AS BIGINT) AS ordinal, kind, task_type, input_hash,
+CASE WHEN chapter_type IS NULL THEN kind || '_result_missing' ELSE 'NOT_DETERMINISTIC' END AS reason FROM r WHERE chapter_type IS NULL OR input_hash = 'other'
+OR (kind = 'job' AND chapter_type <> 'JobAttemptOutcome') OR (kind = 'task' AND (chapter_type <> 'TaskAttemptOutcome' OR stored <> 'task_a'))""",
+        "q_schema_hash": with_(("fx_schemas",), SCHEMAS) + "SELECT n, created_at, canonical, schema_hash FROM hashed",
+        "q_schema_registry": with_(("fx_schemas",), SCHEMAS) + "SELECT tenant_id, schema_hash, schema, created_at, state, archived_at FROM registry",
+        "q_schema_refused": with_(("fx_schemas",), SCHEMAS) + """SELECT n, created_at, CASE WHEN canonical IS NULL THEN 'schema must be a JSON object' ELSE 'unknown schema field shape' END AS error
+FROM hashed WHERE canonical IS NULL OR canonical NOT LIKE '%chapterShape%'""",
+        "q_schema_list": with_(("fx_schemas",), SCHEMAS) + f"SELECT schema_hash, created_at, state FROM registry WHERE {one} AND state = 'ACTIVE'",
+        "q_schema_resolve": with_(("fx_schemas",), SCHEMAS, """r AS (SELECT h.n, h.created_at, schema_hash, n % 3 = 0 AS inline, CASE n % 4 WHEN 0 THEN schema_hash WHEN 1 THEN '' WHEN 2 THEN 'zero' ELSE 'bad' END AS wanted FROM hashed h WHERE n % 10 < 8),
+q AS (SELECT *, CASE WHEN wanted = 'bad' THEN 'MALFORMED_HASH' WHEN inline AND wanted = 'zero' THEN 'HASH_MISMATCH' WHEN NOT inline AND wanted = '' THEN '' WHEN NOT inline AND wanted = 'zero' THEN 'NOT_FOUND'
+WHEN n IN (5, 6, 7) THEN 'ARCHIVED' ELSE '' END AS error FROM r)""") + "SELECT n, created_at, CASE WHEN error = '' THEN CASE WHEN inline OR wanted <> '' THEN schema_hash ELSE '' END END AS resolved, error FROM q",
+        "q_schema_rejected": with_(("fx_bodies", "fx_schemas"), SCHEMAS, LAST, """r AS (SELECT b.tenant_id, b.job_id, b.ordinal, payload_kind, h.n, h.schema_hash, CASE WHEN b.ordinal = 0 THEN 'first'
+WHEN j.archived_at IS NOT NULL AND b.ordinal = last.last AND chapter_type = 'JobAttemptOutcome' THEN 'last' ELSE 'chapter' END AS role
+FROM fx_bodies b JOIN fx_jobs j ON b.tenant_id = j.tenant_id AND b.job_id = j.job_id JOIN last ON last.tenant_id = b.tenant_id AND last.job_id = b.job_id
+JOIN (SELECT DISTINCT n, tenant_id, schema_hash FROM hashed WHERE n % 10 < 8) h ON h.tenant_id = b.tenant_id AND h.n // 5 = j.k % 5),
+p AS (SELECT *, CASE WHEN role = 'last' AND n % 2 = 0 THEN CASE WHEN payload_kind <> 'App' THEN '/body/outcome/kind enum' ELSE '' END WHEN ordinal > n THEN '/ordinal maximum' ELSE '' END AS problem FROM r)""")
+        + f"SELECT {J}, ordinal, role, schema_hash, problem FROM p WHERE problem <> ''",
         "q_quality_ordinals": chapters + "SELECT tenant_id, job_id, count(*) AS n, count(DISTINCT ordinal) AS d, min(ordinal) AS lo, max(ordinal) AS hi FROM fx_chapters GROUP BY 1, 2 HAVING count(*) <> count(DISTINCT ordinal) OR min(ordinal) <> 0 OR max(ordinal) <> count(*) - 1",
         "q_quality_links": with_(("fx_stories",)) + "SELECT s.story_id FROM fx_stories s JOIN fx_stories b ON s.base_story_id = b.story_id WHERE s.base_story_id = s.story_id OR s.fork_ordinal < 0 OR s.fork_ordinal > b.own_latest",
         "q_quality_leases": with_(jobs) + "SELECT tenant_id, job_id FROM fx_jobs WHERE lease_id IN (SELECT lease_id FROM fx_jobs WHERE lease_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1)",

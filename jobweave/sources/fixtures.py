@@ -7,8 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 NOW = "2001-08-01 00:00:00"
 SOURCES = {
     "fx_jobs": ["orders", "customer"], "fx_wait": ["fx_jobs"], "fx_chapters": ["fx_jobs", "lineitem"], "fx_stories": ["conversations"],
-    "fx_story_chapters": ["conversations"], "fx_runs": ["events"],
+    "fx_story_chapters": ["conversations"], "fx_runs": ["events"], "fx_bodies": ["fx_chapters"], "fx_schemas": ["nation"], "fx_schedule_log": ["events"],
 }
+
+
+def braces(sql: str) -> str:
+    """JSON braces inside SQL strings, written as guillemets, since braces name inputs here."""
+    return sql.replace("«", "' || chr(123) || '").replace("»", "' || chr(125) || '")
+
+
 SQL = {
     "fx_jobs": f"""
 SELECT tenant_id, job_id, k, job_type,
@@ -48,6 +55,27 @@ SELECT 'anth' AS anthology_id, conv_id AS story_id, max(turn) AS own_latest, CAS
 FROM {conversations} GROUP BY conv_id""",
     "fx_story_chapters": "SELECT 'anth' AS anthology_id, conv_id AS story_id, turn AS ordinal, role AS task_type, text AS body FROM {conversations}",
     "fx_runs": "SELECT 'sched-' || CAST(user_id AS STRING) AS schedule_id, ts AS scheduled_at, event_id, event_type <> 'error' AS success FROM {events}",
+    "fx_bodies": braces("""
+SELECT tenant_id, job_id, ordinal, chapter_type, task_type, attempt, payload_kind, created_at, 'h' || CAST(ordinal AS STRING) AS input_hash,
+  CASE payload_kind WHEN 'App' THEN '«"value":' || CAST(ordinal AS STRING) || '»'
+    WHEN 'AppError' THEN '«"message":"bad ' || CAST(ordinal AS STRING) || '","level":"warn"»'
+    WHEN 'SystemError' THEN '«"message":"down","component":"db","code":"E' || CAST(attempt AS STRING) || '","retryable":' || CASE WHEN attempt < 3 THEN 'true' ELSE 'false' END || '»'
+    ELSE '«"message":"late","scope":"total","after":"30m0s","retryable":false»' END AS data
+FROM {fx_chapters}"""),
+    "fx_schemas": braces("""
+SELECT n, CASE n % 5 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'FURNITURE' WHEN 3 THEN 'HOUSEHOLD' ELSE 'MACHINERY' END AS tenant_id,
+  CASE WHEN n % 10 = 9 AND copy = 2 THEN '["no object"]' WHEN n % 10 = 8 AND copy = 2 THEN '«"shape":true»' WHEN copy = 1 THEN
+    '« "description": "' || name || '", "chapterShape": «"type": "object", "required": ["ordinal", "body"], "properties": «"ordinal": «"maximum": ' || CAST(n AS STRING) || '.0, "type": "integer"»»»'
+    || CASE WHEN n % 2 = 0 THEN ', "lastChapterShape": «"properties": «"body": «"properties": «"outcome": «"properties": «"kind": «"enum": ["success"]»»»»»»»' ELSE '' END || ' »'
+  ELSE '«' || CASE WHEN n % 2 = 0 THEN '"lastChapterShape":«"properties":«"body":«"properties":«"outcome":«"properties":«"kind":«"enum":["success"]»»»»»»»,' ELSE '' END
+    || '"chapterShape":«"required":["ordinal","body"],"properties":«"ordinal":«"type":"integer","maximum":' || CAST(n AS STRING) || '.0»»,"type":"object"»,"description":"' || name || '"»' END AS schema,
+  CAST('2001-01-01 00:00:00' AS {ts}) + (n * 10 - copy) * INTERVAL '1' HOUR AS created_at
+FROM (SELECT n_nationkey AS n, n_name AS name, 1 AS copy FROM {nation} UNION ALL SELECT n_nationkey, n_name, 2 FROM {nation}) t"""),
+    "fx_schedule_log": """
+SELECT 'sched-' || CAST(user_id AS STRING) AS schedule_id, ts, event_id, CASE event_type WHEN 'view' THEN 'upsert' WHEN 'click' THEN 'pause' WHEN 'purchase' THEN 'resume'
+  WHEN 'signup' THEN 'trigger' ELSE CASE WHEN event_id % 9 = 0 THEN 'archive' ELSE 'upsert' END END AS command,
+  CASE WHEN event_id % 4 = 0 THEN event_id % 40 END AS expected_generation
+FROM {events}""",
 }
 
 
