@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -22,7 +23,7 @@ def duck():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    show = lambda x: "NULL" if x is None or x != x else f"{x:.6g}" if isinstance(x, float) else str(x)
+    show = lambda x: "NULL" if pd.api.types.is_scalar(x) and pd.isna(x) else f"{x:.6g}" if isinstance(x, float) else str(x)
     return sorted(tuple(map(show, r)) for r in frame.itertuples(index=False))
 
 
