@@ -9,6 +9,7 @@ from jobweave.functions import expr
 from jobweave.operators import history, lifecycle, listing, payloads, quality, schedules, schemas
 from jobweave.operators.listing import ListRequest
 from jobweave.plans import oracle
+from jobweave.sources import blobs
 from jobweave.sources.fixtures import NOW, fixture
 from jobweave.streaming import fold
 
@@ -302,6 +303,41 @@ def rejected_chapters(t: Tables) -> DataFrame:
     return schemas.rejected_chapters(rows.withColumn("role", schemas.role(F.col("ordinal"), completes)), registry(t))
 
 
+def schedule_list(t: Tables) -> DataFrame:
+    last = schedules.schedule_log(t.fx_schedule_log, every=False)
+    return schedules.list_schedules(last, states=["ACTIVE", "PAUSED"], page_size=500).select("schedule_id", "state", "generation", "updated_at")
+
+
+def cron_first(t: Tables) -> DataFrame:
+    """First times from a whole minute on, so that a minute that matches counts itself."""
+    return schedules.cron_initial(t.fx_runs.select("event_id", F.date_trunc("minute", "scheduled_at").cast("timestamp_ntz").alias("from_at")), CRON, "from_at", DAYS).select("event_id", "next_fire")
+
+
+def artifact_lookup(t: Tables) -> DataFrame:
+    """Documents as artifacts of seven names in the chapters of 50 jobs; references by name, or by name and digest."""
+    made = t.documents.selectExpr("'t' tenant_id", "doc_id % 50 job_id", "doc_id div 50 % 3 ordinal", "doc_id div 150 position", "concat('n', doc_id % 7) name", "sha2(cast(text as binary), 256) digest", "cast(octet_length(text) as long) size", "doc_id")
+    refs = made.selectExpr("tenant_id", "job_id", "ordinal", "name", "case when doc_id % 3 = 0 then digest when doc_id % 3 = 1 then '' else 'none' end digest")
+    return payloads.find_artifacts(refs, made).drop("tenant_id")
+
+
+def worker_groups(t: Tables) -> DataFrame:
+    made = t.fx_jobs.groupBy("job_type").agg(F.collect_set(F.when(F.instr("next_need", ":") > 0, expr.task_type_of("next_need"))).alias("task_types"))
+    groups = listing.poll_groups(made.withColumn("signature", F.when(F.col("job_type").like("%h"), "team=t1")))
+    return groups.select("signature", F.array_join("capabilities", ",").alias("capabilities"))
+
+
+def blob_round_trip(t: Tables) -> DataFrame:
+    """Documents above the inline limit, saved as blobs twice and read back by digest."""
+    import uuid
+
+    folder = f"{t.spark.sparkContext.getCheckpointDir() or t.spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/blobs_{uuid.uuid4().hex}"
+    docs = t.documents.select("doc_id", F.col("text").cast("binary").alias("content")).where(F.octet_length("content") > 256)
+    blobs.save(docs.where("doc_id % 2 = 0"), folder, exists=False)
+    blobs.save(docs, folder)
+    held = docs.select("doc_id", blobs.digest(F.col("content")).alias("digest"))
+    return held.join(blobs.opened(t.spark, folder), "digest").select("doc_id", "digest", "size", blobs.digest(F.col("content")).alias("read_digest"))
+
+
 BUILT = {
     "q_status": lambda t: listing.with_status(t.fx_jobs, t.fx_wait, NOW).select("tenant_id", "job_id", "status"),
     "q_list_ready": listed(statuses=["READY"]),
@@ -374,6 +410,12 @@ BUILT = {
     "q_schema_list": lambda t: schemas.list_schemas(registry(t), TENANT).select("schema_hash", "created_at", "state"),
     "q_schema_resolve": schema_selectors,
     "q_schema_rejected": rejected_chapters,
+    "q_schedule_log": lambda t: schedules.schedule_log(t.fx_schedule_log),
+    "q_schedule_list": schedule_list,
+    "q_cron_first": cron_first,
+    "q_artifact_lookup": artifact_lookup,
+    "q_poll_groups": worker_groups,
+    "q_blob_round_trip": blob_round_trip,
     "q_fold_final_state": fold_state,
     "q_stream_fold": stream_state,
 }

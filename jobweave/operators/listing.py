@@ -130,3 +130,13 @@ def lease_plan(candidates: DataFrame, now: str, limit: int, seconds: int = 30) -
     first = candidates.orderBy("created_at", "job_id").limit(limit)
     place = F.row_number().over(Window.orderBy("created_at", "job_id"))  # over at most `limit` rows
     return first.select("tenant_id", "job_id", F.col("need").alias("next_need"), place.alias("place"), (expr.at(now) + F.expr(f"interval {seconds} seconds")).alias("expires_at"))
+
+
+def poll_groups(workers: DataFrame) -> DataFrame:
+    """What a fleet of workers (job_type, task_types, signature) polls for: one sorted list of capabilities for each signature.
+
+    The signature is the text of a worker's metadata filter, '' without one.
+    """
+    tasks = F.transform(F.coalesce("task_types", F.array().cast("array<string>")), lambda t: expr.capability(F.col("job_type"), t))
+    able = workers.select(F.coalesce("signature", F.lit("")).alias("signature"), F.explode(F.concat(F.array("job_type"), tasks)).alias("capability"))
+    return able.groupBy("signature").agg(F.array_sort(F.collect_set("capability")).alias("capabilities"))

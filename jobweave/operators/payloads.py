@@ -143,3 +143,16 @@ def failed_cause(failed: Column, prefix: str = "_job_failed") -> Column:
         get("_scope").alias("scope"), get("_retryable").cast("boolean").alias("retryable"),
     )
     return F.when(get("") == "true", cause.cast(ERROR))
+
+
+def find_artifacts(refs: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """The artifact that each reference (tenant_id, job_id, ordinal, name, digest) names; found is false without one.
+
+    Of the chapter's artifacts (tenant_id, job_id, ordinal, position, name, digest, size) that is the first of the name
+    whose digest is the same, where both are known. References that repeat are answered once.
+    """
+    key = [*JOB, "ordinal", "name"]
+    held = artifacts.select(*key, F.struct("position", "digest", "size").alias("_a"))
+    fits = present(F.coalesce("digest", F.lit(""))).isNull() | present(F.coalesce("_a.digest", F.lit(""))).isNull() | (F.col("digest") == F.col("_a.digest"))
+    best = refs.join(held, key, "left").groupBy(*key, "digest").agg(F.min(F.when(F.col("_a").isNotNull() & fits, F.col("_a"))).alias("_a"))
+    return best.select(*key, "digest", F.col("_a").isNotNull().alias("found"), F.col("_a.position").alias("position"), F.col("_a.size").alias("size"))

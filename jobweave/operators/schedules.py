@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobweave.functions import expr
+from jobweave.streaming.fold import folded
+
 FIELDS = (("minute", 0, 59), ("hour", 0, 23), ("day", 1, 31), ("month", 1, 12), ("weekday", 0, 7))
 
 
@@ -58,6 +61,11 @@ def cron_next(rows: DataFrame, spec: str, after: str, days: int, zone: str = "UT
     return found.withColumn("next_fire", F.coalesce(today, "_first").cast("timestamp_ntz")).drop("_day", "_from", "_hits", "_first")
 
 
+def cron_initial(rows: DataFrame, spec: str, at: str, days: int, zone: str = "UTC") -> DataFrame:
+    """Adds next_fire as `cron_next` does, except that a matching minute that begins exactly at column `at` counts."""
+    return cron_next(rows.withColumn("_at", F.col(at) - F.expr("interval 1 microsecond")), spec, "_at", days, zone).drop("_at")
+
+
 def interval_next(after: Column, seconds: int, start_at: Column, end_at: Column) -> Column:
     """after + interval, not before start_at, null past end_at."""
     fire = F.greatest(after + F.expr(f"interval {seconds} seconds"), start_at)
@@ -88,3 +96,61 @@ def preflight(runs: DataFrame, schedules: DataFrame) -> DataFrame:
         .when(F.col("violated"), "FAILURE_POLICY").otherwise("OK")
     )
     return both.withColumn("reason", reason)
+
+
+#: commands that set a state, beside upsert (which sets ACTIVE, or PAUSED if it asks so) and trigger (which sets none)
+STATES = {"pause": "PAUSED", "resume": "ACTIVE", "archive": "ARCHIVED"}
+LOGGED = "schedule_id string, event_id long, ts timestamp_ntz, command string, result string, state string, generation long, created_at timestamp_ntz, updated_at timestamp_ntz, fire_at timestamp_ntz"
+
+
+def advance(state: dict | None, row: dict) -> tuple[dict | None, tuple]:
+    """A schedule after a command, and what the command gives.
+
+    NOT_FOUND: only upsert makes a schedule. ARCHIVED: an archived one takes nothing but archive. GENERATION: the command
+    expects another one. Every command but trigger that is OK raises the generation; upsert keeps created_at.
+    """
+    command, now, wanted = row["command"], row["ts"], row["expected_generation"]
+    archived = state is not None and state["state"] == "ARCHIVED"
+    stale = wanted is not None and (state is None or state["generation"] != wanted)
+    if command == "upsert":
+        result = "ARCHIVED" if archived else "GENERATION" if stale else "OK"
+    elif state is None:
+        result = "NOT_FOUND"
+    elif command == "trigger":
+        result = "ARCHIVED" if archived else "OK"
+    elif command in STATES:
+        result = "GENERATION" if stale else "ARCHIVED" if archived and command != "archive" else "OK"
+    else:
+        result = "UNKNOWN_COMMAND"
+    if result == "OK" and command != "trigger":
+        old = state or {"generation": 0, "created_at": now}
+        state = {"state": STATES.get(command, "PAUSED" if row["paused"] else "ACTIVE"), "generation": old["generation"] + 1, "created_at": old["created_at"], "updated_at": now}
+        state |= {c: row[c] if command == "upsert" else old[c] for c in ("start_at", "end_at")}
+        fire = max(now, state["start_at"] or now)
+        state["fire_at"] = fire if state["state"] == "ACTIVE" and fire <= (state["end_at"] or fire) else None
+    shown = state or dict.fromkeys(("state", "generation", "created_at", "updated_at", "fire_at"))
+    return state, (row["schedule_id"], row["event_id"], now, command, result, *(shown[c] for c in ("state", "generation", "created_at", "updated_at", "fire_at")))
+
+
+def schedule_log(log: DataFrame, every: bool = True) -> DataFrame:
+    """Commands on schedules (schedule_id, event_id, ts, command, expected_generation) with their results and the state after.
+
+    Optional columns: paused, start_at, end_at (of an upsert's trigger). fire_at is the first time an interval trigger
+    fires, and for a cron trigger the time to give to `cron_initial`; next_job_id is the interval occurrence's. every=False
+    returns the state after each schedule's last command only.
+    """
+    c = lambda name, kind: F.col(name).cast(kind).alias(name) if name in log.columns else F.lit(None).cast(kind).alias(name)
+    rows = log.select(
+        c("schedule_id", "string"), c("event_id", "long"), c("ts", "timestamp_ntz"), c("command", "string"), c("expected_generation", "long"),
+        c("paused", "boolean"), c("start_at", "timestamp_ntz"), c("end_at", "timestamp_ntz"),
+    )
+    done = folded(rows, "schedule_id", ["ts", "event_id"], advance, None, LOGGED, every)
+    return done.withColumn("next_job_id", F.when(F.col("fire_at").isNotNull(), expr.schedule_job_id(F.col("schedule_id"), F.col("generation"), F.col("fire_at"))))
+
+
+def list_schedules(schedules: DataFrame, ids: list[str] | None = None, states: list[str] | None = None, page_size: int = 0) -> DataFrame:
+    """Schedules of the given ids and states, last updated first and then by id, from the last; a size beyond 1 to 200 is 100."""
+    for name, values in (("schedule_id", ids), ("state", states)):
+        if values:
+            schedules = schedules.where(F.col(name).isin(values))
+    return schedules.orderBy(F.desc("updated_at"), F.desc("schedule_id")).limit(page_size if 0 < page_size <= 200 else 100)

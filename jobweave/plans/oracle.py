@@ -53,6 +53,20 @@ BODY = """CASE payload_kind WHEN 'App' THEN '{"kind":"success","output":{"value"
   WHEN 'SystemError' THEN '{"error":{"code":"E' || attempt || '","component":"db","message":"down"' || CASE WHEN attempt < 3 THEN ',"retryable":true' ELSE '' END || '},"kind":"systemError"}'
   ELSE '{"kind":"timeout","timeout":{"after":"30m0s","message":"late","retryable":false,"scope":"total"}}' END"""
 
+SCHEDULE_LOG = """e AS (SELECT *, row_number() OVER (PARTITION BY schedule_id ORDER BY ts, event_id) AS n FROM fx_schedule_log),
+f AS (SELECT DISTINCT schedule_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS TIMESTAMP) AS ts, '' AS command, '' AS result,
+    CAST(NULL AS VARCHAR) AS state, CAST(NULL AS BIGINT) AS generation, CAST(NULL AS TIMESTAMP) AS created_at, CAST(NULL AS TIMESTAMP) AS updated_at, CAST(NULL AS TIMESTAMP) AS fire_at FROM e
+  UNION ALL
+  SELECT schedule_id, n, event_id, ts, command, result, CASE WHEN NOT changes THEN state WHEN command = 'pause' THEN 'PAUSED' WHEN command = 'archive' THEN 'ARCHIVED' ELSE 'ACTIVE' END,
+    CASE WHEN changes THEN coalesce(generation, 0) + 1 ELSE generation END, CASE WHEN changes THEN coalesce(created_at, ts) ELSE created_at END, CASE WHEN changes THEN ts ELSE updated_at END,
+    CASE WHEN NOT changes THEN fire_at WHEN command IN ('upsert', 'resume') THEN ts END
+  FROM (SELECT *, result = 'OK' AND command <> 'trigger' AS changes FROM (
+    SELECT e.schedule_id, e.n, e.event_id, e.ts, e.command, f.state, f.generation, f.created_at, f.updated_at, f.fire_at,
+      CASE WHEN e.command = 'upsert' THEN CASE WHEN f.state = 'ARCHIVED' THEN 'ARCHIVED' WHEN expected_generation IS NOT NULL AND (f.state IS NULL OR expected_generation <> f.generation) THEN 'GENERATION' ELSE 'OK' END
+        WHEN f.state IS NULL THEN 'NOT_FOUND' WHEN e.command = 'trigger' THEN CASE WHEN f.state = 'ARCHIVED' THEN 'ARCHIVED' ELSE 'OK' END
+        WHEN expected_generation <> f.generation THEN 'GENERATION' WHEN f.state = 'ARCHIVED' AND e.command <> 'archive' THEN 'ARCHIVED' ELSE 'OK' END AS result
+    FROM f JOIN e ON e.schedule_id = f.schedule_id AND e.n = f.n + 1) x) y)"""
+
 
 def with_(names: tuple[str, ...], *more: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(x for x in (ctes(*names), *more) if x) + "\n"
@@ -141,6 +155,19 @@ AND scheduled_at BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12' ORDER
 WHEN n % 2 <> event_id % 2 THEN 'GENERATION' WHEN n % 3 = 0 AND scheduled_at > TIMESTAMP '2024-01-20' THEN 'ENDED' WHEN violated THEN 'FAILURE_POLICY' ELSE 'OK' END AS reason FROM numbers""",
         "q_backoff": chapters + """SELECT tenant_id, job_id, ordinal, least(100.0 * pow(2.0, attempt - 1), 350.0) AS backoff_ms, payload_kind IN ('AppError', 'SystemError') AS retryable
 FROM fx_chapters WHERE chapter_type = 'TaskAttemptOutcome'""",
+        "q_schedule_log": with_(("fx_schedule_log",), SCHEDULE_LOG) + """SELECT schedule_id, event_id, ts, command, result, state, generation, created_at, updated_at, fire_at,
+CASE WHEN fire_at IS NOT NULL THEN 'jobdbsched_' || schedule_id || '_g' || generation || '_run_' || strftime(fire_at, '%Y%m%dT%H%M%S%f') || '000Z' END AS next_job_id FROM f WHERE n > 0""",
+        "q_schedule_list": with_(("fx_schedule_log",), SCHEDULE_LOG, "ends AS (SELECT schedule_id, arg_max(state, n) AS state, max(generation) AS generation, max(updated_at) AS updated_at FROM f GROUP BY 1)")
+        + "SELECT schedule_id, state, generation, updated_at FROM ends WHERE state IN ('ACTIVE', 'PAUSED') ORDER BY updated_at DESC, schedule_id DESC LIMIT 100",
+        "q_cron_first": with_(runs, "minutes AS (SELECT m FROM (SELECT unnest(generate_series(TIMESTAMP '2023-12-31', TIMESTAMP '2024-02-12', INTERVAL '1' MINUTE)) AS m) x WHERE minute(m) % 15 = 0 AND hour(m) BETWEEN 9 AND 17 AND dayofweek(m) BETWEEN 1 AND 5)")
+        + "SELECT event_id, min(m) AS next_fire FROM fx_runs JOIN minutes ON m >= date_trunc('minute', scheduled_at) AND m < scheduled_at + INTERVAL '8' DAY GROUP BY event_id",
+        "q_artifact_lookup": """WITH made AS (SELECT doc_id, doc_id % 50 AS job_id, doc_id // 50 % 3 AS ordinal, doc_id // 150 AS position, 'n' || doc_id % 7 AS name, sha256(text) AS digest, strlen(text) AS size FROM documents),
+refs AS (SELECT DISTINCT job_id, ordinal, name, CASE WHEN doc_id % 3 = 0 THEN digest WHEN doc_id % 3 = 1 THEN '' ELSE 'none' END AS digest FROM made)
+SELECT r.job_id, r.ordinal, r.name, r.digest, min(m.position) IS NOT NULL AS found, min(m.position) AS position, arg_min(m.size, m.position) AS size
+FROM refs r LEFT JOIN made m ON r.job_id = m.job_id AND r.ordinal = m.ordinal AND r.name = m.name AND (r.digest = '' OR r.digest = m.digest) GROUP BY ALL""",
+        "q_poll_groups": with_(("fx_jobs",)) + """SELECT signature, string_agg(capability, ',' ORDER BY capability) AS capabilities
+FROM (SELECT DISTINCT CASE WHEN job_type LIKE '%h' THEN 'team=t1' ELSE '' END AS signature, CASE WHEN c = 1 THEN job_type ELSE next_need END AS capability FROM fx_jobs, (VALUES (1), (2)) v(c)) x GROUP BY signature""",
+        "q_blob_round_trip": "SELECT doc_id, sha256(text) AS digest, strlen(text) AS size, sha256(text) AS read_digest FROM documents WHERE strlen(text) > 256",
         "q_outcomes": with_(("fx_bodies",), ERRORS) + f"""SELECT {J}, ordinal, CASE WHEN kind IS NULL THEN 'SUCCEEDED' ELSE 'FAILED' END AS status, kind AS error_kind, message, code, retryable,
 CASE WHEN kind IS NULL THEN data END AS output FROM e WHERE ordinal > 0""",
         "q_chapter_document": with_(("fx_bodies",)) + f"""SELECT {J}, ordinal, '{{"artifacts":[],"attempt":' || attempt || ',"body":' || CASE WHEN ordinal = 0 THEN '{{"input":{{"value":0}},"kind":"jobStart"}}'

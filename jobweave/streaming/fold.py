@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 LEASE_SECONDS = 30 * 60
 STATE = "status string, lease_until double, latest_ordinal long, n_done long, n_conflicts long"
@@ -50,13 +53,44 @@ def ordered(pdf: pd.DataFrame, state: tuple) -> tuple:
     return state
 
 
+def folded(rows: DataFrame, key: str, order: list[str], advance: Callable[[Any, dict], tuple], new: Any, out: str, every: bool = False) -> DataFrame:
+    """Each key's rows, in order, through advance(state, row) -> (state, result row); a null key is left out.
+
+    Returns the result row of each key's last row, or of every row. A task reads its keys as a sorted stream and holds
+    one state, so that a key may have any number of rows.
+    """
+    names = [c.split()[0] for c in out.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, last = None, new, None
+        table = lambda found: pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in found], schema=schema)
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                if row[key] != at:
+                    if last is not None and not every:
+                        found.append(last)
+                    at, state = row[key], new
+                state, last = advance(state, row)
+                if every:
+                    found.append(last)
+            yield table(found)
+        if last is not None and not every:
+            yield table([last])
+
+    schema = to_arrow_schema(StructType.fromDDL(out))
+    return rows.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, out)
+
+
 def fold(commands: DataFrame) -> DataFrame:
     """Final state of each job."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *ordered(pdf, NEW))], columns=[c.split()[0] for c in OUT.split(", ")])
+    def advance(state: tuple, row: dict) -> tuple:
+        state = step(state, row["command"], row["at"])
+        return state, (row["job"], *state)
 
-    return commands.groupBy("job").applyInPandas(run, OUT)
+    timed = commands.withColumn("at", F.unix_micros("ts") / 1e6)
+    return folded(timed.select("job", "ts", "event_id", "command", "at"), "job", ["ts", "event_id"], advance, NEW, OUT)
 
 
 def stream_fold(commands: DataFrame) -> DataFrame:
