@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join between text blocks and license templates, and fixed phrases.
 
-A block is a line; a line over BLOCK words is cut into windows of BLOCK words that overlap by half. A block meets a
-template if it holds PERCENT of the template's distinct words. Template words are put in order of their document
+A block is a line or the whole text; over BLOCK words, each is cut into windows of BLOCK words that overlap by half, so
+that a notice of up to BLOCK / 2 words stands whole in a window wherever its lines are broken. A block meets a template
+if it holds PERCENT of the template's distinct words. Template words are put in order of their document
 frequency over the whole corpus, rarest first; of n words with `need` to be shared, one of the first n - need + 1 must
 be in a matching block (prefix filter), a block needs `need` template words (length filter), and the places of the
 first common word in both orders bound what can still be shared (positional filter). Survivors are verified on whole
@@ -82,10 +83,13 @@ def template_matches(docs: DataFrame, frequency: dict[str, int]) -> DataFrame:
     first = F.array(*(F.lit(w) for w in sorted({by_rank[r[0]] for r in index})))
     vocabulary = F.array(*(F.lit(w) for w in by_rank))
     ranks = F.map_from_arrays(vocabulary, F.array(*(F.lit(order[w]) for w in by_rank)))
-    some = docs.where(F.arrays_overlap(F.col("w"), first)).select("doc_id", "digest", F.explode(F.split("low", "\n")).alias("line"))
-    lines = some.select("doc_id", "digest", words(F.col("line")).alias("w")).where(F.arrays_overlap("w", first))
+    some = docs.where(F.arrays_overlap(F.col("w"), first))
+    lines = F.split("low", "\n")
+    apart = F.when(F.size(lines) > 1, F.transform(lines, words)).otherwise(F.array().cast("array<array<string>>"))
+    runs = some.select("doc_id", "digest", F.explode(F.concat(F.array("w"), apart)).alias("w")).where(F.arrays_overlap("w", first))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - BLOCK // 2), F.lit(BLOCK // 2))
-    blocks = lines.select("doc_id", "digest", "w", F.explode(starts).alias("at")).select("doc_id", "digest", F.slice("w", F.col("at"), BLOCK).alias("w"))
+    windows = F.transform(starts, lambda at: F.slice("w", at, BLOCK))
+    blocks = runs.select("doc_id", "digest", F.explode(windows).alias("w")).where(F.arrays_overlap("w", first))
     held = blocks.select("doc_id", "digest", F.array_sort(F.transform(F.array_intersect("w", vocabulary), lambda x: F.element_at(ranks, x))).alias("have"))
     held = held.where(F.size("have") >= min(r[3] for r in ranked))
     tokens = held.select("doc_id", "digest", "have", F.posexplode("have").alias("place", "rank"))

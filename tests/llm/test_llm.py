@@ -205,6 +205,26 @@ def test_decontamination(spark, docs):
     assert decontaminate.contamination(docs, items.limit(0)).where("contaminated").count() == 0
 
 
+def test_licenses_across_lines(spark):
+    """Every template broken after any three words, far inside a text, and wordings with a word missing or too many missing."""
+    filler = " ".join(f"w{k}" for k in range(400))
+    texts, want = [], []
+    for label, text in licenses.TEMPLATES:
+        w = text.split()
+        for before in (0, 13, 31, 50, 390):
+            notice = "\n * ".join(" ".join(w[k : k + 3]) for k in range(0, len(w), 3))
+            texts.append(" ".join(filler.split()[:before]) + "\n" + notice + "\n" + filler)
+            want.append((label, 1.0))
+    mit = dict(licenses.TEMPLATES)["mit"]
+    texts += ["\n".join(mit.replace("hereby ", "").split()), "\n".join(mit.replace("hereby granted free ", "").split())]
+    want += [("mit", 14 / 15), ("", 0.0)]
+    got = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for k, (label, score) in enumerate(want):
+        assert (label in got[k]["labels"].split(",")) and got[k]["score"] == pytest.approx(score), (k, texts[k][:200])
+    line = "\n".join([*("x" * 3 for _ in range(40)), " ".join(f"y{k}" for k in range(47)) + " " + mit])
+    assert by_id(licenses.scan(spark.createDataFrame([(0, line)], "doc_id long, text string")))[0]["labels"] == "mit"
+
+
 def test_every_operator_takes_an_empty_table(spark, nothing):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
