@@ -149,6 +149,16 @@ def test_html():
     assert [html_text.main_text(x) for x in (None, "", "<p", "<nav>a b</nav>", "plain words here")] == ["", "", "", "", "plain words here"]
 
 
+@pytest.mark.parametrize("wrapper", ['<div class="content-wrapper has-sidebar">', '<div id="page" class="header-fixed">', '<div class="has-sidebar"><div id="no-ads" class="sticky-header">'])
+def test_html_wrappers_named_as_boilerplate(wrapper):
+    pages = ["".join(f for f, _ in p) for p in html_text.labelled_pages()]
+    pages.append('<body><div class="nav"><a href="/">n o</a></div><article><h1>Head</h1><p>one two three four five six seven</p><div class="ad">buy</div></article><div class="comments"><article><p>nice one</p></article></div></body>')
+    assert html_text.main_text(pages[-1]) == "Head one two three four five six seven"
+    for page in pages:
+        wrapped = page.replace("<body>", "<body>" + wrapper).replace("</body>", "</div>" * wrapper.count("<div") + "</body>")
+        assert wrapped != page and html_text.main_text(wrapped) == html_text.main_text(page) != ""
+
+
 def test_warc_links_records():
     raw = warc.response(1, "http://a/b", '<html lang="en"><head><title>T &amp; t</title></head><body>Hi<p>you <a href="/x">there</a></body>')
     source, _, _, body = warc.parsed(raw)
