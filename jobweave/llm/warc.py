@@ -2,8 +2,12 @@
 
 `responses` writes pages as WARC response records; `derivatives` parses any such records and returns, for each, a
 metadata record (title, language and outlinks as warc-fields) and a conversion record (text/plain). Both name the
-source in WARC-Refers-To, with its target, date, and digests; the source's HTTP status, content type and payload digest
-are kept in columns and headers.
+source in WARC-Refers-To, with its target, date, and digests. All WARC and HTTP headers of the source, in order and with
+repeats, its HTTP status and its digests are kept in columns and in the metadata record.
+
+Transfer codings, then content codings are undone before the text is read (chunked, gzip, deflate). A body that doesn't
+begin as its coding does (no chunk size, no gzip mark) was undone by the record's writer and is read as it is. Of a cut
+body, what came is read; of a broken one or of another coding, nothing; `body_error` says so in both cases.
 
 Defined cases: null html or a null url is empty text. A record that is no response, or that can't be parsed, gives one
 row of type "invalid" with the reason, so nothing is lost. Repeated rows give repeated records with equal ids. Extra
@@ -17,6 +21,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +37,8 @@ LINK = re.compile(r"<(a|area|link)\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
 LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
 FIELDS = "record_type string, record_id string, refers_to string, target_uri string, date string, http_status int, source_content_type string, source_payload_digest string, payload_digest string, block_digest string, content_length long, record binary, text string"
+#: Columns with the source's headers, after those of FIELDS.
+SOURCE = "source_block_digest string, warc_headers array<struct<name: string, value: string>>, http_headers array<struct<name: string, value: string>>, body_error string"
 
 
 def digest(body: bytes) -> str:
@@ -62,17 +69,82 @@ def response(page_id: int, url: str | None, page: str | None) -> bytes:
     ], block)
 
 
-def fields_of(head: bytes) -> dict[str, str]:
-    lines = re.sub(rb"\r\n[ \t]+", b" ", head).split(b"\r\n")
-    return {k.decode("utf-8", "replace").strip().lower(): v.decode("utf-8", "replace").strip() for k, c, v in (x.partition(b":") for x in lines) if c}
-
-
-def parsed(raw: bytes) -> tuple[dict[str, str], int, dict[str, str], bytes]:
+def readable(raw: bytes) -> str:
+    try:
+        return raw.decode().strip()
+    except UnicodeDecodeError:
+        return raw.decode("latin-1").strip()
+
+
+class Fields(dict):
+    """Values by lower-case name, the last of repeated ones; `rows` has each field as (name, value), in order."""
+
+    def __init__(self, head: bytes) -> None:
+        lines = re.sub(rb"\r\n[ \t]+", b" ", head).split(b"\r\n")
+        self.rows = [(readable(k), readable(v)) for k, c, v in (x.partition(b":") for x in lines) if c]
+        super().__init__((k.lower(), v) for k, v in self.rows)
+
+    def codings(self, name: str) -> list[str]:
+        """All codings that fields of this name list, the last applied first."""
+        listed = [c.strip().lower() for k, v in self.rows if k.lower() == name for c in v.split(",")]
+        return [c for c in reversed(listed) if c and c != "identity"]
+
+
+def unchunked(body: bytes) -> tuple[bytes, str | None]:
+    out, at = [], 0
+    while size := re.compile(rb"([0-9a-fA-F]+)[ \t]*(?:;[^\r\n]*)?\r\n").match(body, at):
+        n, at = int(size[1], 16), size.end()
+        if not n:
+            return b"".join(out), None
+        out.append(body[at : at + n])
+        if at + n > len(body):
+            return b"".join(out), "chunked: cut"
+        at += n
+        if body[at : at + 2] != b"\r\n":
+            return (b"".join(out), "chunked: cut") if at + 2 > len(body) else (b"", "chunked: broken")
+        at += 2
+    if not at:
+        return body, None  # undone already
+    return (b"".join(out), "chunked: cut") if re.fullmatch(rb"[0-9a-fA-F]*[^\r\n]*\r?", body[at:]) else (b"", "chunked: broken")
+
+
+def inflated(body: bytes, coding: str) -> tuple[bytes, str | None]:
+    if coding == "gzip" and not body.startswith(b"\x1f\x8b"):
+        return body, None  # undone already
+    for bits in (31,) if coding == "gzip" else (15, -15):
+        out, rest = [], body
+        try:
+            while rest and (not out or rest.startswith(b"\x1f\x8b")):  # members; other bytes behind them are padding
+                one = zlib.decompressobj(bits)
+                out.append(one.decompress(rest))
+                if not one.eof:
+                    return b"".join(out), f"{coding}: cut"
+                rest = one.unused_data
+            return b"".join(out), None
+        except zlib.error:
+            pass
+    return b"", f"{coding}: broken"
+
+
+def undone(http: Fields, body: bytes) -> tuple[bytes, str | None]:
+    """The body without its codings, and what was wrong with it."""
+    errors = []
+    for coding in [*http.codings("transfer-encoding"), *http.codings("content-encoding")]:
+        coding = coding.split(";")[0].strip().removeprefix("x-")
+        body, error = unchunked(body) if coding == "chunked" else inflated(body, coding) if coding in ("gzip", "deflate") else (b"", f"{coding}: not known")
+        if error:
+            errors.append(error)
+        if not body:
+            break
+    return body, "; ".join(errors) or None
+
+
+def parsed(raw: bytes) -> tuple[Fields, int, Fields, bytes]:
     """WARC fields, HTTP status, HTTP fields and payload of a response record."""
     head, gap, rest = raw.partition(b"\r\n\r\n")
     if not head.startswith(b"WARC/") or not gap:
         raise ValueError("no WARC header")
-    warc = fields_of(head)
+    warc = Fields(head)
     if warc.get("warc-type") != "response":
         raise ValueError(f"type {warc.get('warc-type')}")
     block = rest[: int(warc.get("content-length", len(rest)))]
@@ -82,7 +154,7 @@ def parsed(raw: bytes) -> tuple[dict[str, str], int, dict[str, str], bytes]:
     status = re.match(rb"HTTP/\S+ (\d{3})", http)
     if not status:
         raise ValueError("no HTTP status")
-    return warc, int(status[1]), fields_of(http), body
+    return warc, int(status[1]), Fields(http), body
 
 
 def plain_text(page: str) -> str:
@@ -94,9 +166,11 @@ def derived(raw: bytes | None) -> list[tuple]:
     try:
         warc, status, http, body = parsed(raw or b"")
     except ValueError as reason:
-        return [("invalid", None, None, None, None, None, None, None, None, None, 0, raw, str(reason))]
+        return [("invalid", None, None, None, None, None, None, None, None, None, 0, raw, str(reason), None, None, None, None)]
     source, uri, date = (warc.get(k, "") for k in ("warc-record-id", "warc-target-uri", "warc-date"))
     kind, payload = http.get("content-type", ""), warc.get("warc-payload-digest") or digest(body)
+    block_digest = warc.get("warc-block-digest")
+    body, body_error = undone(http, body)
     charset = re.search(r"charset=[\"']?([\w-]+)", kind)
     try:
         page = body.decode(charset[1] if charset else "utf-8", "replace")
@@ -104,7 +178,8 @@ def derived(raw: bytes | None) -> list[tuple]:
         page = body.decode("utf-8", "replace")
     title, lang = TITLE.search(page), LANG.search(page)
     links = [f"outlink: {html.unescape(next((v for v in m.groups()[1:] if v is not None), '')).strip()} {'L' if m[1].lower() == 'a' else 'E'} {m[1].lower()}/@href" for m in LINK.finditer(page)]
-    facts = [("title", one_line(html.unescape(title[1])) if title else ""), ("lang", lang[1] if lang else ""), ("http-status", str(status)), ("source-content-type", kind), ("source-payload-digest", payload)]
+    facts = [("title", one_line(html.unescape(title[1])) if title else ""), ("lang", lang[1] if lang else ""), ("http-status", str(status)), ("source-content-type", kind), ("source-payload-digest", payload), ("source-block-digest", block_digest), ("body-error", body_error)]
+    facts += [(kind_of, f"{k}: {one_line(v)}") for kind_of, head in (("source-warc-header", warc), ("source-http-header", http)) for k, v in head.rows]
     meta = "".join(f"{k}: {v}{END}" for k, v in facts if v) + "".join(f"{one_line(x)}{END}" for x in links)
     out = []
     for name, content, text in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", plain_text(page))):
@@ -115,7 +190,7 @@ def derived(raw: bytes | None) -> list[tuple]:
             ("WARC-Type", name), ("WARC-Record-ID", made), ("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date),
             ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Source-Payload-Digest", payload), ("WARC-Payload-Digest", own), ("WARC-Block-Digest", own), ("Content-Type", content),
         ], block)
-        out.append((name, made, source, uri, date, status, kind, payload, own, own, len(block), whole, text))
+        out.append((name, made, source, uri, date, status, kind, payload, own, own, len(block), whole, text, block_digest, warc.rows, http.rows, body_error))
     return out
 
 
@@ -132,8 +207,9 @@ def responses(pages: DataFrame) -> DataFrame:
 
 def derivatives(records: DataFrame, key: str = "page_id") -> DataFrame:
     """Metadata and conversion records of each row of records(key, record)."""
-    kinds = [pa.string()] * 5 + [pa.int32()] + [pa.string()] * 4 + [pa.int64(), pa.binary(), pa.string()]
-    names = [f.split()[0] for f in FIELDS.split(", ")]
+    pairs = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
+    kinds = [pa.string()] * 5 + [pa.int32()] + [pa.string()] * 4 + [pa.int64(), pa.binary(), pa.string(), pa.string(), pairs, pairs, pa.string()]
+    names = [f.split()[0] for f in FIELDS.split(", ")] + ["source_block_digest", "warc_headers", "http_headers", "body_error"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -144,4 +220,4 @@ def derivatives(records: DataFrame, key: str = "page_id") -> DataFrame:
                 columns = zip(*(x for m in made for x in m), strict=True)
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[key, *names])
 
-    return records.select(key, "record").mapInArrow(read, f"{key} {records.schema[key].dataType.simpleString()}, {FIELDS}")
+    return records.select(key, "record").mapInArrow(read, f"{key} {records.schema[key].dataType.simpleString()}, {FIELDS}, {SOURCE}")

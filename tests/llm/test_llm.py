@@ -1,5 +1,6 @@
 """Each text operator against brute force, an exact round trip or held-out labels, and on odd tables."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -169,6 +170,45 @@ def test_warc_links_records():
     assert warc.derived(None)[0][0] == "invalid" and warc.derived(raw[:-30] + b"x" * 30)[0][0] == "invalid"
 
 
+def crawled(body, *http):
+    block = "".join(f"{x}\r\n" for x in ("HTTP/1.1 200 OK", "Content-Type: text/html; charset=latin-1", *http, "")).encode("latin-1") + body
+    return warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x:1>"), ("WARC-IP-Address", "10.0.0.1"), ("WARC-Warcinfo-ID", "<urn:x:0>"), ("WARC-Block-Digest", warc.digest(block))], block)
+
+
+def test_warc_keeps_source_headers(spark):
+    raw = crawled(b"<p>hi", "Set-Cookie: a=1", "Last-Modified: today", "Set-Cookie: b=2")
+    source, _, _, _ = warc.parsed(raw)
+    rows = warc.derivatives(spark.createDataFrame([(1, bytearray(raw)), (2, None)], "page_id long, record binary")).collect()
+    assert [r["record_type"] for r in rows] == ["metadata", "conversion", "invalid"]
+    for r in rows[:2]:
+        assert [tuple(x) for x in r["http_headers"]] == [("Content-Type", "text/html; charset=latin-1"), ("Set-Cookie", "a=1"), ("Last-Modified", "today"), ("Set-Cookie", "b=2")]
+        assert [x["name"] for x in r["warc_headers"]] == ["WARC-Type", "WARC-Record-ID", "WARC-IP-Address", "WARC-Warcinfo-ID", "WARC-Block-Digest", "Content-Length"]
+        assert r["source_block_digest"] == source["warc-block-digest"] and r["body_error"] is None
+    for line in ("source-http-header: Set-Cookie: a=1", "source-http-header: Set-Cookie: b=2", "source-warc-header: WARC-IP-Address: 10.0.0.1", "source-block-digest: " + source["warc-block-digest"]):
+        assert f"{line}\r\n" in rows[0]["text"] and f"{line}\r\n".encode() in bytes(rows[0]["record"])
+
+
+def test_warc_undoes_codings():
+    page = "<p>caf\u00e9 and more text</p>".encode("latin-1")
+    chunks = lambda b: b"".join(b"%x;x=y\r\n%s\r\n" % (len(b[k : k + 7]), b[k : k + 7]) for k in range(0, len(b), 7)) + b"0\r\n\r\n"
+    zipped, raw = gzip.compress(page[:9]) + gzip.compress(page[9:]), zlib.compressobj(wbits=-15)
+    chunked, in_gzip, in_deflate = "Transfer-Encoding: chunked", "Content-Encoding: gzip", "Content-Encoding: deflate"
+    whole = [
+        (page,), (chunks(page), chunked), (zipped, in_gzip), (zlib.compress(page), in_deflate), (raw.compress(page) + raw.flush(), in_deflate), (chunks(zipped), chunked, in_gzip),
+        (chunks(zipped), "Transfer-Encoding: gzip, chunked"), (page, chunked, in_gzip), (gzip.compress(zlib.compress(page)), in_deflate, "content-encoding: X-GZIP"),
+    ]
+    for body, *http in whole:
+        text = warc.derived(crawled(body, *http))[1]
+        assert (text[12], text[16]) == ("caf\u00e9 and more text", None), http
+    broken = [
+        (page, "Content-Encoding: br", "", "br: not known"), (zipped[:10] + b"\x07" * 40, in_gzip, "", "gzip: broken"), (b"\xff" * 40, in_deflate, "", "deflate: broken"),
+        (chunks(page)[:20], chunked, "caf\u00e9", "chunked: cut"), (chunks(page)[:26], chunked, "caf\u00e9 an", "chunked: cut"), (b"3\r\n<p>\r\n2\r\nabcdef\r\n", chunked, "", "chunked: broken"), (gzip.compress(page)[:-8], in_gzip, "caf\u00e9 and more text", "gzip: cut"),
+    ]
+    for body, http, want, error in broken:
+        meta, text = warc.derived(crawled(body, http))
+        assert (text[12], text[16], meta[16]) == (want, error, error) and f"body-error: {error}\r\n" in meta[12]
+
+
 def test_language_model(docs):
     count = Counter()
     for i, t in corpus():
