@@ -176,14 +176,7 @@ def stream_state(t: Tables) -> DataFrame:
     spark, name = t.spark, f"fold_{uuid.uuid4().hex}"
     source = spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events*.parquet")
     base = f"{spark.sparkContext.getCheckpointDir() or '/tmp/checkpoints'}/{name}"
-
-    def put(batch: DataFrame, n: int) -> None:
-        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{base}/out/batch={n}")
-
-    fold.stream_fold(fold.commands(source)).writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(f"{base}/out/batch=*")
-    columns = [c for c in rows.columns if c not in ("job", "batch")]
-    return rows.groupBy("job").agg(F.max_by(F.struct(*columns), "batch").alias("s")).select("job", "s.*")
+    return fold.stream_fold(fold.commands(source), base)
 
 
 def chapter_outcomes(t: Tables) -> DataFrame:

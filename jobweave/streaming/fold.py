@@ -5,12 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 LEASE_SECONDS = 30 * 60
@@ -47,12 +45,6 @@ def commands(events: DataFrame) -> DataFrame:
     return events.select(F.concat(F.lit("job-"), F.col("user_id").cast("string")).alias("job"), F.col("ts").cast("timestamp").alias("ts"), "event_id", of[F.col("event_type")].alias("command"))
 
 
-def ordered(pdf: pd.DataFrame, state: tuple) -> tuple:
-    for command, at in pdf.sort_values(["ts", "event_id"])[["command", "ts"]].itertuples(index=False):
-        state = step(state, command, at.timestamp())
-    return state
-
-
 def folded(rows: DataFrame, key: str, order: list[str], advance: Callable[[Any, dict], tuple], new: Any, out: str, every: bool = False) -> DataFrame:
     """Each key's rows, in order, through advance(state, row) -> (state, result row); a null key is left out.
 
@@ -82,23 +74,33 @@ def folded(rows: DataFrame, key: str, order: list[str], advance: Callable[[Any,
     return rows.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, out)
 
 
-def fold(commands: DataFrame) -> DataFrame:
-    """Final state of each job."""
+def fold(commands: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """State of each job after its commands, from the stored state of jobs that have one."""
+    names = [c.split()[0] for c in STATE.split(", ")]
 
     def advance(state: tuple, row: dict) -> tuple:
-        state = step(state, row["command"], row["at"])
+        state = tuple(row[c] for c in names) if row["status"] is not None else step(state, row["command"], row["at"])
         return state, (row["job"], *state)
 
     timed = commands.withColumn("at", F.unix_micros("ts") / 1e6)
-    return folded(timed.select("job", "ts", "event_id", "command", "at"), "job", ["ts", "event_id"], advance, NEW, OUT)
+    rows = timed.select("job", "ts", "event_id", "command", "at", F.lit(0).alias("turn"), *(F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in STATE.split(", ")))
+    if stored is not None:
+        rows = rows.unionByName(stored.withColumn("turn", F.lit(-1)), allowMissingColumns=True)
+    return folded(rows, "job", ["turn", "ts", "event_id"], advance, NEW, OUT)
 
 
-def stream_fold(commands: DataFrame) -> DataFrame:
-    """The same fold over a stream: emits a job's state after each micro-batch that has commands for it."""
+def stream_fold(commands: DataFrame, base: str) -> DataFrame:
+    """The same fold over a stream, run until its source has no more: the state of each job after the last micro-batch.
+
+    Each micro-batch is folded onto the states that the one before left in `base`, read as sorted streams like the batch
+    fold; a later run with the same base goes on from there.
+    """
+    spark = commands.sparkSession
 
-    def run(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = ordered(pd.concat(list(frames)), state.get if state.exists else NEW)
-        state.update(now)
-        yield pd.DataFrame([(key[0], *now)], columns=[c.split()[0] for c in OUT.split(", ")])
+    def put(batch: DataFrame, n: int) -> None:
+        stored = batch.sparkSession.read.schema(OUT).parquet(f"{base}/out/batch={n - 1}") if n else None
+        fold(batch, stored).write.mode("overwrite").parquet(f"{base}/out/batch={n}")
 
-    return commands.groupBy("job").applyInPandasWithState(run, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    commands.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(f"{OUT}, batch long").parquet(f"{base}/out")
+    return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).drop("batch")

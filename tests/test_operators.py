@@ -83,3 +83,16 @@ def test_fork_chain_longer_than_a_checkpoint(spark):
     chapters = spark.createDataFrame([(k, o, "t", "b") for k in range(20) for o in (0, 1)], "story_id long, ordinal long, task_type string, body string")
     rows = [tuple(r)[:3] for r in history.resolved_forks(stories, chapters).collect()]
     assert sorted(rows) == sorted(x for k in range(20) if k != 3 for x in ((k, 0, 0), (k, 1, k)))
+
+
+def test_stream_fold_goes_on_from_stored_states(spark, tmp_path):
+    """Time-ordered files, one a micro-batch, then a second run on the same base, against the batch fold of all rows."""
+    kinds = ["lease", "append", "complete", "reopen", "fail", "cancel"]
+    rows = [("hot" if k % 3 else f"j{k % 7}", k * 60, k, kinds[(k * k + k // 5) % 6]) for k in range(3000)]
+    all_rows = spark.createDataFrame(rows, "job string, at long, event_id long, command string").selectExpr("job", "timestamp_seconds(at) ts", "event_id", "command")
+    for k in range(3):
+        all_rows.where(f"event_id div 1000 = {k}").orderBy("command").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if k:
+            source = spark.readStream.schema(all_rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+            got = fold.stream_fold(source, f"{tmp_path}/base")
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, fold.fold(all_rows.where(f"event_id < {1000 * (k + 1)}")).collect()))
