@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; a session without one (tests) gets /tmp/checkpoints."""
+    """Use the cluster's spark.checkpoint.dir. Local mode without one gets a temporary folder; a cluster must name one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -29,6 +35,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def single(rows: DataFrame, keys: list[str], all_keys: DataFrame) -> DataFrame:
+    """The rows, and of those that repeat in `keys` one each; `all_keys` has the keys of all of them.
+
+    Rows whose keys don't repeat are not shuffled for it, and without any that do the rows come back as they are.
+    """
+    again = cut(all_keys.groupBy(*keys).count().where("count > 1").select(*keys))
+    if again.isEmpty():
+        return rows
+    return rows.join(again, keys, "left_anti").unionByName(rows.join(again, keys, "left_semi").dropDuplicates(keys))
+
+
 def crc32_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 

@@ -2,28 +2,35 @@
 
 Two permutations make every signature coordinate: sigma spreads the shingles over a ring of 2**32 places, and
 coordinate k is the least pi(place - k mod 2**32) of a document's shingles. Bands of coordinates bring candidates
-together; each candidate pair is confirmed on the full shingle sets.
+together; each link is confirmed on the full shingle sets.
 
-Groups of copies never become pairs of pairs. Equal sets are one class at once. Each bucket of a band then
+Groups of copies never become pairs of pairs. Texts of equal words are one class at once. Each bucket of a band then
 compares its members with one centre, and verified links are contracted to components. Where a bucket still holds
-several components, its rows are compared in blocks, so no link between different components is lost.
+several components, its rows are compared in blocks, so no link between different components is lost; blocks meet only
+if their documents' sizes can reach the threshold. Spark splits the join of a bucket's members with its centre where
+one bucket is very common.
 
 Defined cases: a null or word-free text has no shingles and is linked with nothing. A text with fewer words than
-the width has its whole word sequence as its one shingle. Rows without a doc_id are left out. Rows that repeat a
-doc_id are judged one by one and all belong to that id. Other columns are ignored; an empty table gives an empty one.
+the width has its whole word sequence as its one shingle. Rows are judged each, those that repeat or lack a doc_id too:
+a component's id is the smallest one of its rows that have any, and null if none has. Other columns are ignored by
+`near_duplicates` and kept by `one_of_each`; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobweave.llm.common import components, cut, mix64, shingle_hashes
+from jobweave.llm.common import components, cut, mix64, shingle_hashes, single
+
+#: What tells rows apart: doc_id (missing ones last) and two hashes of the text.
+KEYS = ["doc", "t1", "t2"]
 
 BANDS, ROWS = 32, 4
 #: 100 * intersection >= THRESHOLD * union
@@ -58,19 +65,22 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketcher(width: int):
+    """Adds the number of shingles, a digest of the words in order, and the bands; takes the text away."""
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, one, two, bands = [], [], [], []
             for text in batch["text"].to_pylist():
-                s = shingle_hashes((text or "").encode().lower(), width)
+                lowered = (text or "").encode().lower()
+                s = shingle_hashes(lowered, width)
+                digest = hashlib.blake2b(b" ".join(lowered.split()), digest_size=16).digest()
                 n.append(len(s))
-                digest = xxhash.xxh3_128_intdigest(s.tobytes())
-                one.append((digest >> 64) - (1 << 63))
-                two.append((digest & (1 << 64) - 1) - (1 << 63))
+                one.append(int.from_bytes(digest[:8], "little", signed=True))
+                two.append(int.from_bytes(digest[8:], "little", signed=True))
                 bands.append(band_keys(signature(s)) if len(s) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "d1", "d2", "bands"],
+                [*(batch[c] for c in KEYS), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                names=[*KEYS, "n_shingles", "d1", "d2", "bands"],
             )
 
     return sketch
@@ -100,11 +110,17 @@ def verifier(width: int, threshold: int):
     return verify
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
+def with_text(rows: DataFrame, nodes: DataFrame, texts: DataFrame, x: str) -> DataFrame:
+    """Adds `<x>_text`, the text of the node in column x."""
+    named = nodes.select(F.col("node").alias(x), *(F.col(k).alias(f"{x}_{k}") for k in KEYS))
+    read = texts.select(*(F.col(k).alias(f"{x}_{k}") for k in KEYS), F.col("text").alias(f"{x}_text"))
+    return rows.join(named, x).join(read, [f"{x}_{k}" for k in KEYS]).drop(*(f"{x}_{k}" for k in KEYS))
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
     """Of candidate pairs (x, y), the links (a, b) whose full sets meet the threshold."""
-    with_x = pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("x_text")), "x")
-    with_y = with_x.join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("y_text")), "y")
-    return with_y.select("x", "y", "x_text", "y_text").mapInArrow(verifier(width, threshold), "a long, b long")
+    both = with_text(with_text(pairs, nodes, texts, "x"), nodes, texts, "y")
+    return both.select("x", "y", "x_text", "y_text").mapInArrow(verifier(width, threshold), "a long, b long")
 
 
 def block_comparer(width: int, threshold: int):
@@ -113,71 +129,120 @@ def block_comparer(width: int, threshold: int):
     def compare(group: pa.Table) -> pa.Table:
         group = group.sort_by("x")
         x, c, side = (group[k].to_numpy() for k in ("x", "c", "side"))
-        sets = [shingle_hashes((t or "").encode().lower(), width) for t in group["text"].to_pylist()]
+        texts = group["x_text"]
+        sets = [shingle_hashes((t or "").encode().lower(), width) for t in texts.to_pylist()]
         n = np.array([len(s) for s in sets])
         left, right = (np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)) if side.any() else (np.arange(len(x)),) * 2
         owner = np.repeat(np.arange(len(x)), n)
         _, column = np.unique(np.concatenate(sets), return_inverse=True)
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
-        both = np.zeros((len(left), len(right)), np.float32)
+        both = np.zeros((len(left), len(right)), np.int64)
         for at in range(0, int(column[-1]) + 1, SLICE):
             lo, hi = np.searchsorted(column, (at, at + SLICE))
             m = np.zeros((len(x), SLICE), np.float32)
             m[owner[lo:hi], column[lo:hi] - at] = 1
-            both += m[left] @ m[right].T
+            both += (m[left] @ m[right].T).astype(np.int64)
         union = n[left][:, None] + n[right][None, :] - both
         i, j = np.nonzero((100 * both >= threshold * union) & (c[left][:, None] != c[right][None, :]))
         i, j = left[i], right[j]
-        pair = np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])])
-        _, one = np.unique(pair, axis=1, return_index=True)
-        return pa.table({"a": pa.array(x[i[one]], pa.int64()), "b": pa.array(x[j[one]], pa.int64())})
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        full: dict[int, set] = {}
+        for p, q in zip(i.tolist(), j.tolist(), strict=True):  # hashes have found it, the full sets confirm it
+            pair = (min(c[p], c[q]), max(c[p], c[q]))
+            if pair not in found:
+                for k in (p, q):
+                    if k not in full:
+                        full[k] = shingle_set(texts[k].as_py(), width)
+                shared = len(full[p] & full[q])
+                if 100 * shared >= threshold * (len(full[p]) + len(full[q]) - shared):
+                    found[pair] = (int(x[p]), int(x[q]))
+        a, b = zip(*found.values(), strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return compare
 
 
-def across(members: DataFrame, labels: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame | None:
+def across(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame | None:
     """Links between components that still meet in a bucket, from comparing blocks instead of emitting pairs.
 
-    Every member of such a bucket goes into one block of bounded size, with others whose buckets have the same centre.
-    Two blocks are compared, whole against whole, if any bucket holds rows of both.
+    Every member of such a bucket goes into one block of bounded size, with others of about its size whose buckets have
+    the same centre. Two blocks are compared, whole against whole, if any bucket holds rows of both and their sizes are
+    close enough: documents over `size` steps apart differ in more shingles than the threshold allows.
     """
     at = members.join(labels.withColumnRenamed("node", "x"), "x", "left").select("key", "x", "n", "y", F.coalesce("component", "x").alias("c"))
     mixed = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     at = cut(at.join(mixed, "key"))
     if at.isEmpty():
         return None
-    homes = at.groupBy("x").agg(F.min("y").alias("home"), F.max("n").alias("n"), F.max("c").alias("c"))
-    parts = homes.groupBy("home").agg(F.ceil(F.sum(F.greatest("n", F.lit(LEAST_WEIGHT))) / BLOCK).alias("parts"))
-    blocks = cut(homes.join(parts, "home").select("x", "c", F.xxhash64("home", F.pmod(F.xxhash64("x"), "parts")).alias("block")))
+    step = math.log(100 / min(threshold, 99)) * (1 + 1e-9)
+    homes = at.groupBy("x").agg(F.min("y").alias("home"), F.max("n").alias("n"), F.max("c").alias("c")).withColumn("size", F.floor(F.log("n") / step))
+    parts = homes.groupBy("home", "size").agg(F.ceil(F.sum(F.greatest("n", F.lit(LEAST_WEIGHT))) / BLOCK).alias("parts"))
+    blocks = cut(homes.join(parts, ["home", "size"]).select("x", "c", "size", F.xxhash64("home", "size", F.pmod(F.xxhash64("x"), "parts")).alias("block")))
     held = at.select("key", "x").join(blocks, "x")
-    meet = held.groupBy("key", "block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    other = meet.select("key", *(F.col(k).alias(f"{k}2") for k in ("block", "lo", "hi")))
-    pairs = meet.join(other, "key").where("block <= block2 and least(lo, lo2) < greatest(hi, hi2)").select("block", "block2").distinct()
+    meet = held.groupBy("key", "block", "size").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    other = meet.select("key", *(F.col(k).alias(f"{k}2") for k in ("block", "size", "lo", "hi")))
+    close = "block <= block2 and abs(size - size2) <= 1 and least(lo, lo2) < greatest(hi, hi2)"
+    pairs = meet.join(other, "key").where(close).select("block", "block2").distinct()
     pairs = pairs.withColumn("pair", F.xxhash64("block", "block2"))
     sides = pairs.select("pair", "block", F.when(F.col("block") == F.col("block2"), 0).otherwise(-1).alias("side"))
     sides = sides.unionByName(pairs.where("block < block2").select("pair", F.col("block2").alias("block"), F.lit(1).alias("side")))
-    read = blocks.join(texts.withColumnRenamed("doc_id", "x"), "x")
-    rows = read.join(sides, "block").select("pair", "side", "x", "c", "text")
+    rows = with_text(blocks, nodes, texts, "x").join(sides, "block").select("pair", "side", "x", "c", "x_text")
     return cut(rows.groupBy("pair").applyInArrow(block_comparer(width, threshold), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text)."""
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = cut(texts.mapInArrow(sketcher(width), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"))
-    classes = sketches.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    reps = sketches.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi")
-    rows = reps.select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+def keyed(docs: DataFrame) -> DataFrame:
+    """KEYS, text, and all columns of each row as a struct."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(text).alias("t1"), F.crc32(text.cast("binary")).alias("t2"), text.alias("text"),
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+    )
+
+
+def judged(docs: DataFrame, width: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows by KEYS, and the component of each class of equal words (d1, d2, low, component).
+
+    Components are numbers of classes; `low` is the smallest doc_id of the class.
+    """
+    kinds = "doc long, t1 long, t2 long, n_shingles long, d1 long, d2 long, bands array<long>"
+    sketches = cut(keyed(docs).select(*KEYS, "text").mapInArrow(sketcher(width), kinds))
+    classes = sketches.where("n_shingles > 0").groupBy("d1", "d2").agg(F.first(F.struct(*KEYS, "n_shingles", "bands")).alias("r"), F.min("doc").alias("low"))
+    nodes = cut(classes.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "low", "r.*"))
+    rows = nodes.select(F.col("node").alias("x"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("x").alias("y")).where("c > 1").select("key", "y")
     members = cut(rows.join(shared, "key").select("key", "x", "n", "y"))  # only rows of buckets with company
-    first = members.where("x <> y").select("x", "y").distinct()
-    links = cut(confirmed(first, texts, width, threshold))
+    texts = single(keyed(docs).select(*KEYS, "text"), KEYS, sketches)
+    named = nodes.select("node", *KEYS)
+    links = cut(confirmed(members.where("x <> y").select("x", "y").distinct(), named, texts, width, threshold))
     labels = components(links)
-    rest = across(members, labels, texts, width, threshold)
+    rest = across(members, labels, named, texts, width, threshold)
     if rest is not None:
         labels = components(links.unionByName(rest))
-    of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
-    return sketches.select("doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"), (F.coalesce("c", "doc_id") == F.col("doc_id")).alias("kept")
-    )
+    return sketches, nodes.select("node", "d1", "d2", "low").join(labels, "node", "left").select("d1", "d2", "low", F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text).
+
+    Rows without a doc_id are kept if no row of their component has one.
+    """
+    sketches, classes = judged(docs, width, threshold)
+    low = classes.groupBy("component").agg(F.min("low").alias("low"))
+    of_class = classes.select("d1", "d2", "component").join(low, "component").select("d1", "d2", "low")
+    found = sketches.select("doc", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left").withColumn("low", F.coalesce("low", "doc"))
+    known = lambda c: F.when(F.col(c) != (1 << 63) - 1, F.col(c))
+    return found.select(known("doc").alias("doc_id"), "n_shingles", known("low").alias("component_id"), (F.col("low") == F.col("doc")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, less all but one row of each component: that which comes first by doc_id.
+
+    Rows without words are linked with nothing and stay.
+    """
+    sketches, classes = judged(docs, width, threshold)
+    rows = sketches.select(*KEYS, "d1", "d2", "n_shingles")
+    in_component = rows.where("n_shingles > 0").join(classes, ["d1", "d2"])
+    kept = in_component.groupBy("component").agg(F.min(F.struct(*KEYS)).alias("k")).select("k.*").unionByName(rows.where("n_shingles = 0").select(*KEYS).distinct())
+    left = keyed(docs).select(*KEYS, "row").join(kept, KEYS, "left_semi")
+    return single(left, KEYS, sketches.where("n_shingles > 0").select(*KEYS)).select("row.*")

@@ -1,13 +1,15 @@
-"""Best-fit packing of tokenized documents into sequences, improved by swaps.
-
-Documents become token ids plus an end id, and only those over the limit are cut into pieces. Pieces are dealt by
-hash to groups of about GROUP tokens; each group is packed best-fit decreasing, then local search lets the emptiest
-bin give its pieces away: by a move, by exchanging one piece for a smaller one, or two for one, always into a fuller
-bin, which raises the sum of squared fills, until the bin is empty or nothing fits. Bins that stay underfull are
-opened again and packed with those of other groups. Only lengths meet in groups; token ids stay where they are read.
-
-Defined cases: a null or empty text is one piece holding the end id alone. Rows that repeat a doc_id are packed each.
-Extra columns are ignored; an empty table gives an empty one.
+"""Best-fit packing of tokenized documents into sequences, by local search with swaps.
+
+Documents become token ids plus an end id, and only those over the limit are cut into pieces. Pieces are dealt to
+groups of about GROUP tokens. In a group, pieces first go in the order they come, each into the fullest bin with room;
+then local search takes the emptiest bin and gives its tokens to fuller ones: it moves a piece, or exchanges one for a
+smaller one, or two for one smaller than both together, whichever raises the sum of squared fills most. Each step
+raises that sum, so the search ends; bins that run empty go. Bins that stay underfull are opened again and searched
+with those of other groups. Only lengths meet in groups; token ids stay where they are read.
+
+Defined cases: a null or empty text is one piece holding the end id alone. Rows that repeat a doc_id are packed each,
+and are spread over the groups like all others; so are rows without one. Extra columns are ignored; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from jobweave.llm.common import cut
 LIMIT, END_ID = 4096, 1
 #: Tokens of a group; bins filled below this share are packed again with other groups' bins.
 GROUP, OPEN_BELOW = 1 << 20, 0.99
-#: Words whose ids a worker keeps, and how often one piece may be tried in the local search.
-CACHE, TRIES = 800_000, 4
+#: Words whose ids a worker keeps.
+CACHE = 800_000
 
 
 def tokenizer_path() -> str:
@@ -115,86 +117,112 @@ def cutter(path: str, limit: int, with_ids: bool):
     return pieces
 
 
-def best_fit(sizes: list[int], limit: int) -> list[list[int]]:
-    """Bins of indexes: largest first, each into the fullest bin that has room."""
-    bins: list[list[int]] = []
+def first_places(sizes: list[int], limit: int) -> list[int]:
+    """A bin for each piece, in the order given: the fullest with room, else a new one."""
     room: list[tuple[int, int]] = []  # (room left, bin), sorted
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        k = bisect_left(room, (sizes[i], -1))
-        if k == len(room):
-            left, b = limit, len(bins)
-            bins.append([])
-        else:
-            left, b = room.pop(k)
-        bins[b].append(i)
-        if left > sizes[i]:
-            insort(room, (left - sizes[i], b))
-    return bins
-
-
-def swapped(sizes: list[int], bins: list[list[int]], limit: int) -> list[list[int]]:
-    """Local search on best-fit bins; returns those that still hold something."""
-    fill = [sum(sizes[i] for i in b) for b in bins]
-
-    def give(source: int, target: int, out: list[int], back: list[int]) -> None:
-        for i in out:
-            bins[source].remove(i)
-            bins[target].append(i)
-        for i in back:
-            bins[target].remove(i)
-            bins[source].append(i)
-        moved = sum(sizes[i] for i in out) - sum(sizes[i] for i in back)
-        fill[source] -= moved
-        fill[target] += moved
-
-    def improve(source: int, others: list[int]) -> bool:
-        """One step that moves tokens from `source` to a bin at least as full."""
-        for target in others:
-            room = limit - fill[target]
-            own = sorted(bins[source], key=lambda i: -sizes[i])
-            whole = [i for i in own if sizes[i] <= room]
-            if whole:
-                give(source, target, whole[:1], [])
+    out, bins = [], 0
+    for size in sizes:
+        k = bisect_left(room, (size, -1))
+        left, at = room.pop(k) if k < len(room) else (limit, bins)
+        bins += at == bins
+        out.append(at)
+        if left > size:
+            insort(room, (left - size, at))
+    return out
+
+
+def gain(have: np.ndarray, theirs: np.ndarray, room: np.ndarray, fuller: np.ndarray) -> tuple[int, int, int]:
+    """Of exchanges of one of `have` (sorted) for one of `theirs`, that which raises the squared fill most.
+
+    `room` is what the other bin has left and `fuller` by how much it is fuller than the giving one. Returns the raise,
+    which of `have` and which of `theirs`.
+    """
+    k = np.searchsorted(have, theirs + room, "right") - 1  # the largest that their bin has room for
+    more = np.where(k >= 0, have[k] - theirs, 0)
+    raised = np.where((more > 0) & (fuller + more > 0), 2 * more * (fuller + more), 0)
+    j = int(raised.argmax())
+    return int(raised[j]), int(k[j]), j
+
+
+def searched(sizes: list[int], places: list[int], limit: int) -> list[int]:
+    """The places after local search; bins that ran empty are no longer named."""
+    size, at = np.array(sizes, np.int64), np.array(places, np.int64)
+    fill = np.bincount(at, size).astype(np.int64)
+    least, used = -(-int(size.sum()) // limit), len(fill)
+
+    def step(source: int) -> bool:
+        """One step that takes tokens from `source`; whether there was one."""
+        own = np.flatnonzero(at == source)
+        own = own[np.argsort(size[own], kind="stable")]
+        room = limit - fill
+        room[source] = -1
+        whole = np.where((fill > 0) & (room >= size[own[0]]), np.searchsorted(size[own], room, "right"), 0)
+        if whole.any():  # a piece moves
+            piece = own[np.maximum(whole - 1, 0)]
+            better = np.where(whole > 0, size[piece] * (fill - fill[source] + size[piece]), -1)
+            target = int(better.argmax())
+            if better[target] > 0:
+                moved = piece[target]
+                at[moved] = target
+                fill[target] += size[moved]
+                fill[source] -= size[moved]
                 return True
-            if not room:
+        others = np.flatnonzero((at != source) & (room[at] > 0))
+        if not len(others):
+            return False
+        theirs, free, fuller = size[others], room[at[others]], fill[at[others]] - fill[source]
+        best, k, j = gain(size[own], theirs, free, fuller)
+        out = [own[k]]
+        if len(own) > 1:
+            a, b = np.triu_indices(len(own), 1)
+            both = size[own[a]] + size[own[b]]
+            order = np.argsort(both, kind="stable")
+            pair, k, i = gain(both[order], theirs, free, fuller)
+            if pair > best:
+                best, j, out = pair, i, [own[a[order[k]]], own[b[order[k]]]]
+        if not best:
+            return False
+        back = others[j]
+        target = at[back]
+        at[out], at[back] = target, source
+        more = size[out].sum() - size[back]
+        fill[target] += more
+        fill[source] -= more
+        return True
+
+    emptied = True
+    while emptied and used > least:
+        emptied = False
+        for source in np.argsort(fill, kind="stable"):
+            if not 0 < fill[source] < limit:
                 continue
-            theirs = sorted((sizes[i], i) for i in bins[target])
-            best: tuple[int, list[int], list[int]] = (0, [], [])
-            outs = [([i], sizes[i]) for i in own] + [([i, j], sizes[i] + sizes[j]) for k, i in enumerate(own[:24]) for j in own[k + 1 : 24]]
-            for out, size in outs:
-                k = bisect_left(theirs, (size - room, -1))  # the smallest piece whose place is large enough
-                if k < len(theirs) and theirs[k][0] < size and size - theirs[k][0] > best[0]:
-                    best = (size - theirs[k][0], out, [theirs[k][1]])
-            if best[0]:
-                give(source, target, best[1], best[2])
-                return True
-        return False
+            while fill[source] and step(source):
+                pass
+            if not fill[source]:
+                emptied, used = True, used - 1
+                if used == least:
+                    break
+    return at.tolist()
+
 
-    for source in sorted(range(len(bins)), key=lambda b: fill[b]):
-        if fill[source] >= OPEN_BELOW * limit:
-            break
-        others = sorted((b for b in range(len(bins)) if b != source and fill[source] <= fill[b] < limit), key=lambda b: -fill[b])
-        for _ in range(TRIES * len(bins)):
-            if not bins[source] or not improve(source, [b for b in others if fill[b] >= fill[source]]):
-                break
-    return [b for b in bins if b]
+def squared_fill(sizes: list[int], places: list[int]) -> int:
+    return int((np.bincount(places, sizes) ** 2).sum())
 
 
 def packer(limit: int, level: int):
     def pack(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        group = group.sort_by([("ids_crc32", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
         sizes = group["length"].to_pylist()
-        bins = swapped(sizes, best_fit(sizes, limit), limit)
-        sequence, offset, full = [0] * len(sizes), [0] * len(sizes), [False] * len(sizes)
-        base = (2 * key[0].as_py() + level) << 20
-        for n, b in enumerate(bins):
-            place = 0
-            total = sum(sizes[i] for i in b)
-            for i in sorted(b):
-                sequence[i], offset[i], full[i] = base + n, place, total >= OPEN_BELOW * limit
-                place += sizes[i]
+        places = np.array(searched(sizes, first_places(sizes, limit), limit))
+        order = np.argsort(places, kind="stable")
+        size, place = np.array(sizes)[order], places[order]
+        before = np.cumsum(size) - size
+        offset = np.empty(len(sizes), np.int64)
+        offset[order] = before - before[np.searchsorted(place, place)]
+        full = np.bincount(places, sizes)[places] >= OPEN_BELOW * limit
         keep = group.select(["doc_id", "piece", "start", "length", "ids_crc32"])
-        return keep.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64())).append_column("full", pa.array(full))
+        sequence = places + ((2 * key[0].as_py() + level) << 20)
+        return keep.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset)).append_column("full", pa.array(full))
 
     return pack
 
@@ -213,7 +241,8 @@ def packed(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     done = []
     for level in (0, 1):
         groups = max(1, (rest.agg(F.sum("length")).first()[0] or 0) // GROUP)
-        dealt = rest.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+        spread = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())  # of stored rows, so a lost task deals alike
+        dealt = rest.withColumn("g", F.pmod(spread, F.lit(groups)))
         placed = dealt.groupBy("g").applyInArrow(packer(limit, level), schema)
         if level == 0:
             placed = cut(placed)

@@ -18,7 +18,7 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.dedup(table(spark, sf_dir, "documents")).withColumnRenamed("kept", "kept_sha256")
+    return suffix.dedup(table(spark, sf_dir, "documents"))
 
 
 def op4_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,35 +1,37 @@
 """Exact repeated-substring removal over a corpus with linear-grouping suffix arrays.
 
-A byte is removed if a LENGTH-byte string that covers it also starts earlier: in a smaller doc_id, or earlier in the
-same document. The corpus is cut by content, so that equal strings always meet in one bounded group:
+A byte is removed if a LENGTH-byte string that covers it also starts earlier: in an earlier document, or earlier in the
+same one. Documents come in the order of doc_id, those without one last, and among equal ids in the order of their
+texts' digests. The suffix arrays decide every removal; what comes before only brings equal strings together in bounded
+groups:
 
 1. every LENGTH-byte window belongs to the least hash of its K-byte substrings (its anchor); runs of windows with one
    anchor are one string, and only strings whose anchor occurs twice in the corpus go on;
-2. strings are grouped by anchor, equal strings are collapsed to the earliest, and the others of a group are
-   suffix-sorted by `grouping_suffix_array` over symbols of a few bytes; windows with equal ranks to their depth are
-   equal, and all but the earliest are removed;
+2. strings are grouped by anchor and suffix-sorted by `grouping_suffix_array` over symbols of a few bytes; windows with
+   equal ranks to their depth are equal, and all but the earliest are removed. Of copies of one string, the earliest
+   and one that stands for all the later ones are sorted;
 3. anchors with over HOT places go on as single windows, of which each block of documents sends every one once.
 
-Exact copies of a whole text need no sorting: all but the first are removed at once. No group holds more than HOT
-strings or one row for each block of documents, whatever the skew.
+Of equal texts the first two are worked on, and what the sort removes from the second goes from all further ones. No
+group holds more than HOT strings or two rows for each block of documents, whatever the skew.
 
-Defined cases: a null text is empty; a text under LENGTH bytes loses nothing. Rows without a doc_id are left out; of
-rows that share a doc_id one is taken, that with the smallest text. Extra columns are ignored; an empty table gives an
-empty one.
+Defined cases: a null text is empty; a text under LENGTH bytes loses nothing. Each row is a document: rows that repeat
+or lack a doc_id are judged each. Extra columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobweave.llm.common import cut, mix64
+from jobweave.llm.common import cut, mix64, single
 
 LENGTH, K = 100, 32
 HOT, LONGEST_RUN = 4096, 4096
@@ -231,24 +233,27 @@ def repeated_windows(strings: list[bytes]) -> list[np.ndarray]:
         if mine.any():
             deep[mine] = np.cumsum(common < LENGTH - a)[at[mine]]
     key = mix64(mix64(head[:, 0] ^ mix64(head[:, 1] + U64(1))) + (deep * 17 + ahead).astype(U64))
+    exact = (deep, ahead, head[:, 1], head[:, 0])
     order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    if any((c[order][1:] != c[order][:-1])[same].any() for c in exact):  # two windows share a key by chance
+        order = np.lexsort(exact)
+        same = np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in exact])
     again = np.zeros(len(window), bool)
-    again[order[1:]] = key[order][1:] == key[order][:-1]
+    again[order[1:]] = same
     return np.split(again, np.cumsum(np.maximum(size - LENGTH + 1, 0))[:-1])
 
 
-def one_each(table: pa.Table) -> Iterator[tuple[int, bytes]]:
-    """doc_id and UTF-8 bytes, in the order of doc_id."""
-    texts: dict[int, str] = {}
-    for i, t in zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True):
-        if i not in texts or (t or "") < texts[i]:
-            texts[i] = t or ""
-    for i in sorted(texts):
-        yield i, texts[i].encode()
-
-
-def firsts(right: pa.Table) -> set[int]:
-    return set(right.filter(pa.compute.equal(right["kind"], 0))["doc_id"].to_pylist())
+def texts_of(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, int, bytes]]:
+    """(doc_id, tie, UTF-8 bytes) of the texts that are worked on, in order; the second of two equal ones has an odd tie."""
+    roles: dict[tuple[int, int], list[int]] = {}
+    marks = right.filter(pa.compute.equal(right["kind"], 0))
+    for d, t, r in zip(marks["doc_id"].to_pylist(), marks["tie"].to_pylist(), marks["role"].to_pylist(), strict=True):
+        roles.setdefault((d, t), []).append(r)
+    rows = [(d, t | r, k) for k, (d, t) in enumerate(zip(left["doc_id"].to_pylist(), left["tie"].to_pylist(), strict=True)) for r in roles.get((d, t), ())]
+    text = left["text"]
+    for d, t, k in sorted(rows):
+        yield d, t, text[k].as_py().encode()
 
 
 def joined(blobs: list[bytes | None], kind: type) -> np.ndarray:
@@ -257,11 +262,8 @@ def joined(blobs: list[bytes | None], kind: type) -> np.ndarray:
 
 def anchors_of(groups: int):
     def list_anchors(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        """The distinct anchors of a block's first copies, with their counts, dealt to groups."""
-        keep, found = firsts(right), [np.zeros(0, U64)]
-        for i, raw in one_each(left):
-            if i in keep and len(raw) >= LENGTH:
-                found.append(anchor_places(raw))
+        """The distinct anchors of a block's texts, with their counts, dealt to groups."""
+        found = [np.zeros(0, U64), *(anchor_places(raw) for _, _, raw in texts_of(left, right))]
         anchor, count = np.unique(np.concatenate(found), return_counts=True)
         to = (anchor % U64(groups)).astype(np.int64)
         order = np.argsort(to, kind="stable")
@@ -291,7 +293,7 @@ def judge_anchors(group: pa.Table) -> pa.Table:
     return pa.table({
         "block": pa.array(block[keep][where], pa.int64()),
         "kind": pa.array([1] * len(parts), pa.int32()),
-        "doc_id": pa.array([None] * len(parts), pa.int64()),
+        **{c: pa.array([None] * len(parts), pa.int64()) for c in ("doc_id", "tie", "role")},
         "anchors": pa.array([anchor[keep[a:b]].tobytes() for a, b in parts], pa.binary()),
         "hot": pa.array([(total[keep[a:b]] > HOT).astype(np.uint8).tobytes() for a, b in parts], pa.binary()),
     })
@@ -299,41 +301,41 @@ def judge_anchors(group: pa.Table) -> pa.Table:
 
 def strings_of(groups: int):
     def list_strings(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Strings around anchors that occur again, by anchor; around hot ones, each window once, by its hash."""
-        keep = firsts(right)
+        """Strings around anchors that occur again, by anchor; around hot ones, what the block's own sort finds and each other window by its hash."""
         anchor, hot = joined(right["anchors"].to_pylist(), U64), joined(right["hot"].to_pylist(), np.uint8)
         order = np.argsort(anchor)
         anchor, hot = anchor[order], hot[order].astype(bool)
-        to, by, doc, pos, end, data = columns = [], [], [], [], [], []
-        seen: set[bytes] = set()
+        to, by, doc, tie, pos, end, data = columns = [], [], [], [], [], [], []
 
         def emit(*values: object) -> None:
             for c, v in zip(columns, values, strict=True):
                 c.append(v)
 
-        for i, raw in one_each(left):
-            if i not in keep or len(raw) < LENGTH or not len(anchor):
-                continue
+        local: list[tuple[int, int, int, int, bytes]] = []
+        for d, t, raw in texts_of(left, right) if len(anchor) else ():
             start, stop, own = runs(raw)
             at = np.minimum(np.searchsorted(anchor, own), len(anchor) - 1)
             for k in np.flatnonzero(anchor[at] == own).tolist():
-                a, b = int(start[k]), int(stop[k])
-                if not hot[at[k]]:
-                    emit(int(own[k] % U64(groups)), int(own[k].astype(np.int64)), i, a, b + LENGTH - 1, raw[a : b + LENGTH - 1])
-                    continue
-                again = a  # windows from here on were seen earlier in this block
-                for p in range(a, b + 1):
-                    window = raw[p : p + LENGTH]
-                    if p < b and window in seen:
-                        continue
-                    if again < p:
-                        emit((i + again) % groups, 0, i, again, p + LENGTH - 1, None)
-                    again = p + 1
-                    if p < b:
-                        seen.add(window)
-                        h = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
-                        emit(h % groups, h, i, p, p + LENGTH, window)
-        return pa.table({"to": pa.array(to, pa.int64()), "by": pa.array(by, pa.int64()), "doc_id": pa.array(doc, pa.int64()), "pos": pa.array(pos, pa.int64()), "end": pa.array(end, pa.int64()), "data": pa.array(data, pa.binary())})
+                a, b, key = int(start[k]), int(stop[k]), int(own[k].astype(np.int64))
+                if hot[at[k]]:
+                    local.append((key, d, t, a, raw[a : b + LENGTH - 1]))
+                else:
+                    emit(int(own[k] % U64(groups)), key, d, t, a, b + LENGTH - 1, raw[a : b + LENGTH - 1])
+        gone: dict[int, list[tuple[int, int]]] = {}
+        local.sort(key=lambda row: row[:4])
+        for k, a, b in repeats(local):
+            gone.setdefault(k, []).append((a, b))
+        for k, (_, d, t, p, s) in enumerate(local):
+            first = np.ones(len(s) - LENGTH + 1, bool)
+            for a, b in gone.get(k, ()):
+                first[a:b] = False
+                emit((p + a) % groups, 0, d, t, p + a, p + b + LENGTH - 1, None)
+            for q in np.flatnonzero(first).tolist():
+                window = s[q : q + LENGTH]
+                h = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
+                emit(h % groups, h, d, t, p + q, p + q + LENGTH, window)
+        kinds = {"to": to, "by": by, "doc_id": doc, "tie": tie, "pos": pos, "end": end}
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in kinds.items()} | {"data": pa.array(data, pa.binary())})
 
     return list_strings
 
@@ -344,93 +346,132 @@ def may_repeat(s: bytes) -> bool:
     return r > LENGTH - K + 1 or s.find(s[r - 1 : r - 1 + K], r) >= 0
 
 
-def find_repeats(group: pa.Table) -> pa.Table:
-    """Byte ranges to remove, from all strings of some anchors."""
-    out_doc, out_a, out_b = [], [], []
-
-    def remove(d: int, a: int, b: int) -> None:
-        out_doc.append(d)
-        out_a.append(a)
-        out_b.append(b)
-
-    def sort_some(some: list[tuple[int, int, bytes]]) -> None:
-        if not some:
-            return
-        some.sort()
-        for (d, p, _), again in zip(some, repeated_windows([s for _, _, s in some]), strict=True):
+def repeats(rows: list[tuple[int, int, int, int, bytes]]) -> Iterator[tuple[int, int, int]]:
+    """Of strings as (anchor, doc_id, tie, place, bytes), in this order: (row, a, b) where its windows a to b begin earlier too.
+
+    Strings of one anchor are sorted together. The earliest of equal strings goes into the sort, and the next one, whose
+    windows stand for those of all later ones.
+    """
+    waiting: list[tuple[tuple[int, int, int], bytes, list[int]]] = []
+    held, k = 0, 0
+
+    def sort_some() -> Iterator[tuple[int, int, int]]:
+        waiting.sort(key=lambda w: w[0])
+        for (_, _, same), again in zip(waiting, repeated_windows([s for _, s, _ in waiting]) if waiting else [], strict=True):
             if again.any():
                 edge = np.flatnonzero(np.diff(np.r_[0, again.view(np.int8), 0]))
                 for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                    remove(d, p + a, p + b + LENGTH - 1)
-
-    group = group.sort_by([("by", "ascending"), ("doc_id", "ascending"), ("pos", "ascending")])
-    by, doc, pos, end, data = (group[c].to_pylist() for c in ("by", "doc_id", "pos", "end", "data"))
-    waiting: list[tuple[int, int, bytes]] = []
-    held, k = 0, 0
-    while k < len(by):
-        own: dict[bytes, tuple[int, int]] = {}
-        now = by[k]
-        while k < len(by) and by[k] == now:
-            s, d, p = data[k], doc[k], pos[k]
-            if s is None:
-                remove(d, p, end[k])
-            elif s in own:
-                if own[s] != (d, p):
-                    remove(d, p, p + len(s))
-            else:
-                own[s] = (d, p)
+                    for row in same:
+                        yield row, a, b
+
+    while k < len(rows):
+        own: dict[bytes, list[int]] = {}
+        now = rows[k][0]
+        while k < len(rows) and rows[k][0] == now:
+            own.setdefault(rows[k][4], []).append(k)
             k += 1
-        if len(own) > 1 or any(map(may_repeat, own)):
-            waiting += [(d, p, s) for s, (d, p) in own.items()]
-            held += sum(map(len, own))
+        if len(own) > 1 or any(len(same) > 1 or may_repeat(s) for s, same in own.items()):
+            for s, same in own.items():
+                for part in (same[:1], same[1:]):
+                    if part:
+                        waiting.append((rows[part[0]][1:4], s, part))
+                        held += len(s)
         if held >= SORTED:
-            sort_some(waiting)
-            waiting, held = [], 0
-    sort_some(waiting)
-    return pa.table({"doc_id": pa.array(out_doc, pa.int64()), "a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+            yield from sort_some()
+            waiting.clear()
+            held = 0
+    yield from sort_some()
+
+
+def find_repeats(group: pa.Table) -> pa.Table:
+    """Byte ranges to remove, from all strings of some anchors."""
+    group = group.sort_by([(c, "ascending") for c in ("by", "doc_id", "tie", "pos")])
+    found = group.filter(pa.compute.is_null(group["data"])).select(["doc_id", "tie", "pos", "end"]).rename_columns(["doc_id", "tie", "a", "b"])
+    strings = group.filter(pa.compute.is_valid(group["data"]))
+    rows = list(zip(*(strings[c].to_pylist() for c in ("by", "doc_id", "tie", "pos", "data")), strict=True))
+    cuts = [(*rows[k][1:3], rows[k][3] + a, rows[k][3] + b + LENGTH - 1) for k, a, b in repeats(rows)]
+    columns = list(zip(*cuts, strict=True)) if cuts else [[]] * 4
+    return pa.concat_tables([found, pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "tie", "a", "b"), columns, strict=True)})])
 
 
 def remove_repeats(with_text: bool):
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        keep, cuts = firsts(right), right.filter(pa.compute.equal(right["kind"], 2)).sort_by("doc_id")
-        doc, a, b = (cuts[c].to_numpy() for c in ("doc_id", "a", "b"))
+        """What is left of each text that is worked on, by its digest and role."""
+        cuts = right.filter(pa.compute.equal(right["kind"], 2)).sort_by([("doc_id", "ascending"), ("tie", "ascending")])
+        keys = list(zip(cuts["doc_id"].to_pylist(), cuts["tie"].to_pylist(), strict=True))
+        a, b = cuts["a"].to_numpy(), cuts["b"].to_numpy()
+        marks = right.filter(pa.compute.equal(right["kind"], 0))
+        sha = {(d, t | r): (s, r) for d, t, r, s in zip(*(marks[c].to_pylist() for c in ("doc_id", "tie", "role", "sha")), strict=True)}
         rows = []
-        for i, raw in one_each(left):
-            if len(raw) < LENGTH:
-                removed, spans, kept = 0, 0, raw
-            elif i not in keep:
-                removed, spans, kept = len(raw), 1, b""
-            else:
-                lo, hi = np.searchsorted(doc, [i, i + 1])
-                edge = np.bincount(a[lo:hi], minlength=len(raw) + 1) - np.bincount(b[lo:hi], minlength=len(raw) + 1)
-                gone = np.cumsum(edge[:-1]) > 0
-                removed, spans = int(gone.sum()), int((np.diff(gone.view(np.int8), prepend=0) > 0).sum())
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if removed else raw
-            rows.append((i, len(raw), removed, spans, kept.decode(errors="ignore") if with_text else hashlib.sha256(kept).hexdigest()))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        for d, t, raw in texts_of(left, right):
+            lo, hi = bisect_left(keys, (d, t)), bisect_right(keys, (d, t))
+            if lo == hi:
+                continue
+            edge = np.bincount(a[lo:hi], minlength=len(raw) + 1) - np.bincount(b[lo:hi], minlength=len(raw) + 1)
+            gone = np.cumsum(edge[:-1]) > 0
+            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+            rows.append((*sha[d, t], int(gone.sum()), int((np.diff(gone.view(np.int8), prepend=0) > 0).sum()), kept.decode(errors="ignore") if with_text else hashlib.sha256(kept).hexdigest()))
+        kinds = {"sha": pa.binary(), "role": pa.int32(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.string()}
         columns = zip(*rows, strict=True) if rows else [[]] * 5
-        names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)})
+        return pa.table({n: pa.array(c, k) for (n, k), c in zip(kinds.items(), columns, strict=True)})
 
     return apply
 
 
-def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): kept is the remaining text, or the sha256 of its bytes."""
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    digests = cut(docs.select("doc_id", F.octet_length("text").cast("long").alias("n"), F.unhex(F.sha2("text", 256)).alias("sha")))
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, tie, sha, text, row): a row's place in the order of documents, its text, and all its columns."""
+    text = F.coalesce("text", F.lit(""))
+    sha = F.sha2(text, 256)
+    tie = F.conv(F.substring(sha, 1, 15), 16, 10).cast("long") * 2
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    return docs.select(doc_id.alias("doc_id"), tie.alias("tie"), F.unhex(sha).alias("sha"), text.alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def judged(docs: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Digests of all rows; the first two rows of each text as role 0 and 1; and what the sort removed, by text and role.
+
+    A row is worked on where its doc_id and tie stand; of rows equal in both one is read, as they have one text.
+    """
+    digests = cut(keyed(docs).select("doc_id", "tie", "sha", F.octet_length("text").cast("long").alias("n"), F.monotonically_increasing_id().alias("at")))
     total = digests.agg(F.sum("n")).first()[0] or 0
     blocks, groups = max(1, -(-total // BLOCK)), max(1, -(-total // ANCHORS))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")
-    no_blob = F.lit(None).cast("binary")
-    first = digests.where(F.col("n") >= LENGTH).groupBy("sha").agg(F.min("doc_id").alias("doc_id"))
-    first = first.select(block, F.lit(0).alias("kind"), "doc_id").distinct()
-    by_block = docs.select("doc_id", "text", block).groupBy("block")
-    listed = by_block.cogroup(first.groupBy("block")).applyInArrow(anchors_of(groups), "to long, block long, anchors binary, counts binary")
-    judged = listed.groupBy("to").applyInArrow(judge_anchors, "block long, kind int, doc_id long, anchors binary, hot binary")
-    told = judged.unionByName(first.select("*", no_blob.alias("anchors"), no_blob.alias("hot")))
-    strings = by_block.cogroup(told.groupBy("block")).applyInArrow(strings_of(groups * 4), "to long, by long, doc_id long, pos long, end long, data binary")
-    cuts = strings.groupBy("to").applyInArrow(find_repeats, "doc_id long, a long, b long")
-    none = F.lit(None).cast("long")
-    marks = cuts.select(block, F.lit(2).alias("kind"), "doc_id", "a", "b").unionByName(first.select("*", none.alias("a"), none.alias("b")))
-    return by_block.cogroup(marks.groupBy("block")).applyInArrow(remove_repeats(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept string")
+    block = F.pmod(F.xxhash64("doc_id", "tie"), F.lit(blocks)).alias("block")
+    place = F.row_number().over(Window.partitionBy("sha").orderBy("doc_id", "at"))  # Spark keeps two for each key before it shuffles
+    first = digests.where(F.col("n") >= LENGTH).withColumn("place", place).where("place <= 2")
+    first = cut(first.select("doc_id", "tie", "sha", "at", (F.col("place") - 1).cast("int").alias("role")))
+    read = single(keyed(docs).select("doc_id", "tie", "text"), ["doc_id", "tie"], digests)
+    by_block = read.select("doc_id", "tie", "text", block).groupBy("block")
+    worked = first.select(block, F.lit(0).alias("kind"), "doc_id", F.col("tie"), F.col("role").cast("long").alias("role"))
+    listed = by_block.cogroup(worked.groupBy("block")).applyInArrow(anchors_of(groups), "to long, block long, anchors binary, counts binary")
+    found = listed.groupBy("to").applyInArrow(judge_anchors, "block long, kind int, doc_id long, tie long, role long, anchors binary, hot binary")
+    told = found.unionByName(worked, allowMissingColumns=True)
+    strings = by_block.cogroup(told.groupBy("block")).applyInArrow(strings_of(groups * 4), "to long, by long, doc_id long, tie long, pos long, end long, data binary")
+    cuts = strings.groupBy("to").applyInArrow(find_repeats, "doc_id long, tie long, a long, b long")
+    own_block = F.pmod(F.xxhash64("doc_id", F.col("tie").bitwiseAND(-2)), F.lit(blocks)).alias("block")
+    marks = cuts.select(own_block, F.lit(2).alias("kind"), "doc_id", "tie", "a", "b").unionByName(first.select(block, F.lit(0).alias("kind"), "doc_id", "tie", F.col("role").cast("long").alias("role"), "sha"), allowMissingColumns=True)
+    left = by_block.cogroup(marks.groupBy("block")).applyInArrow(remove_repeats(with_text), "sha binary, role int, n_removed long, n_spans long, kept string")
+    return digests, first, left
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs(doc_id, text)."""
+    digests, first, left = judged(docs, with_text=False)
+    roles = digests.join(first.select("at", "role"), "at", "left").withColumn("role", F.coalesce("role", F.lit(1)))
+    both = roles.join(left, ["sha", "role"], "left")
+    return both.select(
+        F.when(F.col("doc_id") != (1 << 63) - 1, F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_bytes"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+        F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept", F.lower(F.hex("sha"))).alias("kept_sha256"),
+    )
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """(row, kept) for each row of docs: all its columns as a struct, and what is left of its text, null if all is.
+
+    Rows equal in doc_id and text stand for each other: one is returned, since the others lose all.
+    """
+    digests, first, left = judged(docs, with_text=True)
+    key = ["doc_id", "tie"]
+    roles = digests.select(*key, "sha").distinct().join(first.where("role = 0").select(*key, F.lit(0).alias("role")), key, "left")
+    changes = roles.withColumn("role", F.coalesce("role", F.lit(1))).join(left, ["sha", "role"]).select(*key, "kept")
+    rows = single(keyed(docs).select(*key, "row"), key, digests.where(F.col("n") >= LENGTH))
+    return rows.join(changes, key, "left").select("row", "kept")
