@@ -64,48 +64,48 @@ def queries() -> dict:
 
 
 OP9_SQL = """
-WITH words(kind, id, w) AS (
-  SELECT 'd', doc_id, regexp_extract_all(lower(text), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM documents
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents), items AS (SELECT row_number() OVER () AS r, item_id, text FROM benchmark WHERE item_id IS NOT NULL),
+words(kind, r, w) AS (
+  SELECT 'd', r, regexp_extract_all(lower(text), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM docs
   UNION ALL
-  SELECT 'i', item_id, regexp_extract_all(lower(text), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark),
-places AS (SELECT kind, id, w, unnest(range(1, len(w) - 3)) AS p FROM words WHERE len(w) >= 5),
-shingles AS (SELECT DISTINCT kind, id, array_to_string(w[p:p + 4], ' ') AS s FROM places),
-sizes AS (SELECT id, count(*) AS n FROM shingles WHERE kind = 'i' GROUP BY id),
-hits AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared
-  FROM shingles d JOIN shingles i ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i' GROUP BY 1, 2),
-found AS (SELECT doc_id, item_id, shared / n AS containment FROM hits JOIN sizes ON item_id = id WHERE 100 * shared >= 80 * n),
-grouped AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids, max(containment) AS containment
-  FROM found GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_items, 0) AS n_items, coalesce(item_ids, '') AS item_ids, coalesce(containment, 0.0) AS containment,
-  n_items IS NOT NULL AS contaminated
-FROM documents d LEFT JOIN grouped g ON d.doc_id = g.doc_id
+  SELECT 'i', r, regexp_extract_all(lower(text), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM items),
+widths AS (SELECT *, least(5, len(w)) AS width FROM words WHERE kind = 'i' AND len(w) > 0),
+places AS (SELECT kind, r, w, width, unnest(range(1, len(w) - width + 2)) AS p FROM widths
+  UNION ALL SELECT kind, r, w, k.width, unnest(range(1, len(w) - k.width + 2)) FROM words, (SELECT DISTINCT width FROM widths) k WHERE kind = 'd' AND len(w) >= k.width),
+shingles AS (SELECT DISTINCT kind, r, width, array_to_string(w[p:p + width - 1], ' ') AS s FROM places),
+sizes AS (SELECT r, count(*) AS n FROM shingles WHERE kind = 'i' GROUP BY r),
+hits AS (SELECT d.r AS d, i.r AS i, count(*) AS shared FROM shingles d JOIN shingles i ON d.s = i.s AND d.width = i.width AND d.kind = 'd' AND i.kind = 'i' GROUP BY 1, 2),
+found AS (SELECT d, item_id, max(shared / n) AS containment FROM hits JOIN sizes ON i = sizes.r JOIN items ON i = items.r WHERE 100 * shared >= 80 * n GROUP BY 1, 2),
+grouped AS (SELECT d, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids, max(containment) AS containment FROM found GROUP BY d)
+SELECT doc_id, coalesce(n_items, 0) AS n_items, coalesce(item_ids, '') AS item_ids, coalesce(containment, 0.0) AS containment, n_items IS NOT NULL AS contaminated
+FROM docs LEFT JOIN grouped ON r = d
 """
 
 
 def op8_sql() -> str:
-    """Lines of up to BLOCK words, or windows of BLOCK that overlap by half, against each template's words."""
-    half = licenses.BLOCK // 2
-    templates = ", ".join(f"('{label}', [{', '.join(repr(w) for w in words)}], {need})" for _, label, words, need in licenses.template_rows())
+    """Lines and whole texts, in windows of each template class that overlap by half, against each template's words."""
+    templates = ", ".join(f"('{label}', [{', '.join(repr(w) for w in words)}], {need}, {block})" for _, label, words, need, block in licenses.template_rows())
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in licenses.PHRASES.items())
     cut = "regexp_extract_all({0}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    windows = " UNION ALL ".join(f"SELECT doc, {b} AS block, w, unnest(range(1, greatest(1, len(w) - {b // 2}) + 1, {b // 2})) AS a FROM lines" for b in licenses.BLOCKS)
     return f"""
-WITH docs AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
-cut AS (SELECT doc_id, {cut.format("low")} AS w FROM docs),
+WITH docs AS (SELECT row_number() OVER () AS doc, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+cut AS (SELECT doc, doc_id, {cut.format("low")} AS w FROM docs),
 phrases(phrase, label, k) AS (VALUES {phrases}),
-places AS (SELECT doc_id, w, unnest(range(0, len(w))) AS p FROM cut),
-base AS (SELECT doc_id, label, p FROM places, phrases WHERE array_to_string(w[p + 1:p + k], ' ') = phrase),
-templates(label, tw, need) AS (VALUES {templates}),
-lines AS (SELECT doc_id, {cut.format("line")} AS w FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM docs)),
-starts AS (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - {half}) + 1, {half})) AS a FROM lines),
-blocks AS (SELECT doc_id, w[a:a + {licenses.BLOCK - 1}] AS w FROM starts),
-met AS (SELECT doc_id, label, len(list_intersect(tw, w)) / len(tw) AS containment FROM blocks, templates WHERE len(list_intersect(tw, w)) >= need),
-best AS (SELECT doc_id, max(containment) AS containment FROM met GROUP BY 1),
-labels AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM met UNION SELECT doc_id, label FROM base) GROUP BY 1),
-bases AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word FROM base GROUP BY 1),
-named AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM base) GROUP BY 1)
+places AS (SELECT doc, w, unnest(range(0, len(w))) AS p FROM cut),
+base AS (SELECT doc, label, p FROM places, phrases WHERE array_to_string(w[p + 1:p + k], ' ') = phrase),
+templates(label, tw, need, block) AS (VALUES {templates}),
+lines AS (SELECT doc, {cut.format("line")} AS w FROM (SELECT doc, unnest(string_split(low, chr(10))) AS line FROM docs) UNION ALL SELECT doc, w FROM cut),
+starts AS ({windows}),
+blocks AS (SELECT doc, block, w[a:a + block - 1] AS w FROM starts),
+met AS (SELECT doc, label, len(list_intersect(tw, w)) / len(tw) AS containment FROM blocks JOIN templates USING (block) WHERE len(list_intersect(tw, w)) >= need),
+best AS (SELECT doc, max(containment) AS containment FROM met GROUP BY 1),
+labels AS (SELECT doc, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc, label FROM met UNION SELECT doc, label FROM base) GROUP BY 1),
+bases AS (SELECT doc, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word FROM base GROUP BY 1),
+named AS (SELECT doc, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc, label FROM base) GROUP BY 1)
 SELECT c.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
   coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(containment, 0.0) END AS score
-FROM cut c LEFT JOIN bases USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN labels USING (doc_id) LEFT JOIN best USING (doc_id)
+FROM cut c LEFT JOIN bases USING (doc) LEFT JOIN named USING (doc) LEFT JOIN labels USING (doc) LEFT JOIN best USING (doc)
 """
 
 

@@ -33,12 +33,13 @@ DATE = "2024-01-01T00:00:00Z"
 SKIP = re.compile(r"<(script|style|noscript|template|svg|iframe)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<head\b.*?(?:</head\s*>|(?=<body)|\Z)", re.S | re.I)
 BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*(?:>|\Z)", re.I)
 TAG = re.compile(r"<[a-zA-Z/!?][^>]*(?:>|\Z)")
-LINK = re.compile(r"<(a|area|link)\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+LINK = re.compile(r"<(a|area|link)(?=[\s/])((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*))")
 TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
 LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
 FIELDS = "record_type string, record_id string, refers_to string, target_uri string, date string, http_status int, source_content_type string, source_payload_digest string, payload_digest string, block_digest string, content_length long, record binary, text string"
 #: Columns with the source's headers, after those of FIELDS.
-SOURCE = "source_block_digest string, warc_headers array<struct<name: string, value: string>>, http_headers array<struct<name: string, value: string>>, body_error string"
+SOURCE = "source_block_digest string, warc_headers array<struct<name: string, value: string>>, http_headers array<struct<name: string, value: string>>, body_error string, payload_verified boolean"
 
 
 def digest(body: bytes) -> str:
@@ -157,6 +158,15 @@ def parsed(raw: bytes) -> tuple[Fields, int, Fields, bytes]:
     return warc, int(status[1]), Fields(http), body
 
 
+def outlinks(page: str) -> Iterator[tuple[str, str]]:
+    """(element, target) of each link, by its first attribute named href."""
+    for tag in LINK.finditer(page):
+        for name, *values in ATTRIBUTE.findall(tag[2]):
+            if name.lower() == "href":
+                yield tag[1].lower(), html.unescape("".join(values)).strip()
+                break
+
+
 def plain_text(page: str) -> str:
     rough = TAG.sub("", BREAK.sub("\n", SKIP.sub(" ", page)))
     return "\n".join(x for x in (" ".join(line.split()) for line in html.unescape(rough).split("\n")) if x)
@@ -166,9 +176,12 @@ def derived(raw: bytes | None) -> list[tuple]:
     try:
         warc, status, http, body = parsed(raw or b"")
     except ValueError as reason:
-        return [("invalid", None, None, None, None, None, None, None, None, None, 0, raw, str(reason), None, None, None, None)]
+        return [("invalid", None, None, None, None, None, None, None, None, None, 0, raw, str(reason), None, None, None, None, None)]
     source, uri, date = (warc.get(k, "") for k in ("warc-record-id", "warc-target-uri", "warc-date"))
-    kind, payload = http.get("content-type", ""), warc.get("warc-payload-digest") or digest(body)
+    given = warc.get("warc-payload-digest")
+    kind, payload = http.get("content-type", ""), given or digest(body)
+    chunked = "chunked" in (c.split(";")[0].strip() for c in http.codings("transfer-encoding"))
+    verified = given in {digest(body), *([digest(unchunked(body)[0])] if chunked else [])} if given and given.startswith("sha1:") else None
     block_digest = warc.get("warc-block-digest")
     body, body_error = undone(http, body)
     charset = re.search(r"charset=[\"']?([\w-]+)", kind)
@@ -177,7 +190,7 @@ def derived(raw: bytes | None) -> list[tuple]:
     except LookupError:
         page = body.decode("utf-8", "replace")
     title, lang = TITLE.search(page), LANG.search(page)
-    links = [f"outlink: {html.unescape(next((v for v in m.groups()[1:] if v is not None), '')).strip()} {'L' if m[1].lower() == 'a' else 'E'} {m[1].lower()}/@href" for m in LINK.finditer(page)]
+    links = [f"outlink: {target} {'L' if element == 'a' else 'E'} {element}/@href" for element, target in outlinks(page)]
     facts = [("title", one_line(html.unescape(title[1])) if title else ""), ("lang", lang[1] if lang else ""), ("http-status", str(status)), ("source-content-type", kind), ("source-payload-digest", payload), ("source-block-digest", block_digest), ("body-error", body_error)]
     facts += [(kind_of, f"{k}: {one_line(v)}") for kind_of, head in (("source-warc-header", warc), ("source-http-header", http)) for k, v in head.rows]
     meta = "".join(f"{k}: {v}{END}" for k, v in facts if v) + "".join(f"{one_line(x)}{END}" for x in links)
@@ -190,7 +203,7 @@ def derived(raw: bytes | None) -> list[tuple]:
             ("WARC-Type", name), ("WARC-Record-ID", made), ("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date),
             ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Source-Payload-Digest", payload), ("WARC-Payload-Digest", own), ("WARC-Block-Digest", own), ("Content-Type", content),
         ], block)
-        out.append((name, made, source, uri, date, status, kind, payload, own, own, len(block), whole, text, block_digest, warc.rows, http.rows, body_error))
+        out.append((name, made, source, uri, date, status, kind, payload, own, own, len(block), whole, text, block_digest, warc.rows, http.rows, body_error, verified))
     return out
 
 
@@ -208,8 +221,8 @@ def responses(pages: DataFrame) -> DataFrame:
 def derivatives(records: DataFrame, key: str = "page_id") -> DataFrame:
     """Metadata and conversion records of each row of records(key, record)."""
     pairs = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
-    kinds = [pa.string()] * 5 + [pa.int32()] + [pa.string()] * 4 + [pa.int64(), pa.binary(), pa.string(), pa.string(), pairs, pairs, pa.string()]
-    names = [f.split()[0] for f in FIELDS.split(", ")] + ["source_block_digest", "warc_headers", "http_headers", "body_error"]
+    kinds = [pa.string()] * 5 + [pa.int32()] + [pa.string()] * 4 + [pa.int64(), pa.binary(), pa.string(), pa.string(), pairs, pairs, pa.string(), pa.bool_()]
+    names = [f.split()[0] for f in FIELDS.split(", ")] + ["source_block_digest", "warc_headers", "http_headers", "body_error", "payload_verified"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -44,6 +44,12 @@ def nothing(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+@pytest.fixture(autouse=True)
+def few_rounds(monkeypatch):
+    """The exchange of words ends early, but where a test asks for more."""
+    monkeypatch.setattr(brown, "SETTLED", 0.5)
+
+
 def by_id(df):
     return {r["doc_id"]: r for r in df.collect()}
 
@@ -263,6 +269,15 @@ def test_warc_links_records():
     assert warc.derived(None)[0][0] == "invalid" and warc.derived(raw[:-30] + b"x" * 30)[0][0] == "invalid"
 
 
+def test_warc_links_and_payload_digests():
+    page = '<a data-href="/wrong" href="/right"><a title="href=\'/no\'" HREF=/two><area href=\'/three\'><link rel=x href="/css"><a name=n><abbr href="/never">'
+    assert list(warc.outlinks(page)) == [("a", "/right"), ("a", "/two"), ("area", "/three"), ("link", "/css")]
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hi"
+    for given, want in ((warc.digest(b"<p>hi"), True), (warc.digest(b"other"), False), ("md5:x", None), (None, None)):
+        head = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x:1>")] + [("WARC-Payload-Digest", given)] * (given is not None)
+        assert [r[17] for r in warc.derived(warc.record(head, block))] == [want, want]
+
+
 def crawled(body, *http):
     block = "".join(f"{x}\r\n" for x in ("HTTP/1.1 200 OK", "Content-Type: text/html; charset=latin-1", *http, "")).encode("latin-1") + body
     return warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x:1>"), ("WARC-IP-Address", "10.0.0.1"), ("WARC-Warcinfo-ID", "<urn:x:0>"), ("WARC-Block-Digest", warc.digest(block))], block)
@@ -322,6 +337,52 @@ def test_language_model_without_listed_words(docs, monkeypatch):
     assert {i: r["base_score"] for i, r in by_id(brown.perplexity_scores(docs)).items()} == pytest.approx(want)
 
 
+def test_language_model_scores_by_brute_force(docs, monkeypatch):
+    """Transitions, emissions and scores from plain counts, given the classes; probabilities after any word sum to one."""
+    monkeypatch.setattr(brown, "LISTED", 200)
+    m = brown.train(docs)
+    number = {w: k for k, w in enumerate(m.listed)}
+    of = lambda w: int(m.classes[number[w]]) if w in number else brown.CLASSES + brown.tail_class(w)
+    texts = {i: [*brown.words_of(t), brown.END] for i, t in corpus()}
+    trained = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter(w for t in trained for w in t)
+    pairs = Counter((of(a), of(b)) for t in trained for a, b in zip([brown.END, *t[:-1]], t, strict=True))
+    out_of, in_to = Counter(), Counter()
+    for (a, b), n in pairs.items():
+        out_of[a] += n
+        in_to[b] += n
+    share = np.array([in_to[c] for c in range(brown.ALL)]) / sum(in_to.values()) + 1e-6
+    share /= share.sum()
+    held = Counter()
+    for w, c in count.items():
+        held[of(w)] += c if w in number else c + 1
+    emits = lambda w: count[w] / held[of(w)] if w in number else (count[w] + 1) / (held[of(w)] + 1)
+    moves = lambda a, b: (pairs[a, b] + brown.PRIOR * share[b]) / (out_of[a] + brown.PRIOR)
+    got = by_id(brown.perplexity_scores(docs))
+    for i, t in texts.items():
+        want = sum(math.log10(moves(of(a), of(b)) * emits(b)) for a, b in zip([brown.END, *t[:-1]], t, strict=True))
+        assert got[i]["score"] == pytest.approx(want), i
+    for c in (0, 3, brown.CLASSES + 2):
+        known = sum(moves(c, of(w)) * emits(w) for w in count)
+        unknown = sum(moves(c, d) / (held[d] + 1) for d in range(brown.CLASSES, brown.ALL))
+        empty = sum(moves(c, d) for d in range(brown.CLASSES) if not held[d])
+        assert known + unknown + empty == pytest.approx(1)
+
+
+def test_exchange_raises_the_likelihood(docs, monkeypatch):
+    monkeypatch.setattr(brown, "SETTLED", 0.01)
+    risen = brown.train(docs).risen
+    assert len(risen) > 2 and all(b >= a for a, b in zip(risen, risen[1:])) and risen[-1] > risen[0]
+
+
+def test_language_model_counts_repeated_rows(spark):
+    rows = [(1, "a b a zz"), (1, "a b a zz"), (1, "a b"), (None, "a zz"), (None, "a zz"), (4, None)]
+    got = brown.perplexity_scores(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, word string")).collect()
+    count = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 or i is None for w in [*brown.words_of(t), brown.END])
+    assert sorted((r["doc_id"], r["n_tokens"], r["n_known"]) for r in got if r["doc_id"]) == [(1, 3, sum(count[w] > 0 for w in (b"a", b"b", brown.END))), *[(1, 5, 1 + sum(count[w] > 0 for w in (b"a", b"b", b"a", b"zz")))] * 2, (4, 1, 1)]
+    assert len({r["score"] for r in got if r["n_tokens"] == 5}) == 1
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     got = by_id(registry.op10_compression_quality(spark, sf))
@@ -357,6 +418,30 @@ def test_decontamination(spark, docs):
     assert decontaminate.contamination(docs, items.limit(0)).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_decontamination_of_odd_rows(spark, monkeypatch, bound):
+    """Rows that share an id are judged each; nulls, a very long text, repeated items and clashing columns; sent to all executors or shuffled."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", bound)
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
+    items = spark.createDataFrame([(1, item, "a"), (1, "quite another text of one two three", "b"), (1, item, "c"), (None, item, "d"), (2, "two words", "e")], "item_id long, text string, n string")
+    texts = [(7, " ".join(item.split()[:9])), (7, " ".join(item.split()[5:])), (7, f"x {item} y"), (None, item), (None, None), (8, "w " * 300_000 + item), (8, "Quite another text of one two three"), (9, "some two words"), (9, "some two words")]
+    docs = spark.createDataFrame([(*t, k, "x") for k, t in enumerate(texts)], "doc_id long, text string, item_id int, need string")
+    got = sorted(((r["doc_id"], r["item_ids"], r["n_items"]) for r in decontaminate.contamination(docs, items).collect()), key=str)
+    assert got == sorted([(7, "", 0), (7, "", 0), (7, "1", 1), (None, "1", 1), (None, "", 0), (8, "1", 1), (8, "1", 1), (9, "2", 1), (9, "2", 1)], key=str)
+    kept = decontaminate.without_items(docs, items)
+    assert kept.columns == docs.columns and sorted(r["item_id"] for r in kept.collect()) == [0, 1, 4]
+
+
+def test_licenses_and_quality_on_odd_rows(spark):
+    texts = [(None, None), (None, "All rights reserved"), (1, "all rights reserved"), (1, "all rights reserved"), (2, "x " * 300_000 + "cc by"), (2, "")]
+    docs = spark.createDataFrame([(*t, "a", 3) for t in texts], "doc_id long, text string, label string, score int")
+    got = sorted(((r["doc_id"], r["n_words"], r["n_base"], r["labels"]) for r in licenses.scan(docs).collect()), key=str)
+    assert got == sorted([(None, 0, 0, ""), (None, 3, 1, "reserved"), (1, 3, 1, "reserved"), (1, 3, 1, "reserved"), (2, 300_002, 1, "cc-by"), (2, 0, 0, "")], key=str)
+    labels = spark.createDataFrame([(1, 1, 0, "x"), (2, 0, 0, "y"), (None, 0, 0, "z")], "doc_id long, quality int, toxic int, label string")
+    assert quality.scores(docs, labels).count() == 6 and all(0 <= r[0] <= 1 for r in quality.scores(docs, labels).select("score").collect())
+    assert quality.keep_good(docs, labels).columns == docs.columns
+
+
 def test_licenses_across_lines(spark):
     """Every template broken after any three words, far inside a text, and wordings with a word missing or too many missing."""
     filler = " ".join(f"w{k}" for k in range(400))
@@ -367,9 +452,10 @@ def test_licenses_across_lines(spark):
             notice = "\n * ".join(" ".join(w[k : k + 3]) for k in range(0, len(w), 3))
             texts.append(" ".join(filler.split()[:before]) + "\n" + notice + "\n" + filler)
             want.append((label, 1.0))
-    mit = dict(licenses.TEMPLATES)["mit"]
+    mit = next(t for _, t in licenses.TEMPLATES if t.startswith("permission is hereby granted free of charge to any person obtaining"))
     texts += ["\n".join(mit.replace("hereby ", "").split()), "\n".join(mit.replace("hereby granted free ", "").split())]
     want += [("mit", 14 / 15), ("", 0.0)]
+    assert all(len(t.split()) <= licenses.BLOCKS[1] // 2 for _, t in licenses.TEMPLATES)
     got = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
     for k, (label, score) in enumerate(want):
         assert (label in got[k]["labels"].split(",")) and got[k]["score"] == pytest.approx(score), (k, texts[k][:200])
@@ -394,13 +480,91 @@ def test_rows_with_null_ids_and_repeats(spark):
     assert packing.packed(rows, packing.tokenizer_path()).count() == 4
 
 
-def test_pipeline(spark):
+PIPELINE = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_pipeline_stages_keep_rows_with_repeated_and_missing_ids(spark):
+    """Each stage on rows that share or lack an id, on texts that are null, empty or whole copies, and on clashing columns."""
+    import corpus_pipeline as p
+
+    one, two = "the river of stone and light was under seven old trees by the open water today", "others made a quite different text of many more words that nobody had read before now"
+    texts = [(5, one), (5, two), (None, one + " x"), (None, "some words of its own"), (None, None), (8, ""), (6, two)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], PIPELINE)
+    made = p.near_duplicate_stage(spark, docs, SF)
+    assert made.schema.names == docs.schema.names and rows_of(made) == rows_of(docs.where("text is null or text in ('', 'some words of its own') or doc_id = 5"))
+    passage = " ".join(f"passage{k}" for k in range(30))
+    texts = [(5, "first text with " + passage), (5, passage + " ends the other"), (None, "no id but " + passage + " and more"), (None, "short"), (7, passage), (7, passage), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), t, 1) for i, t in texts], PIPELINE + ", kept string, row int")
+    got = {(r["doc_id"], r["kept"]): (r["text"], r["n_chars"]) for r in p.suffix_stage(spark, docs, SF).collect()}
+    order = sorted(texts, key=order_of)
+    whole = {n: k for k, n, *_ in [(k, t) for k, t in enumerate(texts)]}
+    assert len(got) == 5 and (7, passage) not in got and got[9, None] == (None, 0) and got[None, "short"] == ("short", 5) and whole
+    first = next(t for t in order if t[0] == 5)
+    assert got[first] == (first[1], len(first[1]))
+    for key in ((5, texts[0][1]), (5, texts[1][1]), (None, texts[2][1])):
+        if key != first:
+            assert "passage15" not in got[key][0] and got[key][1] == len(got[key][0])
+    labels = p.quality_stage(spark, docs, SF)
+    assert labels.columns == docs.columns
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    docs = spark.createDataFrame([(5, item, "en", "s", 1), (5, "clean words", "en", "s", 1), (None, "x " + item, "en", "s", 1), (None, None, "en", "s", 0)], PIPELINE)
+    assert rows_of(p.decontamination_stage(spark, docs, SF)) == rows_of(docs.where("text is null or text = 'clean words'"))
+    assert p.packing_stage(spark, docs, SF).count() == 4
+
+
+def test_pipeline_stages_take_an_empty_table(spark):
     import corpus_pipeline
 
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], PIPELINE), SF).count() == 0, name
+
+
+def test_pipeline_against_brute_force(spark):
+    """Every stage's rows and texts from its own input, worked out plainly but for the classifier's scores and the tokenizer's ids."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        kept = stage(spark, docs, SF).checkpoint()
-        assert kept.columns == docs.columns and 0 < kept.count() <= docs.count(), name
-        docs = kept
-    placed = corpus_pipeline.run(spark, SF)
-    assert {r[0] for r in placed.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").collect()}
+    scored = {r["doc_id"]: r["score"] for r in quality.scores(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    now = stages["quality classifier"](spark, docs, SF).checkpoint()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    left = {i: t for i, t in texts.items() if scored[i] >= 0.7}
+    assert {r["doc_id"]: r["text"] for r in now.collect()} == left and 0 < len(left) < len(texts)
+    groups = near(list(left.items()), 5)
+    left = {i: t for i, t in left.items() if groups[i][2]}
+    now = stages["MinHash near-dedup"](spark, now, SF).checkpoint()
+    assert {r["doc_id"]: r["text"] for r in now.collect()} == left
+    seen, cut = set(), {}
+    for i in sorted(left):
+        raw = (left[i] or "").encode()
+        gone = np.zeros(len(raw) + 1, bool)
+        for at in range(len(raw) - 99):
+            if raw[at : at + 100] in seen:
+                gone[at : at + 100] = True
+            seen.add(raw[at : at + 100])
+        kept = bytes(b for b, g in zip(raw, gone, strict=False) if not g).decode(errors="ignore")
+        if kept.strip() or not gone.any():
+            cut[i] = kept
+    now = stages["suffix-array dedup"](spark, now, SF).checkpoint()
+    assert {r["doc_id"]: r["text"] or "" for r in now.collect()} == cut and all(r["n_chars"] == len(r["text"]) for r in now.collect() if r["text"] != left[r["doc_id"]])
+    words = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) if w]
+    items = []
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = words(r["text"])
+        items.append({tuple(w[k : k + min(5, len(w))]) for k in range(len(w) - min(5, len(w)) + 1)} if w else set())
+    clean = {}
+    for i, t in cut.items():
+        w = words(t)
+        shingles = {k: {tuple(w[at : at + k]) for at in range(len(w) - k + 1)} for k in range(1, 6)}
+        if not any(item and 100 * len(item & shingles[len(next(iter(item)))]) >= 80 * len(item) for item in items):
+            clean[i] = t
+    now = stages["benchmark decontamination"](spark, now, SF).checkpoint()
+    assert {r["doc_id"]: r["text"] or "" for r in now.collect()} == clean
+    placed = stages["best-fit packing"](spark, now, SF).collect()
+    ran = corpus_pipeline.run(spark, SF).collect()
+    key = lambda r: (r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])
+    assert sorted(map(key, placed)) == sorted(map(key, ran)) and {r["doc_id"] for r in placed} == set(clean)
