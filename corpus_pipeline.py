@@ -10,31 +10,52 @@ from jobweave.llm.common import cut, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts.
+
+    Each row is scored by its own text, also if it repeats or lacks a doc_id; null and empty texts get the score of no
+    evidence. Extra columns stay, whatever their names; an empty table stays empty.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near copies (five-word shingles, 0.8 or more)."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near copies (five-word shingles, 0.8 or more): that with the smallest doc_id.
+
+    Rows are judged each by id and text: other texts under the same id stay, and rows without an id are kept, but for
+    near copies of a row that comes before them (those without one come last). Null, empty and word-free texts are near
+    to nothing and stay. Extra columns stay, whatever their names; an empty table stays empty.
+    """
+    return minhash.one_of_each(docs)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without byte strings that begin earlier in the corpus; those with nothing left go."""
-    rest = suffix.dedup(docs, with_text=True).where("n_removed > 0").select("doc_id", F.col("kept").alias("_kept"))
-    joined = docs.join(rest, "doc_id", "left").where("_kept is null or length(trim(_kept)) > 0")
-    columns = {"text": F.coalesce("_kept", "text"), "n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept"))}
-    return joined.select(*(columns.get(c, F.col(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+    """Documents without byte strings that begin earlier in the corpus, n_chars counted again; those with nothing left go.
+
+    Each row keeps what is left of its own text, also if it repeats or lacks a doc_id; of rows equal in id and text, all
+    but one have nothing left. Null, empty and short texts stay as they are. Extra columns stay, whatever their names; an
+    empty table stays empty.
+    """
+    left = suffix.without_repeats(docs).where("kept is null or length(trim(kept)) > 0")
+    new = {"text": F.col("kept"), "n_chars": F.length("kept")}
+    columns = (F.coalesce(new[c].cast(docs.schema[c].dataType), F.col("row")[c]) if c in new else F.col("row")[c] for c in docs.columns)
+    return left.select(*(x.alias(c) for x, c in zip(columns, docs.columns, strict=True)))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item.
+
+    Each row is judged by its own text, also if it repeats or lacks a doc_id; null and empty texts contain nothing and
+    stay. Extra columns stay, whatever their names; an empty table stays empty.
+    """
     return decontaminate.without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces in sequences of at most 4096 tokens."""
+    """Places of all pieces in sequences of at most 4096 tokens.
+
+    Each row is packed, also if it repeats or lacks a doc_id; a null or empty text is its end token alone. Extra columns
+    go; an empty table gives an empty one.
+    """
     return packing.packed(docs, packing.tokenizer_path())
 
 
@@ -45,7 +66,7 @@ STAGES = [
     ("benchmark decontamination", decontamination_stage),
     ("best-fit packing", packing_stage),
 ]
-#: Trained dictionaries, suffix sorting and subword ids have no SQL form; tests compare with brute force.
+#: Trained dictionaries, suffix sorting and subword ids have no SQL form; a test compares every stage with brute force.
 ORACLE_SQL = None
 
 
