@@ -12,8 +12,8 @@ groups:
    and one that stands for all the later ones are sorted;
 3. anchors with over HOT places go on as single windows, of which each block of documents sends every one once.
 
-Of equal texts the first two are worked on, and what the sort removes from the second goes from all further ones. No
-group holds more than HOT strings or two rows for each block of documents, whatever the skew.
+Of equal texts the first goes this way. The second is sorted beside it in pieces, and what the sort removes from it goes
+from all further ones. No group holds more than HOT strings or two rows for each block of documents, whatever the skew.
 
 Defined cases: a null text is empty; a text under LENGTH bytes loses nothing. Each row is a document: rows that repeat
 or lack a doc_id are judged each. Extra columns are ignored; an empty table gives an empty one.
@@ -244,16 +244,16 @@ def repeated_windows(strings: list[bytes]) -> list[np.ndarray]:
     return np.split(again, np.cumsum(np.maximum(size - LENGTH + 1, 0))[:-1])
 
 
-def texts_of(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, int, bytes]]:
-    """(doc_id, tie, UTF-8 bytes) of the texts that are worked on, in order; the second of two equal ones has an odd tie."""
-    roles: dict[tuple[int, int], list[int]] = {}
+def texts_of(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, int, bytes, bool]]:
+    """(doc_id, tie, UTF-8 bytes, has a copy) of the texts that are worked on, in order; the second of two equal ones has an odd tie."""
+    roles: dict[tuple[int, int], list[tuple[int, bool]]] = {}
     marks = right.filter(pa.compute.equal(right["kind"], 0))
-    for d, t, r in zip(marks["doc_id"].to_pylist(), marks["tie"].to_pylist(), marks["role"].to_pylist(), strict=True):
-        roles.setdefault((d, t), []).append(r)
-    rows = [(d, t | r, k) for k, (d, t) in enumerate(zip(left["doc_id"].to_pylist(), left["tie"].to_pylist(), strict=True)) for r in roles.get((d, t), ())]
+    for d, t, r, c in zip(*(marks[c].to_pylist() for c in ("doc_id", "tie", "role", "copied")), strict=True):
+        roles.setdefault((d, t), []).append((r, c))
+    rows = [(d, t | r, k, c) for k, (d, t) in enumerate(zip(left["doc_id"].to_pylist(), left["tie"].to_pylist(), strict=True)) for r, c in roles.get((d, t), ())]
     text = left["text"]
-    for d, t, k in sorted(rows):
-        yield d, t, text[k].as_py().encode()
+    for d, t, k, c in sorted(rows):
+        yield d, t, text[k].as_py().encode(), c
 
 
 def joined(blobs: list[bytes | None], kind: type) -> np.ndarray:
@@ -263,7 +263,7 @@ def joined(blobs: list[bytes | None], kind: type) -> np.ndarray:
 def anchors_of(groups: int):
     def list_anchors(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         """The distinct anchors of a block's texts, with their counts, dealt to groups."""
-        found = [np.zeros(0, U64), *(anchor_places(raw) for _, _, raw in texts_of(left, right))]
+        found = [np.zeros(0, U64), *(anchor_places(raw) for _, t, raw, _ in texts_of(left, right) if not t & 1)]
         anchor, count = np.unique(np.concatenate(found), return_counts=True)
         to = (anchor % U64(groups)).astype(np.int64)
         order = np.argsort(to, kind="stable")
@@ -294,6 +294,7 @@ def judge_anchors(group: pa.Table) -> pa.Table:
         "block": pa.array(block[keep][where], pa.int64()),
         "kind": pa.array([1] * len(parts), pa.int32()),
         **{c: pa.array([None] * len(parts), pa.int64()) for c in ("doc_id", "tie", "role")},
+        "copied": pa.array([None] * len(parts), pa.bool_()),
         "anchors": pa.array([anchor[keep[a:b]].tobytes() for a, b in parts], pa.binary()),
         "hot": pa.array([(total[keep[a:b]] > HOT).astype(np.uint8).tobytes() for a, b in parts], pa.binary()),
     })
@@ -312,7 +313,13 @@ def strings_of(groups: int):
                 c.append(v)
 
         local: list[tuple[int, int, int, int, bytes]] = []
-        for d, t, raw in texts_of(left, right) if len(anchor) else ():
+        for d, t, raw, copied in texts_of(left, right):
+            for a in range(0, len(raw) - LENGTH + 1, LONGEST_RUN) if copied else ():
+                key = int(mix64(np.array([t | 1], U64) + U64(2 * a))[0] >> U64(1))  # pieces of equal texts meet
+                b = min(a + LONGEST_RUN, len(raw) - LENGTH + 1)
+                emit(groups + key % groups, key, d, t, a, b + LENGTH - 1, raw[a : b + LENGTH - 1])  # apart from anchors, as no sort may hold a place twice
+            if t & 1 or not len(anchor):
+                continue
             start, stop, own = runs(raw)
             at = np.minimum(np.searchsorted(anchor, own), len(anchor) - 1)
             for k in np.flatnonzero(anchor[at] == own).tolist():
@@ -403,7 +410,7 @@ def remove_repeats(with_text: bool):
         marks = right.filter(pa.compute.equal(right["kind"], 0))
         sha = {(d, t | r): (s, r) for d, t, r, s in zip(*(marks[c].to_pylist() for c in ("doc_id", "tie", "role", "sha")), strict=True)}
         rows = []
-        for d, t, raw in texts_of(left, right):
+        for d, t, raw, _ in texts_of(left, right):
             lo, hi = bisect_left(keys, (d, t)), bisect_right(keys, (d, t))
             if lo == hi:
                 continue
@@ -438,17 +445,18 @@ def judged(docs: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame, Data
     block = F.pmod(F.xxhash64("doc_id", "tie"), F.lit(blocks)).alias("block")
     place = F.row_number().over(Window.partitionBy("sha").orderBy("doc_id", "at"))  # Spark keeps two for each key before it shuffles
     first = digests.where(F.col("n") >= LENGTH).withColumn("place", place).where("place <= 2")
-    first = cut(first.select("doc_id", "tie", "sha", "at", (F.col("place") - 1).cast("int").alias("role")))
+    copied = F.max("place").over(Window.partitionBy("sha")) > 1
+    first = cut(first.select("doc_id", "tie", "sha", "at", (F.col("place") - 1).cast("int").alias("role"), copied.alias("copied")))
     read = single(keyed(docs).select("doc_id", "tie", "text"), ["doc_id", "tie"], digests)
     by_block = read.select("doc_id", "tie", "text", block).groupBy("block")
-    worked = first.select(block, F.lit(0).alias("kind"), "doc_id", F.col("tie"), F.col("role").cast("long").alias("role"))
+    worked = first.select(block, F.lit(0).alias("kind"), "doc_id", "tie", F.col("role").cast("long").alias("role"), "copied")
     listed = by_block.cogroup(worked.groupBy("block")).applyInArrow(anchors_of(groups), "to long, block long, anchors binary, counts binary")
-    found = listed.groupBy("to").applyInArrow(judge_anchors, "block long, kind int, doc_id long, tie long, role long, anchors binary, hot binary")
+    found = listed.groupBy("to").applyInArrow(judge_anchors, "block long, kind int, doc_id long, tie long, role long, copied boolean, anchors binary, hot binary")
     told = found.unionByName(worked, allowMissingColumns=True)
     strings = by_block.cogroup(told.groupBy("block")).applyInArrow(strings_of(groups * 4), "to long, by long, doc_id long, tie long, pos long, end long, data binary")
     cuts = strings.groupBy("to").applyInArrow(find_repeats, "doc_id long, tie long, a long, b long")
     own_block = F.pmod(F.xxhash64("doc_id", F.col("tie").bitwiseAND(-2)), F.lit(blocks)).alias("block")
-    marks = cuts.select(own_block, F.lit(2).alias("kind"), "doc_id", "tie", "a", "b").unionByName(first.select(block, F.lit(0).alias("kind"), "doc_id", "tie", F.col("role").cast("long").alias("role"), "sha"), allowMissingColumns=True)
+    marks = cuts.select(own_block, F.lit(2).alias("kind"), "doc_id", "tie", "a", "b").unionByName(first.select(block, F.lit(0).alias("kind"), "doc_id", "tie", F.col("role").cast("long").alias("role"), "copied", "sha"), allowMissingColumns=True)
     left = by_block.cogroup(marks.groupBy("block")).applyInArrow(remove_repeats(with_text), "sha binary, role int, n_removed long, n_spans long, kept string")
     return digests, first, left
 
