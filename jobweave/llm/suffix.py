@@ -76,28 +76,32 @@ def grouping_suffix_array(s: list[int]) -> list[int]:
             while p >= 0 and group[p] > g:
                 p = prev[p]
             prev[i] = p
+            if p >= 0 and size[group[p]] > 1:  # it leaves its group alone
+                h = group[p]
+                top = h + size[h]
+                new = top - 1
+                size[h] -= 1
+                size[new] = 1
+                start_of_end[top], start_of_end[new] = new, h
+                group[p] = new
+                members[new] = here
+                here[0] = p
+            continue
+        count: dict[int, int] = {}
+        for i in here:
+            p = i - 1
+            while p >= 0 and group[p] >= g:
+                p = prev[p]
+            prev[i] = p
             if p >= 0:
-                moves = {1: [p]}
-                most = 1
+                count[p] = count.get(p, 0) + 1
+        moves: dict[int, list[int]] = {}
+        for p, c in count.items():
+            if c in moves:
+                moves[c].append(p)
             else:
-                continue
-        else:
-            count: dict[int, int] = {}
-            for i in here:
-                p = i - 1
-                while p >= 0 and group[p] >= g:
-                    p = prev[p]
-                prev[i] = p
-                if p >= 0:
-                    count[p] = count.get(p, 0) + 1
-            moves, most = {}, 0
-            for p, c in count.items():
-                if c in moves:
-                    moves[c].append(p)
-                else:
-                    moves[c] = [p]
-                    most = max(most, c)
-        for c in sorted(moves, reverse=True) if most > 1 or len(moves) > 1 else moves:
+                moves[c] = [p]
+        for c in sorted(moves, reverse=True) if len(moves) > 1 else moves:
             of: dict[int, list[int]] = {}
             for p in moves[c]:
                 h = group[p]
