@@ -10,7 +10,7 @@ from jobweave.operators import history, lifecycle, listing, payloads, quality, s
 from jobweave.operators.listing import ListRequest
 from jobweave.plans import oracle
 from jobweave.sources import blobs
-from jobweave.sources.fixtures import NOW, fixture
+from jobweave.sources.fixtures import NOW, fixture, projected
 from jobweave.streaming import fold
 
 TENANT, ALL_TENANTS = "BUILDING", ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -138,25 +138,54 @@ def schedule_ids(t: Tables) -> DataFrame:
 
 
 def bits(t: Tables) -> DataFrame:
-    return schedules.failure_windows(t.fx_runs, 8).select("event_id", "schedule_id", "bits")
+    return schedules.failure_windows(t.fx_runs, 8).select("event_id", "tenant_id", "schedule_id", "bits")
 
 
 def violated(t: Tables) -> DataFrame:
     return schedules.failure_windows(t.fx_runs, 8).select("event_id", schedules.violates("bits", 2, 70).alias("violated"))
 
 
-def preflight(t: Tables) -> DataFrame:
+def checked(t: Tables) -> DataFrame:
+    """Occurrences against schedules whose state, generation, spec and end go by their numbers; every fourth one has begun."""
     runs = schedules.failure_windows(t.fx_runs, 8).withColumn("violated", schedules.violates("bits", 2, 70)).withColumn("run_generation", F.lit(1) + F.col("event_id") % 2)
+    runs = runs.withColumn("n_chapters", F.when(F.col("event_id") % 4 == 0, 2).otherwise(1)).withColumn("run_spec_hash", F.when(F.col("event_id") % 11 == 0, "a").otherwise("b"))
     n = F.regexp_extract("schedule_id", r"(\d+)$", 1).cast("int")
-    rows = t.fx_runs.select("schedule_id").distinct().where(n % 13 != 0)
+    rows = t.fx_runs.select("tenant_id", "schedule_id").distinct().where((n % 13 != 0) | (F.col("tenant_id") == "t1"))
     state = F.when(n % 5 == 0, "PAUSED").when(n % 7 == 0, "ARCHIVED").otherwise("ACTIVE")
-    table = rows.select("schedule_id", state.alias("state"), (F.lit(1) + n % 2).alias("generation"), F.when(n % 3 == 0, expr.at("2024-01-20 00:00:00")).alias("end_at"))
-    return schedules.preflight(runs, table).select("event_id", "reason")
+    table = rows.select("tenant_id", "schedule_id", F.lit("b").alias("spec_hash"), state.alias("state"), (F.lit(1) + n % 2).alias("generation"), F.when(n % 3 == 0, expr.at("2024-01-20 00:00:00")).alias("end_at"))
+    return schedules.preflight(runs, table)
+
+
+def successors(t: Tables) -> DataFrame:
+    due = checked(t).withColumn("next_fire", schedules.interval_next(F.col("scheduled_at"), 5400, expr.at("2024-01-05 00:00:00"), expr.at("2024-01-25 00:00:00")))
+    return schedules.successors(due, "next_fire").select("event_id", "tenant_id", "job_id", "scheduled_at", F.col("wait_for")[0].alias("waits_for"))
+
+
+def app_metadata(t: Tables) -> DataFrame:
+    return t.fx_metadata.select(*JOB, expr.parent_of().alias("parent"), expr.app_metadata().alias("app"), expr.schema_hash_of("metadata").alias("schema_hash"))
+
+
+def occurrences(t: Tables) -> DataFrame:
+    return t.fx_metadata.select(*JOB, expr.occurrence().alias("o")).where("o is not null").select(*JOB, "o.*")
+
+
+def merged_policies(t: Tables) -> DataFrame:
+    """Policies of jobs, of which this or that is not set, over the default one."""
+    override = F.expr("""named_struct('initial_ms', k % 3 * 100, 'coefficient', cast(k % 2 * 2 as double), 'max_ms', cast(null as bigint), 'max_attempts', k % 4 - 1,
+      'non_retryable', if(k % 5 = 0, array('A'), cast(array() as array<string>)), 'invocation_ms', if(k % 7 = 6, null, k % 7 * 1000 - 2000), 'total_ms', cast(null as bigint))""")
+    base = F.expr("named_struct('initial_ms', 100L, 'coefficient', 0D, 'max_ms', 30000L, 'max_attempts', 3L, 'non_retryable', array('B'), 'invocation_ms', 600000L, 'total_ms', 1800000L)")
+    rows = t.fx_jobs.select(*JOB, expr.merged_policy(override, base).alias("p")).select(*JOB, "p.*")
+    return rows.withColumn("non_retryable", F.array_join("non_retryable", ","))
+
+
+def chapter_inputs(t: Tables) -> DataFrame:
+    """Each chapter's input is one to three chapters before it; some are before the first."""
+    rows = t.fx_bodies.withColumn("input_ref", F.expr("case when ordinal > 0 then ordinal - 1 - ordinal % 3 end"))
+    return history.with_input(rows).select(*JOB, "ordinal", "input_state", "input_data")
 
 
 def schedule_runs(t: Tables) -> DataFrame:
-    between = F.col("scheduled_at").between(expr.at("2024-01-10 00:00:00"), expr.at("2024-01-12 00:00:00"))
-    return t.fx_runs.where(between & F.col("schedule_id").isin("sched-3", "sched-7", "sched-11")).orderBy(F.desc("scheduled_at"), F.desc("event_id")).limit(101)
+    return t.fx_runs.orderBy(F.desc("scheduled_at"), F.desc("event_id")).limit(101)
 
 
 def backoff(t: Tables) -> DataFrame:
@@ -166,7 +195,7 @@ def backoff(t: Tables) -> DataFrame:
 
 
 def fold_state(t: Tables) -> DataFrame:
-    return fold.fold(fold.commands(t.events))
+    return fold.fold(fold.commands(t.fx_commands))
 
 
 def stream_state(t: Tables) -> DataFrame:
@@ -175,8 +204,7 @@ def stream_state(t: Tables) -> DataFrame:
 
     spark, name = t.spark, f"fold_{uuid.uuid4().hex}"
     source = spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events*.parquet")
-    base = f"{spark.sparkContext.getCheckpointDir() or '/tmp/checkpoints'}/{name}"
-    return fold.stream_fold(fold.commands(source), base)
+    return fold.stream_fold(fold.commands(projected(spark, "fx_commands", events=source)), f"{blobs.shared_folder(spark)}/{name}")
 
 
 def chapter_outcomes(t: Tables) -> DataFrame:
@@ -201,9 +229,9 @@ def failed_round_trip(t: Tables) -> DataFrame:
 
 
 def submits(t: Tables) -> DataFrame:
-    """Jobs 3k are new; every second job is asked for twice, with this or that changed."""
+    """Jobs 3k are new; every job is asked for twice, with this or that changed."""
     jobs = t.fx_jobs.select("k", *JOB, "job_type", F.concat(F.lit("h"), (F.col("k") % 4).cast("string")).alias("input_hash"), "metadata", F.lit(None).cast("array<string>").alias("wait_for"))
-    asked = jobs.where("k % 2 = 0").withColumn("seq", F.explode(F.array(F.lit(0), F.lit(1))))
+    asked = jobs.withColumn("seq", F.explode(F.array(F.lit(0), F.lit(1))))
     asked = asked.withColumn("job_type", F.expr("case when k % 5 = 1 or (seq = 1 and k % 17 = 5) then 'other' else job_type end")).withColumn("input_hash", F.expr("case when k % 7 = 2 then 'x' else input_hash end"))
     spaced = F.replace(F.col("metadata"), F.lit(","), F.lit(" , "))
     asked = asked.withColumn("metadata", F.when(F.col("k") % 11 == 3, spaced).when(F.col("k") % 13 == 4, "{}").otherwise(F.col("metadata")))
@@ -211,7 +239,7 @@ def submits(t: Tables) -> DataFrame:
 
 
 def restarts(t: Tables) -> DataFrame:
-    asked = t.fx_jobs.where("k % 4 = 0").select("tenant_id", F.col("job_id").alias("prior_job_id"), F.concat("job_id", F.lit("-again")).alias("job_id"), (F.col("k") % 6 - 1).alias("last_step"))
+    asked = t.fx_jobs.select("tenant_id", F.col("job_id").alias("prior_job_id"), F.concat("job_id", F.lit("-again")).alias("job_id"), (F.col("k") % 6 - 1).alias("last_step"))
     return lifecycle.restart(asked, t.fx_chapters)
 
 
@@ -298,7 +326,7 @@ def rejected_chapters(t: Tables) -> DataFrame:
 
 def schedule_list(t: Tables) -> DataFrame:
     last = schedules.schedule_log(t.fx_schedule_log, every=False)
-    return schedules.list_schedules(last, states=["ACTIVE", "PAUSED"], page_size=500).select("schedule_id", "state", "generation", "updated_at")
+    return schedules.list_schedules(last, "t1", states=["ACTIVE", "PAUSED"], page_size=500).select("schedule_id", "state", "generation", "updated_at")
 
 
 def cron_first(t: Tables) -> DataFrame:
@@ -323,7 +351,7 @@ def blob_round_trip(t: Tables) -> DataFrame:
     """Documents above the inline limit, saved as blobs twice and read back by digest."""
     import uuid
 
-    folder = f"{t.spark.sparkContext.getCheckpointDir() or t.spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/blobs_{uuid.uuid4().hex}"
+    folder = f"{blobs.shared_folder(t.spark)}/blobs_{uuid.uuid4().hex}"
     docs = t.documents.select("doc_id", F.col("text").cast("binary").alias("content")).where(F.octet_length("content") > 256)
     blobs.save(docs.where("doc_id % 2 = 0"), folder, exists=False)
     blobs.save(docs, folder)
@@ -361,8 +389,8 @@ BUILT = {
     "q_task_runs": lambda t: history.task_runs(t.fx_chapters).drop("run"),
     "q_run_nested": attempts_flat,
     "q_latest_attempt": lambda t: history.outcomes(t.fx_chapters),
-    "q_next_attempt": lambda t: history.next_attempt(t.fx_chapters, 3),
-    "q_runtime_row": lambda t: history.runtime_rows(t.fx_jobs, t.fx_chapters, NOW),
+    "q_next_attempt": lambda t: history.next_attempt(t.fx_bodies, 4),
+    "q_runtime_row": lambda t: history.runtime_rows(listing.with_status(t.fx_jobs, t.fx_wait, NOW), t.fx_chapters.where("job_id not like '%7'"), NOW),
     "q_chapter_range": chapter_page,
     "q_task_deadline": chapter_created_before,
     "q_restart_diff": restart_difference,
@@ -377,7 +405,14 @@ BUILT = {
     "q_sched_runs": schedule_runs,
     "q_failure_bits": bits,
     "q_failure_violated": violated,
-    "q_preflight": preflight,
+    "q_preflight": lambda t: checked(t).select("event_id", "reason"),
+    "q_preflight_cancel": lambda t: schedules.cancelled(checked(t)),
+    "q_successors": successors,
+    "q_app_metadata": app_metadata,
+    "q_occurrence": occurrences,
+    "q_policy_merge": merged_policies,
+    "q_input_chapter": chapter_inputs,
+    "q_event_times": lambda t: history.event_times(t.fx_chapters).select(*JOB, "ordinal", "began", "ended"),
     "q_backoff": backoff,
     "q_quality_ordinals": lambda t: quality.broken_histories(t.fx_chapters),
     "q_quality_links": lambda t: quality.bad_links(t.fx_stories).select("story_id"),

@@ -51,8 +51,50 @@ def app_value(metadata: str, *path: str) -> Column:
 
 def schema_hash_of(metadata: str) -> Column:
     """The first schema hash among three keys at the root, under app, then under internal; '' if none."""
+    value = F.try_parse_json(F.col(metadata))
     paths = [f"$.{scope}{key}" for scope in ("", "app.", "internal.") for key in ("jobdb_schema_hash", "schema_hash", "schemaHash")]
-    return F.coalesce(*(F.nullif(F.trim(F.get_json_object(metadata, p)), F.lit("")) for p in paths), F.lit(""))
+    strings = (F.when(F.schema_of_variant(F.try_variant_get(value, p, "variant")) == "STRING", F.try_variant_get(value, p, "string")) for p in paths)
+    return F.coalesce(*(F.nullif(F.trim(s), F.lit("")) for s in strings), F.lit(""))
+
+
+def is_object(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+
+
+def parent_of(parent: str = "parent_job_id", metadata: str = "metadata") -> Column:
+    """The parent's id: the column, else `internal.parentJobId` of the metadata, trimmed; '' without one."""
+    internal = F.trim(F.try_variant_get(F.try_parse_json(F.col(metadata)), "$.internal.parentJobId", "string"))
+    return F.coalesce(F.nullif(F.col(parent), F.lit("")), internal, F.lit(""))
+
+
+def app_metadata(metadata: str = "metadata") -> Column:
+    """What applications see of stored metadata, as JSON text: `app` where there is one, nothing of known internal metadata, else the text as it is.
+
+    Blank metadata and an `app` of null are null; text that is no JSON object comes back as it is.
+    """
+    raw = F.col(metadata)
+    value = F.try_parse_json(raw)
+    app, internal = F.try_variant_get(value, "$.app", "variant"), F.try_variant_get(value, "$.internal", "variant")
+    known = is_object(internal) & F.coalesce(*(F.when(F.try_variant_get(internal, f"$.{k}", "variant").isNotNull(), True) for k in ("schedule", "schemaHash", "parentJobId")), F.lit(False))
+    shown = F.when(app.isNotNull(), F.when(~F.is_variant_null(app), F.to_json(app))).when(known, F.lit(None)).otherwise(raw)
+    return F.when(F.trim(raw) == "", F.lit(None)).when(~is_object(value), raw).otherwise(shown)
+
+
+def occurrence(metadata: str = "metadata") -> Column:
+    """The schedule occurrence that a job's metadata names: schedule_id, generation, spec_hash, scheduled_at, run_id and error; null if none is named.
+
+    error tells what makes the entry invalid: missing fields or another kind.
+    """
+    entry = F.try_variant_get(F.try_parse_json(F.col(metadata)), "$.internal.schedule", "variant")
+    get = lambda k, kind: F.try_variant_get(entry, f"$.{k}", kind)
+    time = F.replace(get("scheduledAt", "string"), F.lit("Z"), F.lit("")).try_cast("timestamp_ntz")
+    missing = (F.coalesce(get("scheduleId", "string"), F.lit("")) == "") | (F.coalesce(get("generation", "long"), F.lit(0)) <= 0) | (F.coalesce(get("specHash", "string"), F.lit("")) == "") | time.isNull()
+    other = ~F.coalesce(get("kind", "string"), F.lit("")).isin("", "schedule_tick")
+    found = F.struct(
+        get("scheduleId", "string").alias("schedule_id"), get("generation", "long").alias("generation"), get("specHash", "string").alias("spec_hash"), time.alias("scheduled_at"),
+        F.coalesce(F.nullif(get("runId", "string"), F.lit("")), run_id(time)).alias("run_id"), F.when(missing, "MISSING_FIELDS").when(other, "OTHER_KIND").alias("error"),
+    )
+    return F.when(entry.isNotNull() & ~F.is_variant_null(entry), found)
 
 
 def backoff_ms(attempt: Column, initial: Column, coefficient: Column, cap: Column) -> Column:
@@ -61,14 +103,57 @@ def backoff_ms(attempt: Column, initial: Column, coefficient: Column, cap: Colum
 
 
 def retryable(kind: Column, flag: Column) -> Column:
-    """Whether an outcome may be tried again: application errors yes, system errors unless told otherwise, timeouts only if told so."""
-    return F.when(kind == "AppError", True).when(kind == "SystemError", F.coalesce(flag, F.lit(True))).when(kind == "Timeout", F.coalesce(flag, F.lit(False))).otherwise(False)
+    """Whether a failure may be tried again: yes, but system errors if told otherwise, and timeouts unless told so. Output is no failure."""
+    return F.when(kind == "App", False).when(kind == "SystemError", F.coalesce(flag, F.lit(True))).when(kind == "Timeout", F.coalesce(flag, F.lit(False))).otherwise(True)
+
+
+def retryable_under(kind: Column, flag: Column, non_retryable: Column, type_names: Column, refused: Column) -> Column:
+    """`retryable` under a policy: not if the error is marked non-retryable or has a type name that the policy refuses."""
+    named = F.coalesce(F.arrays_overlap(type_names, refused), F.lit(False))
+    return F.when(kind == "Timeout", F.coalesce(flag, F.lit(False))).otherwise((kind != "App") & ~F.coalesce(non_retryable, F.lit(False)) & ~named)
+
+
+def merged_policy(override: Column, base: Column) -> Column:
+    """A run policy of two: fields that are set win; attempts are 1 at least, a coefficient of 0 is 1, negative timeouts are none.
+
+    Fields: initial_ms, coefficient, max_ms, max_attempts (0 or null: not set), non_retryable (array), invocation_ms, total_ms (null: not set).
+    """
+    set_ = lambda k: F.coalesce(F.nullif(override[k], F.lit(0)), base[k])
+    timeout = lambda k: F.when(F.coalesce(override[k], base[k]) >= 0, F.coalesce(override[k], base[k]))
+    names = F.when(F.size(override["non_retryable"]) > 0, override["non_retryable"]).otherwise(base["non_retryable"])
+    return F.struct(
+        set_("initial_ms").alias("initial_ms"), F.coalesce(F.nullif(set_("coefficient"), F.lit(0)), F.lit(1.0)).alias("coefficient"), set_("max_ms").alias("max_ms"),
+        F.greatest(F.coalesce(set_("max_attempts"), F.lit(1)), F.lit(1)).alias("max_attempts"), names.alias("non_retryable"), timeout("invocation_ms").alias("invocation_ms"), timeout("total_ms").alias("total_ms"),
+    )
 
 
 def schedule_job_id(schedule: Column, generation: Column, time: Column) -> Column:
     """jobdbsched_<id>_g<generation>_run_<UTC time to the nanosecond>."""
-    stamp = F.concat(F.date_format(time, "yyyyMMdd'T'HHmmss"), F.date_format(time, "SSSSSS"), F.lit("000Z"))
-    return F.concat(F.lit("jobdbsched_"), schedule, F.lit("_g"), generation.cast("string"), F.lit("_run_"), stamp)
+    return F.concat(F.lit("jobdbsched_"), schedule, F.lit("_g"), generation.cast("string"), F.lit("_run_"), run_id(time))
+
+
+def run_id(time: Column) -> Column:
+    """UTC time to the nanosecond."""
+    return F.concat(F.date_format(time, "yyyyMMdd'T'HHmmss"), F.date_format(time, "SSSSSS"), F.lit("000Z"))
+
+
+def manual_job_id(schedule: Column, request: Column, now: Column) -> Column:
+    """The id of a job that a schedule is asked for by hand; a request without an id is named by its time."""
+    return F.concat(F.lit("jobdbsched_"), schedule, F.lit("_manual_"), F.coalesce(F.nullif(request, F.lit("")), run_id(now)))
+
+
+def time_of_ns(ns: Column) -> Column:
+    return F.timestamp_micros(F.floor(ns / 1000)).cast("timestamp_ntz")
+
+
+def ns_of_time(time: Column) -> Column:
+    return F.unix_micros(time.cast("timestamp")) * 1000
+
+
+def key_parts(key: Column) -> Column:
+    """Tenant and job of `tenant/job`; null unless both are there with one slash between."""
+    ok = key.rlike("^[^/]+/[^/]+$")
+    return F.when(ok, F.struct(F.split_part(key, F.lit("/"), F.lit(1)).alias("tenant_id"), F.split_part(key, F.lit("/"), F.lit(2)).alias("job_id")))
 
 
 def input_hash(data: Column, artifacts: Column) -> Column:

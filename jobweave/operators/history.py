@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave.functions import expr
+from jobweave.sources.blobs import shared_folder
 
 JOB = ["tenant_id", "job_id"]
 
@@ -49,21 +50,52 @@ def outcomes(chapters: DataFrame) -> DataFrame:
 
 
 def next_attempt(chapters: DataFrame, max_attempts: int) -> DataFrame:
-    """Jobs whose last outcome failed, may be retried and has attempts left, with the attempt to come."""
-    retry = expr.retryable(F.col("payload_kind"), F.lit(None).cast("boolean"))
-    failed = outcomes(chapters).where((F.col("payload_kind") != "App") & retry & (F.col("attempt") < max_attempts))
+    """Jobs whose last outcome failed, may be retried and has attempts left, with the attempt to come.
+
+    Chapters may have the payload's text in `data`, whose `retryable` then counts.
+    """
+    flag = F.get_json_object("data", "$.retryable").cast("boolean") if "data" in chapters.columns else F.lit(None).cast("boolean")
+    retry = expr.retryable(F.col("payload_kind"), F.col("retry_flag"))
+    ends = chapters.withColumn("retry_flag", flag).where("chapter_type = 'JobAttemptOutcome'")
+    last = ends.groupBy(*JOB).agg(F.max_by(F.struct("attempt", "payload_kind", "retry_flag"), F.struct("attempt", "ordinal")).alias("o")).select(*JOB, "o.*")
+    failed = last.where((F.col("payload_kind") != "App") & retry & (F.col("attempt") > 0) & (F.col("attempt") < F.greatest(F.lit(max_attempts), F.lit(1))))
     return failed.select(*JOB, (F.col("attempt") + 1).alias("next_attempt"))
 
 
 def runtime_state(now: str) -> Column:
-    """What a job not archived waits for: its lease, its time, or nothing."""
-    return F.when(F.coalesce("lease_id", F.lit("")) != "", "LEASED").when(F.col("available_at") <= expr.at(now), "READY").otherwise("WAITING")
+    """What the row that a job is at does, by its status: READY, LEASED or WAITING; null where there is no such row."""
+    c = F.col("status")
+    ready = F.when(F.col("available_at") <= expr.at(now), "READY").otherwise("WAITING")
+    return F.when(c == "READY", ready).when(c == "ACTIVE", "LEASED").when(c.isin("AWAITING_FUTURE", "PENDING_JOBS"), "WAITING")
 
 
 def runtime_rows(jobs: DataFrame, chapters: DataFrame, now: str) -> DataFrame:
-    """The row after the last chapter that a job not archived is at."""
+    """The row after the last chapter that a job (with status) is at; cancelled, crashed and archived jobs have none.
+
+    A job without chapters is at ordinal 0. input_ordinal is the chapter that its input comes from.
+    """
     last = chapters.groupBy(*JOB).agg(F.max("ordinal").alias("last"))
-    return jobs.where("archived_at is null").join(last, JOB).select(*JOB, (F.col("last") + 1).alias("ordinal"), F.col("next_need"), runtime_state(now).alias("state"))
+    rows = jobs.where("archived_at is null").withColumn("state", runtime_state(now)).where("state is not null").join(last, JOB, "left")
+    ordinal, need = F.coalesce(F.col("last") + 1, F.lit(0)), F.coalesce(F.nullif("next_need", F.lit("")), "job_type")
+    return rows.select(*JOB, ordinal.alias("ordinal"), need.alias("next_need"), "state", F.concat(need, F.lit(":"), ordinal.cast("string")).alias("run_id"), F.col("last").alias("input_ordinal"))
+
+
+def with_input(chapters: DataFrame) -> DataFrame:
+    """Adds the data of the chapter of the same job that input_ref names: input_data and input_state FOUND, NOT_FOUND or NONE."""
+    held = chapters.select(*JOB, F.col("ordinal").alias("input_ref"), F.col("data").alias("input_data"), F.lit(True).alias("_here"))
+    state = F.when(F.col("input_ref").isNull(), "NONE").when(F.col("_here"), "FOUND").otherwise("NOT_FOUND")
+    return chapters.join(held, [*JOB, "input_ref"], "left").withColumn("input_state", state).drop("_here")
+
+
+def event_times(chapters: DataFrame) -> DataFrame:
+    """Adds began and ended of each chapter's event in a replay: its own times, else when it was written.
+
+    An ended task without times of its own begins where the chapter before ended.
+    """
+    before = Window.partitionBy(*JOB).orderBy("ordinal")
+    c = lambda name: F.col(name) if name in chapters.columns else F.lit(None).cast("timestamp_ntz")
+    ended = F.coalesce(c("finished_at"), F.col("created_at"))
+    return chapters.withColumn("ended", ended).withColumn("began", F.coalesce(c("started_at"), F.lag("ended").over(before), F.col("created_at")))
 
 
 def prefix_difference(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -76,10 +108,8 @@ def prefix_difference(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write to the shared checkpoint folder; a session without one (tests) gets /tmp/checkpoints."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    """Write to the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

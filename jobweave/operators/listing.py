@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,9 +92,9 @@ def list_jobs(jobs: DataFrame, waits: DataFrame, now: str, request: ListRequest)
     if r.job_tasks:
         keep &= F.col("next_need").isin([f"{a}:{b}" for a, b in r.job_tasks if a and b]) if any(a and b for a, b in r.job_tasks) else F.lit(False)
     if r.parents:
-        keep &= F.col("parent_job_id").isin(r.parents)
+        keep &= expr.parent_of().isin(r.parents)
     if r.root_only:
-        keep &= F.coalesce("parent_job_id", F.lit("")) == ""
+        keep &= expr.parent_of() == ""
     if r.created_from:
         keep &= F.col("created_at") >= expr.at(r.created_from)
     if r.created_to:
@@ -106,13 +106,80 @@ def list_jobs(jobs: DataFrame, waits: DataFrame, now: str, request: ListRequest)
     some = jobs.where(keep)
     if r.keys is not None:
         some = some.join(r.keys, ["tenant_id", "job_id"], "left_semi")
-    open_jobs = jobs.where("archived_at is null").select("tenant_id", F.col("job_id").alias("dep_job_id"))
-    blocked = waits.join(open_jobs, ["tenant_id", "dep_job_id"], "left_semi").select("tenant_id", "job_id").distinct().withColumn("blocked", F.lit(True))
+    size = PAGE if r.page_size <= 0 else min(r.page_size, LARGEST_PAGE)
+    order = [F.desc("created_at"), F.desc(expr.job_key())]
+    if not r.statuses:  # no status decides, so the page is known before any is worked out
+        some = some.orderBy(*order).limit(size)
+    here = F.col("tenant_id").isin(r.tenants)
+    open_jobs = jobs.where(here & F.col("archived_at").isNull()).select("tenant_id", F.col("job_id").alias("dep_job_id"))
+    blocked = waits.where(here).join(open_jobs, ["tenant_id", "dep_job_id"], "left_semi").select("tenant_id", "job_id").distinct().withColumn("blocked", F.lit(True))
     found = some.join(blocked, ["tenant_id", "job_id"], "left").withColumn("blocked", F.coalesce("blocked", F.lit(False))).withColumn("status", expr.status(now))
     if r.statuses:
         found = found.where(F.col("status").isin(r.statuses))
-    size = PAGE if r.page_size <= 0 else min(r.page_size, LARGEST_PAGE)
-    return found.orderBy(F.desc("created_at"), F.desc(expr.job_key())).limit(size)
+    return found.orderBy(*order).limit(size)
+
+
+def list_page(jobs: DataFrame, waits: DataFrame, now: str, request: ListRequest) -> tuple[list, str | None]:
+    """The rows of a page, and the token of the next one if more follow."""
+    size = PAGE if request.page_size <= 0 else min(request.page_size, LARGEST_PAGE)
+    rows = list_jobs(jobs, waits, now, request).collect()  # LARGEST_PAGE rows at most
+    if len(rows) < size:
+        return rows, None
+    token = page_token(rows[-1].asDict())
+    rest = list_jobs(jobs, waits, now, replace(request, token=token, page_size=1))
+    return rows, None if rest.isEmpty() else token
+
+
+class Filter:
+    """A metadata filter: Empty, field = value, field = one of values, and all of several. Fields are top-level names.
+
+    `predicates()` is what ListRequest.metadata takes, and `of` the way back.
+    """
+
+    def __init__(self, *parts: tuple[str, list]) -> None:
+        self.parts = list(parts)
+
+    @staticmethod
+    def equal(field: str, value: object) -> Filter:
+        if not field.strip() or "." in field:
+            raise ValueError(f"metadata field {field!r} must be a top-level name")
+        if value is None:
+            raise ValueError(f"metadata field {field!r} needs a value")
+        return Filter((field, [value]))
+
+    @staticmethod
+    def of(metadata: dict[tuple[str, ...], list]) -> Filter:
+        out = Filter()
+        for (field, *deeper), values in metadata.items():
+            if deeper or not values:
+                raise ValueError("a predicate has one field and a value at least")
+            one = Filter()
+            for v in values:
+                one = one.or_(Filter.equal(field, v))
+            out = out.and_(one)
+        return out
+
+    def and_(self, other: Filter | None) -> Filter:
+        return Filter(*self.parts, *(other.parts if other else []))
+
+    def or_(self, other: Filter | None) -> Filter:
+        """Either of two, which must be about one field; with an empty filter, the other one."""
+        if other is None or not other.parts:
+            return self
+        if not self.parts:
+            return other
+        if len(self.parts) > 1 or len(other.parts) > 1 or self.parts[0][0] != other.parts[0][0]:
+            raise ValueError("or needs filters of one field")
+        return Filter((self.parts[0][0], self.parts[0][1] + other.parts[0][1]))
+
+    def predicates(self) -> list[tuple[str, list]]:
+        return self.parts
+
+    def column(self) -> Column:
+        out = F.lit(True)
+        for field, values in self.parts:
+            out &= metadata_matches({(field,): values})
+        return out
 
 
 def poll_candidates(jobs: DataFrame, waits: DataFrame, now: str, tenant: str, capabilities: list[str], metadata: dict | None = None) -> DataFrame:

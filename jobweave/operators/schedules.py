@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from jobweave.functions import expr
 from jobweave.streaming.fold import folded
 
+KEY = ["tenant_id", "schedule_id"]
 FIELDS = (("minute", 0, 59), ("hour", 0, 23), ("day", 1, 31), ("month", 1, 12), ("weekday", 0, 7))
 
 
@@ -73,8 +74,9 @@ def interval_next(after: Column, seconds: int, start_at: Column, end_at: Column)
 
 
 def failure_windows(runs: DataFrame, size: int) -> DataFrame:
-    """Adds bits: successes and failures of the last `size` runs of a schedule, oldest first."""
-    last = Window.partitionBy("schedule_id").orderBy("scheduled_at", "event_id").rowsBetween(-(size - 1), 0)
+    """Adds bits: successes and failures of the last `size` runs of a tenant's schedule, oldest first; of all runs if size is 0."""
+    first = -(size - 1) if size > 0 else Window.unboundedPreceding
+    last = Window.partitionBy(*KEY).orderBy("scheduled_at", "event_id").rowsBetween(first, 0)
     return runs.withColumn("bits", F.array_join(F.collect_list(F.when(F.col("success"), "1").otherwise("0")).over(last), ""))
 
 
@@ -88,19 +90,73 @@ def violates(bits: str, max_sequential: int, min_percent: int) -> Column:
 
 
 def preflight(runs: DataFrame, schedules: DataFrame) -> DataFrame:
-    """Why an occurrence is cancelled before it runs, or OK; the first reason that holds."""
-    both = runs.join(schedules, "schedule_id", "left")
+    """Why an occurrence is cancelled before it runs, or OK; the first reason that holds. One with a second chapter has begun and is OK."""
+    both = runs.join(schedules, KEY, "left")
     reason = (
-        F.when(F.col("state").isNull(), "MISSING").when(F.col("state") == "PAUSED", "PAUSED").when(F.col("state") == "ARCHIVED", "ARCHIVED")
-        .when(F.col("generation") != F.col("run_generation"), "GENERATION").when(F.col("end_at") < F.col("scheduled_at"), "ENDED")
+        F.when(F.col("n_chapters") > 1, "OK").when(F.col("state").isNull(), "MISSING").when(F.col("state") == "PAUSED", "PAUSED").when(F.col("state") == "ARCHIVED", "ARCHIVED")
+        .when(F.col("generation") != F.col("run_generation"), "GENERATION").when(F.col("spec_hash") != F.col("run_spec_hash"), "SPEC").when(F.col("end_at") < F.col("scheduled_at"), "ENDED")
         .when(F.col("violated"), "FAILURE_POLICY").otherwise("OK")
     )
     return both.withColumn("reason", reason)
 
 
+#: reasons of `preflight`, as the completion detail of a cancelled occurrence and its error chapter name them
+REASONS = {
+    "MISSING": ("schedule_missing", "schedule missing before app start"), "PAUSED": ("schedule_paused", "schedule paused before app start"),
+    "ARCHIVED": ("schedule_archived", "schedule archived before app start"), "GENERATION": ("schedule_generation_mismatch", "schedule generation changed before app start"),
+    "SPEC": ("schedule_spec_mismatch", "schedule spec changed before app start"), "ENDED": ("schedule_ended", "schedule ended before app start"),
+    "FAILURE_POLICY": ("failure_policy", "schedule failure policy blocked this occurrence"),
+}
+
+
+def cancelled(checked: DataFrame) -> DataFrame:
+    """The system error chapter, at ordinal 1, that ends each occurrence which `preflight` gave a reason other than OK."""
+    of = lambda k: F.create_map(*(F.lit(x) for name, v in REASONS.items() for x in (name, v[k])))[F.col("reason")]
+    rows = checked.where("reason <> 'OK'")
+    return rows.select(*KEY, "event_id", F.lit(1).alias("ordinal"), F.lit("cancelled").alias("completion_status"), F.lit("jobdb.schedule_preflight").alias("component"), of(0).alias("code"), of(1).alias("message"))
+
+
+def successors(checked: DataFrame, next_fire: str) -> DataFrame:
+    """The occurrence after each that `preflight` passed at its first chapter: due at next_fire, after the one before it is over."""
+    rows = checked.where((F.col("reason") == "OK") & (F.col("n_chapters") <= 1) & F.col(next_fire).isNotNull())
+    job = lambda time: expr.schedule_job_id(F.col("schedule_id"), F.col("generation"), F.col(time))
+    return rows.select(*KEY, "event_id", job(next_fire).alias("job_id"), F.col(next_fire).alias("scheduled_at"), F.array(job("scheduled_at")).alias("wait_for"))
+
+
+def with_previous(occurrences: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Adds previous_success to occurrences (tenant_id, previous_job_id): archived with status success; null without a previous job."""
+    held = jobs.select("tenant_id", F.col("job_id").alias("previous_job_id"), (F.col("archived_at").isNotNull() & (F.col("completion_status") == "success")).alias("_ok"))
+    both = occurrences.join(held, ["tenant_id", "previous_job_id"], "left")
+    return both.withColumn("previous_success", F.when(F.col("previous_job_id").isNotNull(), F.coalesce("_ok", F.lit(False)))).drop("_ok")
+
+
+def spec_hash(trigger: Column, target: Column, overlap: Column, failure: Column) -> Column:
+    """sha256 of a schedule's trigger, target, overlap and failure policy as JSON texts, written in this order; '' of overlap is serial."""
+    text = F.concat(F.lit('{"trigger":'), trigger, F.lit(',"target":'), target, F.lit(',"overlapPolicy":"'), F.coalesce(F.nullif(overlap, F.lit("")), F.lit("serial")), F.lit('","failurePolicy":'), failure, F.lit("}"))
+    return F.concat(F.lit("sha256:"), F.sha2(text, 256))
+
+
+def spec_target(job_type: Column, data: Column, artifacts: Column, metadata: Column) -> Column:
+    """The target of `spec_hash` as JSON text: artifacts (array of name, sha256, size) sorted, what is empty left out."""
+    listed = F.when(F.size(artifacts) > 0, F.concat(F.lit(',"artifacts":'), F.to_json(F.array_sort(artifacts)))).otherwise("")
+    part = lambda name, text: F.when(F.trim(F.coalesce(text, F.lit(""))) != "", F.concat(F.lit(f',"{name}":'), text)).otherwise("")
+    return F.concat(F.lit('{"jobType":'), F.to_json(F.to_variant_object(F.array(job_type))).substr(F.lit(2), F.length(job_type) + 2), part("data", data), listed, part("metadata", metadata), F.lit("}"))
+
+
+def request_error(job_type: Column, data: Column, kind: Column, expression: Column, seconds: Column, overlap: Column, window: Column, percent: Column, failures: Column) -> Column:
+    """What is wrong with a schedule request, or '': the first thing that is."""
+    low = lambda c: F.coalesce(c, F.lit("")) == ""
+    bad = (F.coalesce(window, F.lit(0)) < 0) | ~F.coalesce(percent, F.lit(0)).between(0, 100) | (F.coalesce(failures, F.lit(0)) < 0)
+    return (
+        F.when(low(job_type), "JOB_TYPE_REQUIRED").when(data.isNull(), "DATA_REQUIRED").when(~F.coalesce(overlap, F.lit("")).isin("", "serial"), "OVERLAP_POLICY")
+        .when((kind == "cron") & low(F.trim(expression)), "CRON_REQUIRED").when((kind == "interval") & (F.coalesce(seconds, F.lit(0)) <= 0), "INTERVAL_REQUIRED")
+        .when(~F.coalesce(kind, F.lit("")).isin("cron", "interval"), "TRIGGER_KIND").when(bad, "FAILURE_POLICY").otherwise("")
+    )
+
+
 #: commands that set a state, beside upsert (which sets ACTIVE, or PAUSED if it asks so) and trigger (which sets none)
 STATES = {"pause": "PAUSED", "resume": "ACTIVE", "archive": "ARCHIVED"}
-LOGGED = "schedule_id string, event_id long, ts timestamp_ntz, command string, result string, state string, generation long, created_at timestamp_ntz, updated_at timestamp_ntz, fire_at timestamp_ntz"
+LOGGED = "tenant_id string, schedule_id string, event_id long, ts timestamp_ntz, command string, result string, state string, generation long, created_at timestamp_ntz, updated_at timestamp_ntz, fire_at timestamp_ntz"
 
 
 def advance(state: dict | None, row: dict) -> tuple[dict | None, tuple]:
@@ -129,11 +185,11 @@ def advance(state: dict | None, row: dict) -> tuple[dict | None, tuple]:
         fire = max(now, state["start_at"] or now)
         state["fire_at"] = fire if state["state"] == "ACTIVE" and fire <= (state["end_at"] or fire) else None
     shown = state or dict.fromkeys(("state", "generation", "created_at", "updated_at", "fire_at"))
-    return state, (row["schedule_id"], row["event_id"], now, command, result, *(shown[c] for c in ("state", "generation", "created_at", "updated_at", "fire_at")))
+    return state, (row["tenant_id"], row["schedule_id"], row["event_id"], now, command, result, *(shown[c] for c in ("state", "generation", "created_at", "updated_at", "fire_at")))
 
 
 def schedule_log(log: DataFrame, every: bool = True) -> DataFrame:
-    """Commands on schedules (schedule_id, event_id, ts, command, expected_generation) with their results and the state after.
+    """Commands on schedules (tenant_id, schedule_id, event_id, ts, command, expected_generation) with their results and the state after.
 
     Optional columns: paused, start_at, end_at (of an upsert's trigger). fire_at is the first time an interval trigger
     fires, and for a cron trigger the time to give to `cron_initial`; next_job_id is the interval occurrence's. every=False
@@ -141,15 +197,17 @@ def schedule_log(log: DataFrame, every: bool = True) -> DataFrame:
     """
     c = lambda name, kind: F.col(name).cast(kind).alias(name) if name in log.columns else F.lit(None).cast(kind).alias(name)
     rows = log.select(
-        c("schedule_id", "string"), c("event_id", "long"), c("ts", "timestamp_ntz"), c("command", "string"), c("expected_generation", "long"),
+        c("tenant_id", "string"), c("schedule_id", "string"), c("event_id", "long"), c("ts", "timestamp_ntz"), c("command", "string"), c("expected_generation", "long"),
         c("paused", "boolean"), c("start_at", "timestamp_ntz"), c("end_at", "timestamp_ntz"),
     )
-    done = folded(rows, "schedule_id", ["ts", "event_id"], advance, None, LOGGED, every)
+    rows = rows.where("schedule_id is not null").withColumn("key", F.to_json(F.struct(*KEY)))
+    done = folded(rows, "key", ["ts", "event_id"], advance, None, LOGGED, every)
     return done.withColumn("next_job_id", F.when(F.col("fire_at").isNotNull(), expr.schedule_job_id(F.col("schedule_id"), F.col("generation"), F.col("fire_at"))))
 
 
-def list_schedules(schedules: DataFrame, ids: list[str] | None = None, states: list[str] | None = None, page_size: int = 0) -> DataFrame:
-    """Schedules of the given ids and states, last updated first and then by id, from the last; a size beyond 1 to 200 is 100."""
+def list_schedules(schedules: DataFrame, tenant: str, ids: list[str] | None = None, states: list[str] | None = None, page_size: int = 0) -> DataFrame:
+    """A tenant's schedules of the given ids and states, last updated first and then by id, from the last; a size beyond 1 to 200 is 100."""
+    schedules = schedules.where(F.col("tenant_id") == tenant)
     for name, values in (("schedule_id", ids), ("state", states)):
         if values:
             schedules = schedules.where(F.col(name).isin(values))

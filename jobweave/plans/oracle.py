@@ -27,7 +27,7 @@ marked AS (SELECT *, CASE WHEN lag(task_type) OVER v IS NULL OR attempt <= 1 OR
 numbered AS (SELECT *, sum(begins) OVER (PARTITION BY tenant_id, job_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS run FROM marked),
 runs AS (SELECT tenant_id, job_id, run, min(job_attempt) AS job_attempt, arg_min(task_type, ordinal) AS task_type, min(ordinal) AS first_ordinal,
   count(*) AS n_attempts, arg_max(payload_kind, attempt * 1000000 + ordinal) AS latest_kind FROM numbered GROUP BY 1, 2, 3)"""
-WINDOWED = """bits AS (SELECT *, string_agg(CASE WHEN success THEN '1' ELSE '0' END, '') OVER (PARTITION BY schedule_id ORDER BY scheduled_at, event_id
+WINDOWED = """bits AS (SELECT *, string_agg(CASE WHEN success THEN '1' ELSE '0' END, '') OVER (PARTITION BY tenant_id, schedule_id ORDER BY scheduled_at, event_id
   ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS bits FROM fx_runs),
 bad AS (SELECT *, (length(bits) - length(rtrim(bits, '0')) >= 2) OR (length(replace(bits, '0', '')) * 100 < 70 * length(bits)) AS violated FROM bits)"""
 
@@ -53,19 +53,34 @@ BODY = """CASE payload_kind WHEN 'App' THEN '{"kind":"success","output":{"value"
   WHEN 'SystemError' THEN '{"error":{"code":"E' || attempt || '","component":"db","message":"down"' || CASE WHEN attempt < 3 THEN ',"retryable":true' ELSE '' END || '},"kind":"systemError"}'
   ELSE '{"kind":"timeout","timeout":{"after":"30m0s","message":"late","retryable":false,"scope":"total"}}' END"""
 
-SCHEDULE_LOG = """e AS (SELECT *, row_number() OVER (PARTITION BY schedule_id ORDER BY ts, event_id) AS n FROM fx_schedule_log),
-f AS (SELECT DISTINCT schedule_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS TIMESTAMP) AS ts, '' AS command, '' AS result,
+REASON = """CASE WHEN event_id % 4 = 0 THEN 'OK' WHEN n % 13 = 0 AND tenant_id <> 't1' THEN 'MISSING' WHEN n % 5 = 0 THEN 'PAUSED' WHEN n % 7 = 0 THEN 'ARCHIVED' WHEN n % 2 <> event_id % 2 THEN 'GENERATION'
+WHEN event_id % 11 = 0 THEN 'SPEC' WHEN n % 3 = 0 AND scheduled_at > TIMESTAMP '2024-01-20' THEN 'ENDED' WHEN violated THEN 'FAILURE_POLICY' ELSE 'OK' END"""
+FOLD = """e AS (SELECT *, epoch(ts) AS s, row_number() OVER (PARTITION BY job ORDER BY ts, event_id) AS n FROM fx_commands),
+f AS (SELECT DISTINCT job, CAST(0 AS BIGINT) AS n, 'READY' AS status, CAST(0 AS DOUBLE) AS lease_until, CAST(NULL AS VARCHAR) AS holder, CAST(NULL AS DOUBLE) AS last_at, CAST(0 AS BIGINT) AS latest_ordinal,
+    CAST(0 AS BIGINT) AS n_done, CAST(0 AS BIGINT) AS n_conflicts FROM e
+  UNION ALL
+  SELECT job, n, CASE WHEN move = 'cancel' THEN 'CANCELLED' WHEN move = 'lease' THEN 'ACTIVE' WHEN move = 'reschedule' THEN 'READY' WHEN move IN ('complete', 'fail') THEN 'COMPLETED' ELSE status END,
+    CASE WHEN move IN ('lease', 'keepalive') THEN s + 43200 WHEN move IN ('cancel', 'reschedule', 'complete', 'fail') THEN 0 ELSE lease_until END,
+    CASE WHEN move = 'lease' THEN worker WHEN move IN ('cancel', 'reschedule', 'complete', 'fail') THEN NULL ELSE holder END, s,
+    latest_ordinal + CASE WHEN move IN ('append', 'complete', 'fail') THEN 1 ELSE 0 END, n_done + CASE WHEN move = 'complete' THEN 1 ELSE 0 END, n_conflicts + CASE WHEN move = '' THEN 1 ELSE 0 END
+  FROM (SELECT e.job, e.n, e.s, e.worker, f.status, f.lease_until, f.holder, f.latest_ordinal, f.n_done, f.n_conflicts,
+      CASE WHEN command = 'cancel' THEN 'cancel' WHEN command = 'lease' AND (f.status = 'READY' OR f.status = 'ACTIVE' AND f.lease_until <= e.s) THEN 'lease'
+        WHEN command <> 'lease' AND f.status = 'ACTIVE' AND f.lease_until > e.s AND f.holder = e.worker THEN command ELSE '' END AS move
+    FROM f JOIN e ON e.job = f.job AND e.n = f.n + 1) x)"""
+FOLDED = "SELECT job, status, lease_until, holder, last_at, latest_ordinal, n_done, n_conflicts FROM f JOIN (SELECT job, max(n) AS n FROM e GROUP BY job) l USING (job, n)"
+SCHEDULE_LOG = """e AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, schedule_id ORDER BY ts, event_id) AS n FROM fx_schedule_log),
+f AS (SELECT DISTINCT tenant_id, schedule_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS TIMESTAMP) AS ts, '' AS command, '' AS result,
     CAST(NULL AS VARCHAR) AS state, CAST(NULL AS BIGINT) AS generation, CAST(NULL AS TIMESTAMP) AS created_at, CAST(NULL AS TIMESTAMP) AS updated_at, CAST(NULL AS TIMESTAMP) AS fire_at FROM e
   UNION ALL
-  SELECT schedule_id, n, event_id, ts, command, result, CASE WHEN NOT changes THEN state WHEN command = 'pause' THEN 'PAUSED' WHEN command = 'archive' THEN 'ARCHIVED' ELSE 'ACTIVE' END,
+  SELECT tenant_id, schedule_id, n, event_id, ts, command, result, CASE WHEN NOT changes THEN state WHEN command = 'pause' THEN 'PAUSED' WHEN command = 'archive' THEN 'ARCHIVED' ELSE 'ACTIVE' END,
     CASE WHEN changes THEN coalesce(generation, 0) + 1 ELSE generation END, CASE WHEN changes THEN coalesce(created_at, ts) ELSE created_at END, CASE WHEN changes THEN ts ELSE updated_at END,
     CASE WHEN NOT changes THEN fire_at WHEN command IN ('upsert', 'resume') THEN ts END
   FROM (SELECT *, result = 'OK' AND command <> 'trigger' AS changes FROM (
-    SELECT e.schedule_id, e.n, e.event_id, e.ts, e.command, f.state, f.generation, f.created_at, f.updated_at, f.fire_at,
+    SELECT e.tenant_id, e.schedule_id, e.n, e.event_id, e.ts, e.command, f.state, f.generation, f.created_at, f.updated_at, f.fire_at,
       CASE WHEN e.command = 'upsert' THEN CASE WHEN f.state = 'ARCHIVED' THEN 'ARCHIVED' WHEN expected_generation IS NOT NULL AND (f.state IS NULL OR expected_generation <> f.generation) THEN 'GENERATION' ELSE 'OK' END
         WHEN f.state IS NULL THEN 'NOT_FOUND' WHEN e.command = 'trigger' THEN CASE WHEN f.state = 'ARCHIVED' THEN 'ARCHIVED' ELSE 'OK' END
         WHEN expected_generation <> f.generation THEN 'GENERATION' WHEN f.state = 'ARCHIVED' AND e.command <> 'archive' THEN 'ARCHIVED' ELSE 'OK' END AS result
-    FROM f JOIN e ON e.schedule_id = f.schedule_id AND e.n = f.n + 1) x) y)"""
+    FROM f JOIN e ON e.tenant_id = f.tenant_id AND e.schedule_id = f.schedule_id AND e.n = f.n + 1) x) y)"""
 
 
 def with_(names: tuple[str, ...], *more: str) -> str:
@@ -119,14 +134,14 @@ FROM st s LEFT JOIN outcome o ON o.tenant_id = s.tenant_id AND o.job_id = s.job_
         "q_run_nested": with_(("fx_chapters",), SEGMENTS) + """SELECT tenant_id, job_id, job_attempt, CAST(row_number() OVER (PARTITION BY tenant_id, job_id, job_attempt ORDER BY first_ordinal) - 1 AS INT) AS place,
 task_type || ':' || first_ordinal AS run_id, n_attempts FROM runs""",
         "q_latest_attempt": with_(("fx_chapters",), OUTCOME) + "SELECT tenant_id, job_id, attempt, ordinal, payload_kind FROM outcome",
-        "q_next_attempt": with_(("fx_chapters",), OUTCOME) + "SELECT tenant_id, job_id, attempt + 1 AS next_attempt FROM outcome WHERE payload_kind IN ('AppError', 'SystemError') AND attempt < 3",
-        "q_runtime_row": with_((*jobs, "fx_chapters")) + f"""SELECT j.tenant_id, j.job_id, max(ordinal) + 1 AS ordinal, j.next_need,
-CASE WHEN j.lease_id IS NOT NULL THEN 'LEASED' WHEN j.available_at <= {T} THEN 'READY' ELSE 'WAITING' END AS state
-FROM fx_jobs j JOIN fx_chapters c ON j.tenant_id = c.tenant_id AND j.job_id = c.job_id WHERE j.archived_at IS NULL GROUP BY j.tenant_id, j.job_id, j.next_need, j.lease_id, j.available_at""",
+        "q_next_attempt": with_(("fx_bodies",), OUTCOME) + "SELECT tenant_id, job_id, attempt + 1 AS next_attempt FROM outcome WHERE payload_kind = 'AppError' AND attempt < 4 OR payload_kind = 'SystemError' AND attempt < 3",  # attempt 3 says that it may not be retried
+        "q_runtime_row": with_((*jobs, "fx_chapters"), STATUS, "c AS (SELECT tenant_id, job_id, max(ordinal) AS last FROM fx_chapters WHERE job_id NOT LIKE '%7' GROUP BY 1, 2)") + """SELECT tenant_id, job_id, coalesce(last + 1, 0) AS ordinal, next_need,
+CASE status WHEN 'READY' THEN 'READY' WHEN 'ACTIVE' THEN 'LEASED' ELSE 'WAITING' END AS state, next_need || ':' || coalesce(last + 1, 0) AS run_id, last AS input_ordinal
+FROM st LEFT JOIN c USING (tenant_id, job_id) WHERE status IN ('READY', 'ACTIVE', 'AWAITING_FUTURE', 'PENDING_JOBS')""",
         "q_chapter_range": chapters + f"SELECT tenant_id, job_id, ordinal, chapter_type FROM fx_chapters WHERE ordinal BETWEEN 1 AND 2 AND {one}",
         "q_task_deadline": chapters + """SELECT tenant_id, job_id, ordinal, deadline FROM (SELECT *, coalesce(lag(created_at) OVER (PARTITION BY tenant_id, job_id ORDER BY ordinal), created_at)
 + INTERVAL '30' MINUTE AS deadline FROM fx_chapters) x WHERE ordinal > 0""",
-        "q_restart_diff": with_(("fx_jobs", "fx_chapters"), "c AS (SELECT c.*, k, k // 2 AS pair FROM fx_chapters c JOIN fx_jobs j ON j.tenant_id = c.tenant_id AND j.job_id = c.job_id)") + """
+        "q_restart_diff": with_(("fx_jobs", "fx_chapters"), "c AS MATERIALIZED (SELECT c.*, k, k // 2 AS pair FROM fx_chapters c JOIN fx_jobs j ON j.tenant_id = c.tenant_id AND j.job_id = c.job_id)") + """
 SELECT coalesce(a.pair, b.pair) AS pair, coalesce(a.ordinal, b.ordinal) AS ordinal, CASE WHEN a.pair IS NULL THEN 'extra' WHEN b.pair IS NULL THEN 'missing' ELSE 'differs' END AS kind
 FROM (SELECT * FROM c WHERE k % 2 = 0) a FULL OUTER JOIN (SELECT * FROM c WHERE k % 2 = 1) b ON a.pair = b.pair AND a.ordinal = b.ordinal
 WHERE a.pair IS NULL OR b.pair IS NULL OR a.chapter_type <> b.chapter_type OR a.task_type <> b.task_type OR a.attempt <> b.attempt OR a.payload_kind <> b.payload_kind""",
@@ -147,18 +162,36 @@ AND hour(scheduled_at) BETWEEN 8 AND 20 AND day(scheduled_at) IN (1, 15, 20, 21,
         "q_interval_next": with_(runs) + """SELECT event_id, CASE WHEN f <= TIMESTAMP '2024-01-25' THEN f END AS next_fire
 FROM (SELECT event_id, greatest(scheduled_at + INTERVAL '90' MINUTE, TIMESTAMP '2024-01-05') AS f FROM fx_runs) x""",
         "q_sched_job_id": with_(runs) + "SELECT event_id, 'jobdbsched_' || schedule_id || '_g3_run_' || strftime(scheduled_at, '%Y%m%dT%H%M%S%f') || '000Z' AS job_id FROM fx_runs",
-        "q_sched_runs": with_(runs) + """SELECT schedule_id, scheduled_at, event_id, success FROM fx_runs WHERE schedule_id IN ('sched-3', 'sched-7', 'sched-11')
-AND scheduled_at BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12' ORDER BY scheduled_at DESC, event_id DESC LIMIT 101""",
-        "q_failure_bits": with_(runs, WINDOWED) + "SELECT event_id, schedule_id, bits FROM bits",
+        "q_sched_runs": with_(runs) + """SELECT tenant_id, schedule_id, scheduled_at, event_id, success FROM fx_runs ORDER BY scheduled_at DESC, event_id DESC LIMIT 101""",
+        "q_failure_bits": with_(runs, WINDOWED) + "SELECT event_id, tenant_id, schedule_id, bits FROM bits",
         "q_failure_violated": with_(runs, WINDOWED) + "SELECT event_id, violated FROM bad",
-        "q_preflight": with_(runs, WINDOWED, f"numbers AS (SELECT *, {number} AS n FROM bad)") + """SELECT event_id, CASE WHEN n % 13 = 0 THEN 'MISSING' WHEN n % 5 = 0 THEN 'PAUSED' WHEN n % 7 = 0 THEN 'ARCHIVED'
-WHEN n % 2 <> event_id % 2 THEN 'GENERATION' WHEN n % 3 = 0 AND scheduled_at > TIMESTAMP '2024-01-20' THEN 'ENDED' WHEN violated THEN 'FAILURE_POLICY' ELSE 'OK' END AS reason FROM numbers""",
+        "q_preflight": with_(runs, WINDOWED, f"numbers AS (SELECT *, {number} AS n FROM bad)") + f"SELECT event_id, {REASON} AS reason FROM numbers",
+        "q_preflight_cancel": with_(runs, WINDOWED, f"numbers AS (SELECT *, {number} AS n FROM bad), r AS (SELECT *, {REASON} AS reason FROM numbers)") + """SELECT tenant_id, schedule_id, event_id, 1 AS ordinal, 'cancelled' AS completion_status,
+'jobdb.schedule_preflight' AS component, CASE reason WHEN 'FAILURE_POLICY' THEN 'failure_policy' WHEN 'GENERATION' THEN 'schedule_generation_mismatch' WHEN 'SPEC' THEN 'schedule_spec_mismatch' ELSE 'schedule_' || lower(reason) END AS code,
+CASE reason WHEN 'FAILURE_POLICY' THEN 'schedule failure policy blocked this occurrence' WHEN 'GENERATION' THEN 'schedule generation changed before app start' WHEN 'SPEC' THEN 'schedule spec changed before app start'
+ELSE 'schedule ' || lower(reason) || ' before app start' END AS message FROM r WHERE reason <> 'OK'""",
+        "q_successors": with_(runs, WINDOWED, f"numbers AS (SELECT *, {number} AS n FROM bad), r AS (SELECT *, {REASON} AS reason, greatest(scheduled_at + INTERVAL '90' MINUTE, TIMESTAMP '2024-01-05') AS fire FROM numbers)") + """SELECT event_id, tenant_id,
+'jobdbsched_' || schedule_id || '_g' || (1 + n % 2) || '_run_' || strftime(fire, '%Y%m%dT%H%M%S%f') || '000Z' AS job_id, fire AS scheduled_at,
+'jobdbsched_' || schedule_id || '_g' || (1 + n % 2) || '_run_' || strftime(scheduled_at, '%Y%m%dT%H%M%S%f') || '000Z' AS waits_for FROM r WHERE reason = 'OK' AND event_id % 4 <> 0 AND fire <= TIMESTAMP '2024-01-25'""",
+        "q_app_metadata": with_(("fx_metadata",)) + """SELECT tenant_id, job_id, coalesce(parent_job_id, CASE WHEN k % 9 = 0 THEN 'job-' || (k - 1) END, '') AS parent,
+CASE k % 9 WHEN 0 THEN '{"a":' || k || '}' WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 4 THEN '{"schemaHash":"h' || k || '"}' WHEN 7 THEN NULL WHEN 8 THEN '{"b":1}' ELSE metadata END AS app,
+CASE k % 9 WHEN 1 THEN 's' || k WHEN 4 THEN 'h' || k ELSE '' END AS schema_hash FROM fx_metadata""",
+        "q_occurrence": with_(("fx_metadata",)) + """SELECT tenant_id, job_id, 'sched-' || (k % 40) AS schedule_id, k % 3 AS generation, 'sha256:x' AS spec_hash, TIMESTAMP '2001-07-09 10:00:00' AS scheduled_at,
+'20010709T100000000000000Z' AS run_id, CASE WHEN k % 3 = 0 THEN 'MISSING_FIELDS' END AS error FROM fx_metadata WHERE k % 9 = 8""",
+        "q_policy_merge": with_(("fx_jobs",)) + """SELECT tenant_id, job_id, CASE WHEN k % 3 = 0 THEN 100 ELSE k % 3 * 100 END AS initial_ms, CASE WHEN k % 2 = 1 THEN 2.0 ELSE 1.0 END AS coefficient, 30000 AS max_ms,
+CASE k % 4 WHEN 1 THEN 3 WHEN 3 THEN 2 ELSE 1 END AS max_attempts, CASE WHEN k % 5 = 0 THEN 'A' ELSE 'B' END AS non_retryable,
+CASE WHEN k % 7 = 6 THEN 600000 WHEN k % 7 >= 2 THEN k % 7 * 1000 - 2000 END AS invocation_ms, 1800000 AS total_ms FROM fx_jobs""",
+        "q_input_chapter": with_(("fx_bodies",)) + """SELECT a.tenant_id, a.job_id, a.ordinal, CASE WHEN a.ordinal = 0 THEN 'NONE' WHEN b.job_id IS NULL THEN 'NOT_FOUND' ELSE 'FOUND' END AS input_state, b.data AS input_data
+FROM fx_bodies a LEFT JOIN fx_bodies b ON a.tenant_id = b.tenant_id AND a.job_id = b.job_id AND a.ordinal > 0 AND b.ordinal = a.ordinal - 1 - a.ordinal % 3""",
+        "q_event_times": chapters + "SELECT tenant_id, job_id, ordinal, coalesce(lag(created_at) OVER (PARTITION BY tenant_id, job_id ORDER BY ordinal), created_at) AS began, created_at AS ended FROM fx_chapters",
+        "q_fold_final_state": with_(("fx_commands",), FOLD) + FOLDED,
+        "q_stream_fold": with_(("fx_commands",), FOLD) + FOLDED,
         "q_backoff": chapters + """SELECT tenant_id, job_id, ordinal, least(100.0 * pow(2.0, attempt - 1), 350.0) AS backoff_ms, payload_kind IN ('AppError', 'SystemError') AS retryable
 FROM fx_chapters WHERE chapter_type = 'TaskAttemptOutcome'""",
-        "q_schedule_log": with_(("fx_schedule_log",), SCHEDULE_LOG) + """SELECT schedule_id, event_id, ts, command, result, state, generation, created_at, updated_at, fire_at,
+        "q_schedule_log": with_(("fx_schedule_log",), SCHEDULE_LOG) + """SELECT tenant_id, schedule_id, event_id, ts, command, result, state, generation, created_at, updated_at, fire_at,
 CASE WHEN fire_at IS NOT NULL THEN 'jobdbsched_' || schedule_id || '_g' || generation || '_run_' || strftime(fire_at, '%Y%m%dT%H%M%S%f') || '000Z' END AS next_job_id FROM f WHERE n > 0""",
-        "q_schedule_list": with_(("fx_schedule_log",), SCHEDULE_LOG, "ends AS (SELECT schedule_id, arg_max(state, n) AS state, max(generation) AS generation, max(updated_at) AS updated_at FROM f GROUP BY 1)")
-        + "SELECT schedule_id, state, generation, updated_at FROM ends WHERE state IN ('ACTIVE', 'PAUSED') ORDER BY updated_at DESC, schedule_id DESC LIMIT 100",
+        "q_schedule_list": with_(("fx_schedule_log",), SCHEDULE_LOG, "ends AS (SELECT tenant_id, schedule_id, arg_max(state, n) AS state, max(generation) AS generation, max(updated_at) AS updated_at FROM f GROUP BY 1, 2)")
+        + "SELECT schedule_id, state, generation, updated_at FROM ends WHERE tenant_id = 't1' AND state IN ('ACTIVE', 'PAUSED') ORDER BY updated_at DESC, schedule_id DESC LIMIT 100",
         "q_cron_first": with_(runs, "minutes AS (SELECT m FROM (SELECT unnest(generate_series(TIMESTAMP '2023-12-31', TIMESTAMP '2024-02-12', INTERVAL '1' MINUTE)) AS m) x WHERE minute(m) % 15 = 0 AND hour(m) BETWEEN 9 AND 17 AND dayofweek(m) BETWEEN 1 AND 5)")
         + "SELECT event_id, min(m) AS next_fire FROM fx_runs JOIN minutes ON m >= date_trunc('minute', scheduled_at) AND m < scheduled_at + INTERVAL '8' DAY GROUP BY event_id",
         "q_artifact_lookup": """WITH made AS (SELECT doc_id, doc_id % 50 AS job_id, doc_id // 50 % 3 AS ordinal, doc_id // 150 AS position, 'n' || doc_id % 7 AS name, sha256(text) AS digest, strlen(text) AS size FROM documents),
@@ -181,11 +214,11 @@ coalesce(message, '') AS detail FROM e WHERE chapter_type = 'JobAttemptOutcome'"
 kind, message, CASE WHEN kind = 'app' THEN 'warn' END AS level, CASE WHEN kind = 'system' THEN 'db' END AS component, code, CASE WHEN kind = 'timeout' THEN 'total' END AS scope, retryable FROM e WHERE kind IS NOT NULL""",
         "q_submit": with_(("fx_jobs",)) + f"""SELECT {J}, seq, CASE WHEN k % 3 = 0 THEN CASE WHEN seq = 0 THEN 'NEW' WHEN k % 17 = 5 AND k % 5 <> 1 THEN 'JOB_TYPE' ELSE 'SAME' END
 WHEN k % 5 = 1 OR (seq = 1 AND k % 17 = 5) THEN 'JOB_TYPE' WHEN k % 7 = 2 THEN 'INPUT' WHEN k % 11 <> 3 AND k % 13 = 4 THEN 'METADATA' ELSE 'SAME' END AS result
-FROM fx_jobs, (SELECT unnest([0, 1]) AS seq) x WHERE k % 2 = 0""",
+FROM fx_jobs, (SELECT unnest([0, 1]) AS seq) x""",
         "q_restart": with_(("fx_chapters",), LAST) + """SELECT j.tenant_id, j.job_id AS prior_job_id, j.job_id || '-again' AS job_id, k % 6 - 1 AS last_step,
 CASE WHEN k % 6 = 0 THEN 'NEGATIVE_STEP' WHEN c.ordinal IS NULL THEN 'NO_NEXT_CHAPTER' WHEN c.attempt > 1 THEN 'CUTS_RETRIES' ELSE 'OK' END AS result,
 CASE WHEN k % 6 > 0 AND c.attempt = 1 THEN job_type END AS job_type, CASE WHEN k % 6 > 0 AND c.attempt = 1 THEN k % 6 - 1 END AS fork_ordinal, CASE WHEN k % 6 > 0 AND c.attempt = 1 THEN k % 6 END AS next_ordinal
-FROM fx_jobs j LEFT JOIN fx_chapters c ON j.tenant_id = c.tenant_id AND j.job_id = c.job_id AND c.ordinal = k % 6 WHERE k % 4 = 0""",
+FROM fx_jobs j LEFT JOIN fx_chapters c ON j.tenant_id = c.tenant_id AND j.job_id = c.job_id AND c.ordinal = k % 6""",
         "q_child_submit": with_(("fx_jobs",)) + f"""SELECT c.tenant_id, c.parent_job_id, c.job_id || '-child' AS child_id, CASE WHEN p.job_id IS NULL THEN 'NOT_FOUND'
 WHEN p.archived_at IS NULL AND p.lease_id IS NOT NULL AND p.lease_expires_at > {T} AND (c.k % 3 <> 0 OR p.k = 0) THEN 'OK' ELSE 'LEASE_LOST' END AS result
 FROM fx_jobs c LEFT JOIN fx_jobs p ON p.tenant_id = c.tenant_id AND p.job_id = c.parent_job_id WHERE c.parent_job_id IS NOT NULL""",

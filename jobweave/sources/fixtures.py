@@ -8,6 +8,7 @@ NOW = "2001-08-01 00:00:00"
 SOURCES = {
     "fx_jobs": ["orders", "customer"], "fx_wait": ["fx_jobs"], "fx_chapters": ["fx_jobs", "lineitem"], "fx_stories": ["conversations"],
     "fx_story_chapters": ["conversations"], "fx_runs": ["events"], "fx_bodies": ["fx_chapters"], "fx_schemas": ["nation"], "fx_schedule_log": ["events"],
+    "fx_metadata": ["fx_jobs"], "fx_commands": ["events"],
 }
 
 
@@ -54,7 +55,7 @@ SELECT 'anth' AS anthology_id, conv_id AS story_id, max(turn) AS own_latest, CAS
   CASE WHEN conv_id % 5 <> 0 THEN CAST(0 AS BIGINT) END AS fork_ordinal, conv_id % 17 = 0 AS deleted
 FROM {conversations} GROUP BY conv_id""",
     "fx_story_chapters": "SELECT 'anth' AS anthology_id, conv_id AS story_id, turn AS ordinal, role AS task_type, text AS body FROM {conversations}",
-    "fx_runs": "SELECT 'sched-' || CAST(user_id AS STRING) AS schedule_id, ts AS scheduled_at, event_id, event_type <> 'error' AS success FROM {events}",
+    "fx_runs": "SELECT 't' || CAST(user_id % 2 AS STRING) AS tenant_id, 'sched-' || CAST(CAST(floor(user_id / 2) AS BIGINT) AS STRING) AS schedule_id, ts AS scheduled_at, event_id, event_type <> 'error' AS success FROM {events}",
     "fx_bodies": braces("""
 SELECT tenant_id, job_id, ordinal, chapter_type, task_type, attempt, payload_kind, created_at, 'h' || CAST(ordinal AS STRING) AS input_hash,
   CASE payload_kind WHEN 'App' THEN '«"value":' || CAST(ordinal AS STRING) || '»'
@@ -72,9 +73,20 @@ SELECT n, CASE n % 5 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' WHEN 2 THEN
   CAST('2001-01-01 00:00:00' AS {ts}) + (n * 10 - copy) * INTERVAL '1' HOUR AS created_at
 FROM (SELECT n_nationkey AS n, n_name AS name, 1 AS copy FROM {nation} UNION ALL SELECT n_nationkey, n_name, 2 FROM {nation}) t"""),
     "fx_schedule_log": """
-SELECT 'sched-' || CAST(user_id AS STRING) AS schedule_id, ts, event_id, CASE event_type WHEN 'view' THEN 'upsert' WHEN 'click' THEN 'pause' WHEN 'purchase' THEN 'resume'
+SELECT 't' || CAST(user_id % 2 AS STRING) AS tenant_id, 'sched-' || CAST(CAST(floor(user_id / 2) AS BIGINT) AS STRING) AS schedule_id, ts, event_id, CASE event_type WHEN 'view' THEN 'upsert' WHEN 'click' THEN 'pause' WHEN 'purchase' THEN 'resume'
   WHEN 'signup' THEN 'trigger' ELSE CASE WHEN event_id % 9 = 0 THEN 'archive' ELSE 'upsert' END END AS command,
   CASE WHEN event_id % 4 = 0 THEN event_id % 40 END AS expected_generation
+FROM {events}""",
+    "fx_metadata": braces("""
+SELECT tenant_id, job_id, k, CASE WHEN k % 5 = 0 THEN parent_job_id END AS parent_job_id, CASE k % 9
+  WHEN 0 THEN '«"app":«"a":' || CAST(k AS STRING) || '»,"internal":«"parentJobId":" job-' || CAST(k - 1 AS STRING) || ' "»»'
+  WHEN 1 THEN '«"app":null,"internal":«"schemaHash":"s' || CAST(k AS STRING) || '"»»' WHEN 2 THEN '«"internal":«"parentJobId":""»»' WHEN 3 THEN '«"internal":«"other":1»»'
+  WHEN 4 THEN '«"schema_hash":7,"app":«"schemaHash":"h' || CAST(k AS STRING) || '"»»' WHEN 5 THEN '[1]' WHEN 6 THEN '«bad' WHEN 7 THEN '  '
+  ELSE '«"app":«"b":1»,"internal":«"schedule":«"scheduleId":"sched-' || CAST(k % 40 AS STRING) || '","generation":' || CAST(k % 3 AS STRING) || ',"specHash":"sha256:x","scheduledAt":"2001-07-0' || CAST(1 + k % 9 AS STRING) || 'T10:00:00Z"»»»' END AS metadata
+FROM {fx_jobs}"""),
+    "fx_commands": """
+SELECT 'job-' || CAST(user_id AS STRING) AS job, ts, event_id, CASE event_type WHEN 'view' THEN 'append' WHEN 'click' THEN 'lease' WHEN 'purchase' THEN CASE WHEN event_id % 6 = 0 THEN 'complete' ELSE 'reschedule' END
+  WHEN 'error' THEN CASE WHEN event_id % 5 = 0 THEN 'cancel' ELSE 'fail' END ELSE 'keepalive' END AS command, 'w' || CAST(event_id % 3 AS STRING) AS worker
 FROM {events}""",
 }
 
@@ -83,7 +95,10 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture or test table as a DataFrame."""
     if name not in SQL:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    inputs = {x: fixture(spark, sf_dir, x) for x in SOURCES[name]}
+    return projected(spark, name, **{x: fixture(spark, sf_dir, x) for x in SOURCES[name]})
+
+
+def projected(spark: SparkSession, name: str, **inputs: DataFrame) -> DataFrame:
     return spark.sql(SQL[name].replace("{ts}", "TIMESTAMP_NTZ"), **inputs)
 
 

@@ -11,38 +11,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-LEASE_SECONDS = 30 * 60
-STATE = "status string, lease_until double, latest_ordinal long, n_done long, n_conflicts long"
+#: Of the commands here; a runtime that polls every few seconds asks for less.
+LEASE_SECONDS = 12 * 3600
+STATE = "status string, lease_until double, holder string, last_at double, latest_ordinal long, n_done long, n_conflicts long"
 OUT = f"job string, {STATE}"
-NEW = ("READY", 0.0, 0, 0, 0)
+NEW = ("READY", 0.0, None, None, 0, 0, 0)
 
 
-def step(state: tuple, command: str, at: float) -> tuple:
+def step(state: tuple, command: str, at: float, worker: str | None = None) -> tuple:
     """The state after a command; one that doesn't apply counts as a conflict and changes nothing else.
 
-    lease: needs a free job or a lapsed lease. append, complete, fail: need a live lease. cancel: not once finished,
-    and again is no conflict. reopen: needs a finished job.
+    lease: needs a job that isn't archived, and is free or its lease has lapsed. keepalive, append, reschedule, complete
+    and fail: need a live lease of the worker. reschedule frees the job, complete and fail archive it. cancel applies to
+    every job, also to a completed one, and clears the lease. A command older than the last one is late and a conflict.
     """
-    status, until, ordinal, done, conflicts = state
-    live = status == "ACTIVE" and until > at
-    if command == "lease" and (status == "READY" or status == "ACTIVE" and not live):
-        return "ACTIVE", at + LEASE_SECONDS, ordinal, done, conflicts
+    status, until, holder, last, ordinal, done, conflicts = state
+    if last is not None and at < last:
+        return (*state[:6], conflicts + 1)
+    live = status == "ACTIVE" and until > at and holder == worker
+    if command == "cancel":
+        return "CANCELLED", 0.0, None, at, ordinal, done, conflicts
+    if command == "lease" and (status == "READY" or status == "ACTIVE" and until <= at):
+        return "ACTIVE", at + LEASE_SECONDS, worker, at, ordinal, done, conflicts
+    if command == "keepalive" and live:
+        return status, at + LEASE_SECONDS, holder, at, ordinal, done, conflicts
     if command == "append" and live:
-        return status, until, ordinal + 1, done, conflicts
+        return status, until, holder, at, ordinal + 1, done, conflicts
+    if command == "reschedule" and live:
+        return "READY", 0.0, None, at, ordinal, done, conflicts
     if command in ("complete", "fail") and live:
-        return "COMPLETED" if command == "complete" else "READY", 0.0, ordinal + 1, done + (command == "complete"), conflicts
-    if command == "cancel" and status not in ("COMPLETED",):
-        return "CANCELLED", 0.0, ordinal, done, conflicts
-    if command == "reopen" and status in ("COMPLETED", "CANCELLED"):
-        return "READY", 0.0, ordinal, done, conflicts
-    return status, until, ordinal, done, conflicts + 1
+        return "COMPLETED", 0.0, None, at, ordinal + 1, done + (command == "complete"), conflicts
+    return status, until, holder, at, ordinal, done, conflicts + 1
 
 
-def commands(events: DataFrame) -> DataFrame:
-    """Test events as commands, one job for each user."""
-    names = {"view": "append", "click": "lease", "purchase": "complete", "error": "fail", "signup": "reopen"}
-    of = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
-    return events.select(F.concat(F.lit("job-"), F.col("user_id").cast("string")).alias("job"), F.col("ts").cast("timestamp").alias("ts"), "event_id", of[F.col("event_type")].alias("command"))
+def commands(rows: DataFrame) -> DataFrame:
+    """Commands (job, ts, event_id, command, worker) with their times as instants."""
+    return rows.select("job", F.col("ts").cast("timestamp").alias("ts"), "event_id", "command", "worker")
 
 
 def folded(rows: DataFrame, key: str, order: list[str], advance: Callable[[Any, dict], tuple], new: Any, out: str, every: bool = False) -> DataFrame:
@@ -79,11 +83,11 @@ def fold(commands: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     names = [c.split()[0] for c in STATE.split(", ")]
 
     def advance(state: tuple, row: dict) -> tuple:
-        state = tuple(row[c] for c in names) if row["status"] is not None else step(state, row["command"], row["at"])
+        state = tuple(row[c] for c in names) if row["status"] is not None else step(state, row["command"], row["at"], row["worker"])
         return state, (row["job"], *state)
 
     timed = commands.withColumn("at", F.unix_micros("ts") / 1e6)
-    rows = timed.select("job", "ts", "event_id", "command", "at", F.lit(0).alias("turn"), *(F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in STATE.split(", ")))
+    rows = timed.select("job", "ts", "event_id", "command", "worker", "at", F.lit(0).alias("turn"), *(F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in STATE.split(", ")))
     if stored is not None:
         rows = rows.unionByName(stored.withColumn("turn", F.lit(-1)), allowMissingColumns=True)
     return folded(rows, "job", ["turn", "ts", "event_id"], advance, NEW, OUT)

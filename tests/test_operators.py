@@ -60,15 +60,57 @@ def test_needs_and_hashes(spark):
 
 
 def test_transitions():
-    s = fold.NEW
-    s = fold.step(s, "append", 0.0)
-    assert s[4] == 1  # no lease
-    s = fold.step(s, "lease", 0.0)
-    assert s[0] == "ACTIVE" and fold.step(s, "lease", 1.0)[4] == 2
-    assert fold.step(s, "lease", fold.LEASE_SECONDS)[0] == "ACTIVE"  # lapsed leases are taken again
-    s = fold.step(fold.step(s, "append", 1.0), "complete", 2.0)
-    assert s[:4] == ("COMPLETED", 0.0, 2, 1)
-    assert fold.step(s, "cancel", 3.0)[4] == 2 and fold.step(s, "reopen", 3.0)[0] == "READY"
+    s = fold.step(fold.NEW, "append", 0.0, "w")
+    assert s[6] == 1  # no lease
+    s = fold.step(s, "lease", 0.0, "w")
+    assert s[0] == "ACTIVE" and fold.step(s, "lease", 1.0, "v")[6] == 2 and fold.step(s, "append", 1.0, "v")[6] == 2  # another worker
+    assert fold.step(s, "lease", fold.LEASE_SECONDS, "v")[:3] == ("ACTIVE", 2.0 * fold.LEASE_SECONDS, "v")  # lapsed leases are taken again
+    assert fold.step(s, "keepalive", 5.0, "w")[1] == 5.0 + fold.LEASE_SECONDS and fold.step(s, "reschedule", 5.0, "w")[0] == "READY"
+    done = fold.step(fold.step(s, "append", 1.0, "w"), "complete", 2.0, "w")
+    assert done[:6] == ("COMPLETED", 0.0, None, 2.0, 2, 1) and fold.step(done, "lease", 9.0, "w")[6] == 2
+    assert fold.step(done, "cancel", 3.0)[:2] == ("CANCELLED", 0.0) and fold.step(s, "fail", 3.0, "w")[0] == "COMPLETED"
+    assert fold.step(done, "cancel", 1.0) == (*done[:6], done[6] + 1)  # late
+
+
+def test_filter_algebra(spark):
+    f, equal = listing.Filter(), listing.Filter.equal
+    assert f.or_(equal("a", 1)).or_(equal("a", 2)).and_(equal("b", "x")).predicates() == [("a", [1, 2]), ("b", ["x"])]
+    assert listing.Filter.of({("a",): [1, 2], ("b",): ["x"]}).predicates() == [("a", [1, 2]), ("b", ["x"])]
+    for bad in (lambda: equal("a.b", 1), lambda: equal(" ", 1), lambda: equal("a", None), lambda: equal("a", 1).or_(equal("b", 1)), lambda: equal("a", 1).and_(equal("b", 1)).or_(equal("a", 2))):
+        with pytest.raises(ValueError):
+            bad()
+    df = spark.createDataFrame([('{"app":{"a":2,"b":"x"}}',), ('{"app":{"a":3,"b":"x"}}',)], ["metadata"])
+    assert [r[0] for r in df.select(listing.Filter.of({("a",): [1, 2], ("b",): ["x"]}).column()).collect()] == [True, False]
+
+
+def test_pages_end(spark):
+    t = catalogue.Tables(spark, "/root/testdata/sf0.001")
+    request = listing.ListRequest(tenants=["BUILDING"], page_size=100)
+    seen = 0
+    while True:
+        rows, token = listing.list_page(t.fx_jobs, t.fx_wait, catalogue.NOW, request)
+        seen += len(rows)
+        if token is None:
+            break
+        request = listing.ListRequest(tenants=["BUILDING"], page_size=100, token=token)
+    assert seen == t.fx_jobs.where("tenant_id = 'BUILDING'").count()
+
+
+def test_unbounded_failure_window_and_small_columns(spark):
+    runs = spark.createDataFrame([("t", "s", k, k, k % 3 > 0) for k in range(5)], "tenant_id string, schedule_id string, scheduled_at int, event_id int, success boolean")
+    assert max(r["bits"] for r in schedules.failure_windows(runs, 0).collect()) == "01101"
+    row = spark.range(1).select(
+        expr.key_parts(F.lit("a/b")).alias("p"), expr.key_parts(F.lit("a/b/c")).alias("q"), expr.time_of_ns(F.lit(1_700_000_000_123_456_789)).cast("string").alias("t"),
+        expr.manual_job_id(F.lit("s"), F.lit("r"), F.lit(None).cast("timestamp_ntz")).alias("m"),
+        expr.retryable_under(F.lit("AppError"), F.lit(None), F.lit(False), F.array(F.lit("A")), F.array(F.lit("A"))).alias("no"),
+        expr.retryable_under(F.lit("AppError"), F.lit(None), F.lit(False), F.array(F.lit("A")), F.array(F.lit("B"))).alias("yes"),
+        schedules.spec_hash(F.lit("{}"), schedules.spec_target(F.lit("j"), F.lit("1"), F.array().cast("array<struct<name:string,sha256:string,size:long>>"), F.lit("")), F.lit(""), F.lit("{}")).alias("h"),
+    ).first()
+    import hashlib
+
+    text = '{"trigger":{},"target":{"jobType":"j","data":1},"overlapPolicy":"serial","failurePolicy":{}}'
+    assert tuple(row["p"]) == ("a", "b") and row["q"] is None and row["t"] == "2023-11-14 22:13:20.123456" and row["m"] == "jobdbsched_s_manual_r"
+    assert row["no"] is False and row["yes"] is True and row["h"] == "sha256:" + hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_stream_equals_batch(spark):
@@ -87,9 +129,9 @@ def test_fork_chain_longer_than_a_checkpoint(spark):
 
 def test_stream_fold_goes_on_from_stored_states(spark, tmp_path):
     """Time-ordered files, one a micro-batch, then a second run on the same base, against the batch fold of all rows."""
-    kinds = ["lease", "append", "complete", "reopen", "fail", "cancel"]
-    rows = [("hot" if k % 3 else f"j{k % 7}", k * 60, k, kinds[(k * k + k // 5) % 6]) for k in range(3000)]
-    all_rows = spark.createDataFrame(rows, "job string, at long, event_id long, command string").selectExpr("job", "timestamp_seconds(at) ts", "event_id", "command")
+    kinds = ["lease", "append", "complete", "reschedule", "fail", "keepalive"]
+    rows = [("hot" if k % 3 else f"j{k % 7}", k * 60, k, kinds[(k * k + k // 5) % 6], "w") for k in range(3000)]
+    all_rows = spark.createDataFrame(rows, "job string, at long, event_id long, command string, worker string").selectExpr("job", "timestamp_seconds(at) ts", "event_id", "command", "worker")
     for k in range(3):
         all_rows.where(f"event_id div 1000 = {k}").orderBy("command").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         if k:

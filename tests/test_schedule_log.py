@@ -8,7 +8,7 @@ from jobweave.operators import listing, payloads, schedules
 from jobweave.sources import blobs
 from jobweave.streaming import fold
 
-LOG = "schedule_id string, event_id long, ts timestamp_ntz, command string, expected_generation long, paused boolean, end_at timestamp_ntz"
+LOG = "tenant_id string, schedule_id string, event_id long, ts timestamp_ntz, command string, expected_generation long, paused boolean, end_at timestamp_ntz"
 
 
 def day(n):
@@ -20,7 +20,7 @@ def test_schedule_commands(spark):
         ("pause", None, "NOT_FOUND"), ("upsert", 1, "GENERATION"), ("upsert", None, "OK"), ("upsert", 2, "GENERATION"), ("trigger", 9, "OK"), ("pause", 1, "OK"), ("resume", 1, "GENERATION"),
         ("resume", None, "OK"), ("archive", 3, "OK"), ("upsert", None, "ARCHIVED"), ("resume", None, "ARCHIVED"), ("trigger", None, "ARCHIVED"), ("archive", None, "OK"), ("odd", None, "UNKNOWN_COMMAND"),
     ]
-    log = spark.createDataFrame([("s", i, day(i + 1), c, g, None, None) for i, (c, g, _) in enumerate(asked)], LOG)
+    log = spark.createDataFrame([("t", "s", i, day(i + 1), c, g, None, None) for i, (c, g, _) in enumerate(asked)], LOG)
     rows = schedules.schedule_log(log).orderBy("event_id").collect()
     assert [r["result"] for r in rows] == [want for *_, want in asked]
     assert [r["generation"] for r in rows] == [None, None, 1, 1, 1, 2, 2, 3, 4, 4, 4, 4, 5, 5]
@@ -31,16 +31,16 @@ def test_schedule_commands(spark):
 
 
 def test_schedule_triggers_end_and_odd_rows(spark):
-    rows = [("a", 1, day(2), "upsert", None, True, None), ("b", 1, day(2), "upsert", None, False, day(1)), (None, 1, day(2), "upsert", None, None, None), ("c", 1, day(2), "upsert", None, None, day(2))]
+    rows = [("t", "a", 1, day(2), "upsert", None, True, None), ("t", "b", 1, day(2), "upsert", None, False, day(1)), ("t", None, 1, day(2), "upsert", None, None, None), ("t", "c", 1, day(2), "upsert", None, None, day(2))]
     got = {r["schedule_id"]: (r["state"], r["fire_at"]) for r in schedules.schedule_log(spark.createDataFrame(rows, LOG)).collect()}
     assert got == {"a": ("PAUSED", None), "b": ("ACTIVE", None), "c": ("ACTIVE", day(2))}
     assert schedules.schedule_log(spark.createDataFrame([], LOG)).count() == 0
 
 
 def test_schedule_pages(spark):
-    rows = spark.range(250).select(F.col("id").cast("string").alias("schedule_id"), F.lit("ACTIVE").alias("state"), F.lit(day(1)).alias("updated_at"))
-    assert [schedules.list_schedules(rows, page_size=n).count() for n in (0, 201, 200, 7)] == [100, 100, 200, 7]
-    assert schedules.list_schedules(rows, ids=["7"], states=["PAUSED"]).count() == 0 and schedules.list_schedules(rows).first()["schedule_id"] == "99"
+    rows = spark.range(250).select(F.col("id").cast("string").alias("schedule_id"), F.lit("t").alias("tenant_id"), F.lit("ACTIVE").alias("state"), F.lit(day(1)).alias("updated_at"))
+    assert [schedules.list_schedules(rows, "t", page_size=n).count() for n in (0, 201, 200, 7)] == [100, 100, 200, 7]
+    assert schedules.list_schedules(rows, "t", ids=["7"], states=["PAUSED"]).count() == 0 and schedules.list_schedules(rows, "t").first()["schedule_id"] == "99"
 
 
 def test_cron_initial_counts_its_own_minute(spark):
