@@ -124,47 +124,47 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int,
 
 
 def block_comparer(width: int, threshold: int):
-    """Exact comparison of two blocks: one link for each two components that have a similar pair in them."""
+    """Exact comparison of two blocks: one link (a, b) of each two components that have a similar pair in them."""
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.sort_by("x")
-        x, c, side = (group[k].to_numpy() for k in ("x", "c", "side"))
+        c, side = group["c"].to_numpy(), group["side"].to_numpy()
         texts = group["x_text"]
         sets = [shingle_hashes((t or "").encode().lower(), width) for t in texts.to_pylist()]
         n = np.array([len(s) for s in sets])
-        left, right = (np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)) if side.any() else (np.arange(len(x)),) * 2
-        owner = np.repeat(np.arange(len(x)), n)
+        left, right = (np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)) if side.any() else (np.arange(len(c)),) * 2
+        owner = np.repeat(np.arange(len(c)), n)
         _, column = np.unique(np.concatenate(sets), return_inverse=True)
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
         both = np.zeros((len(left), len(right)), np.int64)
         for at in range(0, int(column[-1]) + 1, SLICE):
             lo, hi = np.searchsorted(column, (at, at + SLICE))
-            m = np.zeros((len(x), SLICE), np.float32)
+            m = np.zeros((len(c), SLICE), np.float32)
             m[owner[lo:hi], column[lo:hi] - at] = 1
             both += (m[left] @ m[right].T).astype(np.int64)
         union = n[left][:, None] + n[right][None, :] - both
         i, j = np.nonzero((100 * both >= threshold * union) & (c[left][:, None] != c[right][None, :]))
         i, j = left[i], right[j]
-        found: dict[tuple[int, int], tuple[int, int]] = {}
+        found: set[tuple[int, int]] = set()
         full: dict[int, set] = {}
         for p, q in zip(i.tolist(), j.tolist(), strict=True):  # hashes have found it, the full sets confirm it
-            pair = (min(c[p], c[q]), max(c[p], c[q]))
+            pair = (min(int(c[p]), int(c[q])), max(int(c[p]), int(c[q])))
             if pair not in found:
                 for k in (p, q):
                     if k not in full:
                         full[k] = shingle_set(texts[k].as_py(), width)
                 shared = len(full[p] & full[q])
                 if 100 * shared >= threshold * (len(full[p]) + len(full[q]) - shared):
-                    found[pair] = (int(x[p]), int(x[q]))
-        a, b = zip(*found.values(), strict=True) if found else ((), ())
+                    found.add(pair)
+        a, b = zip(*sorted(found), strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return compare
 
 
 def across(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame | None:
-    """Links between components that still meet in a bucket, from comparing blocks instead of emitting pairs.
+    """Links (a, b) of components that still meet in a bucket, from comparing blocks instead of emitting pairs.
 
     Every member of such a bucket goes into one block of bounded size, with others of about its size whose buckets have
     the same centre. Two blocks are compared, whole against whole, if any bucket holds rows of both and their sizes are
@@ -217,9 +217,11 @@ def judged(docs: DataFrame, width: int, threshold: int) -> tuple[DataFrame, Data
     links = cut(confirmed(members.where("x <> y").select("x", "y").distinct(), named, texts, width, threshold))
     labels = components(links)
     rest = across(members, labels, named, texts, width, threshold)
-    if rest is not None:
-        labels = components(links.unionByName(rest))
-    return sketches, nodes.select("node", "d1", "d2", "low").join(labels, "node", "left").select("d1", "d2", "low", F.coalesce("component", "node").alias("component"))
+    found = nodes.select("node", "d1", "d2", "low").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if rest is not None:  # links of components make a far smaller graph than those of rows
+        merged = components(rest).select(F.col("node").alias("component"), F.col("component").alias("into"))
+        found = found.join(merged, "component", "left").withColumn("component", F.coalesce("into", "component"))
+    return sketches, found.select("d1", "d2", "low", "component")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
