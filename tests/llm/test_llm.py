@@ -337,6 +337,34 @@ def test_language_model_without_listed_words(docs, monkeypatch):
     assert {i: r["base_score"] for i, r in by_id(brown.perplexity_scores(docs)).items()} == pytest.approx(want)
 
 
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_brown_gains_against_recounted_likelihood(seed):
+    """Each move of one word changes the recounted likelihood by the difference of its gains."""
+    rng = np.random.default_rng(seed)
+    ids = rng.integers(0, 30, 4000)
+    ids = ids[np.r_[True, ids[1:] != ids[:-1]]]
+    classes = rng.integers(0, 5, 30)
+
+    def counted(of):
+        g = np.zeros((brown.ALL, brown.ALL))
+        np.add.at(g, (of[ids[:-1]], of[ids[1:]]), 1)
+        return g
+
+    right, left = np.zeros((30, brown.ALL)), np.zeros((30, brown.ALL))
+    np.add.at(right, (ids[:-1], classes[ids[1:]]), 1)
+    np.add.at(left, (ids[1:], classes[ids[:-1]]), 1)
+    g = counted(classes)
+    gain = brown.gains(right, left, classes, g, 8)
+    assert gain == pytest.approx(brown.gains(right, left, classes, g)[:, :8])
+    for w in range(30):
+        for c in range(8):
+            moved = classes.copy()
+            moved[w] = c
+            risen = brown.likelihood(counted(moved)) - brown.likelihood(g)
+            assert gain[w, c] - gain[w, classes[w]] == pytest.approx(risen, abs=1e-6)
+
+
 def test_language_model_scores_by_brute_force(docs, monkeypatch):
     """Transitions, emissions and scores from plain counts, given the classes; probabilities after any word sum to one."""
     monkeypatch.setattr(brown, "LISTED", 200)
