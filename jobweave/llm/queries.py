@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobweave.llm import avi, brown, decontaminate, html_text, licenses, minhash, packing, quality, suffix, warc
+from jobweave.llm import avi, brown, decontaminate, html_text, licenses, minhash, packing, quality, reputation, suffix, warc
 from jobweave.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reputation.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -58,7 +62,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     named = (
         op1_warc_derivatives, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_brown_class_lm, op5_best_fit_packing,
-        op6_html_main_text, op7_avi_media, op8_license_scan, op9_benchmark_decontamination, op10_compression_quality, pipeline,
+        op6_html_main_text, op7_avi_media, op8_license_scan, op9_benchmark_decontamination, op10_compression_quality,
+        op12_host_reputation, pipeline,
     )
     return {f.__name__: f for f in named}
 
@@ -109,5 +114,40 @@ FROM cut c LEFT JOIN bases USING (doc) LEFT JOIN named USING (doc) LEFT JOIN lab
 """
 
 
+def op12_sql() -> str:
+    """Counts of hosts, domains and suffixes, each level shrunk to the posterior mean of the one above."""
+    r = reputation
+    rules = ", ".join(f"('{act}', '{h}', '{p}')" for act, h, p in r.RULES)
+    suffixes = ", ".join(f"'{s}'" for s in r.SUFFIXES)
+    rho = f"CASE WHEN most = 0 THEN {r.NO_RHO} ELSE least(greatest(CAST(beyond AS DOUBLE) / CAST(most AS DOUBLE), {r.LEAST_RHO}), {r.MOST_RHO}) END"
+    moments = "SELECT coalesce(sum(CAST(floor(((k - n * p) * (k - n * p) - n * p * (1 - p)) * 1000000) AS BIGINT)), 0) AS beyond, coalesce(sum(CAST(floor(n * p * (1 - p) * (n - 1) * 1000000) AS BIGINT)), 0) AS most FROM {0} WHERE n > 1"
+    level = f"(SELECT *, mean * (1 - mean) / (n + (strength + 1)) + share * share * v AS var FROM (SELECT *, strength / (n + strength) AS share, (k + strength * p) / (n + strength) AS mean FROM {{0}}, (SELECT (1 - rho) / rho AS strength FROM (SELECT CAST({rho} AS DOUBLE) AS rho FROM ({moments})))))"
+    tail = "array_to_string(list_slice(parts, greatest(len(parts) - {0} + 1, 1), len(parts)), '.')"
+    return f"""
+WITH own AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+split AS (SELECT page_id, translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM own),
+outcomes AS (SELECT doc_id, sum(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS good, count(*) AS labelled FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+counts AS (SELECT host, CAST(coalesce(sum(good), 0) AS DOUBLE) AS k, CAST(coalesce(sum(labelled), 0) AS DOUBLE) AS n FROM split LEFT JOIN outcomes ON page_id = doc_id GROUP BY host),
+names AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM counts),
+parted AS (SELECT *, string_split(name, '.') AS parts, regexp_matches(name, '^[0-9.]*$|^\\[') AS address FROM names),
+sized AS (SELECT *, CASE WHEN {tail.format(2)} IN ({suffixes}) THEN 2 ELSE 1 END AS parts_of FROM parted),
+hosts AS (SELECT host, k, n, CASE WHEN address THEN name ELSE {tail.format("parts_of")} END AS suffix, CASE WHEN address THEN name ELSE {tail.format("(parts_of + 1)")} END AS domain FROM sized),
+domains AS (SELECT domain, suffix, sum(k) AS k, sum(n) AS n FROM hosts GROUP BY 1, 2),
+total AS (SELECT rate AS p, rate * (1 - rate) / (n + 3) AS v FROM (SELECT (sum(k) + 1) / (sum(n) + 2) AS rate, sum(n) AS n FROM hosts)),
+tops AS (SELECT suffix, sum(k) AS k, sum(n) AS n, any_value(p) AS p, any_value(v) AS v FROM domains, total GROUP BY 1),
+tops2 AS {level.format("tops")},
+domains1 AS (SELECT d.domain, d.suffix, d.k, d.n, t.mean AS p, t.var AS v FROM domains d JOIN tops2 t USING (suffix)),
+domains2 AS {level.format("domains1")},
+hosts1 AS (SELECT h.host, h.k, h.n, d.mean AS p, d.var AS v FROM hosts h JOIN domains2 d USING (domain, suffix)),
+hosts2 AS {level.format("hosts1")},
+known AS (SELECT host, CAST(n AS BIGINT) AS n_labelled, mean AS reputation, mean + {r.Z} * sqrt(var) AS upper FROM hosts2),
+rules(action, h, p) AS (VALUES {rules}),
+fits AS (SELECT DISTINCT s.host, s.path, action, h || p AS rule, length(h || p) AS size FROM (SELECT DISTINCT host, path FROM split) s, rules WHERE (s.host = h OR ends_with(s.host, '.' || h)) AND starts_with(s.path, p)),
+longest AS (SELECT host, path, arg_max(action, size) AS action, arg_max(rule, size) AS rule FROM fits GROUP BY 1, 2)
+SELECT page_id, s.host, s.path, rule, coalesce(action, CASE WHEN upper < {r.FLOOR} THEN 'block' ELSE 'allow' END) AS verdict, n_labelled, reputation, upper
+FROM split s LEFT JOIN known USING (host) LEFT JOIN longest l ON s.host = l.host AND s.path = l.path
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_license_scan": op8_sql(), "op9_benchmark_decontamination": OP9_SQL}
+    return {"op8_license_scan": op8_sql(), "op9_benchmark_decontamination": OP9_SQL, "op12_host_reputation": op12_sql()}
