@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobweave.llm import avi, brown, decontaminate, html_text, licenses, minhash, packing, quality, reputation, suffix, warc
+from jobweave.llm import alignment, avi, brown, decontaminate, html_text, licenses, minhash, packing, quality, reputation, suffix, warc
 from jobweave.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.scored(table(spark, sf_dir, "documents"))
+
+
 def op12_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reputation.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -63,7 +67,7 @@ def queries() -> dict:
     named = (
         op1_warc_derivatives, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_brown_class_lm, op5_best_fit_packing,
         op6_html_main_text, op7_avi_media, op8_license_scan, op9_benchmark_decontamination, op10_compression_quality,
-        op12_host_reputation, pipeline,
+        op11_tokenizer_alignment, op12_host_reputation, pipeline,
     )
     return {f.__name__: f for f in named}
 
