@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobweave.llm import alignment, avi, brown, decontaminate, html_text, licenses, minhash, packing, quality, reputation, suffix, warc
+from jobweave.llm import alignment, avi, brown, decontaminate, html_text, licenses, minhash, negatives, packing, quality, reputation, suffix, warc
 from jobweave.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op12_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reputation.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +71,7 @@ def queries() -> dict:
     named = (
         op1_warc_derivatives, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_brown_class_lm, op5_best_fit_packing,
         op6_html_main_text, op7_avi_media, op8_license_scan, op9_benchmark_decontamination, op10_compression_quality,
-        op11_tokenizer_alignment, op12_host_reputation, pipeline,
+        op11_tokenizer_alignment, op12_host_reputation, op13_hard_negatives, pipeline,
     )
     return {f.__name__: f for f in named}
 
@@ -153,5 +157,19 @@ FROM split s LEFT JOIN known USING (host) LEFT JOIN longest l ON s.host = l.host
 """
 
 
+OP13_SQL = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT a.vec_id AS a, s.vec_id AS s, a.label = s.label AS same, CAST(list_dot_product(a.q, s.q) AS BIGINT) AS score FROM rows a, rows s WHERE a.vec_id % 100 = 0 AND a.vec_id <> s.vec_id),
+positives AS (SELECT a, s AS p, score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, s) <= 5)
+SELECT a AS anchor_id, p AS positive_id, CAST(row_number() OVER (PARTITION BY a, p ORDER BY n.score DESC, n.s) AS INTEGER) AS rank, n.s AS negative_id, x.score AS positive_score, n.score AS negative_score
+FROM positives x JOIN scores n USING (a)
+WHERE NOT n.same AND 30 * x.score <= 100 * n.score AND 100 * n.score <= 90 * x.score
+QUALIFY row_number() OVER (PARTITION BY a, p ORDER BY n.score DESC, n.s) <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_license_scan": op8_sql(), "op9_benchmark_decontamination": OP9_SQL, "op12_host_reputation": op12_sql()}
+    return {"op8_license_scan": op8_sql(), "op9_benchmark_decontamination": OP9_SQL, "op12_host_reputation": op12_sql(), "op13_hard_negatives": OP13_SQL}
