@@ -1,9 +1,9 @@
 """Cross-tokenizer alignment: where the tokens of two tokenizers end together in the bytes of a text.
 
 Python only tokenises: each text becomes ids and end offsets of both tokenizers. The rest is Spark's higher-order
-functions on those arrays: array_intersect of the ends gives the places that cut both sequences into groups, marks at
-those places are sorted among a tokenizer's tokens and split them, and a group's last two tokens are a link. Links are
-counted corpus-wide after partial sums in each task; the counts are sent to all executors if there are at most
+functions on those arrays: array_intersect of the ends gives the places that cut both sequences into groups, marks are
+sorted in after the tokens that end elsewhere, the ids' text is split where there is no mark, and the last two tokens of a
+group are a link. Links are counted corpus-wide after partial sums in each task; the counts are sent to all executors if there are at most
 BROADCAST_ROWS of them, and meet the links by a shuffle above, where links are summed for each row first and Spark splits a
 popular pair. Tokenised texts are never stored, their links are, as a table in the shared checkpoint folder.
 
@@ -34,7 +34,7 @@ from jobweave.llm.common import cut, stored
 #: Distinct pairs up to which their counts are sent to all executors.
 BROADCAST_ROWS = 3_000_000
 #: Tokens of kept words in a worker's memory; characters of texts tokenised together.
-CACHE, BATCH = 2_000_000, 1 << 21
+CACHE, BATCH = 1_500_000, 1 << 20
 #: Bits of a token id in numbers that hold an end and an id, or two ids.
 BITS = 20
 MARK = (1 << BITS) - 1
@@ -162,11 +162,21 @@ def tokeniser(path_a: str, path_b: str):
     return run
 
 
-def grouped(tokens: str, ends: str) -> Column:
-    """The ids of each group, joined by commas: tokens that end a group are parted, the others have a mark sorted in after them."""
+def joined(tokens: str, ends: str) -> Column:
+    """A tokenizer's ids as text, parted by semicolons; tokens that end within a group have a mark sorted in after them."""
     marks = F.transform(F.array_except(ends, "common"), lambda e: F.shiftleft(e, BITS).bitwiseOR(F.lit(MARK).cast("long")))
     ids = F.transform(F.sort_array(F.concat(tokens, marks)), lambda x: x.bitwiseAND(F.lit(MARK).cast("long")))
-    return F.split(F.replace(F.array_join(ids.cast("array<string>"), ";"), F.lit(f";{MARK};"), F.lit(",")), ";")
+    return F.array_join(ids.cast("array<string>"), ";")
+
+
+def groups(text: str) -> Column:
+    """The ids of each group, joined by commas."""
+    return F.split(F.replace(F.col(text), F.lit(f";{MARK};"), F.lit(",")), ";")
+
+
+def last(text: str) -> Column:
+    """The last id of each group."""
+    return F.split(F.regexp_replace(text, f"[0-9]+;{MARK};", ""), ";").cast("array<long>")
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -175,10 +185,9 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tokeniser(path_a, path_b), kinds)
     rows = rows.withColumn("common", F.array_intersect("a_ends", "b_ends"))
     sizes = [F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size("common").alias("n_groups")]
-    rows = rows.select("doc_id", *sizes, grouped("a", "a_ends").alias("a"), grouped("b", "b_ends").alias("b"))
-    last = lambda g: F.substring_index(g, ",", -1).cast("long")
-    pairs = F.array_join(F.zip_with("a", "b", lambda x, y: F.concat(x, F.lit("|"), y)), ";")
-    links = F.zip_with("a", "b", lambda x, y: F.shiftleft(last(x), BITS).bitwiseOR(last(y)))
+    rows = rows.select("doc_id", *sizes, joined("a", "a_ends").alias("a"), joined("b", "b_ends").alias("b"))
+    pairs = F.array_join(F.zip_with(groups("a"), groups("b"), lambda x, y: F.concat(x, F.lit("|"), y)), ";")
+    links = F.zip_with(last("a"), last("b"), lambda x, y: F.shiftleft(x, BITS).bitwiseOR(y))
     some = F.col("n_groups") > 0
     return rows.select("doc_id", "n_a", "n_b", "n_groups", F.when(some, pairs).otherwise("").alias("groups"), F.when(some, links).otherwise(F.array().cast("array<long>")).alias("links"))
 
