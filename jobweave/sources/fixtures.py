@@ -9,6 +9,7 @@ SOURCES = {
     "fx_jobs": ["orders", "customer"], "fx_wait": ["fx_jobs"], "fx_chapters": ["fx_jobs", "lineitem"], "fx_stories": ["conversations"],
     "fx_story_chapters": ["conversations"], "fx_runs": ["events"], "fx_bodies": ["fx_chapters"], "fx_schemas": ["nation"], "fx_schedule_log": ["events"],
     "fx_metadata": ["fx_jobs"], "fx_commands": ["events"],
+    "fx_story_log": ["conversations"], "fx_story_artifacts": ["fx_story_log"], "fx_chain": ["orders"], "fx_chain_chapters": ["fx_chain"],
 }
 
 
@@ -84,6 +85,34 @@ SELECT tenant_id, job_id, k, CASE WHEN k % 5 = 0 THEN parent_job_id END AS paren
   WHEN 4 THEN '«"schema_hash":7,"app":«"schemaHash":"h' || CAST(k AS STRING) || '"»»' WHEN 5 THEN '[1]' WHEN 6 THEN '«bad' WHEN 7 THEN '  '
   ELSE '«"app":«"b":1»,"internal":«"schedule":«"scheduleId":"sched-' || CAST(k % 40 AS STRING) || '","generation":' || CAST(k % 3 AS STRING) || ',"specHash":"sha256:x","scheduledAt":"2001-07-0' || CAST(1 + k % 9 AS STRING) || 'T10:00:00Z"»»»' END AS metadata
 FROM {fx_jobs}"""),
+    "fx_story_log": """
+SELECT seq, 'anth-' || CAST(c % 2 AS STRING) AS anthology_id, 's' || CAST(h AS STRING) AS story_id, command, ordinal,
+  CASE WHEN command = 'clone' THEN 'anth-' || CAST((c + 1 + c % 2) % 2 AS STRING) END AS base_anthology_id,
+  CASE WHEN command = 'clone' THEN 's' || CAST(CASE WHEN c % 23 = 1 THEN h + 1000000 ELSE h - 1 + c % 2 END AS STRING) END AS base_story_id,
+  CASE WHEN command = 'clone' THEN fork END AS last_ordinal, body
+FROM (
+  SELECT c * 100 AS seq, c, h, fork, CASE WHEN c % 5 = 0 THEN 'create' ELSE 'clone' END AS command, CAST(NULL AS BIGINT) AS ordinal, CAST(NULL AS STRING) AS body FROM (
+    SELECT c, h, c % 4 - 1 AS fork, CASE WHEN c % 5 = 0 THEN 0 WHEN c % 4 = 0 THEN 3 ELSE c % 4 END AS low FROM (SELECT DISTINCT conv_id AS c, (conv_id - conv_id % 2) {div} 2 AS h FROM {conversations}) a) b
+  UNION ALL
+  SELECT c * 100 + 10 + turn * 3 + x.k, c, h, fork, 'append', low + turn + CASE WHEN x.k = 2 THEN 5 ELSE 0 END, text FROM (
+    SELECT conv_id AS c, (conv_id - conv_id % 2) {div} 2 AS h, conv_id % 4 - 1 AS fork, CASE WHEN conv_id % 5 = 0 THEN 0 WHEN conv_id % 4 = 0 THEN 3 ELSE conv_id % 4 END AS low, turn, text FROM {conversations}) b
+    JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) x ON x.k = 0 OR turn % 4 = x.k
+  UNION ALL
+  SELECT CASE WHEN x.k = 9 THEN 10000000 + c * 10 ELSE c * 100 + 50 + x.k END, c, h, 0, CASE WHEN x.k IN (0, 2) THEN 'publish' WHEN x.k = 1 THEN 'append' WHEN x.k = 3 THEN 'tombstone' WHEN x.k = 5 THEN 'create' ELSE 'delete' END,
+    CASE WHEN x.k = 1 THEN 8 END, CASE WHEN x.k = 1 THEN 'too late' END
+  FROM (SELECT DISTINCT conv_id AS c, (conv_id - conv_id % 2) {div} 2 AS h FROM {conversations}) b
+    JOIN (SELECT 0 AS k, 3 AS d, 0 AS r UNION ALL SELECT 1, 3, 0 UNION ALL SELECT 2, 6, 0 UNION ALL SELECT 3, 4, 1 UNION ALL SELECT 4, 17, 0 UNION ALL SELECT 5, 17, 0 UNION ALL SELECT 9, 7, 3) x ON c % x.d = x.r) t""",
+    "fx_story_artifacts": """
+SELECT anthology_id, story_id, ordinal, seq * 10 + x.k AS artifact_seq, seq, CAST((x.k + seq) % 3 AS INT) AS position, 'a' || CAST(x.k AS STRING) AS name, 'text/plain' AS content_type, CAST(length(body) AS BIGINT) AS size_bytes,
+  md5(body) || md5('a' || CAST(x.k AS STRING)) AS sha256, CASE WHEN length(body) <= 256 THEN body END AS inline_data, CASE WHEN length(body) > 256 THEN 'blobs/' || md5(body) END AS blob_path
+FROM {fx_story_log} JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) x ON seq % 4 <> 0 AND x.k <= seq % 3 WHERE command = 'append'""",
+    "fx_chain": """
+SELECT 'anth-' || CAST(k % 2 AS STRING) AS anthology_id, 's' || lpad(CAST(h AS STRING), 7, '0') AS story_id, CAST(4 AS BIGINT) AS latest_ordinal, k % 17 = 3 AS deleted,
+  CASE WHEN p > 0 THEN 'anth-' || CAST(k % 2 AS STRING) END AS base_anthology_id, CASE WHEN p > 0 THEN 's' || lpad(CAST(h - 1 AS STRING), 7, '0') END AS base_story_id, CASE WHEN p > 0 THEN p * 7 % 4 END AS fork_ordinal
+FROM (SELECT o_orderkey AS k, (o_orderkey - o_orderkey % 2) {div} 2 AS h, (o_orderkey - o_orderkey % 2) {div} 2 % 1000 AS p FROM {orders}) t""",
+    "fx_chain_chapters": """
+SELECT anthology_id, story_id, x.k AS ordinal, anthology_id || '/' || story_id || '/' || CAST(x.k AS STRING) AS body
+FROM {fx_chain} JOIN (SELECT CAST(0 AS BIGINT) AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) x ON x.k > coalesce(fork_ordinal, -1)""",
     "fx_commands": """
 SELECT 'job-' || CAST(user_id AS STRING) AS job, ts, event_id, CASE event_type WHEN 'view' THEN 'append' WHEN 'click' THEN 'lease' WHEN 'purchase' THEN CASE WHEN event_id % 6 = 0 THEN 'complete' ELSE 'reschedule' END
   WHEN 'error' THEN CASE WHEN event_id % 5 = 0 THEN 'cancel' ELSE 'fail' END ELSE 'keepalive' END AS command, 'w' || CAST(event_id % 3 AS STRING) AS worker
@@ -99,7 +128,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def projected(spark: SparkSession, name: str, **inputs: DataFrame) -> DataFrame:
-    return spark.sql(SQL[name].replace("{ts}", "TIMESTAMP_NTZ"), **inputs)
+    return spark.sql(SQL[name].replace("{ts}", "TIMESTAMP_NTZ").replace("{div}", "DIV"), **inputs)
 
 
 def ctes(*names: str) -> str:
@@ -110,7 +139,7 @@ def ctes(*names: str) -> str:
         if name in SQL and not any(x.startswith(f"{name} AS") for x in out):
             for x in SOURCES[name]:
                 add(x)
-            out.append(f"{name} AS ({SQL[name].format(ts='TIMESTAMP', **{x: x for x in SOURCES[name]})})")
+            out.append(f"{name} AS ({SQL[name].format(ts='TIMESTAMP', div='//', **{x: x for x in SOURCES[name]})})")
 
     for n in names:
         add(n)
