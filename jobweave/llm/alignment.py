@@ -5,7 +5,7 @@ functions on those arrays: array_intersect of the ends gives the places that cut
 sorted in after the tokens that end elsewhere, the ids' text is split where there is no mark, and the last two tokens of a
 group are a link. Links are counted corpus-wide after partial sums in each task; the counts are sent to all executors if there are at most
 BROADCAST_ROWS of them, and meet the links by a shuffle above, where links are summed for each row first and Spark splits a
-popular pair. Tokenised texts are never stored, their links are, as a table in the shared checkpoint folder.
+popular pair. Tokens are never stored, groups are, as a compressed table in the shared checkpoint folder.
 
 Words with the white space before them are tokenised once for a worker's lifetime, up to CACHE tokens at a time: neither
 tokenizer's tokens cross from other characters to white space after them. That holds for A's pattern and is read off the
@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from jobweave.llm.common import cut, stored
 
 #: Distinct pairs up to which their counts are sent to all executors.
-BROADCAST_ROWS = 3_000_000
+BROADCAST_ROWS = 1_000_000
 #: Tokens of kept words in a worker's memory; characters of texts tokenised together.
 CACHE, BATCH = 1_500_000, 1 << 20
-#: Bits of a token id in numbers that hold an end and an id, or two ids.
-BITS = 20
+#: Bits of a token id in numbers that hold an end and an id.
+BITS = 17
 MARK = (1 << BITS) - 1
 # Fixed value: Unicode's White_Space.
 BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -112,9 +112,15 @@ class Words:
         self.good, self.sizes = np.r_[self.good, good], np.r_[self.sizes, sizes]
 
     def tokens(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Of texts as units: where each one's tokens of A begin, their ends, their ids, and the same for B."""
+        """Of texts as units: where each one's tokens of A begin, their ends, their ids, and the same for B. Learns new units."""
         of = np.fromiter(map(len, texts), np.int64, len(texts))
-        k = np.fromiter(map(self.number.__getitem__, chain.from_iterable(texts)), np.int64, of.sum())
+        units = list(chain.from_iterable(texts))
+        found = list(map(self.number.get, units))
+        fresh = {u for u, k in zip(units, found, strict=True) if k is None}
+        if fresh:
+            self.learn(list(fresh))
+            found = map(self.number.__getitem__, units)
+        k = np.fromiter(found, np.int64, len(units))
         text = np.repeat(np.arange(len(texts)), of)
         bad = np.zeros(len(texts), bool)
         bad[text[~self.good[k]]] = True
@@ -150,7 +156,6 @@ def tokeniser(path_a: str, path_b: str):
                 if len(words.per[0][0]) > CACHE:
                     words.clear()
                 units = [words.units(f" {t}") if t else [] for t in texts[at:upto]]
-                words.learn(list(set(chain.from_iterable(units)).difference(words.number)))
                 columns = []
                 begin = words.tokens(units)
                 for first, ends, own in (begin[:3], begin[3:]):
@@ -162,49 +167,43 @@ def tokeniser(path_a: str, path_b: str):
     return run
 
 
-def joined(tokens: str, ends: str) -> Column:
-    """A tokenizer's ids as text, parted by semicolons; tokens that end within a group have a mark sorted in after them."""
+def grouped(tokens: str, ends: str) -> Column:
+    """The ids of each group as text, joined by commas: tokens that end within a group have a mark sorted in after them."""
     marks = F.transform(F.array_except(ends, "common"), lambda e: F.shiftleft(e, BITS).bitwiseOR(F.lit(MARK).cast("long")))
-    ids = F.transform(F.sort_array(F.concat(tokens, marks)), lambda x: x.bitwiseAND(F.lit(MARK).cast("long")))
-    return F.array_join(ids.cast("array<string>"), ";")
-
-
-def groups(text: str) -> Column:
-    """The ids of each group, joined by commas."""
-    return F.split(F.replace(F.col(text), F.lit(f";{MARK};"), F.lit(",")), ";")
-
-
-def last(text: str) -> Column:
-    """The last id of each group."""
-    return F.split(F.regexp_replace(text, f"[0-9]+;{MARK};", ""), ";").cast("array<long>")
+    numerals = F.sequence(F.lit(0), F.lit(MARK)).cast("array<string>")  # a constant: looking a number up is cheaper than writing it out
+    ids = F.transform(F.sort_array(F.concat(tokens, marks)), lambda x: F.get(numerals, x.bitwiseAND(F.lit(MARK).cast("long")).cast("int")))
+    return F.split(F.replace(F.array_join(ids, ";"), F.lit(f";{MARK};"), F.lit(",")), ";")
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, groups, links) of each row of docs(doc_id, text); a link is its two ids in one number."""
+    """(doc_id, n_a, n_b, groups) of each row of docs(doc_id, text); a group is `a1,a2|b1,b2`."""
     kinds = "doc_id long, a_ends array<long>, a array<long>, b_ends array<long>, b array<long>"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tokeniser(path_a, path_b), kinds)
     rows = rows.withColumn("common", F.array_intersect("a_ends", "b_ends"))
-    sizes = [F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size("common").alias("n_groups")]
-    rows = rows.select("doc_id", *sizes, joined("a", "a_ends").alias("a"), joined("b", "b_ends").alias("b"))
-    pairs = F.array_join(F.zip_with(groups("a"), groups("b"), lambda x, y: F.concat(x, F.lit("|"), y)), ";")
-    links = F.zip_with(last("a"), last("b"), lambda x, y: F.shiftleft(x, BITS).bitwiseOR(y))
-    some = F.col("n_groups") > 0
-    return rows.select("doc_id", "n_a", "n_b", "n_groups", F.when(some, pairs).otherwise("").alias("groups"), F.when(some, links).otherwise(F.array().cast("array<long>")).alias("links"))
+    groups = F.zip_with(grouped("a", "a_ends"), grouped("b", "b_ends"), lambda x, y: F.concat(x, F.lit("|"), y))
+    return rows.select("doc_id", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.when(F.size("common") > 0, groups).otherwise(F.array().cast("array<string>")).alias("groups"))
+
+
+def link(group: str) -> Column:
+    """The last two tokens of a group: `a2|b2`."""
+    g = F.col(group)
+    ends = F.concat(F.substring_index(F.substring_index(g, "|", 1), ",", -1), F.lit("|"), F.substring_index(F.substring_index(g, "|", -1), ",", -1))
+    return F.when(F.contains(g, F.lit(",")), ends).otherwise(g)
 
 
 def scored(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) for each row of docs."""
     a, b = tokenizer_paths()
     rows = aligned(docs, path_a or a, path_b or b)
-    hashed = F.when(F.col("n_groups") > 0, F.sha2(F.col("groups"), 256)).otherwise("").alias("groups_sha256")
-    rows = stored(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", "n_groups", hashed, "links"))
-    counts = cut(rows.select(F.explode("links").alias("link")).groupBy("link").agg(F.count("*").alias("count")))
-    of_b = F.col("link").bitwiseAND(F.lit(MARK).cast("long"))
-    highest = counts.groupBy(of_b.alias("b")).agg(F.max("count").alias("highest"))
-    counts = cut(counts.withColumn("b", of_b).join(highest, "b").select("link", "count", (F.col("count") == F.col("highest")).cast("long").alias("best")))
+    hashed = F.when(F.size("groups") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("").alias("groups_sha256")
+    rows = stored(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", F.size("groups").alias("n_groups"), hashed, "groups"))
+    counts = rows.select(F.explode("groups").alias("g")).select(link("g").alias("link")).groupBy("link").agg(F.count("*").alias("count"))
+    counts = cut(counts.withColumn("b", F.substring_index("link", "|", -1)))
+    highest = counts.groupBy("b").agg(F.max("count").alias("highest"))
+    counts = cut(counts.join(highest, "b").select("link", "count", (F.col("count") == F.col("highest")).cast("long").alias("best")))
     own = ["row", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256"]
     sums = [F.coalesce(F.sum(F.col(c) * F.col("times")), F.lit(0)).alias(c) for c in ("count", "best", "one")]
-    links = rows.select(*own, F.explode_outer("links").alias("link")).withColumn("times", F.lit(1).cast("long"))
+    links = rows.select(*own, F.explode_outer("groups").alias("g")).select(*own, link("g").alias("link")).withColumn("times", F.lit(1).cast("long"))
     if counts.count() <= BROADCAST_ROWS:
         counts = F.broadcast(counts)
     else:  # a pair goes over the network once for each row that has it
