@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from jobweave.functions import expr
 from jobweave.operators import history, lifecycle, listing, payloads, quality, schedules, schemas
 from jobweave.operators.listing import ListRequest
-from jobweave.plans import oracle, stories
+from jobweave.plans import leases, oracle, stories
 from jobweave.sources import blobs
 from jobweave.sources.fixtures import NOW, fixture, projected
 from jobweave.streaming import fold
@@ -450,8 +450,8 @@ BUILT = {
 
 
 def queries() -> dict:
-    return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, f in (BUILT | stories.BUILT).items()}
+    return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, f in (BUILT | stories.BUILT | leases.BUILT).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.sql() | stories.sql()
+    return oracle.sql() | stories.sql() | leases.sql()

@@ -9,7 +9,7 @@ SOURCES = {
     "fx_jobs": ["orders", "customer"], "fx_wait": ["fx_jobs"], "fx_chapters": ["fx_jobs", "lineitem"], "fx_stories": ["conversations"],
     "fx_story_chapters": ["conversations"], "fx_runs": ["events"], "fx_bodies": ["fx_chapters"], "fx_schemas": ["nation"], "fx_schedule_log": ["events"],
     "fx_metadata": ["fx_jobs"], "fx_commands": ["events"],
-    "fx_story_log": ["conversations"], "fx_story_artifacts": ["fx_story_log"], "fx_chain": ["orders"], "fx_chain_chapters": ["fx_chain"],
+    "fx_lease_log": ["events"], "fx_story_log": ["conversations"], "fx_story_artifacts": ["fx_story_log"], "fx_chain": ["orders"], "fx_chain_chapters": ["fx_chain"],
 }
 
 
@@ -85,6 +85,17 @@ SELECT tenant_id, job_id, k, CASE WHEN k % 5 = 0 THEN parent_job_id END AS paren
   WHEN 4 THEN '«"schema_hash":7,"app":«"schemaHash":"h' || CAST(k AS STRING) || '"»»' WHEN 5 THEN '[1]' WHEN 6 THEN '«bad' WHEN 7 THEN '  '
   ELSE '«"app":«"b":1»,"internal":«"schedule":«"scheduleId":"sched-' || CAST(k % 40 AS STRING) || '","generation":' || CAST(k % 3 AS STRING) || ',"specHash":"sha256:x","scheduledAt":"2001-07-0' || CAST(1 + k % 9 AS STRING) || 'T10:00:00Z"»»»' END AS metadata
 FROM {fx_jobs}"""),
+    "fx_lease_log": """
+SELECT 'job-' || CAST(u AS STRING) AS job, CAST('2024-01-01 00:00:00' AS {ts}) + (n * 13 + e % 11) * INTERVAL '1' SECOND AS ts, e AS event_id, command,
+  CASE WHEN command = 'cancel' THEN NULL ELSE 'l' || CAST(n {div} 7 - CASE WHEN e % 19 = 0 THEN 1 ELSE 0 END AS STRING) END AS lease_id, 'w' || CAST(CASE WHEN e % 23 = 0 THEN 9 ELSE n {div} 7 % 3 END AS STRING) AS worker,
+  CASE WHEN command = 'lease' THEN CASE WHEN e % 4 = 0 THEN 'low' ELSE 'high' END WHEN command = 'reschedule' THEN CASE e % 5 WHEN 0 THEN '' WHEN 1 THEN 'low' ELSE 'high' END END AS need,
+  CASE WHEN command = 'lease' AND e % 3 > 0 OR command = 'keepalive' AND e % 2 = 0 THEN CAST(60 + e % 3 AS DOUBLE) END AS seconds,
+  CASE WHEN command IN ('append', 'complete') THEN CASE WHEN e % 6 = 0 THEN n % 9 ELSE -1 END END AS ordinal, CASE WHEN command IN ('append', 'complete') THEN 'd' || CAST(e % 2 AS STRING) END AS digest,
+  CASE WHEN command = 'reschedule' AND e % 7 = 1 THEN CAST(1704067200 + n * 13 + 60 AS DOUBLE) END AS wait_until, CASE WHEN command = 'reschedule' AND e % 5 = 1 THEN 'high' END AS alternate_need,
+  CASE WHEN command = 'reschedule' AND e % 5 = 1 THEN CAST(20 AS DOUBLE) WHEN command = 'reschedule' AND e % 11 = 3 THEN CAST(5 AS DOUBLE) END AS alternate_after,
+  CASE WHEN command = 'complete' THEN CASE e % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'failed_app' ELSE 'cancelled' END END AS outcome
+FROM (SELECT u, e, n, CASE WHEN e % 211 = 0 THEN 'cancel' WHEN n % 7 = 0 THEN 'lease' WHEN n % 7 = 2 OR n % 7 = 4 AND e % 3 = 0 THEN 'keepalive' WHEN n % 7 = 5 THEN CASE WHEN e % 14 = 0 THEN 'complete' ELSE 'reschedule' END WHEN n % 7 = 6 AND e % 2 = 0 THEN 'lease' ELSE 'append' END AS command
+  FROM (SELECT user_id AS u, event_id AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM {events}) t) t2""",
     "fx_story_log": """
 SELECT seq, 'anth-' || CAST(c % 2 AS STRING) AS anthology_id, 's' || CAST(h AS STRING) AS story_id, command, ordinal,
   CASE WHEN command = 'clone' THEN 'anth-' || CAST((c + 1 + c % 2) % 2 AS STRING) END AS base_anthology_id,
