@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from jobweave.functions import expr
 from jobweave.operators import history, lifecycle, listing, payloads, quality, schedules, schemas
+from jobweave.operators import stories as story_ops
 from jobweave.operators.listing import ListRequest
-from jobweave.plans import leases, oracle, stories
+from jobweave.plans import leases, oracle, stories, timing
 from jobweave.sources import blobs
 from jobweave.sources.fixtures import NOW, fixture, projected
 from jobweave.streaming import fold
@@ -110,6 +111,18 @@ def chapter_created_before(t: Tables) -> DataFrame:
     return t.fx_chapters.withColumn("deadline", F.coalesce(prior, F.col("created_at")) + F.expr("interval 30 minutes")).where("ordinal > 0").select("tenant_id", "job_id", "ordinal", "deadline")
 
 
+def fork_owners(t: Tables) -> DataFrame:
+    base = F.when(F.col("base_story_id").isNotNull(), F.col("anthology_id"))
+    rows = t.fx_stories.withColumn("base_anthology_id", base).withColumn("latest_ordinal", F.col("own_latest"))
+    owned = story_ops.resolved(rows, t.fx_story_chapters)
+    return owned.select("story_id", "ordinal", F.col("owner_story").alias("owner"), "depth", "task_type", F.length("body").cast("long").alias("n_chars"))
+
+
+def timed(chapters: DataFrame) -> DataFrame:
+    """Chapters of which some say when they started and ended."""
+    return chapters.withColumn("started_at", F.expr("case when ordinal % 2 = 1 then created_at - interval 2 hours end")).withColumn("finished_at", F.expr("case when ordinal % 3 = 1 then created_at - interval 1 hour end"))
+
+
 def story_page(t: Tables) -> DataFrame:
     return t.fx_stories.where("not deleted and story_id > 10").orderBy("story_id").limit(26).select("story_id", "own_latest")
 
@@ -157,8 +170,9 @@ def checked(t: Tables) -> DataFrame:
 
 
 def successors(t: Tables) -> DataFrame:
-    due = checked(t).withColumn("next_fire", schedules.interval_next(F.col("scheduled_at"), 5400, expr.at("2024-01-05 00:00:00"), expr.at("2024-01-25 00:00:00")))
-    return schedules.successors(due, "next_fire").select("event_id", "tenant_id", "job_id", "scheduled_at", F.col("wait_for")[0].alias("waits_for"))
+    leased = F.col("scheduled_at") + F.expr("make_dt_interval(0, 0, event_id % 50, 0)")
+    due = checked(t).withColumn("overlap", F.when(F.col("event_id") % 6 == 1, "parallel")).withColumn("next_fire", schedules.interval_next(leased, 5400, expr.at("2024-01-05 00:00:00"), expr.at("2024-01-25 00:00:00")))
+    return schedules.successors(due, "next_fire").select("event_id", "tenant_id", "job_id", "scheduled_at", F.get("wait_for", F.lit(0)).alias("waits_for"), "bits")
 
 
 def app_metadata(t: Tables) -> DataFrame:
@@ -395,7 +409,7 @@ BUILT = {
     "q_task_deadline": chapter_created_before,
     "q_restart_diff": restart_difference,
     "q_story_page": story_page,
-    "q_fork_resolve": lambda t: history.resolved_forks(t.fx_stories, t.fx_story_chapters),
+    "q_fork_resolve": fork_owners,
     "q_artifact_hash": lambda t: quality.artifacts(t.documents),
     "q_input_hash": input_hashes,
     "q_cron_match": cron_matches,
@@ -412,7 +426,7 @@ BUILT = {
     "q_occurrence": occurrences,
     "q_policy_merge": merged_policies,
     "q_input_chapter": chapter_inputs,
-    "q_event_times": lambda t: history.event_times(t.fx_chapters).select(*JOB, "ordinal", "began", "ended"),
+    "q_event_times": lambda t: history.event_times(timed(t.fx_chapters)).select(*JOB, "ordinal", "began", "ended"),
     "q_backoff": backoff,
     "q_quality_ordinals": lambda t: quality.broken_histories(t.fx_chapters),
     "q_quality_links": lambda t: quality.bad_links(t.fx_stories).select("story_id"),
@@ -450,8 +464,8 @@ BUILT = {
 
 
 def queries() -> dict:
-    return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, f in (BUILT | stories.BUILT | leases.BUILT).items()}
+    return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, f in (BUILT | stories.BUILT | leases.BUILT | timing.BUILT).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.sql() | stories.sql() | leases.sql()
+    return oracle.sql() | stories.sql() | leases.sql() | timing.sql()

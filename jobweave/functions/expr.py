@@ -44,9 +44,56 @@ def job_key(tenant: str = "tenant_id", job: str = "job_id") -> Column:
     return F.concat_ws("/", tenant, job)
 
 
+def json_escaped(text: Column) -> Column:
+    """JSON text with the characters escaped that matter in HTML, and the two line separators."""
+    for c in "<>&\u2028\u2029":
+        text = F.replace(text, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
+    return text
+
+
+def json_string(value: Column) -> Column:
+    """A string as JSON text."""
+    listed = F.to_json(F.array(value))
+    return json_escaped(F.substr(listed, F.lit(2), F.length(listed) - 2))
+
+
+def json_compact(text: Column) -> Column:
+    """JSON text without white space between its parts."""
+    return json_escaped(F.regexp_replace(text, r'("(?:[^"\\]|\\.)*")|\s+', "$1"))
+
+
+def float_text(value: Column) -> Column:
+    """A double as JSON text: the fewest digits that give it back, as a decimal from 1e-6 up to below 1e21, else with an exponent."""
+    tries = [F.format_string(f"%.{p}e", value) for p in (14, 15)]
+    text = F.coalesce(*(F.when(t.cast("double") == value, t) for t in tries), F.format_string("%.16e", value))
+    digits = F.rtrim(F.regexp_replace(F.regexp_extract(text, r"^-?([0-9.]+)e", 1), r"\.", ""), F.lit("0"))
+    power = F.regexp_extract(text, r"e([+-]?[0-9]+)$", 1).cast("int")
+    sign, n = F.when(text.startswith("-"), "-").otherwise(""), F.length(digits)
+    whole = F.when(n <= power + 1, F.rpad(digits, power + 1, F.lit("0"))).otherwise(F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2)))
+    plain = F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)).otherwise(whole)
+    point = F.when(n > 1, F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.lit("."), F.substr(digits, F.lit(2)))).otherwise(digits)
+    far = F.concat(point, F.when(power < 0, "e-").otherwise("e+"), F.when(F.abs(power) < 10, F.abs(power).cast("string")).otherwise(F.abs(power).cast("string")))
+    shown = F.concat(sign, F.when((power < -6) | (power >= 21), far).otherwise(plain))
+    return F.when(value == 0, F.concat(sign, F.lit("0"))).otherwise(shown)
+
+
+def variant_path(*path: str) -> str:
+    """The path of a value by its keys; a key with quotes of both kinds has none."""
+    if bad := [p for p in path if "'" in p and '"' in p]:
+        raise ValueError(f"no path to {bad}")
+    return "$" + "".join(f'["{p}"]' if "'" in p else f"['{p}']" for p in path)
+
+
 def app_value(metadata: str, *path: str) -> Column:
-    """Canonical JSON text of a value under `app`, null where the path is missing."""
-    return F.to_json(F.try_variant_get(F.try_parse_json(F.col(metadata)), "$.app" + "".join(f"['{p}']" for p in path), "variant"))
+    """Canonical JSON text of a value under `app`, null where the path is missing. Numbers are doubles.
+
+    Numbers inside arrays and objects keep their digits; a zero has no sign.
+    """
+    value = F.try_variant_get(F.try_parse_json(F.col(metadata)), variant_path("app", *path), "variant")
+    kind = F.schema_of_variant(value)
+    number = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    string = json_string(F.try_variant_get(value, "$", "string"))
+    return F.when(number, float_text(F.try_variant_get(value, "$", "double"))).when(kind == "STRING", string).otherwise(json_escaped(F.to_json(value)))
 
 
 def schema_hash_of(metadata: str) -> Column:
@@ -80,19 +127,34 @@ def app_metadata(metadata: str = "metadata") -> Column:
     return F.when(F.trim(raw) == "", F.lit(None)).when(~is_object(value), raw).otherwise(shown)
 
 
+def instant(text: Column) -> Column:
+    """An RFC 3339 time as UTC without zone; null for other text."""
+    ok = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$".replace("\\\\", "\\"))
+    time = F.when(ok, text).try_cast("timestamp")
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), time.cast("timestamp_ntz"))
+
+
 def occurrence(metadata: str = "metadata") -> Column:
     """The schedule occurrence that a job's metadata names: schedule_id, generation, spec_hash, scheduled_at, run_id and error; null if none is named.
 
-    error tells what makes the entry invalid: missing fields or another kind.
+    error tells what makes the entry invalid: a field of another type (a generation that is no whole number, a time that is
+    none), missing fields or another kind.
     """
     entry = F.try_variant_get(F.try_parse_json(F.col(metadata)), "$.internal.schedule", "variant")
     get = lambda k, kind: F.try_variant_get(entry, f"$.{k}", kind)
-    time = F.replace(get("scheduledAt", "string"), F.lit("Z"), F.lit("")).try_cast("timestamp_ntz")
-    missing = (F.coalesce(get("scheduleId", "string"), F.lit("")) == "") | (F.coalesce(get("generation", "long"), F.lit(0)) <= 0) | (F.coalesce(get("specHash", "string"), F.lit("")) == "") | time.isNull()
+    kind_of = lambda k: F.coalesce(F.schema_of_variant(get(k, "variant")), F.lit("VOID"))
+    text = F.when(kind_of("scheduledAt") == "STRING", get("scheduledAt", "string"))
+    time = instant(text)
+    typed = [~kind_of(k).isin("STRING", "VOID") for k in ("scheduleId", "specHash", "kind", "runId", "scheduledAt")] + [~kind_of("generation").isin("BIGINT", "VOID"), text.isNotNull() & time.isNull()]
+    invalid = typed[0]
+    for t in typed[1:]:
+        invalid = invalid | t
+    zero = time == F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")
+    missing = (F.coalesce(get("scheduleId", "string"), F.lit("")) == "") | (F.coalesce(get("generation", "long"), F.lit(0)) <= 0) | (F.coalesce(get("specHash", "string"), F.lit("")) == "") | F.coalesce(zero, F.lit(True))
     other = ~F.coalesce(get("kind", "string"), F.lit("")).isin("", "schedule_tick")
     found = F.struct(
-        get("scheduleId", "string").alias("schedule_id"), get("generation", "long").alias("generation"), get("specHash", "string").alias("spec_hash"), time.alias("scheduled_at"),
-        F.coalesce(F.nullif(get("runId", "string"), F.lit("")), run_id(time)).alias("run_id"), F.when(missing, "MISSING_FIELDS").when(other, "OTHER_KIND").alias("error"),
+        get("scheduleId", "string").alias("schedule_id"), F.when(kind_of("generation") == "BIGINT", get("generation", "long")).alias("generation"), get("specHash", "string").alias("spec_hash"), time.alias("scheduled_at"),
+        F.coalesce(F.nullif(get("runId", "string"), F.lit("")), run_id(time)).alias("run_id"), F.when(invalid, "INVALID").when(missing, "MISSING_FIELDS").when(other, "OTHER_KIND").alias("error"),
     )
     return F.when(entry.isNotNull() & ~F.is_variant_null(entry), found)
 

@@ -1,4 +1,4 @@
-"""Job histories: attempts, task runs, latest and next attempts, outcomes; fork chains of stories."""
+"""Job histories: attempts, task runs, latest and next attempts, outcomes."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave.functions import expr
-from jobweave.sources.blobs import shared_folder
 
 JOB = ["tenant_id", "job_id"]
 
@@ -88,14 +87,9 @@ def with_input(chapters: DataFrame) -> DataFrame:
 
 
 def event_times(chapters: DataFrame) -> DataFrame:
-    """Adds began and ended of each chapter's event in a replay: its own times, else when it was written.
-
-    An ended task without times of its own begins where the chapter before ended.
-    """
-    before = Window.partitionBy(*JOB).orderBy("ordinal")
+    """Adds began and ended of each chapter's event in a replay: its own times, else when it was written."""
     c = lambda name: F.col(name) if name in chapters.columns else F.lit(None).cast("timestamp_ntz")
-    ended = F.coalesce(c("finished_at"), F.col("created_at"))
-    return chapters.withColumn("ended", ended).withColumn("began", F.coalesce(c("started_at"), F.lag("ended").over(before), F.col("created_at")))
+    return chapters.withColumn("ended", F.coalesce(c("finished_at"), F.col("created_at"))).withColumn("began", F.coalesce(c("started_at"), F.col("created_at")))
 
 
 def prefix_difference(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -105,30 +99,3 @@ def prefix_difference(source: DataFrame, target: DataFrame) -> DataFrame:
     b = target.select("pair", "ordinal", F.struct(*columns).alias("b"))
     both = a.join(b, ["pair", "ordinal"], "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
     return both.select("pair", "ordinal", F.when(F.col("a").isNull(), "extra").when(F.col("b").isNull(), "missing").otherwise("differs").alias("kind"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write to the shared checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def resolved_forks(stories: DataFrame, chapters: DataFrame, depth: int = 1024) -> DataFrame:
-    """For each live story and ordinal, the story that owns the chapter: bases own what lies at or below a fork.
-
-    Each step of the chain is one join for all stories, until no story has a base left.
-    """
-    reach = stories.where(~F.col("deleted")).select("story_id", F.col("story_id").alias("owner"), F.lit(None).cast("long").alias("upto"), F.lit(0).alias("depth"))
-    base = stories.where("base_story_id is not null").select(F.col("story_id").alias("owner"), F.col("base_story_id").alias("base"), "fork_ordinal")
-    done = None
-    for n in range(depth):
-        step = reach.join(base, "owner", "left")
-        own = step.select("story_id", "owner", F.col("fork_ordinal").alias("above"), "upto", "depth")
-        done = own if done is None else done.unionByName(own)
-        reach = step.where("base is not null").select("story_id", F.col("base").alias("owner"), F.least("upto", "fork_ordinal").alias("upto"), (F.col("depth") + 1).alias("depth"))
-        reach = cut(reach) if n % 8 == 7 else reach
-        if reach.isEmpty():
-            break
-    rows = chapters.withColumnRenamed("story_id", "owner").join(done, "owner")
-    rows = rows.where("(above is null or ordinal > above) and (upto is null or ordinal <= upto)")
-    return rows.select("story_id", "ordinal", "owner", "depth", "task_type", F.length("body").cast("long").alias("n_chars"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 from dataclasses import dataclass, field, replace
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,12 +56,32 @@ def with_status(jobs: DataFrame, waits: DataFrame, now: str) -> DataFrame:
     return with_blocked(jobs, waits).withColumn("status", expr.status(now))
 
 
+class RawJson(str):
+    """A metadata value given as JSON text, which is compared as it is written."""
+
+
+def encoded(value: object) -> str:
+    """A metadata value as JSON text: whole numbers with all digits, floats with the fewest."""
+    if isinstance(value, RawJson):
+        json.loads(value)
+        return str(value)
+    if isinstance(value, float):
+        mantissa, _, power = repr(value).partition("e")
+        if value == 0 or 1e-6 <= abs(value) < 1e21:
+            text = f"{Decimal(repr(value)):f}"
+            return text.rstrip("0").rstrip(".") if "." in text else text
+        return f"{mantissa.removesuffix('.0')}e{'-' if power.startswith('-') else '+'}{power.lstrip('+-').lstrip('0')}"
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    for c in "<>&\u2028\u2029":
+        text = text.replace(c, f"\\u{ord(c):04x}")
+    return text
+
+
 def metadata_matches(metadata: dict[tuple[str, ...], list]) -> Column:
     """AND over paths of OR over values, by JSON encoding."""
     out = F.lit(True)
     for path, values in metadata.items():
-        encoded = [json.dumps(int(v) if isinstance(v, float) and v.is_integer() else v, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for v in values]
-        out &= F.coalesce(expr.app_value("metadata", *path).isin(encoded), F.lit(False))
+        out &= F.coalesce(expr.app_value("metadata", *path).isin([encoded(v) for v in values]), F.lit(False))
     return out
 
 

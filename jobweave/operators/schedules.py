@@ -117,10 +117,15 @@ def cancelled(checked: DataFrame) -> DataFrame:
 
 
 def successors(checked: DataFrame, next_fire: str) -> DataFrame:
-    """The occurrence after each that `preflight` passed at its first chapter: due at next_fire, after the one before it is over."""
+    """The occurrence after each that `preflight` passed at its first chapter: due at next_fire, which counts from the lease.
+
+    With serial overlap it waits until the one before it is over; failure bits are handed on.
+    """
     rows = checked.where((F.col("reason") == "OK") & (F.col("n_chapters") <= 1) & F.col(next_fire).isNotNull())
     job = lambda time: expr.schedule_job_id(F.col("schedule_id"), F.col("generation"), F.col(time))
-    return rows.select(*KEY, "event_id", job(next_fire).alias("job_id"), F.col(next_fire).alias("scheduled_at"), F.array(job("scheduled_at")).alias("wait_for"))
+    overlap = F.coalesce(F.nullif(F.col("overlap"), F.lit("")), F.lit("serial")) if "overlap" in checked.columns else F.lit("serial")
+    wait = F.when(overlap == "serial", F.array(job("scheduled_at"))).otherwise(F.array().cast("array<string>"))
+    return rows.select(*KEY, "event_id", job(next_fire).alias("job_id"), F.col(next_fire).alias("scheduled_at"), job("scheduled_at").alias("previous_job_id"), wait.alias("wait_for"), "bits")
 
 
 def with_previous(occurrences: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -130,17 +135,54 @@ def with_previous(occurrences: DataFrame, jobs: DataFrame) -> DataFrame:
     return both.withColumn("previous_success", F.when(F.col("previous_job_id").isNotNull(), F.coalesce("_ok", F.lit(False)))).drop("_ok")
 
 
-def spec_hash(trigger: Column, target: Column, overlap: Column, failure: Column) -> Column:
-    """sha256 of a schedule's trigger, target, overlap and failure policy as JSON texts, written in this order; '' of overlap is serial."""
-    text = F.concat(F.lit('{"trigger":'), trigger, F.lit(',"target":'), target, F.lit(',"overlapPolicy":"'), F.coalesce(F.nullif(overlap, F.lit("")), F.lit("serial")), F.lit('","failurePolicy":'), failure, F.lit("}"))
-    return F.concat(F.lit("sha256:"), F.sha2(text, 256))
+def members(*parts: tuple[str, Column, Column | None]) -> Column:
+    """A JSON object of (name, text, when): members whose `when` is false or null are left out."""
+    listed = F.array_compact(F.array(*(F.when(F.lit(True) if when is None else when, F.concat(F.lit(f'"{name}":'), text)) for name, text, when in parts)))
+    return F.concat(F.lit("{"), F.array_join(listed, ","), F.lit("}"))
+
+
+def nonzero(name: str, value: Column) -> tuple[str, Column, Column]:
+    return name, value.cast("string"), F.coalesce(value, F.lit(0)) != 0
+
+
+def spec_trigger(kind: Column, expression: Column, zone: Column, start_at: Column, end_at: Column, interval_ns: Column) -> Column:
+    """The trigger of `spec_hash` as JSON text; times are UTC texts, what is empty is left out."""
+    text = lambda name, c: (name, expr.json_string(c), F.coalesce(c, F.lit("")) != "")
+    return members(("kind", expr.json_string(kind), None), text("expression", expression), text("timezone", zone), text("startAt", start_at), text("endAt", end_at), nonzero("interval", interval_ns))
+
+
+def spec_failure(min_percent: Column, window: Column, max_sequential: Column) -> Column:
+    """The failure policy of `spec_hash` as JSON text; zeros are left out."""
+    return members(nonzero("minSuccessPercent", min_percent), nonzero("windowSize", window), nonzero("maxSequentialFailures", max_sequential))
 
 
-def spec_target(job_type: Column, data: Column, artifacts: Column, metadata: Column) -> Column:
-    """The target of `spec_hash` as JSON text: artifacts (array of name, sha256, size) sorted, what is empty left out."""
-    listed = F.when(F.size(artifacts) > 0, F.concat(F.lit(',"artifacts":'), F.to_json(F.array_sort(artifacts)))).otherwise("")
-    part = lambda name, text: F.when(F.trim(F.coalesce(text, F.lit(""))) != "", F.concat(F.lit(f',"{name}":'), text)).otherwise("")
-    return F.concat(F.lit('{"jobType":'), F.to_json(F.to_variant_object(F.array(job_type))).substr(F.lit(2), F.length(job_type) + 2), part("data", data), listed, part("metadata", metadata), F.lit("}"))
+def spec_policy(policy: Column) -> Column:
+    """A run policy as JSON text, all members there: initial_ns, coefficient, max_ns, max_attempts, non_retryable (array), invocation_ns, total_ns."""
+    number = lambda k: F.coalesce(policy[k], F.lit(0)).cast("string")
+    or_null = lambda k: F.coalesce(policy[k].cast("string"), F.lit("null"))
+    names = F.when(policy["non_retryable"].isNull(), "null").otherwise(expr.json_escaped(F.to_json(policy["non_retryable"])))
+    retry = members(
+        ("InitialInterval", number("initial_ns"), None), ("BackoffCoefficient", expr.float_text(F.coalesce(policy["coefficient"], F.lit(0.0))), None), ("MaximumInterval", number("max_ns"), None),
+        ("MaximumAttempts", number("max_attempts"), None), ("NonRetryableErrorTypes", names, None),
+    )
+    return members(("Retry", retry, None), ("InvocationTimeout", or_null("invocation_ns"), None), ("TotalTimeout", or_null("total_ns"), None))
+
+
+def spec_target(job_type: Column, data: Column, artifacts: Column, policy: Column, metadata: Column) -> Column:
+    """The target of `spec_hash` as JSON text: data compacted, artifacts (array of name, sha256, size) sorted, what is empty left out but for the policy.
+
+    metadata is canonical JSON text.
+    """
+    one = lambda a: members(("name", expr.json_string(a["name"]), None), ("sha256", expr.json_string(a["sha256"]), a["sha256"] != ""), nonzero("size", a["size"]))
+    listed = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(artifacts), one), ","), F.lit("]"))
+    filled = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    return members(("jobType", expr.json_string(job_type), None), ("data", expr.json_compact(data), filled(data)), ("artifacts", listed, F.size(artifacts) > 0), ("runPolicy", policy, None), ("metadata", expr.json_escaped(metadata), filled(metadata)))
+
+
+def spec_hash(trigger: Column, target: Column, overlap: Column, failure: Column) -> Column:
+    """sha256 of a schedule's trigger, target, overlap and failure policy as JSON texts, in this order; '' of overlap is serial."""
+    shown = expr.json_string(F.coalesce(F.nullif(overlap, F.lit("")), F.lit("serial")))
+    return F.concat(F.lit("sha256:"), F.sha2(members(("trigger", trigger, None), ("target", target, None), ("overlapPolicy", shown, None), ("failurePolicy", failure, None)), 256))
 
 
 def request_error(job_type: Column, data: Column, kind: Column, expression: Column, seconds: Column, overlap: Column, window: Column, percent: Column, failures: Column) -> Column:

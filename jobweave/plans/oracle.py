@@ -170,20 +170,21 @@ FROM (SELECT event_id, greatest(scheduled_at + INTERVAL '90' MINUTE, TIMESTAMP '
 'jobdb.schedule_preflight' AS component, CASE reason WHEN 'FAILURE_POLICY' THEN 'failure_policy' WHEN 'GENERATION' THEN 'schedule_generation_mismatch' WHEN 'SPEC' THEN 'schedule_spec_mismatch' ELSE 'schedule_' || lower(reason) END AS code,
 CASE reason WHEN 'FAILURE_POLICY' THEN 'schedule failure policy blocked this occurrence' WHEN 'GENERATION' THEN 'schedule generation changed before app start' WHEN 'SPEC' THEN 'schedule spec changed before app start'
 ELSE 'schedule ' || lower(reason) || ' before app start' END AS message FROM r WHERE reason <> 'OK'""",
-        "q_successors": with_(runs, WINDOWED, f"numbers AS (SELECT *, {number} AS n FROM bad), r AS (SELECT *, {REASON} AS reason, greatest(scheduled_at + INTERVAL '90' MINUTE, TIMESTAMP '2024-01-05') AS fire FROM numbers)") + """SELECT event_id, tenant_id,
+        "q_successors": with_(runs, WINDOWED, f"numbers AS (SELECT *, {number} AS n FROM bad), r AS (SELECT *, {REASON} AS reason, greatest(scheduled_at + to_minutes(event_id % 50) + INTERVAL '90' MINUTE, TIMESTAMP '2024-01-05') AS fire FROM numbers)") + """SELECT event_id, tenant_id,
 'jobdbsched_' || schedule_id || '_g' || (1 + n % 2) || '_run_' || strftime(fire, '%Y%m%dT%H%M%S%f') || '000Z' AS job_id, fire AS scheduled_at,
-'jobdbsched_' || schedule_id || '_g' || (1 + n % 2) || '_run_' || strftime(scheduled_at, '%Y%m%dT%H%M%S%f') || '000Z' AS waits_for FROM r WHERE reason = 'OK' AND event_id % 4 <> 0 AND fire <= TIMESTAMP '2024-01-25'""",
+CASE WHEN event_id % 6 <> 1 THEN 'jobdbsched_' || schedule_id || '_g' || (1 + n % 2) || '_run_' || strftime(scheduled_at, '%Y%m%dT%H%M%S%f') || '000Z' END AS waits_for, bits FROM r WHERE reason = 'OK' AND event_id % 4 <> 0 AND fire <= TIMESTAMP '2024-01-25'""",
         "q_app_metadata": with_(("fx_metadata",)) + """SELECT tenant_id, job_id, coalesce(parent_job_id, CASE WHEN k % 9 = 0 THEN 'job-' || (k - 1) END, '') AS parent,
 CASE k % 9 WHEN 0 THEN '{"a":' || k || '}' WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 4 THEN '{"schemaHash":"h' || k || '"}' WHEN 7 THEN NULL WHEN 8 THEN '{"b":1}' ELSE metadata END AS app,
 CASE k % 9 WHEN 1 THEN 's' || k WHEN 4 THEN 'h' || k ELSE '' END AS schema_hash FROM fx_metadata""",
-        "q_occurrence": with_(("fx_metadata",)) + """SELECT tenant_id, job_id, 'sched-' || (k % 40) AS schedule_id, k % 3 AS generation, 'sha256:x' AS spec_hash, TIMESTAMP '2001-07-09 10:00:00' AS scheduled_at,
-'20010709T100000000000000Z' AS run_id, CASE WHEN k % 3 = 0 THEN 'MISSING_FIELDS' END AS error FROM fx_metadata WHERE k % 9 = 8""",
+        "q_occurrence": with_(("fx_metadata",)) + """SELECT tenant_id, job_id, 'sched-' || (k % 40) AS schedule_id, CASE WHEN k % 5 > 0 THEN k % 3 END AS generation, 'sha256:x' AS spec_hash, at_ AS scheduled_at,
+strftime(at_, '%Y%m%dT%H%M%S%f') || '000Z' AS run_id, CASE WHEN k % 5 = 0 OR k % 7 = 6 THEN 'INVALID' WHEN k % 3 = 0 THEN 'MISSING_FIELDS' END AS error
+FROM (SELECT *, CASE WHEN k % 7 < 2 THEN TIMESTAMP '2001-07-09 10:00:00' WHEN k % 7 = 2 THEN TIMESTAMP '2001-07-09 08:00:00' WHEN k % 7 = 3 THEN TIMESTAMP '2001-07-09 15:30:00' WHEN k % 7 < 6 THEN TIMESTAMP '2001-07-09 10:00:00.25' END AS at_ FROM fx_metadata) m WHERE k % 9 = 8""",
         "q_policy_merge": with_(("fx_jobs",)) + """SELECT tenant_id, job_id, CASE WHEN k % 3 = 0 THEN 100 ELSE k % 3 * 100 END AS initial_ms, CASE WHEN k % 2 = 1 THEN 2.0 ELSE 1.0 END AS coefficient, 30000 AS max_ms,
 CASE k % 4 WHEN 1 THEN 3 WHEN 3 THEN 2 ELSE 1 END AS max_attempts, CASE WHEN k % 5 = 0 THEN 'A' ELSE 'B' END AS non_retryable,
 CASE WHEN k % 7 = 6 THEN 600000 WHEN k % 7 >= 2 THEN k % 7 * 1000 - 2000 END AS invocation_ms, 1800000 AS total_ms FROM fx_jobs""",
         "q_input_chapter": with_(("fx_bodies",)) + """SELECT a.tenant_id, a.job_id, a.ordinal, CASE WHEN a.ordinal = 0 THEN 'NONE' WHEN b.job_id IS NULL THEN 'NOT_FOUND' ELSE 'FOUND' END AS input_state, b.data AS input_data
 FROM fx_bodies a LEFT JOIN fx_bodies b ON a.tenant_id = b.tenant_id AND a.job_id = b.job_id AND a.ordinal > 0 AND b.ordinal = a.ordinal - 1 - a.ordinal % 3""",
-        "q_event_times": chapters + "SELECT tenant_id, job_id, ordinal, coalesce(lag(created_at) OVER (PARTITION BY tenant_id, job_id ORDER BY ordinal), created_at) AS began, created_at AS ended FROM fx_chapters",
+        "q_event_times": chapters + "SELECT tenant_id, job_id, ordinal, CASE WHEN ordinal % 2 = 1 THEN created_at - INTERVAL '2' HOUR ELSE created_at END AS began, CASE WHEN ordinal % 3 = 1 THEN created_at - INTERVAL '1' HOUR ELSE created_at END AS ended FROM fx_chapters",
         "q_fold_final_state": with_(("fx_commands",), FOLD) + FOLDED,
         "q_stream_fold": with_(("fx_commands",), FOLD) + FOLDED,
         "q_backoff": chapters + """SELECT tenant_id, job_id, ordinal, least(100.0 * pow(2.0, attempt - 1), 350.0) AS backoff_ms, payload_kind IN ('AppError', 'SystemError') AS retryable

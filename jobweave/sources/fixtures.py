@@ -9,7 +9,7 @@ SOURCES = {
     "fx_jobs": ["orders", "customer"], "fx_wait": ["fx_jobs"], "fx_chapters": ["fx_jobs", "lineitem"], "fx_stories": ["conversations"],
     "fx_story_chapters": ["conversations"], "fx_runs": ["events"], "fx_bodies": ["fx_chapters"], "fx_schemas": ["nation"], "fx_schedule_log": ["events"],
     "fx_metadata": ["fx_jobs"], "fx_commands": ["events"],
-    "fx_lease_log": ["events"], "fx_story_log": ["conversations"], "fx_story_artifacts": ["fx_story_log"], "fx_chain": ["orders"], "fx_chain_chapters": ["fx_chain"],
+    "fx_lease_log": ["events"], "fx_chain_runs": ["fx_runs"], "fx_story_log": ["conversations"], "fx_story_artifacts": ["fx_story_log"], "fx_chain": ["orders"], "fx_chain_chapters": ["fx_chain"],
 }
 
 
@@ -83,8 +83,13 @@ SELECT tenant_id, job_id, k, CASE WHEN k % 5 = 0 THEN parent_job_id END AS paren
   WHEN 0 THEN '«"app":«"a":' || CAST(k AS STRING) || '»,"internal":«"parentJobId":" job-' || CAST(k - 1 AS STRING) || ' "»»'
   WHEN 1 THEN '«"app":null,"internal":«"schemaHash":"s' || CAST(k AS STRING) || '"»»' WHEN 2 THEN '«"internal":«"parentJobId":""»»' WHEN 3 THEN '«"internal":«"other":1»»'
   WHEN 4 THEN '«"schema_hash":7,"app":«"schemaHash":"h' || CAST(k AS STRING) || '"»»' WHEN 5 THEN '[1]' WHEN 6 THEN '«bad' WHEN 7 THEN '  '
-  ELSE '«"app":«"b":1»,"internal":«"schedule":«"scheduleId":"sched-' || CAST(k % 40 AS STRING) || '","generation":' || CAST(k % 3 AS STRING) || ',"specHash":"sha256:x","scheduledAt":"2001-07-0' || CAST(1 + k % 9 AS STRING) || 'T10:00:00Z"»»»' END AS metadata
+  ELSE '«"app":«"b":1»,"internal":«"schedule":«"scheduleId":"sched-' || CAST(k % 40 AS STRING) || '","generation":' || CASE WHEN k % 5 = 0 THEN '1.5' ELSE CAST(k % 3 AS STRING) END || ',"specHash":"sha256:x","scheduledAt":"2001-07-0' || CAST(1 + k % 9 AS STRING)
+    || CASE k % 7 WHEN 2 THEN 'T10:00:00+02:00' WHEN 3 THEN 'T10:00:00-05:30' WHEN 4 THEN 'T10:00:00.25Z' WHEN 5 THEN 'T10:00:00.250+00:00' WHEN 6 THEN ' 10:00' ELSE 'T10:00:00Z' END || '"»»»' END AS metadata
 FROM {fx_jobs}"""),
+    "fx_chain_runs": """
+SELECT tenant_id, schedule_id, row_number() OVER (PARTITION BY tenant_id, schedule_id ORDER BY scheduled_at, event_id) - 1 AS step, scheduled_at, CAST(event_id % 50 * 60 AS BIGINT) AS delay_s, CAST(event_id % 200 * 60 AS BIGINT) AS duration_s,
+  success OR event_id % 3 > 0 AS success, 1 + CAST(substr(schedule_id, 7) AS BIGINT) % 2 AS generation
+FROM {fx_runs}""",
     "fx_lease_log": """
 SELECT 'job-' || CAST(u AS STRING) AS job, CAST('2024-01-01 00:00:00' AS {ts}) + (n * 13 + e % 11) * INTERVAL '1' SECOND AS ts, e AS event_id, command,
   CASE WHEN command = 'cancel' THEN NULL ELSE 'l' || CAST(n {div} 7 - CASE WHEN e % 19 = 0 THEN 1 ELSE 0 END AS STRING) END AS lease_id, 'w' || CAST(CASE WHEN e % 23 = 0 THEN 9 ELSE n {div} 7 % 3 END AS STRING) AS worker,
