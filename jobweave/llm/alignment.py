@@ -4,8 +4,8 @@ Python only tokenises: each text becomes ids and end offsets of both tokenizers.
 functions on those arrays: array_intersect of the ends gives the places that cut both sequences into groups, marks are
 sorted in after the tokens that end elsewhere, the ids' text is split where there is no mark, and the last two tokens of a
 group are a link. Links are counted corpus-wide after partial sums in each task; the counts are sent to all executors if there are at most
-BROADCAST_ROWS of them, and meet the links by a shuffle above, where links are summed for each row first and Spark splits a
-popular pair. Tokens are never stored, groups are, as a compressed table in the shared checkpoint folder.
+BROADCAST_ROWS distinct groups, and meet the groups by a shuffle above, where these are summed for each row first and Spark
+splits a popular one. Tokens are never stored, groups are, as a compressed table in the shared checkpoint folder.
 
 Words with the white space before them are tokenised once for a worker's lifetime, up to CACHE tokens at a time: neither
 tokenizer's tokens cross from other characters to white space after them. That holds for A's pattern and is read off the
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from jobweave.llm.common import cut, stored
 
-#: Distinct pairs up to which their counts are sent to all executors.
+#: Distinct groups up to which the counts of their links are sent to all executors.
 BROADCAST_ROWS = 1_000_000
 #: Tokens of kept words in a worker's memory; characters of texts tokenised together.
 CACHE, BATCH = 1_500_000, 1 << 20
@@ -83,11 +83,16 @@ class Words:
 
     def learn(self, units: list[str]) -> None:
         """Tokenises units that are not known yet, A in one run over all that end before other white space begins."""
-        units = sorted(units, key=lambda u: u[-1] in BLANK)
-        apart = next((k for k, u in enumerate(units) if u[-1] in BLANK), len(units))
+        blank = [u for u in units if u[-1] in BLANK]
+        apart = len(units) - len(blank)
+        units = [u for u in units if u[-1] not in BLANK] + blank if blank else units
         a = [self.a.encode_ordinary("".join(units[:apart])), *map(self.a.encode_ordinary, units[apart:])]
         b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        b = [[self.first] if u == " " else y[1:] if u[0] != " " and y[:1] == [self.first] else y for u, y in zip(units, b, strict=True)]
+        for k, u in enumerate(units):
+            if u == " ":
+                b[k] = [self.first]
+            elif u[0] != " " and b[k][:1] == [self.first]:
+                b[k] = b[k][1:]
         raw = [u.encode() for u in units]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         upto = np.cumsum(sizes)
@@ -197,17 +202,18 @@ def scored(docs: DataFrame, path_a: str | None = None, path_b: str | None = None
     rows = aligned(docs, path_a or a, path_b or b)
     hashed = F.when(F.size("groups") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("").alias("groups_sha256")
     rows = stored(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", F.size("groups").alias("n_groups"), hashed, "groups"))
-    counts = rows.select(F.explode("groups").alias("g")).select(link("g").alias("link")).groupBy("link").agg(F.count("*").alias("count"))
-    counts = cut(counts.withColumn("b", F.substring_index("link", "|", -1)))
+    held = cut(rows.select(F.explode("groups").alias("g")).groupBy("g").agg(F.count("*").alias("n")).withColumn("link", link("g")))
+    counts = held.groupBy("link").agg(F.sum("n").alias("count")).withColumn("b", F.substring_index("link", "|", -1))
+    counts = cut(counts)
     highest = counts.groupBy("b").agg(F.max("count").alias("highest"))
-    counts = cut(counts.join(highest, "b").select("link", "count", (F.col("count") == F.col("highest")).cast("long").alias("best")))
-    own = ["row", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256"]
-    sums = [F.coalesce(F.sum(F.col(c) * F.col("times")), F.lit(0)).alias(c) for c in ("count", "best", "one")]
-    links = rows.select(*own, F.explode_outer("groups").alias("g")).select(*own, link("g").alias("link")).withColumn("times", F.lit(1).cast("long"))
+    counts = counts.join(highest, "b").select("link", "count", (F.col("count") == F.col("highest")).cast("long").alias("best"))
+    counts = cut(held.select("g", "link").join(counts, "link").select("g", "count", "best"))
+    links = rows.select("row", F.explode("groups").alias("g"))
     if counts.count() <= BROADCAST_ROWS:
-        counts = F.broadcast(counts)
-    else:  # a pair goes over the network once for each row that has it
-        links = links.groupBy(*own, "link").agg(F.count("*").alias("times"))
-    met = links.join(counts.withColumn("one", F.lit(1).cast("long")), "link", "left").groupBy(*own).agg(*sums)
-    whole = {"n_a": "n_a", "n_b": "n_b", "n_groups": "n_groups", "n_links": "one", "n_best": "best", "count_sum": "count"}
-    return met.select("doc_id", *(F.col(c).cast("long").alias(k) for k, c in whole.items()), "groups_sha256")
+        met = links.join(F.broadcast(counts), "g").groupBy("row").agg(F.sum("count").alias("count_sum"), F.sum("best").alias("n_best"))
+    else:  # a group goes over the network once for each row that has it
+        met = links.groupBy("row", "g").agg(F.count("*").alias("times")).join(counts, "g")
+        met = met.groupBy("row").agg(F.sum(F.col("count") * F.col("times")).alias("count_sum"), F.sum(F.col("best") * F.col("times")).alias("n_best"))
+    whole = rows.select("row", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256").join(met, "row", "left").withColumn("n_links", F.col("n_groups"))  # a group has one link
+    numbers = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+    return whole.select("doc_id", *(F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in numbers), "groups_sha256")
