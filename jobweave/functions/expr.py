@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,19 +64,31 @@ def json_compact(text: Column) -> Column:
     return json_escaped(F.regexp_replace(text, r'("(?:[^"\\]|\\.)*")|\s+', "$1"))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def float_text(value: Column) -> Column:
     """A double as JSON text: the fewest digits that give it back, as a decimal from 1e-6 up to below 1e21, else with an exponent."""
-    tries = [F.format_string(f"%.{p}e", value) for p in (14, 15)]
-    text = F.coalesce(*(F.when(t.cast("double") == value, t) for t in tries), F.format_string("%.16e", value))
-    digits = F.rtrim(F.regexp_replace(F.regexp_extract(text, r"^-?([0-9.]+)e", 1), r"\.", ""), F.lit("0"))
-    power = F.regexp_extract(text, r"e([+-]?[0-9]+)$", 1).cast("int")
-    sign, n = F.when(text.startswith("-"), "-").otherwise(""), F.length(digits)
-    whole = F.when(n <= power + 1, F.rpad(digits, power + 1, F.lit("0"))).otherwise(F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2)))
-    plain = F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)).otherwise(whole)
-    point = F.when(n > 1, F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.lit("."), F.substr(digits, F.lit(2)))).otherwise(digits)
-    far = F.concat(point, F.when(power < 0, "e-").otherwise("e+"), F.when(F.abs(power) < 10, F.abs(power).cast("string")).otherwise(F.abs(power).cast("string")))
-    shown = F.concat(sign, F.when((power < -6) | (power >= 21), far).otherwise(plain))
-    return F.when(value == 0, F.concat(sign, F.lit("0"))).otherwise(shown)
+
+    def shortest(v: Column) -> Column:
+        tries = (F.format_string(f"%.{p}e", v) for p in (14, 15))
+        text = F.coalesce(*(once(t, lambda t: F.when(t.cast("double") == v, t)) for t in tries), F.format_string("%.16e", v))
+        return once(text, lambda t: F.struct(
+            F.when(t.startswith("-"), "-").otherwise("").alias("sign"), F.rtrim(F.regexp_replace(F.regexp_extract(t, r"^-?([0-9.]+)e", 1), r"\.", ""), F.lit("0")).alias("digits"),
+            F.regexp_extract(t, r"e([+-]?[0-9]+)$", 1).cast("int").alias("power"),
+        ))
+
+    def written(s: Column) -> Column:
+        digits, power, n = s["digits"], s["power"], F.length(s["digits"])
+        whole = F.when(n <= power + 1, F.rpad(digits, power + 1, F.lit("0"))).otherwise(F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2)))
+        plain = F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)).otherwise(whole)
+        point = F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.when(n > 1, ".").otherwise(""), F.substr(digits, F.lit(2)))
+        far = F.concat(point, F.when(power < 0, "e-").otherwise("e+"), F.abs(power).cast("string"))
+        return F.concat(s["sign"], F.when(digits == "", "0").when((power < -6) | (power >= 21), far).otherwise(plain))
+
+    return once(once(value, shortest), written)
 
 
 def variant_path(*path: str) -> str:
