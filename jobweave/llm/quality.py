@@ -12,7 +12,8 @@ rows.
 Defined cases: a null or empty text has differences 0 and gets the curve's value there. Rows of labels that are
 null, contradictory or repeat a doc_id count once, as bad if any of them is bad. Without labelled rows of both
 classes every score is the share of good ones (0.5 without any). Rows of docs that repeat or lack a doc_id are scored
-each. Extra columns are ignored by `scores` and kept by `keep_good`.
+each; texts of any length are scored whole, in pieces. Equal texts have equal scores. Extra columns are ignored by `scores`
+and kept by `keep_good`; an empty table gives an empty one.
 """
 
 from __future__ import annotations

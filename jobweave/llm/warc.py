@@ -10,7 +10,8 @@ begin as its coding does (no chunk size, no gzip mark) was undone by the record'
 body, what came is read; of a broken one or of another coding, nothing; `body_error` says so in both cases.
 
 Defined cases: null html or a null url is empty text. A record that is no response, or that can't be parsed, gives one
-row of type "invalid" with the reason, so nothing is lost. Repeated rows give repeated records with equal ids. Extra
+row of type "invalid" with the reason, so nothing is lost. So does a record whose block digest is another than its bytes';
+digests of algorithms or codings that aren't known are kept and not judged. Repeated rows give repeated records with equal ids. Extra
 columns are ignored; an empty table gives an empty one.
 """
 
@@ -46,6 +47,18 @@ def digest(body: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
 
 
+def agrees(claim: str | None, body: bytes) -> bool | None:
+    """Whether a labelled digest, in base32 or hexadecimal of either case, is that of the bytes; null if it can't be told."""
+    name, _, value = (claim or "").partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip()
+    if name not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return None
+    made = hashlib.new(name, body).digest()
+    codings = {base64.b32encode(made).decode().rstrip("="): value.upper().rstrip("="), made.hex(): value.lower()}
+    same_length = [k for k, v in codings.items() if len(k) == len(v)]
+    return any(k == codings[k] for k in same_length) if same_length else None
+
+
 def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     head = "WARC/1.1" + END + "".join(f"{k}: {v}{END}" for k, v in [*fields, ("Content-Length", str(len(block)))]) + END
     return head.encode() + block + (END * 2).encode()
@@ -149,7 +162,7 @@ def parsed(raw: bytes) -> tuple[Fields, int, Fields, bytes]:
     if warc.get("warc-type") != "response":
         raise ValueError(f"type {warc.get('warc-type')}")
     block = rest[: int(warc.get("content-length", len(rest)))]
-    if "warc-block-digest" in warc and warc["warc-block-digest"] != digest(block):
+    if agrees(warc.get("warc-block-digest"), block) is False:
         raise ValueError("block digest differs")
     http, _, body = block.partition(b"\r\n\r\n")
     status = re.match(rb"HTTP/\S+ (\d{3})", http)
@@ -181,7 +194,7 @@ def derived(raw: bytes | None) -> list[tuple]:
     given = warc.get("warc-payload-digest")
     kind, payload = http.get("content-type", ""), given or digest(body)
     chunked = "chunked" in (c.split(";")[0].strip() for c in http.codings("transfer-encoding"))
-    verified = given in {digest(body), *([digest(unchunked(body)[0])] if chunked else [])} if given and given.startswith("sha1:") else None
+    verified = agrees(given, body) or (chunked and agrees(given, unchunked(body)[0]) or agrees(given, body))
     block_digest = warc.get("warc-block-digest")
     body, body_error = undone(http, body)
     charset = re.search(r"charset=[\"']?([\w-]+)", kind)
