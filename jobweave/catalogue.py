@@ -9,7 +9,7 @@ from jobweave.functions import expr
 from jobweave.operators import history, lifecycle, listing, payloads, quality, schedules, schemas
 from jobweave.operators import stories as story_ops
 from jobweave.operators.listing import ListRequest
-from jobweave.plans import leases, oracle, stories, timing
+from jobweave.plans import leases, oracle, sinks, stories, timing, workers
 from jobweave.sources import blobs
 from jobweave.sources.fixtures import NOW, fixture, projected
 from jobweave.streaming import fold
@@ -176,7 +176,10 @@ def successors(t: Tables) -> DataFrame:
 
 
 def app_metadata(t: Tables) -> DataFrame:
-    return t.fx_metadata.select(*JOB, expr.parent_of().alias("parent"), expr.app_metadata().alias("app"), expr.schema_hash_of("metadata").alias("schema_hash"))
+    """Each row's metadata is parsed once."""
+    v = F.col("value")
+    rows = t.fx_metadata.select(*JOB, "parent_job_id", "metadata", F.try_parse_json("metadata").alias("value"))
+    return rows.select(*JOB, expr.parent_of(value=v).alias("parent"), expr.app_metadata(value=v).alias("app"), expr.schema_hash_of("metadata", v).alias("schema_hash"))
 
 
 def occurrences(t: Tables) -> DataFrame:
@@ -464,8 +467,8 @@ BUILT = {
 
 
 def queries() -> dict:
-    return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, f in (BUILT | stories.BUILT | leases.BUILT | timing.BUILT).items()}
+    return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, f in (BUILT | stories.BUILT | leases.BUILT | timing.BUILT | sinks.BUILT | workers.BUILT).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.sql() | stories.sql() | leases.sql() | timing.sql()
+    return oracle.sql() | stories.sql() | leases.sql() | timing.sql() | sinks.sql() | workers.sql()

@@ -110,35 +110,44 @@ def app_value(metadata: str, *path: str) -> Column:
     return F.when(number, float_text(F.try_variant_get(value, "$", "double"))).when(kind == "STRING", string).otherwise(json_escaped(F.to_json(value)))
 
 
-def schema_hash_of(metadata: str) -> Column:
-    """The first schema hash among three keys at the root, under app, then under internal; '' if none."""
-    value = F.try_parse_json(F.col(metadata))
+def schema_hash_of(metadata: str, value: Column | None = None) -> Column:
+    """The first schema hash among three keys at the root, under app, then under internal; '' if none.
+
+    Here and below, `value` is the metadata parsed already, for callers that read it more than once.
+    """
+    value = F.try_parse_json(F.col(metadata)) if value is None else value
     paths = [f"$.{scope}{key}" for scope in ("", "app.", "internal.") for key in ("jobdb_schema_hash", "schema_hash", "schemaHash")]
-    strings = (F.when(F.schema_of_variant(F.try_variant_get(value, p, "variant")) == "STRING", F.try_variant_get(value, p, "string")) for p in paths)
-    return F.coalesce(*(F.nullif(F.trim(s), F.lit("")) for s in strings), F.lit(""))
+
+    def string(path: str) -> Column:
+        found = F.try_variant_get(value, path, "variant")
+        return F.when(found.isNotNull(), F.when(F.schema_of_variant(found) == "STRING", F.nullif(F.trim(F.try_variant_get(found, "$", "string")), F.lit(""))))
+
+    return F.coalesce(*(string(p) for p in paths), F.lit(""))
 
 
 def is_object(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+    return F.coalesce(F.to_json(value).startswith("{"), F.lit(False))
 
 
-def parent_of(parent: str = "parent_job_id", metadata: str = "metadata") -> Column:
+def parent_of(parent: str = "parent_job_id", metadata: str = "metadata", value: Column | None = None) -> Column:
     """The parent's id: the column, else `internal.parentJobId` of the metadata, trimmed; '' without one."""
-    internal = F.trim(F.try_variant_get(F.try_parse_json(F.col(metadata)), "$.internal.parentJobId", "string"))
+    value = F.try_parse_json(F.col(metadata)) if value is None else value
+    internal = F.trim(F.try_variant_get(value, "$.internal.parentJobId", "string"))
     return F.coalesce(F.nullif(F.col(parent), F.lit("")), internal, F.lit(""))
 
 
-def app_metadata(metadata: str = "metadata") -> Column:
+def app_metadata(metadata: str = "metadata", value: Column | None = None) -> Column:
     """What applications see of stored metadata, as JSON text: `app` where there is one, nothing of known internal metadata, else the text as it is.
 
     Blank metadata and an `app` of null are null; text that is no JSON object comes back as it is.
     """
     raw = F.col(metadata)
-    value = F.try_parse_json(raw)
+    value = F.try_parse_json(raw) if value is None else value
     app, internal = F.try_variant_get(value, "$.app", "variant"), F.try_variant_get(value, "$.internal", "variant")
     known = is_object(internal) & F.coalesce(*(F.when(F.try_variant_get(internal, f"$.{k}", "variant").isNotNull(), True) for k in ("schedule", "schemaHash", "parentJobId")), F.lit(False))
     shown = F.when(app.isNotNull(), F.when(~F.is_variant_null(app), F.to_json(app))).when(known, F.lit(None)).otherwise(raw)
-    return F.when(F.trim(raw) == "", F.lit(None)).when(~is_object(value), raw).otherwise(shown)
+    holds = value.isNotNull() & F.ltrim(raw).startswith("{")  # text that parses and begins so is an object
+    return F.when(F.trim(raw) == "", F.lit(None)).when(~holds, raw).otherwise(shown)
 
 
 def instant(text: Column) -> Column:

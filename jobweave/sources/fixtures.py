@@ -9,7 +9,7 @@ SOURCES = {
     "fx_jobs": ["orders", "customer"], "fx_wait": ["fx_jobs"], "fx_chapters": ["fx_jobs", "lineitem"], "fx_stories": ["conversations"],
     "fx_story_chapters": ["conversations"], "fx_runs": ["events"], "fx_bodies": ["fx_chapters"], "fx_schemas": ["nation"], "fx_schedule_log": ["events"],
     "fx_metadata": ["fx_jobs"], "fx_commands": ["events"],
-    "fx_lease_log": ["events"], "fx_chain_runs": ["fx_runs"], "fx_story_log": ["conversations"], "fx_story_artifacts": ["fx_story_log"], "fx_chain": ["orders"], "fx_chain_chapters": ["fx_chain"],
+    "fx_lease_log": ["events"], "fx_chain_runs": ["fx_runs"], "fx_workers": ["supplier"], "fx_story_log": ["conversations"], "fx_story_artifacts": ["fx_story_log"], "fx_chain": ["orders"], "fx_chain_chapters": ["fx_chain"],
 }
 
 
@@ -86,6 +86,10 @@ SELECT tenant_id, job_id, k, CASE WHEN k % 5 = 0 THEN parent_job_id END AS paren
   ELSE '«"app":«"b":1»,"internal":«"schedule":«"scheduleId":"sched-' || CAST(k % 40 AS STRING) || '","generation":' || CASE WHEN k % 5 = 0 THEN '1.5' ELSE CAST(k % 3 AS STRING) END || ',"specHash":"sha256:x","scheduledAt":"2001-07-0' || CAST(1 + k % 9 AS STRING)
     || CASE k % 7 WHEN 2 THEN 'T10:00:00+02:00' WHEN 3 THEN 'T10:00:00-05:30' WHEN 4 THEN 'T10:00:00.25Z' WHEN 5 THEN 'T10:00:00.250+00:00' WHEN 6 THEN ' 10:00' ELSE 'T10:00:00Z' END || '"»»»' END AS metadata
 FROM {fx_jobs}"""),
+    "fx_workers": """
+SELECT CASE s_suppkey % 5 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'FURNITURE' WHEN 3 THEN 'HOUSEHOLD' ELSE 'MACHINERY' END AS tenant_id, 'w' || CAST(s_suppkey AS STRING) AS worker,
+  x.need || CASE WHEN s_suppkey % 3 = 0 THEN ':review' ELSE '' END AS need, CAST((s_suppkey + x.k) % 11 AS BIGINT) AS free
+FROM {supplier} JOIN (SELECT 0 AS k, 'high' AS need UNION ALL SELECT 1, 'low' UNION ALL SELECT 2, 'urgent' UNION ALL SELECT 3, 'medium') x ON x.k <= s_suppkey % 4""",
     "fx_chain_runs": """
 SELECT tenant_id, schedule_id, row_number() OVER (PARTITION BY tenant_id, schedule_id ORDER BY scheduled_at, event_id) - 1 AS step, scheduled_at, CAST(event_id % 50 * 60 AS BIGINT) AS delay_s, CAST(event_id % 200 * 60 AS BIGINT) AS duration_s,
   success OR event_id % 3 > 0 AS success, 1 + CAST(substr(schedule_id, 7) AS BIGINT) % 2 AS generation
