@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from jobweave.llm.common import cut, stored
 
@@ -148,6 +149,8 @@ WORDS: dict[tuple[str, str], Words] = {}
 def tokeniser(path_a: str, path_b: str):
     """Batches of (id, text) to (id, ids and ends of A, ids and ends of B)."""
 
+    whole = pa.list_(pa.field("element", pa.int64(), nullable=False))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WORDS.get((path_a, path_b)) or WORDS.setdefault((path_a, path_b), Words(path_a, path_b))
         for batch in batches:
@@ -164,8 +167,7 @@ def tokeniser(path_a: str, path_b: str):
                 columns = []
                 begin = words.tokens(units)
                 for first, ends, own in (begin[:3], begin[3:]):
-                    first = pa.array(first, pa.int32())
-                    columns += [pa.ListArray.from_arrays(first, pa.array(ends, pa.int64())), pa.ListArray.from_arrays(first, pa.array(ends << BITS | own, pa.int64()))]
+                    columns += [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x, pa.int64()), type=whole) for x in (ends, ends << BITS | own)]
                 yield pa.RecordBatch.from_arrays([ids.slice(at, upto - at), *columns], names=["doc_id", "a_ends", "a", "b_ends", "b"])
                 at = upto
 
@@ -182,7 +184,8 @@ def grouped(tokens: str, ends: str) -> Column:
 
 def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """(doc_id, n_a, n_b, groups) of each row of docs(doc_id, text); a group is `a1,a2|b1,b2`."""
-    kinds = "doc_id long, a_ends array<long>, a array<long>, b_ends array<long>, b array<long>"
+    numbers = ArrayType(LongType(), containsNull=False)  # without nulls they are sorted as they are
+    kinds = StructType([StructField("doc_id", LongType()), *(StructField(c, numbers) for c in ("a_ends", "a", "b_ends", "b"))])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tokeniser(path_a, path_b), kinds)
     rows = rows.withColumn("common", F.array_intersect("a_ends", "b_ends"))
     groups = F.zip_with(grouped("a", "a_ends"), grouped("b", "b_ends"), lambda x, y: F.concat(x, F.lit("|"), y))
