@@ -9,7 +9,7 @@ from jobweave.functions import expr
 from jobweave.operators import history, lifecycle, listing, payloads, quality, schedules, schemas
 from jobweave.operators import stories as story_ops
 from jobweave.operators.listing import ListRequest
-from jobweave.plans import leases, oracle, sinks, stories, timing, workers
+from jobweave.plans import leases, oracle, sinks, small, stories, timing, workers
 from jobweave.sources import blobs
 from jobweave.sources.fixtures import NOW, fixture, projected
 from jobweave.streaming import fold
@@ -66,7 +66,7 @@ def poll_meta(t: Tables) -> DataFrame:
 
 
 def waiting_tasks(t: Tables) -> DataFrame:
-    return t.fx_jobs.where("archived_at is null and next_need like '%:%' and tenant_id = 'BUILDING'").select("tenant_id", "job_id", "job_type", expr.task_type_of("next_need").alias("task_type"))
+    return t.fx_jobs.where("archived_at is null and next_need like '%:%'").select("tenant_id", "job_id", "job_type", expr.task_type_of("next_need").alias("task_type"))
 
 
 def get_job(t: Tables) -> DataFrame:
@@ -100,7 +100,7 @@ def restart_difference(t: Tables) -> DataFrame:
 
 
 def chapter_page(t: Tables) -> DataFrame:
-    return t.fx_chapters.where("ordinal between 1 and 2 and tenant_id = 'BUILDING'").select("tenant_id", "job_id", "ordinal", "chapter_type")
+    return t.fx_chapters.where("ordinal between 1 and 2").select("tenant_id", "job_id", "ordinal", "chapter_type")
 
 
 def chapter_created_before(t: Tables) -> DataFrame:
@@ -431,9 +431,6 @@ BUILT = {
     "q_input_chapter": chapter_inputs,
     "q_event_times": lambda t: history.event_times(timed(t.fx_chapters)).select(*JOB, "ordinal", "began", "ended"),
     "q_backoff": backoff,
-    "q_quality_ordinals": lambda t: quality.broken_histories(t.fx_chapters),
-    "q_quality_links": lambda t: quality.bad_links(t.fx_stories).select("story_id"),
-    "q_quality_leases": lambda t: quality.double_leases(t.fx_jobs).select("tenant_id", "job_id"),
     "q_outcomes": chapter_outcomes,
     "q_chapter_document": lambda t: payloads.chapter_document(t.fx_bodies).select(*JOB, "ordinal", "document"),
     "q_get_output": lambda t: job_outputs(t).select(*JOB, "state", "output", F.col("error.kind").alias("error_kind"), "error.message"),
@@ -467,8 +464,8 @@ BUILT = {
 
 
 def queries() -> dict:
-    return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, f in (BUILT | stories.BUILT | leases.BUILT | timing.BUILT | sinks.BUILT | workers.BUILT).items()}
+    return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, f in (BUILT | stories.BUILT | leases.BUILT | timing.BUILT | sinks.BUILT | workers.BUILT | small.BUILT).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.sql() | stories.sql() | leases.sql() | timing.sql() | sinks.sql() | workers.sql()
+    return oracle.sql() | stories.sql() | leases.sql() | timing.sql() | sinks.sql() | workers.sql() | small.sql()

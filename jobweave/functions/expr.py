@@ -150,6 +150,20 @@ def app_metadata(metadata: str = "metadata", value: Column | None = None) -> Col
     return F.when(F.trim(raw) == "", F.lit(None)).when(~holds, raw).otherwise(shown)
 
 
+def metadata_envelope(app: Column, schedule: Column, schema_hash: Column, parent: Column) -> Column:
+    """Stored metadata as JSON text: the application's, normalized, and the runtime's own; null if there is neither.
+
+    Blank text is no application metadata, empty texts are no schema hash and no parent, and schedule is JSON text or null.
+    """
+    blank = F.trim(F.coalesce(app, F.lit(""))) == ""
+    shown = json_escaped(F.to_json(F.try_parse_json(app)))
+    member = lambda name, text, when: F.when(when, F.concat(F.lit(f'"{name}":'), text))
+    parts = F.array_compact(F.array(member("schedule", schedule, schedule.isNotNull()), member("schemaHash", json_string(schema_hash), schema_hash != ""), member("parentJobId", json_string(parent), parent != "")))
+    own = F.when(F.size(parts) > 0, F.concat(F.lit('"internal":{'), F.array_join(parts, ","), F.lit("}")))
+    both = F.array_compact(F.array(member("app", shown, ~blank), own))
+    return F.when(F.size(both) > 0, F.concat(F.lit("{"), F.array_join(both, ","), F.lit("}")))
+
+
 def instant(text: Column) -> Column:
     """An RFC 3339 time as UTC without zone; null for other text."""
     ok = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$".replace("\\\\", "\\"))

@@ -151,6 +151,11 @@ def list_page(jobs: DataFrame, waits: DataFrame, now: str, request: ListRequest)
     return rows, None if rest.isEmpty() else token
 
 
+def point_reads(asked: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The row of each job (tenant_id, job_id) that is asked for, with `found`; a job of another tenant is none."""
+    return asked.select("tenant_id", "job_id").join(jobs.withColumn("_here", F.lit(True)), ["tenant_id", "job_id"], "left").withColumn("found", F.coalesce("_here", F.lit(False))).drop("_here")
+
+
 class Filter:
     """A metadata filter: Empty, field = value, field = one of values, and all of several. Fields are top-level names.
 

@@ -122,7 +122,7 @@ CAST({rank} AS VARCHAR) AS rank, '"' || {team} || '"' AS team, '' AS schema_hash
         "q_poll_lease_plan": with_(jobs, STATUS) + f"""SELECT tenant_id, job_id, need AS next_need, CAST(row_number() OVER (ORDER BY created_at, job_id) AS INT) AS place,
 {T} + INTERVAL '30' SECOND AS expires_at FROM ({polled}) x ORDER BY created_at, job_id LIMIT 20""",
         "q_poll_meta": with_(jobs, STATUS) + f"SELECT tenant_id, job_id, need FROM st WHERE {one} AND {free} AND need IN ('high', 'low') AND {team} IN ('t1', 't3')",
-        "q_waiting_tasks": with_(jobs) + f"SELECT tenant_id, job_id, job_type, split_part(next_need, ':', 2) AS task_type FROM fx_jobs WHERE archived_at IS NULL AND {one} AND instr(next_need, ':') > 0",
+        "q_waiting_tasks": with_(jobs) + f"SELECT tenant_id, job_id, job_type, split_part(next_need, ':', 2) AS task_type FROM fx_jobs WHERE archived_at IS NULL AND instr(next_need, ':') > 0",
         "q_children_count": with_(jobs) + "SELECT tenant_id, parent_job_id, count(*) AS n_children FROM fx_jobs WHERE parent_job_id IS NOT NULL GROUP BY 1, 2",
         "q_prereq_check": with_(jobs) + """SELECT w.tenant_id, w.job_id, w.dep_job_id, CASE WHEN d.job_id IS NULL THEN 'missing' WHEN d.archived_at IS NULL THEN 'open'
 WHEN d.completion_status = 'success' THEN 'success' ELSE 'failed' END AS state FROM fx_wait w LEFT JOIN fx_jobs d ON d.tenant_id = w.tenant_id AND d.job_id = w.dep_job_id""",
@@ -138,7 +138,7 @@ task_type || ':' || first_ordinal AS run_id, n_attempts FROM runs""",
         "q_runtime_row": with_((*jobs, "fx_chapters"), STATUS, "c AS (SELECT tenant_id, job_id, max(ordinal) AS last FROM fx_chapters WHERE job_id NOT LIKE '%7' GROUP BY 1, 2)") + """SELECT tenant_id, job_id, coalesce(last + 1, 0) AS ordinal, next_need,
 CASE status WHEN 'READY' THEN 'READY' WHEN 'ACTIVE' THEN 'LEASED' ELSE 'WAITING' END AS state, next_need || ':' || coalesce(last + 1, 0) AS run_id, last AS input_ordinal
 FROM st LEFT JOIN c USING (tenant_id, job_id) WHERE status IN ('READY', 'ACTIVE', 'AWAITING_FUTURE', 'PENDING_JOBS')""",
-        "q_chapter_range": chapters + f"SELECT tenant_id, job_id, ordinal, chapter_type FROM fx_chapters WHERE ordinal BETWEEN 1 AND 2 AND {one}",
+        "q_chapter_range": chapters + f"SELECT tenant_id, job_id, ordinal, chapter_type FROM fx_chapters WHERE ordinal BETWEEN 1 AND 2",
         "q_task_deadline": chapters + """SELECT tenant_id, job_id, ordinal, deadline FROM (SELECT *, coalesce(lag(created_at) OVER (PARTITION BY tenant_id, job_id ORDER BY ordinal), created_at)
 + INTERVAL '30' MINUTE AS deadline FROM fx_chapters) x WHERE ordinal > 0""",
         "q_restart_diff": with_(("fx_jobs", "fx_chapters"), "c AS MATERIALIZED (SELECT c.*, k, k // 2 AS pair FROM fx_chapters c JOIN fx_jobs j ON j.tenant_id = c.tenant_id AND j.job_id = c.job_id)") + """
@@ -261,7 +261,4 @@ FROM fx_bodies b JOIN fx_jobs j ON b.tenant_id = j.tenant_id AND b.job_id = j.jo
 JOIN (SELECT DISTINCT n, tenant_id, schema_hash FROM hashed WHERE n % 10 < 8) h ON h.tenant_id = b.tenant_id AND h.n // 5 = j.k % 5),
 p AS (SELECT *, CASE WHEN role = 'last' AND n % 2 = 0 THEN CASE WHEN payload_kind <> 'App' THEN '/body/outcome/kind enum' ELSE '' END WHEN ordinal > n THEN '/ordinal maximum' ELSE '' END AS problem FROM r)""")
         + f"SELECT {J}, ordinal, role, schema_hash, problem FROM p WHERE problem <> ''",
-        "q_quality_ordinals": chapters + "SELECT tenant_id, job_id, count(*) AS n, count(DISTINCT ordinal) AS d, min(ordinal) AS lo, max(ordinal) AS hi FROM fx_chapters GROUP BY 1, 2 HAVING count(*) <> count(DISTINCT ordinal) OR min(ordinal) <> 0 OR max(ordinal) <> count(*) - 1",
-        "q_quality_links": with_(("fx_stories",)) + "SELECT s.story_id FROM fx_stories s JOIN fx_stories b ON s.base_story_id = b.story_id WHERE s.base_story_id = s.story_id OR s.fork_ordinal < 0 OR s.fork_ordinal > b.own_latest",
-        "q_quality_leases": with_(jobs) + "SELECT tenant_id, job_id FROM fx_jobs WHERE lease_id IN (SELECT lease_id FROM fx_jobs WHERE lease_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1)",
     }
