@@ -7,8 +7,8 @@ together; each link is confirmed on the full shingle sets.
 Groups of copies never become pairs of pairs. Texts of equal words are one class at once. Each bucket of a band then
 compares its members with one centre, and verified links are contracted to components. Where a bucket still holds
 several components, its rows are compared in blocks, so no link between different components is lost; blocks meet only
-if their documents' sizes can reach the threshold. Spark splits the join of a bucket's members with its centre where
-one bucket is very common.
+if their documents' sizes can reach the threshold. The pairs of a common centre are dealt in parts, each of which gets the
+centre's text once, and only texts that are in some pair are shuffled.
 
 Defined cases: a null or word-free text has no shingles and is linked with nothing. A text with fewer words than
 the width has its whole word sequence as its one shingle. Rows are judged each, those that repeat or lack a doc_id too:
@@ -39,6 +39,8 @@ U32 = np.uint32
 #: Blocks hold up to about BLOCK shingles, a document counting for LEAST_WEIGHT at least; SLICE is a matrix's width.
 BLOCK, LEAST_WEIGHT, SLICE = 1 << 18, 256, 1 << 13
 WIDE = 512  # shingles that are shifted together
+#: Shingles of members that meet one copy of their centre; rows of keys up to which they are sent to all executors.
+PART, BROADCAST_ROWS = 1 << 22, 200_000
 
 
 def pi(x: np.ndarray) -> np.ndarray:
@@ -93,16 +95,19 @@ def shingle_set(text: str, width: int) -> set[tuple[bytes, ...]]:
 
 
 def verifier(width: int, threshold: int):
+    """Rows (y, part, side, x, text) sorted by these: after the text of a centre (side 0) come those of its members."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, set] = {}
+        centre, q = None, set()
         for batch in batches:
             a, b = [], []
-            for x, y, s, t in zip(*(batch[c].to_pylist() for c in ("x", "y", "x_text", "y_text")), strict=True):
-                if y not in kept:
-                    kept = {y: shingle_set(t, width)}
-                p, q = shingle_set(s, width), kept[y]
-                both = len(p & q)
-                if 100 * both >= threshold * (len(p) + len(q) - both) > 0:
+            for y, side, x, text in zip(*(batch[c].to_pylist() for c in ("y", "side", "x", "text")), strict=True):
+                s = shingle_set(text, width)
+                if not side:
+                    centre, q = y, s
+                    continue
+                both = len(s & q) if centre == y else 0
+                if 100 * both >= threshold * (len(s) + len(q) - both) > 0:
                     a.append(x)
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -110,17 +115,23 @@ def verifier(width: int, threshold: int):
     return verify
 
 
-def with_text(rows: DataFrame, nodes: DataFrame, texts: DataFrame, x: str) -> DataFrame:
-    """Adds `<x>_text`, the text of the node in column x."""
-    named = nodes.select(F.col("node").alias(x), *(F.col(k).alias(f"{x}_{k}") for k in KEYS))
-    read = texts.select(*(F.col(k).alias(f"{x}_{k}") for k in KEYS), F.col("text").alias(f"{x}_text"))
-    return rows.join(named, x).join(read, [f"{x}_{k}" for k in KEYS]).drop(*(f"{x}_{k}" for k in KEYS))
+def texts_of(needed: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) of the nodes that are needed. Other texts aren't shuffled where the keys of these can be sent around."""
+    keys = cut(nodes.join(needed.select("node").distinct(), "node").select("node", *KEYS))
+    return texts.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, KEYS).select("node", "text")
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Of candidate pairs (x, y), the links (a, b) whose full sets meet the threshold."""
-    both = with_text(with_text(pairs, nodes, texts, "x"), nodes, texts, "y")
-    return both.select("x", "y", "x_text", "y_text").mapInArrow(verifier(width, threshold), "a long, b long")
+    """Of candidate pairs (x, y, n), the links (a, b) whose full sets meet the threshold; n is the size of x.
+
+    Pairs are dealt by their centre y, whose text comes once to each part of about PART shingles of its members.
+    """
+    parts = cut(pairs.groupBy("y").agg(F.ceil(F.sum(F.greatest("n", F.lit(LEAST_WEIGHT))) / PART).alias("parts")))
+    held = texts_of(pairs.select(F.col("x").alias("node")).unionByName(parts.select(F.col("y").alias("node"))), nodes, texts)
+    members = pairs.join(parts, "y").select("y", F.pmod(F.xxhash64("x"), "parts").alias("part"), F.lit(1).alias("side"), "x").join(held.withColumnRenamed("node", "x"), "x")
+    centres = parts.select("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("x"))
+    rows = centres.join(held.withColumnRenamed("node", "y"), "y").unionByName(members)
+    return rows.repartition("y", "part").sortWithinPartitions("y", "part", "side").mapInArrow(verifier(width, threshold), "a long, b long")
 
 
 def block_comparer(width: int, threshold: int):
@@ -187,7 +198,8 @@ def across(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataF
     pairs = pairs.withColumn("pair", F.xxhash64("block", "block2"))
     sides = pairs.select("pair", "block", F.when(F.col("block") == F.col("block2"), 0).otherwise(-1).alias("side"))
     sides = sides.unionByName(pairs.where("block < block2").select("pair", F.col("block2").alias("block"), F.lit(1).alias("side")))
-    rows = with_text(blocks, nodes, texts, "x").join(sides, "block").select("pair", "side", "x", "c", "x_text")
+    held = texts_of(blocks.select(F.col("x").alias("node")), nodes, texts).select(F.col("node").alias("x"), F.col("text").alias("x_text"))
+    rows = blocks.join(held, "x").join(sides, "block").select("pair", "side", "x", "c", "x_text")
     return cut(rows.groupBy("pair").applyInArrow(block_comparer(width, threshold), "a long, b long"))
 
 
@@ -214,7 +226,8 @@ def judged(docs: DataFrame, width: int, threshold: int) -> tuple[DataFrame, Data
     members = cut(rows.join(shared, "key").select("key", "x", "n", "y"))  # only rows of buckets with company
     texts = single(keyed(docs).select(*KEYS, "text"), KEYS, sketches)
     named = nodes.select("node", *KEYS)
-    links = cut(confirmed(members.where("x <> y").select("x", "y").distinct(), named, texts, width, threshold))
+    pairs = cut(members.where("x <> y").select("x", "y", "n").distinct())
+    links = cut(confirmed(pairs, named, texts, width, threshold))
     labels = components(links)
     rest = across(members, labels, named, texts, width, threshold)
     found = nodes.select("node", "d1", "d2", "low").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
