@@ -242,7 +242,7 @@ def manual_job_id(schedule: Column, request: Column, now: Column) -> Column:
 
 
 def time_of_ns(ns: Column) -> Column:
-    return F.timestamp_micros(F.floor(ns / 1000)).cast("timestamp_ntz")
+    return F.timestamp_micros(F.call_function("div", ns - F.pmod(ns, F.lit(1000)), F.lit(1000))).cast("timestamp_ntz")
 
 
 def ns_of_time(time: Column) -> Column:
