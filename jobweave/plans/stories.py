@@ -10,7 +10,7 @@ from jobweave.plans.oracle import with_
 
 KEY = stories.KEY
 #: All commits but the late deletions.
-BEFORE = 9_999_999
+BEFORE = 900_000
 
 
 def folded(t) -> DataFrame:

@@ -118,7 +118,7 @@ FROM (
     SELECT conv_id AS c, (conv_id - conv_id % 2) {div} 2 AS h, conv_id % 4 - 1 AS fork, CASE WHEN conv_id % 5 = 0 THEN 0 WHEN conv_id % 4 = 0 THEN 3 ELSE conv_id % 4 END AS low, turn, text FROM {conversations}) b
     JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) x ON x.k = 0 OR turn % 4 = x.k
   UNION ALL
-  SELECT CASE WHEN x.k = 9 THEN 10000000 + c * 10 ELSE c * 100 + 50 + x.k END, c, h, 0, CASE WHEN x.k IN (0, 2) THEN 'publish' WHEN x.k = 1 THEN 'append' WHEN x.k = 3 THEN 'tombstone' WHEN x.k = 5 THEN 'create' ELSE 'delete' END,
+  SELECT CASE WHEN x.k = 9 THEN 900095 + c * 100 ELSE c * 100 + 50 + x.k END, c, h, 0, CASE WHEN x.k IN (0, 2) THEN 'publish' WHEN x.k = 1 THEN 'append' WHEN x.k = 3 THEN 'tombstone' WHEN x.k = 5 THEN 'create' ELSE 'delete' END,
     CASE WHEN x.k = 1 THEN 8 END, CASE WHEN x.k = 1 THEN 'too late' END
   FROM (SELECT DISTINCT conv_id AS c, (conv_id - conv_id % 2) {div} 2 AS h FROM {conversations}) b
     JOIN (SELECT 0 AS k, 3 AS d, 0 AS r UNION ALL SELECT 1, 3, 0 UNION ALL SELECT 2, 6, 0 UNION ALL SELECT 3, 4, 1 UNION ALL SELECT 4, 17, 0 UNION ALL SELECT 5, 17, 0 UNION ALL SELECT 9, 7, 3) x ON c % x.d = x.r) t""",
