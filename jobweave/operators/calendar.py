@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave.functions import expr
-from jobweave.operators.schedules import parse_cron, violates
-from jobweave.operators.stories import cut
+from jobweave.operators.schedules import KEY, parse_cron, violates
+from jobweave.streaming.fold import folded
 
 #: Minutes that are searched from the first one on.
 SEARCH_MINUTES = 366 * 24 * 60 * 5
@@ -61,35 +63,51 @@ def cron_next(rows: DataFrame, spec: str, after: Column, zone: str = "UTC", star
     return out.drop("_from", "_end", "_day", "hits", "following")
 
 
-def chains(schedules: DataFrame, runs: DataFrame, window: int, max_sequential: int, min_percent: int, steps: int = 1000) -> DataFrame:
+CHAINED = "tenant_id string, schedule_id string, generation long, step int, scheduled_at timestamp_ntz, leased_at timestamp_ntz, previous_at timestamp_ntz, bits string"
+
+
+def broken(bits: str, max_sequential: int, min_percent: int) -> bool:
+    """`violates` for one window."""
+    trailing = len(bits) - len(bits.rstrip("0"))
+    return bool(bits) and (0 < max_sequential <= trailing or 0 < min_percent and bits.count("1") * 100 < min_percent * len(bits))
+
+
+def chains(schedules: DataFrame, runs: DataFrame, window: int, max_sequential: int, min_percent: int) -> DataFrame:
     """The occurrences that follow from each schedule's first one, up to its end or to where its failure policy stops it.
 
     schedules has tenant_id, schedule_id, generation, first_at, seconds, start_at and end_at; runs what happens at each
     step: tenant_id, schedule_id, step, delay_s (from due and free to leased), duration_s, success. An occurrence is made
     when the one before it is leased, due an interval after that moment; with serial overlap it waits until the one
     before is over. It carries the bits of earlier outcomes, to which its own lease adds that of the one before; if they
-    break the policy, it is cancelled and has no successor. A recursive query takes one step for all schedules at a time.
+    break the policy, it is cancelled and has no successor. A schedule's runs are one sorted stream, so that a chain may be
+    of any length.
     """
-    spark = schedules.sparkSession
-    schedules, runs = cut(schedules), cut(runs)  # read at every step
-    text = f"""
-WITH RECURSIVE c MAX RECURSION LEVEL {steps + 1} AS (
-  SELECT s.tenant_id, s.schedule_id, 0 AS step, s.first_at AS scheduled_at, CAST(NULL AS TIMESTAMP_NTZ) AS previous_at, s.first_at + make_dt_interval(0, 0, 0, r.delay_s) AS leased_at, '' AS bits, r.duration_s, r.success
-  FROM {{schedules}} s JOIN {{runs}} r ON r.tenant_id = s.tenant_id AND r.schedule_id = s.schedule_id AND r.step = 0
-  UNION ALL
-  SELECT tenant_id, schedule_id, step, due, before, greatest(due, free_at) + make_dt_interval(0, 0, 0, delay_s), own, duration_s, success FROM (
-    SELECT c.tenant_id, c.schedule_id, r.step, greatest(c.leased_at + make_dt_interval(0, 0, 0, s.seconds), s.start_at) AS due, s.end_at, c.scheduled_at AS before, c.leased_at + make_dt_interval(0, 0, 0, c.duration_s) AS free_at,
-      r.delay_s, right(c.bits || if(c.success, '1', '0'), {window}) AS own, c.bits, c.step AS last, r.duration_s, r.success
-    FROM c JOIN {{schedules}} s ON s.tenant_id = c.tenant_id AND s.schedule_id = c.schedule_id JOIN {{runs}} r ON r.tenant_id = c.tenant_id AND r.schedule_id = c.schedule_id AND r.step = c.step + 1) x
-  WHERE due <= coalesce(end_at, due) AND NOT {violated_sql('bits', max_sequential, min_percent)})
-SELECT c.*, s.generation FROM c JOIN {{schedules}} s USING (tenant_id, schedule_id)"""
-    kept = {k: spark.conf.get(k, None) for k in ("spark.sql.cteRecursionRowLimit",)}
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # rows grow with the schedules, levels with a chain's length
-    try:
-        rows = spark.sql(text, schedules=schedules, runs=runs)
-    finally:
-        for k, v in kept.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+    def later(at: datetime | None, micros: int | None) -> datetime | None:
+        return None if at is None or micros is None else at + timedelta(microseconds=micros)
+
+    def latest(*times: datetime | None) -> datetime | None:
+        return max((x for x in times if x is not None), default=None)
+
+    def advance(last: dict | None, r: dict) -> tuple[dict | None, tuple]:
+        if last is None and r["step"] == 0:
+            due, free, before, bits = r["first_at"], None, None, ""
+        elif last is None or r["step"] != last["step"] + 1 or broken(last["bits"], max_sequential, min_percent):
+            return last, (None,) * 8
+        else:
+            due, free, before = latest(later(last["leased_at"], r["interval"]), r["start_at"]), later(last["leased_at"], last["duration"]), last["scheduled_at"]
+            bits = (last["bits"] + ("1" if last["success"] else "0"))[-window:]
+            if due is None or (r["end_at"] is not None and due > r["end_at"]):
+                return last, (None,) * 8
+        leased = later(latest(due, free), r["delay"])
+        made = {"step": r["step"], "scheduled_at": due, "leased_at": leased, "duration": r["duration"], "success": r["success"], "bits": bits}
+        return made, (r["tenant_id"], r["schedule_id"], r["generation"], r["step"], due, leased, before, bits)
+
+    micros = lambda c: (F.col(c).cast("decimal(24,6)") * 1000000).cast("long")
+    times = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_at", "start_at", "end_at")]
+    made_by = schedules.select(*KEY, F.col("generation").cast("long").alias("generation"), *times, micros("seconds").alias("interval"))
+    asked = runs.select(*KEY, F.col("step").cast("int").alias("step"), micros("delay_s").alias("delay"), micros("duration_s").alias("duration"), "success")
+    rows = folded(asked.join(made_by, KEY).withColumn("key", F.struct(*KEY)), "key", ["step"], advance, None, CHAINED, every=True).where("step is not null")
     job = lambda time: expr.schedule_job_id(F.col("schedule_id"), F.col("generation"), F.col(time))
     stopped = violates("bits", max_sequential, min_percent)
     return rows.select(

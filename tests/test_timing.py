@@ -76,3 +76,20 @@ def test_batches(spark, tmp_path):
     assert sorted(map(tuple, tables.read(spark, folder, held.schema).collect())) == [(1, "a", 0), (2, None, 0), (3, "d", 0)]
     assert len(list((tmp_path / "t" / "data").glob("*.parquet"))) == sum(len(tables.committed(folder, b)["files"]) for b in "xy")
     assert tables.read(spark, f"{tmp_path}/none", held.schema).count() == 0
+
+
+def test_chain_beyond_the_limits_of_recursion(spark):
+    """A thousand steps and more of two schedules; a schedule whose fourth occurrence is due after its end; one that lacks a step."""
+    begin = datetime(2024, 1, 1)
+    made = [("t", "a", 1, begin, 60, None, None), ("t", "b", 1, begin, 60, begin, None), ("t", "c", 1, begin, 60, None, begin + timedelta(seconds=130)), ("t", "d", 1, begin, 60, None, None)]
+    made = spark.createDataFrame(made, "tenant_id string, schedule_id string, generation int, first_at timestamp_ntz, seconds int, start_at timestamp_ntz, end_at timestamp_ntz")
+    steps = [("t", s, n, 5, 90 if n == 1 else 1, True) for s in "abc" for n in range(1100)] + [("t", "d", n, 5, 1, True) for n in (0, 1, 3)]
+    runs = spark.createDataFrame(steps, "tenant_id string, schedule_id string, step int, delay_s long, duration_s long, success boolean")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "100")
+    try:
+        got = {(r["schedule_id"], r["step"]): r for r in calendar.chains(made, runs, 8, 3, 50).collect()}
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert [sum(k[0] == s for k in got) for s in "abcd"] == [1100, 1100, 3, 2]
+    assert got["a", 2]["scheduled_at"] == begin + timedelta(seconds=5 + 60 + 5 + 60) and got["a", 2]["leased_at"] == begin + timedelta(seconds=70 + 90 + 5)
+    assert got["a", 1099]["bits"] == "1" * 8 and got["a", 1099]["waits_for"] == got["a", 1098]["job_id"]
