@@ -56,14 +56,20 @@ def rfc3339(time: Column) -> Column:
     return F.concat(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss"), F.when(fraction != ".", fraction).otherwise(""), F.lit("Z"))
 
 
+def json_text(value: Column) -> Column:
+    """The JSON text of a variant, with numbers as variant writes them when it has read its own text; null: JSON null."""
+    return F.coalesce(F.to_json(F.parse_json(F.to_json(value))), F.lit("null"))
+
+
 def body_document(chapter_type: Column, kind: Column, data: Column) -> Column:
-    """The body of a schema document as variant: kind, and the input, output or outcome. Empty fields are left out."""
+    """The body of a schema document as JSON text: kind, and the input, output or outcome. Keys are sorted, empty fields left out."""
     value = F.try_parse_json(data)
     e = lambda name: present(field(data, name))
     flag = field(data, "retryable").cast("boolean")
     message = F.coalesce(field(data, "message"), F.lit(""))
     attrs = F.try_variant_get(value, "$.attrs", "variant")
-    app = F.to_json(F.struct(attrs.alias("attrs"), e("level").alias("level"), message.alias("message")))
+    app = F.to_json(F.struct(e("level").alias("level"), message.alias("message")))
+    app = F.concat(F.coalesce(F.concat(F.lit('{"attrs":'), F.when(attrs.isNotNull(), json_text(attrs)), F.lit(",")), F.lit("{")), F.substring(app, 2, 1 << 30))
     system = F.to_json(F.struct(e("code").alias("code"), e("component").alias("component"), message.alias("message"), F.when(flag, True).alias("retryable")))
     late = F.to_json(
         F.struct(
@@ -71,15 +77,15 @@ def body_document(chapter_type: Column, kind: Column, data: Column) -> Column:
             F.coalesce(flag, F.lit(False)).alias("retryable"), F.coalesce(field(data, "scope"), F.lit("")).alias("scope"),
         )
     )
-    made = lambda name, **parts: F.to_json(F.struct(*(F.coalesce(v, F.parse_json(F.lit("null"))).alias(k) for k, v in sorted({**parts, "kind": F.parse_json(F.lit(f'"{name}"'))}.items()))))
-    result = F.when(kind == "App", made("success", output=value)).when(kind == "AppError", made("appError", error=F.parse_json(app)))
-    result = result.when(kind == "SystemError", made("systemError", error=F.parse_json(system))).when(kind == "Timeout", made("timeout", timeout=F.parse_json(late)))
-    result = F.parse_json(result)
-    text = (
-        F.when(chapter_type == "JobStart", made("jobStart", input=value)).when(chapter_type == "RestartExtra", made("restartExtra", output=value))
-        .when(chapter_type == "JobAttemptOutcome", made("jobAttemptOutcome", outcome=result)).when(chapter_type == "TaskAttemptOutcome", made("taskAttemptOutcome", outcome=result))
+    around = lambda before, text, after: F.concat(F.lit(before), text, F.lit(after))
+    result = F.when(kind == "App", around('{"kind":"success","output":', json_text(value), "}")).when(kind == "AppError", around('{"error":', app, ',"kind":"appError"}'))
+    result = result.when(kind == "SystemError", around('{"error":', system, ',"kind":"systemError"}')).when(kind == "Timeout", around('{"kind":"timeout","timeout":', late, "}")).otherwise("null")
+    ends = chapter_type.isin("JobAttemptOutcome", "TaskAttemptOutcome")
+    named = F.when(chapter_type == "JobAttemptOutcome", '{"kind":"jobAttemptOutcome","outcome":').otherwise('{"kind":"taskAttemptOutcome","outcome":')
+    return (
+        F.when(chapter_type == "JobStart", around('{"input":', json_text(value), ',"kind":"jobStart"}')).when(chapter_type == "RestartExtra", around('{"kind":"restartExtra","output":', json_text(value), "}"))
+        .when(ends, F.concat(named, result, F.lit("}")))
     )
-    return F.parse_json(text)
 
 
 def chapter_document(chapters: DataFrame) -> DataFrame:
@@ -90,14 +96,18 @@ def chapter_document(chapters: DataFrame) -> DataFrame:
     """
     have = set(chapters.columns)
     c = lambda name, kind: F.col(name).cast(kind) if name in have else F.lit(None).cast(kind)
-    fields = {
-        "artifacts": F.coalesce(c("artifacts", "array<struct<digest:string,name:string,size:long>>"), F.array().cast("array<struct<digest:string,name:string,size:long>>")),
-        "attempt": F.nullif(c("attempt", "long"), F.lit(0)), "backoffMillis": F.nullif(c("backoff_ms", "long"), F.lit(0)),
-        "body": body_document(F.col("chapter_type"), F.col("payload_kind"), F.col("data")), "createdAt": rfc3339(F.col("created_at")),
-        "inputHash": present(c("input_hash", "string")), "maxAttempts": F.nullif(c("max_attempts", "long"), F.lit(0)), "ordinal": F.col("ordinal"),
+    files = "array<struct<digest:string,name:string,size:long>>"
+    before = {
+        "artifacts": F.coalesce(c("artifacts", files), F.array().cast(files)), "attempt": F.nullif(c("attempt", "long"), F.lit(0)), "backoffMillis": F.nullif(c("backoff_ms", "long"), F.lit(0)),
+    }
+    after = {
+        "createdAt": rfc3339(F.col("created_at")), "inputHash": present(c("input_hash", "string")), "maxAttempts": F.nullif(c("max_attempts", "long"), F.lit(0)), "ordinal": F.col("ordinal"),
         "taskType": present(c("task_type", "string")), "workerId": present(c("worker_id", "string")),
     }
-    return chapters.withColumn("document", F.to_json(F.struct(*(v.alias(k) for k, v in fields.items()))))
+    inside = lambda fields: F.regexp_extract(F.to_json(F.struct(*(v.alias(k) for k, v in fields.items()))), r"(?s)^\{(.*)\}$", 1)
+    body = F.concat(F.lit('"body":'), body_document(F.col("chapter_type"), F.col("payload_kind"), F.col("data")))
+    document = F.concat(F.lit("{"), F.concat_ws(",", inside(before), body, F.nullif(inside(after), F.lit(""))), F.lit("}"))
+    return chapters.withColumn("document", document)
 
 
 def outputs(jobs: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -152,7 +162,11 @@ def find_artifacts(refs: DataFrame, artifacts: DataFrame) -> DataFrame:
     whose digest is the same, where both are known. References that repeat are answered once.
     """
     key = [*JOB, "ordinal", "name"]
-    held = artifacts.select(*key, F.struct("position", "digest", "size").alias("_a"))
-    fits = present(F.coalesce("digest", F.lit(""))).isNull() | present(F.coalesce("_a.digest", F.lit(""))).isNull() | (F.col("digest") == F.col("_a.digest"))
-    best = refs.join(held, key, "left").groupBy(*key, "digest").agg(F.min(F.when(F.col("_a").isNotNull() & fits, F.col("_a"))).alias("_a"))
+    known = F.coalesce("digest", F.lit("")).alias("_d")
+    held = artifacts.select(*key, known, F.struct("position", "digest", "size").alias("_a"))
+    named = held.groupBy(*key).agg(F.min("_a").alias("_any"), F.min(F.when(F.col("_d") == "", F.col("_a"))).alias("_bare"))
+    same = held.where("_d <> ''").groupBy(*key, "_d").agg(F.min("_a").alias("_same"))
+    asked = refs.select(*key, "digest").distinct().withColumn("_d", known)
+    first = F.when(F.col("_d") == "", F.col("_any")).otherwise(F.least("_bare", "_same"))
+    best = asked.join(named, key, "left").join(same, [*key, "_d"], "left").withColumn("_a", first)
     return best.select(*key, "digest", F.col("_a").isNotNull().alias("found"), F.col("_a.position").alias("position"), F.col("_a.size").alias("size"))

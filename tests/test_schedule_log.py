@@ -1,6 +1,7 @@
 """Schedule commands, blobs, artifact references and poll groups on small rows; the fold on keys of many rows."""
 
 import datetime as dt
+import threading
 
 from pyspark.sql import functions as F
 
@@ -78,6 +79,19 @@ def test_artifact_references(spark):
     assert got == {("a", None): (True, 0), ("a", "d2"): (True, 1), ("a", "no"): (False, None), ("b", "any"): (True, 2), ("c", ""): (False, None)}
 
 
+def test_artifacts_of_one_name(spark):
+    """Many references to many artifacts of one name in one chapter: no pairs of the two are made."""
+    held = spark.range(30000).selectExpr("'t' tenant_id", "'j' job_id", "1 ordinal", "cast(30000 - id as int) position", "'a' name", "'d' || id digest", "id size")
+    refs = spark.range(30000).selectExpr("'t' tenant_id", "'j' job_id", "1 ordinal", "'a' name", "case when id % 2 = 0 then 'd' || id else 'no' || id end digest")
+    stop = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        got = payloads.find_artifacts(refs, held).groupBy("found").agg({"*": "count", "position": "max"}).collect()
+    finally:
+        stop.cancel()
+    assert sorted(map(tuple, got)) == [(False, 15000, None), (True, 15000, 30000)]
+
+
 def test_poll_groups(spark):
     workers = spark.createDataFrame([("b", ["y", "x"], None), ("a", None, ""), ("c", [], "team=1"), ("c", ["z"], "team=1")], "job_type string, task_types array<string>, signature string")
     assert {r[0]: r[1] for r in listing.poll_groups(workers).collect()} == {"": ["a", "b", "b:x", "b:y"], "team=1": ["c", "c:z"]}
