@@ -24,11 +24,15 @@ def with_segments(chapters: DataFrame) -> DataFrame:
 
 
 def task_runs(chapters: DataFrame) -> DataFrame:
-    """Runs of task chapters: a run begins a segment, at an attempt of 1 or less, or where the task type changes."""
+    """Runs of task chapters: a run begins a segment, at an attempt of 1 or less, or where the task type changes.
+
+    All windows have the order of `with_segments`, so that a job's chapters are sorted once.
+    """
     tasks = with_segments(chapters).where("chapter_type = 'TaskAttemptOutcome'")
-    within = Window.partitionBy(*JOB, "segment").orderBy("ordinal")
-    begins = F.lag("task_type").over(within).isNull() | (F.col("attempt") <= 1) | (F.lag("task_type").over(within) != F.col("task_type"))
-    running = Window.partitionBy(*JOB).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*JOB).orderBy("ordinal")
+    prior = lambda c: F.lag(c).over(order)
+    begins = ~prior("segment").eqNullSafe(F.col("segment")) | prior("task_type").isNull() | (F.col("attempt") <= 1) | (prior("task_type") != F.col("task_type"))
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
     numbered = tasks.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(running))
     return numbered.groupBy(*JOB, "run").agg(
         F.min("job_attempt").alias("job_attempt"), F.min_by("task_type", "ordinal").alias("task_type"), F.min("ordinal").alias("first_ordinal"),

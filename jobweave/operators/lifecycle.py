@@ -27,7 +27,8 @@ def submit(requests: DataFrame, existing: DataFrame) -> DataFrame:
     parts = ["job_type", "input_hash", "metadata", "wait_for"]
     held = existing.select(*JOB, F.struct(*parts).alias("_held"))
     first = Window.partitionBy(*JOB).orderBy("seq")
-    rows = requests.join(held, JOB, "left").withColumn("_first", F.first(F.struct("seq", *parts)).over(first.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = requests.withColumn("_first", F.first(F.struct("seq", *parts)).over(first.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.join(held, JOB, "left")  # in the order that the window has made
     old = F.coalesce("_held", F.when(F.col("seq") > F.col("_first.seq"), F.struct(*(F.col(f"_first.{p}") for p in parts))))
     rows = rows.withColumn("_old", old)
     differs = lambda p: ~F.col(p).eqNullSafe(F.col(f"_old.{p}"))
