@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobweave.functions import expr
@@ -105,8 +105,6 @@ def chapter_page(t: Tables) -> DataFrame:
 
 def chapter_created_before(t: Tables) -> DataFrame:
     """Deadline of each task chapter: the chapter before, plus half an hour."""
-    from pyspark.sql import Window
-
     prior = F.lag("created_at").over(Window.partitionBy("tenant_id", "job_id").orderBy("ordinal"))
     return t.fx_chapters.withColumn("deadline", F.coalesce(prior, F.col("created_at")) + F.expr("interval 30 minutes")).where("ordinal > 0").select("tenant_id", "job_id", "ordinal", "deadline")
 
@@ -335,8 +333,8 @@ def rejected_chapters(t: Tables) -> DataFrame:
     """Chapters against their jobs' schemas: order k of tenant i has the schema of nation i + 5 (k % 5)."""
     of = schemas.hashed(t.fx_schemas.where("n % 10 < 8")).select("tenant_id", F.expr("n div 5").alias("pick"), "schema_hash").distinct()
     jobs = t.fx_jobs.select(*JOB, (F.col("k") % 5).alias("pick"), F.col("archived_at").isNotNull().alias("archived")).join(of, ["tenant_id", "pick"])
-    last = t.fx_chapters.groupBy(*JOB).agg(F.max("ordinal").alias("last"))
-    rows = payloads.chapter_document(t.fx_bodies).join(jobs, JOB).join(last, JOB)
+    last = F.max("ordinal").over(Window.partitionBy(*JOB))
+    rows = payloads.chapter_document(t.fx_bodies.join(jobs, JOB).withColumn("last", last))
     completes = F.col("archived") & (F.col("ordinal") == F.col("last")) & (F.col("chapter_type") == "JobAttemptOutcome")
     return schemas.rejected_chapters(rows.withColumn("role", schemas.role(F.col("ordinal"), completes)), registry(t))
 

@@ -125,6 +125,9 @@ def rejected_chapters(chapters: DataFrame, registry: DataFrame) -> DataFrame:
 
     Chapters without a schema hash pass. A hash that is not registered is a problem of its own.
     """
-    held = chapters.where("coalesce(schema_hash, '') <> ''").join(registry.select(*KEY, "schema"), KEY, "left")
-    found = F.when(F.col("schema").isNull(), "schema not registered").otherwise(jsontext.first_problem("document", shape(F.col("schema"), F.col("role"))))
+    roles = F.explode(F.array(*map(F.lit, ("first", "chapter", "last"))))
+    shapes = registry.select(*KEY, roles.alias("_role"), "schema").select(*KEY, "_role", F.lit(True).alias("_here"), shape(F.col("schema"), F.col("_role")).alias("_shape"))
+    own = F.when(F.col("role").isin("first", "last"), F.col("role")).otherwise("chapter")
+    held = chapters.where("coalesce(schema_hash, '') <> ''").withColumn("_role", own).join(shapes, [*KEY, "_role"], "left")
+    found = F.when(F.col("_here").isNull(), "schema not registered").otherwise(jsontext.first_problem("document", "_shape"))
     return held.withColumn("problem", found).where("problem <> ''").select("tenant_id", "job_id", "ordinal", "role", "schema_hash", "problem")
