@@ -12,10 +12,9 @@ jobs that a micro-batch changed, `expired` leases, and `refused` commands.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, MutableMapping
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -30,6 +29,9 @@ COMMAND = "event_id long, at double, command string, lease_id string, worker str
 ASKED = [c.split()[0] for c in COMMAND.split(", ")]
 OUT = f"job string, kind string, event_id long, at double, command string, asked_ordinal long, result string, {ROW}"
 NAMES = [c.split()[0] for c in OUT.split(", ")]
+SHOWN = Row(*NAMES)
+#: Chapters whose digests are stored together.
+BLOCK = 64
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -46,7 +48,7 @@ def live(row: dict, lease_id: str | None, worker: str | None, at: float) -> bool
 FREE = {"lease_id": None, "worker": None, "until": None, "reported": False}
 
 
-def appended(row: dict, c: dict, chapters: MutableMapping[int, str], same: bool) -> str:
+def appended(row: dict, c: dict, chapters: Chapters | dict[int, str], same: bool) -> str:
     """Writes the chapter if it is the next one. `same`: one that is there already with the same contents counts as written."""
     ordinal = row["latest_ordinal"] + 1 if c["ordinal"] is None or c["ordinal"] < 0 else c["ordinal"]
     if ordinal <= row["latest_ordinal"]:
@@ -58,7 +60,7 @@ def appended(row: dict, c: dict, chapters: MutableMapping[int, str], same: bool)
     return "ok"
 
 
-def changed(row: dict, c: dict, chapters: MutableMapping[int, str]) -> str:
+def changed(row: dict, c: dict, chapters: Chapters | dict[int, str]) -> str:
     """Applies a command to the row; what came of it."""
     at, command = c["at"], c["command"]
     if row["last_at"] is not None and at < row["last_at"]:
@@ -110,7 +112,7 @@ def shown(job: str, kind: str, row: dict, c: dict | None = None, result: str | N
     return (job, kind, c["event_id"], c["at"], c["command"], c["ordinal"], result, *(row[f] for f in FIELDS))
 
 
-def step(job: str, row: dict, c: dict, chapters: MutableMapping[int, str]) -> list[tuple]:
+def step(job: str, row: dict, c: dict, chapters: Chapters | dict[int, str]) -> list[tuple]:
     """The row after a command, and rows to report: a lease that had run out before it, and the command if it is refused."""
     out = []
     if (row["last_at"] is None or c["at"] >= row["last_at"]) and lapsed(row, c["at"]):
@@ -152,28 +154,35 @@ def fold(rows: DataFrame, need: str, until: float | None = None) -> DataFrame:
     return made.select(F.explode("rows").alias("r")).select("r.*")
 
 
-class Chapters(MutableMapping):
-    """A job's chapter digests, by ordinal, in the state store."""
+class Chapters:
+    """A job's chapter digests in the state store, BLOCK ordinals under one key. Holds one block at a time.
 
-    def __init__(self, state) -> None:
-        self.state = state
+    `latest` is the latest ordinal that is stored: it tells which blocks are there.
+    """
 
-    def __getitem__(self, ordinal: int) -> str:
-        if not self.state.containsKey((ordinal,)):
-            raise KeyError(ordinal)
-        return self.state.getValue((ordinal,))[0]
+    def __init__(self, state, latest: int) -> None:
+        self.state, self.latest, self.at, self.block, self.dirty = state, latest, None, [], False
 
-    def __setitem__(self, ordinal: int, digest: str) -> None:
-        self.state.updateValue((ordinal,), (digest,))
+    def to(self, at: int) -> None:
+        """Goes to a block."""
+        if at != self.at:
+            self.save()
+            self.at, self.block = at, list(self.state.getValue((at,))[0]) if at * BLOCK <= self.latest else []
 
-    def __delitem__(self, ordinal: int) -> None:
-        self.state.removeKey((ordinal,))
+    def get(self, ordinal: int) -> str | None:
+        self.to(ordinal // BLOCK)
+        return self.block[ordinal % BLOCK] if ordinal % BLOCK < len(self.block) else None
 
-    def __iter__(self) -> Iterator[int]:
-        return (k[0] for k in self.state.keys())
+    def __setitem__(self, ordinal: int, digest: str) -> None:
+        """Chapters are written in the order of their ordinals."""
+        self.to(ordinal // BLOCK)
+        self.block.append(digest)
+        self.dirty = True
 
-    def __len__(self) -> int:
-        return sum(1 for _ in self)
+    def save(self) -> None:
+        if self.dirty:
+            self.state.updateValue((self.at,), (self.block,))
+            self.latest, self.dirty = max(self.latest, self.at * BLOCK + len(self.block) - 1), False
 
 
 class Leases(StatefulProcessor):
@@ -181,20 +190,13 @@ class Leases(StatefulProcessor):
 
     def __init__(self, need: str) -> None:
         self.need = need
-        self.kinds = [StructType.fromDDL(k) for k in (ROW, "ordinal long", "digest string")]  # needs the driver's session
+        self.kinds = [StructType.fromDDL(k) for k in (ROW, "block long", "digests array<string>")]  # needs the driver's session
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.row = handle.getValueState("row", self.kinds[0])
         self.chapters = handle.getMapState("chapters", self.kinds[1], self.kinds[2])
 
-    def table(self, rows: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=NAMES)
-        return frame.astype({n: "Int64" for n in ("event_id", "asked_ordinal")})
-
-    def held(self) -> dict:
-        return dict(zip(FIELDS, self.row.get(), strict=True)) if self.row.exists() else new(self.need)
-
     def keep(self, row: dict, before: float | None) -> None:
         """Stores the row; the timer goes with the lease's end. Times are whole milliseconds there."""
         self.row.update(tuple(row[f] for f in FIELDS))
@@ -205,24 +207,23 @@ class Leases(StatefulProcessor):
             if ends is not None:
                 self.handle.registerTimer(int(ends * 1000))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at", "event_id"])  # one job's commands of one micro-batch
-        plain = lambda x: None if pd.isna(x) else x
-        row, chapters, out = self.held(), Chapters(self.chapters), []
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        row = dict(zip(FIELDS, self.row.get(), strict=True)) if self.row.exists() else new(self.need)
+        chapters, out = Chapters(self.chapters, row["latest_ordinal"]), []
         before = row["until"] if row["lease_id"] is not None and not row["reported"] else None
-        for r in batch[ASKED].itertuples(index=False):
-            c = {k: plain(v) for k, v in zip(ASKED, r, strict=True)}
-            c |= {k: int(c[k]) for k in ("event_id", "ordinal") if c[k] is not None}
+        for c in sorted((r["c"] for r in rows), key=lambda c: (c["at"], c["event_id"])):  # one job's commands of one micro-batch
             out += step(key[0], row, c, chapters)
+        chapters.save()
         self.keep(row, before)
-        yield self.table([*out, shown(key[0], "state", row)])
+        return (SHOWN(*r) for r in (*out, shown(key[0], "state", row)))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        row, at = self.held(), expiredTimerInfo.getExpiryTimeInMs() / 1000
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        row, at = dict(zip(FIELDS, self.row.get(), strict=True)), expiredTimerInfo.getExpiryTimeInMs() / 1000
         if lapsed(row, at):
             row["reported"] = True
             self.row.update(tuple(row[f] for f in FIELDS))
-            yield self.table([shown(key[0], "expired", row), shown(key[0], "state", row)])
+            yield SHOWN(*shown(key[0], "expired", row))
+            yield SHOWN(*shown(key[0], "state", row))
 
     def close(self) -> None:
         pass
@@ -234,8 +235,8 @@ def run(source: DataFrame, base: str, need: str, delay: str = "5 seconds") -> Da
     kept = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass",)}
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     try:
-        keyed = commands(source).withWatermark("ts", delay).groupBy("job")
-        made = keyed.transformWithStateInPandas(Leases(need), StructType.fromDDL(OUT), "append", "EventTime")
+        rows = commands(source).withWatermark("ts", delay).select("job", "ts", F.struct(*ASKED).alias("c"))  # one value is read faster than many columns
+        made = rows.groupBy("job").transformWithState(Leases(need), StructType.fromDDL(OUT), "append", "EventTime")
         put = lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}")  # noqa: E731  a batch that is run again writes the same place
         made.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     finally:

@@ -56,3 +56,33 @@ def test_stream_in_several_batches(spark, tmp_path):
     state = [sorted(map(str, leases.states(x).collect())) for x in (rows, want)]
     assert state[0] == state[1] and rows.select("batch").distinct().count() >= 4
     assert rows.where("kind = 'state'").groupBy("batch").count().agg({"count": "max"}).first()[0] <= 15
+
+
+class Store:
+    """A map state that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.held[key] = ([*value[0]],)
+
+
+def test_chapters_are_stored_in_blocks():
+    """A micro-batch of many appends takes a call of the state store for each block, not for each chapter."""
+    store, row = Store(), leases.new("high")
+    n = 2 * leases.BLOCK + 3
+    for until in (n, 2 * n):  # two micro-batches; the second goes on inside a block
+        chapters = leases.Chapters(store, row["latest_ordinal"])
+        while row["latest_ordinal"] < until - 1:
+            assert leases.appended(row, {"ordinal": -1, "digest": f"d{row['latest_ordinal'] + 1}"}, chapters, False) == "ok"
+        same = [leases.appended(row, {"ordinal": k, "digest": d}, chapters, True) for k, d in ((0, "d0"), (leases.BLOCK, f"d{leases.BLOCK}"), (until - 1, f"d{until - 1}"), (1, "d0"))]
+        assert same == ["ok", "ok", "ok", "chapter_exists"]
+        chapters.save()
+    assert [d for _, (block,) in sorted(store.held.items()) for d in block] == [f"d{k}" for k in range(2 * n)]
+    assert store.calls < n // 4
