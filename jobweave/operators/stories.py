@@ -172,15 +172,13 @@ def read(asked: DataFrame, stories: DataFrame, chapters: DataFrame, artifacts: D
     return rows.withColumn("body", F.when(ok, F.col("body"))).withColumn("artifacts", F.when(ok, F.coalesce("artifacts", empty))).drop("_story", "_chapter")
 
 
-def lifts(stories: DataFrame) -> list[DataFrame]:
-    """For 1, 2, 4, ... links up from each story: the story there, and the largest ordinal that all of those links hand on."""
-    one = stories.where("base_story_id is not null").select(*KEY, *(F.col(b).alias(u) for b, u in zip(BASE, ("up_anthology", "up_story"), strict=True)), F.col("fork_ordinal").alias("reach"))
-    tables = [cut(one)]
+def lifts(links: DataFrame) -> list[DataFrame]:
+    """For 1, 2, 4, ... links(id, up, reach) up from each story: the story there, and the largest ordinal that all of those links hand on."""
+    tables = [cut(links)]
     while len(tables) < LEVELS:
         low = tables[-1]
-        high = low.select(F.col("anthology_id").alias("up_anthology"), F.col("story_id").alias("up_story"), F.col("up_anthology").alias("a"), F.col("up_story").alias("s"), F.col("reach").alias("r"))
-        both = low.join(high, ["up_anthology", "up_story"]).select(*KEY, F.col("a").alias("up_anthology"), F.col("s").alias("up_story"), F.least("reach", "r").alias("reach"))
-        both = cut(both)
+        high = low.select(F.col("id").alias("up"), F.col("up").alias("u"), F.col("reach").alias("r"))
+        both = cut(low.join(high, "up").select("id", F.col("u").alias("up"), F.least("reach", "r").alias("reach")))
         if both.isEmpty():
             break
         tables.append(both)
@@ -191,24 +189,29 @@ def owners(stories: DataFrame, asked: DataFrame) -> DataFrame:
     """asked(KEY, low, high) cut into runs of ordinals (low, high) with the story that owns them, its depth, and `too_deep`.
 
     A link hands on the ordinals up to its fork. Tables of links double their reach, so that a chain of 1000 takes ten
-    joins. `stories` holds deleted ones, too; a chain that goes on after 2 ** LEVELS - 1 links is too deep.
+    joins, on numbers given to the stories. `stories` holds deleted ones, too; a chain that goes on after
+    2 ** LEVELS - 1 links is too deep.
     """
-    rows = asked.select(*KEY, F.col("anthology_id").alias("owner_anthology"), F.col("story_id").alias("owner_story"), "low", "high", F.lit(0).alias("depth"))
-    tables = lifts(stories)
-    at = lambda t: t.select(F.col("anthology_id").alias("owner_anthology"), F.col("story_id").alias("owner_story"), "up_anthology", "up_story", "reach")
-    names = ["owner_anthology", "owner_story", "low", "high", "depth"]
+    bases = stories.where("base_story_id is not null").select(*KEY, *BASE, F.col("fork_ordinal").alias("reach"))
+    every = stories.select(*KEY).union(bases.select(*BASE)).union(asked.select(*KEY)).distinct()
+    ids = cut(every.withColumn("id", F.monotonically_increasing_id()))  # stored, so that a lost task numbers alike
+    named = lambda id, *key: ids.select(F.col("id").alias(id), *(F.col(k).alias(n) for k, n in zip(KEY, key, strict=True)))
+    tables = lifts(bases.join(ids, KEY).join(named("up", *BASE), BASE).select("id", "up", "reach"))
+    rows = asked.join(ids, KEY).select("id", F.col("id").alias("owner"), "low", "high", F.lit(0).alias("depth"))
+    at = lambda t: t.select(F.col("id").alias("owner"), "up", "reach")
     for level in reversed(range(len(tables))):
-        met = rows.join(at(tables[level]), ["owner_anthology", "owner_story"], "left")
+        met = rows.join(at(tables[level]), "owner", "left")
         first = F.when(F.col("reach").isNull(), F.col("low")).otherwise(F.greatest("low", F.col("reach") + 1))
-        stays = F.struct("owner_anthology", "owner_story", first.alias("low"), "high", "depth")
-        goes = F.struct(F.col("up_anthology").alias("owner_anthology"), F.col("up_story").alias("owner_story"), "low", F.least("high", "reach").alias("high"), (F.col("depth") + (1 << level)).alias("depth"))
-        parts = F.filter(F.array(stays, F.when(F.col("reach").isNotNull(), goes)), lambda p: p["low"] <= p["high"])
-        rows = met.select(*KEY, F.explode(parts).alias("p")).select(*KEY, *(F.col(f"p.{c}") for c in names))
+        stays = F.struct("owner", first.alias("low"), "high", "depth")
+        goes = F.struct(F.col("up").alias("owner"), "low", F.least("high", "reach").alias("high"), (F.col("depth") + (1 << level)).alias("depth"))
+        rows = met.select("id", F.explode(F.array(stays, F.when(F.col("reach").isNotNull(), goes))).alias("p")).where("p.low <= p.high").select("id", "p.*")
         rows = cut(rows) if level % 4 == 0 else rows
     if len(tables) < LEVELS:
-        return rows.withColumn("too_deep", F.lit(False))
-    on = at(tables[0]).select("owner_anthology", "owner_story", "reach")
-    return rows.join(on, ["owner_anthology", "owner_story"], "left").withColumn("too_deep", F.coalesce(F.col("low") <= F.col("reach"), F.lit(False))).drop("reach")
+        rows = rows.withColumn("too_deep", F.lit(False))
+    else:
+        rows = rows.join(at(tables[0]).drop("up"), "owner", "left").withColumn("too_deep", F.coalesce(F.col("low") <= F.col("reach"), F.lit(False)))
+    shown = rows.join(named("owner", "owner_anthology", "owner_story"), "owner").join(ids, "id")
+    return shown.select(*KEY, "owner_anthology", "owner_story", "low", "high", "depth", "too_deep")
 
 
 def resolved(stories: DataFrame, chapters: DataFrame) -> DataFrame:

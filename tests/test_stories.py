@@ -77,6 +77,19 @@ def test_long_chains(spark, length, deep):
     assert all(r["owner_anthology"] == r["anthology_id"] for r in got)
 
 
+def test_chains_are_joined_on_numbers(spark, monkeypatch):
+    """Ids of stories as text are shuffled once; bases that are missing own what is handed on to them."""
+    seen, made = [], stories.lifts
+    monkeypatch.setattr(stories, "lifts", lambda links: seen.append(made(links)) or seen[-1])
+    rows = [("a", "s1", "a", "s0", 1), ("a", "s2", "a", "s1", 0), ("b", "s1", None, None, None), ("b", "s2", "b", "s1", -1)]
+    table = spark.createDataFrame(rows, "anthology_id string, story_id string, base_anthology_id string, base_story_id string, fork_ordinal long")
+    asked = table.selectExpr("anthology_id", "story_id", "0L low", "2L high").union(spark.createDataFrame([("c", "new", 0, 2)], "a string, s string, l long, h long"))
+    got = sorted(tuple(r) for r in stories.owners(table, asked).collect())
+    want = [("a", "s1", "a", "s0", 0, 1, 1), ("a", "s1", "a", "s1", 2, 2, 0), ("a", "s2", "a", "s0", 0, 0, 2), ("a", "s2", "a", "s2", 1, 2, 0)]
+    assert got == [(*r, False) for r in (*want, ("b", "s1", "b", "s1", 0, 2, 0), ("b", "s2", "b", "s2", 0, 2, 0), ("c", "new", "c", "new", 0, 2, 0))]
+    assert seen and all(kind == "bigint" for t in seen[0] for _, kind in t.dtypes)
+
+
 def test_no_stories(spark):
     empty = stories.history(spark.createDataFrame([], LOG))
     assert empty.count() == 0 and stories.stories_at(empty).count() == 0
