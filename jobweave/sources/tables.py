@@ -11,10 +11,11 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -114,10 +115,11 @@ def insert(rows: DataFrame, folder: str, batch: str, keys: list[str], order: lis
     """
     spark = rows.sparkSession
     spark.dataSource.register(BatchTable)
+    rest = [c for c in rows.columns if c not in keys]  # keys are shuffled once, not again inside values
     if committed(folder, batch) is None:
-        first = rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("r")).select("r.*")
+        first = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*") if rest else rows.distinct()
         new = first.join(read(spark, folder, rows.schema).select(*keys), keys, "left_anti").select(*rows.columns)
         new.write.format("batch_table").option("folder", folder).option("batch", batch).mode("append").save()
-    held = read(spark, folder, rows.schema).select(*keys, F.struct(*(F.col(c).alias(c) for c in rows.columns)).alias("held"))
-    both = rows.withColumn("row", F.struct(*rows.columns)).join(held, keys)
-    return both.where(~F.col("row").eqNullSafe(F.col("held"))).select("row.*")
+    held = read(spark, folder, rows.schema).select(*keys, *(F.col(c).alias(f"held_{i}") for i, c in enumerate(rest)))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"held_{i}")) for i, c in enumerate(rest)), F.lit(True))
+    return rows.join(held, keys).where(~same).select(*rows.columns)

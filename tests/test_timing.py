@@ -93,3 +93,15 @@ def test_chain_beyond_the_limits_of_recursion(spark):
     assert [sum(k[0] == s for k in got) for s in "abcd"] == [1100, 1100, 3, 2]
     assert got["a", 2]["scheduled_at"] == begin + timedelta(seconds=5 + 60 + 5 + 60) and got["a", 2]["leased_at"] == begin + timedelta(seconds=70 + 90 + 5)
     assert got["a", 1099]["bits"] == "1" * 8 and got["a", 1099]["waits_for"] == got["a", 1098]["job_id"]
+
+
+def test_conflicts_shuffle_keys_once(spark, tmp_path):
+    """Neither side of the join carries its keys again inside a struct; tables of keys alone have no conflicts."""
+    rows = spark.createDataFrame([("t", 1, "a", None), ("t", 2, None, 1.0), ("u", 1, "b", 2.0)], "t string, k long, v string, x double")
+    assert tables.insert(rows, f"{tmp_path}/t", "x", ["t", "k"], ["v"]).isEmpty()
+    again = rows.selectExpr("t", "k", "if(k = 1, 'c', v) v", "x")
+    found = tables.insert(again, f"{tmp_path}/t", "y", ["t", "k"], ["v"])
+    assert sorted(found.collect()) == [("t", 1, "c", None), ("u", 1, "c", 2.0)] and found.columns == rows.columns
+    assert "struct(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    only = rows.select("t", "k")
+    assert tables.insert(only.union(only), f"{tmp_path}/k", "x", ["t", "k"], ["k"]).isEmpty() and sorted(tables.read(spark, f"{tmp_path}/k", only.schema).collect()) == sorted(only.collect())
