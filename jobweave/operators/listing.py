@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -97,8 +97,8 @@ def after(token: str) -> Column:
     return (F.col("created_at") < created) | ((F.col("created_at") == created) & (expr.job_key() < key))
 
 
-def list_jobs(jobs: DataFrame, waits: DataFrame, now: str, request: ListRequest) -> DataFrame:
-    """A page of jobs in (created desc, key desc). Filters on stored columns come before the dependency join."""
+def list_jobs(jobs: DataFrame, waits: DataFrame, now: str, request: ListRequest, more: int = 0) -> DataFrame:
+    """A page of jobs in (created desc, key desc), and `more` rows that follow. Filters on stored columns come before the dependency join."""
     request.check()
     r, keep = request, F.col("tenant_id").isin(request.tenants)
     if r.statuses:
@@ -128,6 +128,7 @@ def list_jobs(jobs: DataFrame, waits: DataFrame, now: str, request: ListRequest)
     if r.keys is not None:
         some = some.join(r.keys, ["tenant_id", "job_id"], "left_semi")
     size = PAGE if r.page_size <= 0 else min(r.page_size, LARGEST_PAGE)
+    size += more
     order = [F.desc("created_at"), F.desc(expr.job_key())]
     if not r.statuses:  # no status decides, so the page is known before any is worked out
         some = some.orderBy(*order).limit(size)
@@ -143,12 +144,8 @@ def list_jobs(jobs: DataFrame, waits: DataFrame, now: str, request: ListRequest)
 def list_page(jobs: DataFrame, waits: DataFrame, now: str, request: ListRequest) -> tuple[list, str | None]:
     """The rows of a page, and the token of the next one if more follow."""
     size = PAGE if request.page_size <= 0 else min(request.page_size, LARGEST_PAGE)
-    rows = list_jobs(jobs, waits, now, request).collect()  # LARGEST_PAGE rows at most
-    if len(rows) < size:
-        return rows, None
-    token = page_token(rows[-1].asDict())
-    rest = list_jobs(jobs, waits, now, replace(request, token=token, page_size=1))
-    return rows, None if rest.isEmpty() else token
+    rows = list_jobs(jobs, waits, now, request, 1).collect()  # LARGEST_PAGE rows and one at most
+    return rows[:size], page_token(rows[size - 1].asDict()) if len(rows) > size else None
 
 
 def point_reads(asked: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -130,3 +130,18 @@ def test_stream_fold_goes_on_from_stored_states(spark, tmp_path):
             source = spark.readStream.schema(all_rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
             got = fold.stream_fold(source, f"{tmp_path}/base")
             assert sorted(map(tuple, got.collect())) == sorted(map(tuple, fold.fold(all_rows.where(f"event_id < {1000 * (k + 1)}")).collect()))
+
+
+def test_one_listing_a_page(spark, monkeypatch):
+    """A page reads one row more than it shows, instead of a second listing that asks whether any follow."""
+    asked, made = [], listing.list_jobs
+    monkeypatch.setattr(listing, "list_jobs", lambda *a: asked.append(a) or made(*a))
+    t = catalogue.Tables(spark, "/root/testdata/sf0.001")
+    every = made(t.fx_jobs, t.fx_wait, catalogue.NOW, listing.ListRequest(tenants=[catalogue.TENANT], page_size=200)).collect()
+    few = t.fx_jobs.where(F.col("job_id").isin([r["job_id"] for r in every[:6]]) & (F.col("tenant_id") == catalogue.TENANT)).cache()
+    token, seen = None, []
+    for more in (True, False):  # the last page is full
+        rows, token = listing.list_page(few, t.fx_wait, catalogue.NOW, listing.ListRequest(tenants=[catalogue.TENANT], page_size=3, token=token))
+        seen += [r["job_id"] for r in rows]
+        assert len(rows) == 3 and (token is not None) == more
+    assert seen == [r["job_id"] for r in every[:6]] and len(asked) == 2
