@@ -31,8 +31,8 @@ from jobweave.llm.common import cut
 LIMIT, END_ID = 4096, 1
 #: Tokens of a group; bins filled below this share are packed again with other groups' bins.
 GROUP, OPEN_BELOW = 1 << 20, 0.99
-#: Words whose ids a worker keeps.
-CACHE = 800_000
+#: Words whose ids a worker keeps, at most: half of them of late, the other half from before.
+CACHE = 400_000
 
 
 def tokenizer_path() -> str:
@@ -47,19 +47,23 @@ MARKED = re.compile(rb"(.*[a-z0-9])([!-&(-/:-@\[-`{-~]+)\Z", re.S)
 
 class WordIds:
     """Token ids as little-endian 32-bit numbers. The tokenizer never joins bytes across white space, so each word
-    between blanks has ids of its own, and those of the words seen are kept."""
+    between blanks has ids of its own, and those of words seen of late are kept: when there are many, those that haven't
+    come again since the time before are given up, so that frequent words stay."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.of = Tokenizer.from_file(path), {}
+        self.tokenizer, self.of, self.before = Tokenizer.from_file(path), {}, {}
 
     def learn(self, texts: list[list[bytes]]) -> None:
-        if len(self.of) > CACHE:
-            self.of.clear()
-        of = self.of
+        if len(self.of) > CACHE // 2:
+            self.of, self.before = {}, self.of
+        of, before = self.of, self.before
         new = set().union(*texts).difference(of)
+        again = new.intersection(before)
+        of.update((w, before[w]) for w in again)
+        new -= again
         split = {w: m.groups() for w in new if (m := MARKED.match(w)) and b"<|" not in w}
         whole = list(new.difference(split).union(*split.values()).difference(of))
         coded = self.tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False)
