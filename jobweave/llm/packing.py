@@ -17,12 +17,14 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +43,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Characters of a chunk of texts, whose words are looked up together, each once.
+CHUNK = 4 << 20
 #: A word that ends in ASCII marks after a letter or digit: the tokenizer cuts it there too.
-MARKED = re.compile(rb"(.*[a-z0-9])([!-&(-/:-@\[-`{-~]+)\Z", re.S)
+MARKED = re.compile(rb"(.*(?:[a-z0-9]|\xc3[\x9f-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)\Z", re.S)
+MARKS = frozenset(bytes([c]) for c in b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+#: Words of lower-case ASCII and Latin-1 letters, digits and marks, which the tokenizer's normalizer leaves as they are.
+PLAIN = re.compile(rb"(?:[!-@\[-~]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
 
 class WordIds:
@@ -54,20 +61,32 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.of, self.before = Tokenizer.from_file(path), {}, {}
+        self.whole, self.of, self.before = Tokenizer.from_file(path), {}, {}
+        #: The same without normalizer and special tokens, for plain words.
+        self.tokenizer = Tokenizer(self.whole.model)
+        self.tokenizer.pre_tokenizer = self.whole.pre_tokenizer
 
     def learn(self, texts: list[list[bytes]]) -> None:
         if len(self.of) > CACHE // 2:
             self.of, self.before = {}, self.of
         of, before = self.of, self.before
-        new = set().union(*texts).difference(of)
-        again = new.intersection(before)
-        of.update((w, before[w]) for w in again)
-        new -= again
-        split = {w: m.groups() for w in new if (m := MARKED.match(w)) and b"<|" not in w}
-        whole = list(new.difference(split).union(*split.values()).difference(of))
-        coded = self.tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False)
-        of.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(whole, coded, strict=True))
+        split, rest = {}, set()
+        for w in {w for words in texts for w in words if w not in of}:
+            if (ids := before.get(w)) is not None:
+                of[w] = ids
+            elif w[-1:] in MARKS and (m := MARKED.match(w)) and b"<|" not in w:
+                split[w] = m.groups()
+                rest.update(split[w])
+            else:
+                rest.add(w)
+        apart: tuple[list[bytes], list[bytes]] = ([], [])
+        for w in rest.difference(of):
+            apart[b"<|" not in w and PLAIN.fullmatch(w) is not None].append(w)
+        for tokenizer, words in zip((self.whole, self.tokenizer), apart, strict=True):
+            for at in range(0, len(words), 1 << 14):
+                some = words[at : at + (1 << 14)]
+                coded = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+                of.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, coded, strict=True))
         of.update((w, of[a] + of[b]) for w, (a, b) in split.items())
 
     def ids(self, words: list[bytes]) -> bytes:
@@ -80,10 +99,21 @@ def coder_of(path: str) -> WordIds:
     return WordIds(path)
 
 
-def words_of(text: str | None) -> list[bytes]:
+def words_of(text: pa.Array) -> pa.ListArray:
     """Words between blanks, in the lower case that the tokenizer gives ASCII; texts that may hold special tokens as they are."""
-    raw = (text or "").encode()
-    return (raw if b"<|" in raw else raw.lower()).split()
+    text = pc.fill_null(text, "")
+    special = pc.match_substring(text, "<|")
+    return pc.ascii_split_whitespace(pc.if_else(special, text, pc.ascii_lower(text)))
+
+
+def chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with up to CHUNK bytes of text, or one row."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def cutter(path: str, limit: int, with_ids: bool):
@@ -91,13 +121,18 @@ def cutter(path: str, limit: int, with_ids: bool):
         coder = coder_of(path)
         end = END_ID.to_bytes(4, "little")
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                texts = [words_of(t) for t in batch["text"].to_pylist()]
-                coder.learn(texts)
+            for batch in chunks(whole):
+                words = words_of(batch["text"])
+                coded = words.values.dictionary_encode()
+                known = coded.dictionary.cast(pa.binary()).to_pylist()
+                coder.learn([known])
+                every = pa.array(map(coder.of.__getitem__, known), pa.large_binary(), size=len(known)).take(coded.indices)
+                del known, coded
+                at = np.frombuffer(every.buffers()[1], np.int64)[words.offsets.to_numpy()].tolist()
+                every = memoryview(every.buffers()[2] or b"")
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, words in enumerate(texts):
-                    raw = coder.ids(words) + end
+                for i in range(batch.num_rows):
+                    raw = bytes(every[at[i] : at[i + 1]]) + end
                     for k, a in enumerate(range(0, len(raw), 4 * limit)):
                         part = raw[a : a + 4 * limit]
                         row.append(i)
