@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobweave.llm.common import cut
+from jobweave.llm.common import cut, release
 
 LIMIT, END_ID = 4096, 1
 #: Tokens of a group; bins filled below this share are packed again with other groups' bins.
@@ -152,6 +152,10 @@ def cutter(path: str, limit: int, with_ids: bool):
                 if with_ids:
                     arrays["ids"] = pa.array(ids, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(arrays)
+                del batch, words, every, arrays
+            del whole
+            release()
+        release()
 
     return pieces
 

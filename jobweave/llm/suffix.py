@@ -31,7 +31,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobweave.llm.common import cut, mix64, single
+from jobweave.llm.common import cut, mix64, release, single
 
 LENGTH, K = 100, 32
 HOT, LONGEST_RUN = 4096, 4096
@@ -346,6 +346,7 @@ def strings_of(groups: int):
                 h = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
                 emit(h % groups, h, d, t, p + q, p + q + LENGTH, window)
         kinds = {"to": to, "by": by, "doc_id": doc, "tie": tie, "pos": pos, "end": end}
+        release()
         return pa.table({c: pa.array(v, pa.int64()) for c, v in kinds.items()} | {"data": pa.array(data, pa.binary())})
 
     return list_strings
@@ -402,6 +403,8 @@ def find_repeats(group: pa.Table) -> pa.Table:
     rows = list(zip(*(strings[c].to_pylist() for c in ("by", "doc_id", "tie", "pos", "data")), strict=True))
     cuts = [(*rows[k][1:3], rows[k][3] + a, rows[k][3] + b + LENGTH - 1) for k, a, b in repeats(rows)]
     columns = list(zip(*cuts, strict=True)) if cuts else [[]] * 4
+    del group, strings, rows, cuts
+    release()
     return pa.concat_tables([found, pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "tie", "a", "b"), columns, strict=True)})])
 
 

@@ -1,5 +1,9 @@
 """The words that a packing worker keeps."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 from jobweave.llm import packing
 
 
@@ -44,3 +48,28 @@ def test_plain_words_skip_the_normalizer(monkeypatch):
     for r, t in zip(got, texts, strict=True):
         assert r["ids"] == [*whole.encode(t or "", add_special_tokens=False).ids, packing.END_ID]
     assert "日本。x" in normalized and not {"stone", "grün", "and", "stone's", "!"} & set(normalized)
+
+
+HELD = """
+import re
+import pyarrow as pa, pyarrow.parquet as pq
+from ctypes import CDLL
+import subprocess
+import sys
+from pathlib import Path
+
+from jobweave.llm import packing
+def mb(): return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+batches = pq.ParquetFile("/root/testdata/sf0.1/documents.parquet").iter_batches(10000, columns=["doc_id", "text"])
+print(sum(b.num_rows for b in packing.cutter(packing.tokenizer_path(), 4096, False)(batches)))
+before = mb()
+pa.default_memory_pool().release_unused(), CDLL(None).malloc_trim(0)
+print(before - mb())
+"""
+
+
+def test_a_worker_gives_unused_memory_back():
+    """Workers live on through later tasks and stages: what a task no longer uses goes back to the system."""
+    root = Path(packing.__file__).parents[2]
+    rows, unused = subprocess.run([sys.executable, "-c", HELD], cwd=root, check=True, capture_output=True, text=True).stdout.split()
+    assert int(rows) >= 10000 and float(unused) < 10
