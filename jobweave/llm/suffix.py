@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,19 +58,22 @@ def grouping_suffix_array(s: list[int]) -> list[int]:
     at = np.empty(n, np.int64)
     at[order] = np.repeat(heads, sizes)
     group: list[int] = at.tolist()  # the first place of the group of each position
-    members: dict[int, list[int]] = {}
-    start_of_end, size = [0] * (n + 1), [0] * n
-    listed = order.tolist()
-    for g, m in zip(heads.tolist(), sizes.tolist(), strict=True):
-        members[g], size[g], start_of_end[g + m] = listed[g : g + m], m, g
+    members: dict[int, list[int]] = {}  # of groups that are not from the beginning
+    ends, many = np.zeros(n + 1, np.int64), np.zeros(n, np.int64)
+    ends[heads + sizes], many[heads] = heads, sizes
+    start_of_end, size, at_first, listed = ends.tolist(), many.tolist(), many.tolist(), order.tolist()
     prev = [-1] * n
     end = n
     while end > 0:
         g = start_of_end[end]
         end = g
-        here = [i for i in members.pop(g) if group[i] == g]
-        if len(here) > 1:
-            here.sort()
+        m = at_first[g]
+        if m == 1:
+            here = listed[end : end + 1]
+        else:
+            here = [i for i in (listed[g : g + m] if m else members.pop(g)) if group[i] == g]
+            if len(here) > 1:
+                here.sort()
         if len(here) == 1:
             i = here[0]
             p = i - 1
@@ -87,6 +91,38 @@ def grouping_suffix_array(s: list[int]) -> list[int]:
                 members[new] = here
                 here[0] = p
             continue
+        if len(here) == 2:  # as below, without counting
+            i, j = here
+            p = i - 1
+            while p >= 0 and group[p] >= g:
+                p = prev[p]
+            prev[i] = p
+            q = j - 1
+            while q >= 0 and group[q] >= g:
+                q = prev[q]
+            prev[j] = q
+            if p >= 0 and p != q and q >= 0 and group[p] == group[q]:
+                h = group[p]
+                if size[h] > 2:
+                    top = h + size[h]
+                    new = top - 2
+                    size[h] -= 2
+                    size[new] = 2
+                    start_of_end[top], start_of_end[new] = new, h
+                    group[p] = group[q] = new
+                    members[new] = [p, q]
+                continue
+            for p in (p, q) if p != q else (p,):
+                if p >= 0 and size[group[p]] > 1:
+                    h = group[p]
+                    top = h + size[h]
+                    new = top - 1
+                    size[h] -= 1
+                    size[new] = 1
+                    start_of_end[top], start_of_end[new] = new, h
+                    group[p] = new
+                    members[new] = [p]
+            continue
         count: dict[int, int] = {}
         for i in here:
             p = i - 1
@@ -123,12 +159,13 @@ def grouping_suffix_array(s: list[int]) -> list[int]:
                 members[new] = leaving
     out, place, free = [0] * n, [False] * n, list(range(n))
     out[0], place[n - 1] = n - 1, True
-    for k in range(n):
-        j = out[k] - 1
+    for j in out:  # which is filled on the way
+        j -= 1
         while j >= 0 and not place[j]:
             g = group[j]
-            out[free[g]] = j
-            free[g] += 1
+            k = free[g]
+            out[k] = j
+            free[g] = k + 1
             place[j] = True
             j = prev[j]
     return out
@@ -326,12 +363,19 @@ def strings_of(groups: int):
                 continue
             start, stop, own = runs(raw)
             at = np.minimum(np.searchsorted(anchor, own), len(anchor) - 1)
-            for k in np.flatnonzero(anchor[at] == own).tolist():
+            again = anchor[at] == own
+            for k in np.flatnonzero(again & hot[at]).tolist():
                 a, b, key = int(start[k]), int(stop[k]), int(own[k].astype(np.int64))
-                if hot[at[k]]:
-                    local.append((key, d, t, a, raw[a : b + LENGTH - 1]))
-                else:
-                    emit(int(own[k] % U64(groups)), key, d, t, a, b + LENGTH - 1, raw[a : b + LENGTH - 1])
+                local.append((key, d, t, a, raw[a : b + LENGTH - 1]))
+            others = np.flatnonzero(again & ~hot[at])
+            own, starts, ends = own[others], start[others].tolist(), (stop[others] + (LENGTH - 1)).tolist()
+            to += (own % U64(groups)).astype(np.int64).tolist()
+            by += own.astype(np.int64).tolist()
+            doc += [d] * len(own)
+            tie += [t] * len(own)
+            pos += starts
+            end += ends
+            data += [raw[a:b] for a, b in zip(starts, ends, strict=True)]
         gone: dict[int, list[tuple[int, int]]] = {}
         local.sort(key=lambda row: row[:4])
         for k, a, b in repeats(local):
@@ -369,12 +413,15 @@ def repeats(rows: list[tuple[int, int, int, int, bytes]]) -> Iterator[tuple[int,
 
     def sort_some() -> Iterator[tuple[int, int, int]]:
         waiting.sort(key=lambda w: w[0])
-        for (_, _, same), again in zip(waiting, repeated_windows([s for _, s, _ in waiting]) if waiting else [], strict=True):
-            if again.any():
-                edge = np.flatnonzero(np.diff(np.r_[0, again.view(np.int8), 0]))
-                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                    for row in same:
-                        yield row, a, b
+        if not waiting:
+            return
+        again, gap = repeated_windows([s for _, s, _ in waiting]), np.zeros(1, np.int8)
+        begin = np.cumsum([0, *(len(x) + 1 for x in again)])
+        edge = np.flatnonzero(np.diff(np.concatenate([gap, *chain.from_iterable((x.view(np.int8), gap) for x in again)])))
+        string = np.searchsorted(begin, edge[::2], "right") - 1
+        for k, a, b in zip(string.tolist(), (edge[::2] - begin[string]).tolist(), (edge[1::2] - begin[string]).tolist(), strict=True):
+            for row in waiting[k][2]:
+                yield row, a, b
 
     while k < len(rows):
         own: dict[bytes, list[int]] = {}
