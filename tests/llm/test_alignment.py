@@ -81,3 +81,26 @@ def test_words_are_forgotten_and_learned_again(spark, monkeypatch):
 def test_empty_table(spark):
     made = alignment.scored(spark.createDataFrame([], SCHEMA))
     assert made.count() == 0 and made.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+
+
+def test_repeated_words_are_aligned_once():
+    """What goes to Spark for the same text again is its words by number, not their tokens."""
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    text = " ".join("".join(rng.choice("bcdfghjkxz") for _ in range(9)) for _ in range(400))
+    run = alignment.tokeniser(*alignment.tokenizer_paths())
+    once, often = (sum(b.nbytes for b in run(iter([pa.record_batch({"doc_id": pa.array(range(n), pa.int64()), "text": [text] * n})]))) for n in (1, 50))
+    assert often < 10 * once
+
+
+def test_words_of_other_lists_and_parts(spark):
+    """Texts whose words fill several lists, a word that is not given back in one of them, and words of a text before."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aeioubdst") for _ in range(rng.randint(1, 8))) + rng.choice(["", ".", "é"]) for _ in range(3 * alignment.TOGETHER + 1)]
+    long = [" ".join(words), " ".join(words[::-1]), " ".join([*words, "a▁b"]), words[-1], " ".join(words[: alignment.TOGETHER])]
+    alone = [tuple(r) for t in long for r in alignment.aligned(spark.createDataFrame([(0, t)], "doc_id long, text string"), *alignment.tokenizer_paths()).collect()]
+    made = alignment.aligned(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string").coalesce(1), *alignment.tokenizer_paths()).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in made] == [r[1:] for r in alone]
+    assert made[2].n_a == 0 and made[2].line == "" and made[0].line.split(";")[::-1] != made[1].line.split(";")
+    assert made[3].line == ";".join(made[0].line.split(";")[-len(made[3].line.split(";")) :])
