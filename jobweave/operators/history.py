@@ -91,9 +91,17 @@ def with_input(chapters: DataFrame) -> DataFrame:
 
 
 def event_times(chapters: DataFrame) -> DataFrame:
-    """Adds began and ended of each chapter's event in a replay: its own times, else when it was written."""
+    """Adds began and ended of each chapter's event in a replay: its own times, else when it was written.
+
+    A job attempt begins where the one before it ended, the first when the job was written, whatever start its outcome says.
+    """
+    before = Window.partitionBy(*JOB).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     c = lambda name: F.col(name) if name in chapters.columns else F.lit(None).cast("timestamp_ntz")
-    return chapters.withColumn("ended", F.coalesce(c("finished_at"), F.col("created_at"))).withColumn("began", F.coalesce(c("started_at"), F.col("created_at")))
+    starts, ends = F.col("chapter_type") == "JobStart", F.col("chapter_type") == "JobAttemptOutcome"
+    own = F.when(starts, F.col("created_at")).otherwise(F.coalesce(c("started_at"), F.col("created_at")))
+    times = chapters.withColumn("ended", F.coalesce(c("finished_at"), F.col("created_at"))).withColumn("began", own)
+    attempt = F.last(F.when(starts, F.col("began")).when(ends, F.col("ended")), ignorenulls=True).over(before)
+    return times.withColumn("began", F.when(ends, F.coalesce(attempt, F.col("began"))).otherwise(F.col("began")))
 
 
 def prefix_difference(source: DataFrame, target: DataFrame) -> DataFrame:

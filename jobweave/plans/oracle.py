@@ -184,7 +184,9 @@ CASE k % 4 WHEN 1 THEN 3 WHEN 3 THEN 2 ELSE 1 END AS max_attempts, CASE WHEN k %
 CASE WHEN k % 7 = 6 THEN 600000 WHEN k % 7 >= 2 THEN k % 7 * 1000 - 2000 END AS invocation_ms, 1800000 AS total_ms FROM fx_jobs""",
         "q_input_chapter": with_(("fx_bodies",)) + """SELECT a.tenant_id, a.job_id, a.ordinal, CASE WHEN a.ordinal = 0 THEN 'NONE' WHEN b.job_id IS NULL THEN 'NOT_FOUND' ELSE 'FOUND' END AS input_state, b.data AS input_data
 FROM fx_bodies a LEFT JOIN fx_bodies b ON a.tenant_id = b.tenant_id AND a.job_id = b.job_id AND a.ordinal > 0 AND b.ordinal = a.ordinal - 1 - a.ordinal % 3""",
-        "q_event_times": chapters + "SELECT tenant_id, job_id, ordinal, CASE WHEN ordinal % 2 = 1 THEN created_at - INTERVAL '2' HOUR ELSE created_at END AS began, CASE WHEN ordinal % 3 = 1 THEN created_at - INTERVAL '1' HOUR ELSE created_at END AS ended FROM fx_chapters",
+        "q_event_times": with_(("fx_chapters",), """own AS (SELECT *, CASE WHEN ordinal % 2 = 1 THEN created_at - INTERVAL '2' HOUR ELSE created_at END AS started, CASE WHEN ordinal % 3 = 1 THEN created_at - INTERVAL '1' HOUR ELSE created_at END AS ended FROM fx_chapters)""") + """SELECT tenant_id, job_id, ordinal,
+CASE chapter_type WHEN 'JobStart' THEN created_at WHEN 'JobAttemptOutcome' THEN coalesce(last_value(CASE chapter_type WHEN 'JobAttemptOutcome' THEN ended WHEN 'JobStart' THEN created_at END IGNORE NULLS) OVER w, started) ELSE started END AS began, ended
+FROM own WINDOW w AS (PARTITION BY tenant_id, job_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
         "q_fold_final_state": with_(("fx_commands",), FOLD) + FOLDED,
         "q_stream_fold": with_(("fx_commands",), FOLD) + FOLDED,
         "q_backoff": chapters + """SELECT tenant_id, job_id, ordinal, least(100.0 * pow(2.0, attempt - 1), 350.0) AS backoff_ms, payload_kind IN ('AppError', 'SystemError') AS retryable

@@ -113,6 +113,23 @@ def test_unbounded_failure_window_and_small_columns(spark):
     assert row["no"] is False and row["yes"] is True and row["h"] == "sha256:" + hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_event_times_of_attempts(spark):
+    """A job attempt begins where the one before it ended, the first when the job was written; tasks have times of their own, else when they were written."""
+    rows = [
+        (0, "JobStart", 1, None, None), (1, "TaskAttemptOutcome", 5, None, None), (2, "TaskAttemptOutcome", 9, 6, 8), (3, "JobAttemptOutcome", 11, None, 10),
+        (4, "RestartExtra", 14, None, 13), (5, "JobAttemptOutcome", 16, 15, None), (6, "JobAttemptOutcome", 20, None, None), (7, "TaskAttemptOutcome", 22, 21, None),
+    ]
+    at = lambda hour: f"2024-01-01 {hour:02}:00:00" if hour else None
+    df = spark.createDataFrame([(job, o, kind, *map(at, times)) for job in "ab" for o, kind, *times in rows if job == "a" or o > 2], "job_id string, ordinal long, chapter_type string, created_at string, started_at string, finished_at string")
+    df = df.withColumn("tenant_id", F.lit("t")).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "started_at", "finished_at")})
+    hours = lambda times: {(r["job_id"], r["ordinal"]): (r["began"].hour, r["ended"].hour) for r in times.collect()}
+    want = {0: (1, 1), 1: (5, 5), 2: (6, 8), 3: (1, 10), 4: (14, 13), 5: (10, 16), 6: (16, 20), 7: (21, 22)}
+    lone = {o: x for o, x in want.items() if o > 3} | {3: (11, 10)}  # without its first chapter an attempt has its own times
+    assert hours(history.event_times(df)) == {("a", o): x for o, x in want.items()} | {("b", o): x for o, x in lone.items()}
+    bare = hours(history.event_times(df.drop("started_at", "finished_at").where("job_id = 'a'")))
+    assert bare == {("a", o): (b, e) for o, b, e in ((0, 1, 1), (1, 5, 5), (2, 9, 9), (3, 1, 11), (4, 14, 14), (5, 11, 16), (6, 16, 20), (7, 22, 22))}
+
+
 def test_stream_equals_batch(spark):
     q, sf = catalogue.queries(), "/root/testdata/sf0.001"
     batch, stream = (sorted(map(tuple, q[n](spark, sf).collect())) for n in ("q_fold_final_state", "q_stream_fold"))
